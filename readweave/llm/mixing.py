@@ -37,7 +37,7 @@ SEED = 17
 #: Above so many sources their table is joined by shuffle.
 MAX_BROADCAST_SOURCES = 10_000
 #: Primes for the permutation's multipliers, which must not divide a source's number of blocks.
-PRIMES = (999_983, 1_000_003)
+PRIMES = (786_433, 611_953)
 
 
 def numbered(df: DataFrame, order: Column, name: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Language identification: a bidirectional gated recurrent network over the bytes of the text.
 
-A text is read in windows of ``STEPS`` bytes, each from both ends; every position gets a probability for each label
-from the two states there. A document's probabilities are the mean over all its positions. The network is trained in
-numpy by backpropagation through time, on windows of at most ``max_rows`` training documents chosen by a hash of
-their ids. Its size is fixed.
+A text is read word by word (bytes between ASCII white space; a longer run in pieces of ``STEPS`` bytes), each word from
+both ends; every position gets a probability for each label from the two states there. A document's probabilities are
+the geometric mean over all its positions. As a word's states depend on nothing outside it, a word that stands more
+than once in a batch of documents is read once and counted as often as it stands. The network is trained in numpy by
+backpropagation through time, on words of at most about ``max_rows`` training documents chosen by a hash of their ids.
+Its size is fixed.
 
 Defined results: null texts and texts without a letter are `und` with score 0; identical rows get the same label;
-null languages are not learnt; without any language to learn every text is `und`; a window at the end of a text is
+null languages are not learnt; without any language to learn every text is `und`; short words are
 padded, and padding is never labelled.
 """
 
@@ -20,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STEPS = 64
+STEPS = 32
 HIDDEN = 8
 MAX_ROWS = 2_000
-ROUNDS = 300
-#: Windows that are read together.
-BATCH = 4096
+ROUNDS = 400
+#: Words that are read together.
+BATCH = 8192
 SEED = 11
 UNKNOWN = "und"
 
@@ -55,8 +57,8 @@ def _tanh(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def states(codes: np.ndarray, inputs: np.ndarray, recurrent: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """States (steps, H, windows) of one direction over codes (steps, windows); keep gets what the way back needs."""
+def states(codes: np.ndarray, inputs: np.ndarray, recurrent: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
+    """States (steps, H, words) of one direction over codes (steps, words), zero where mask is; keep gets what the way back needs."""
     h = recurrent.shape[1]
     out = np.empty((len(codes), h, codes.shape[1]), np.float32)
     before = np.zeros((h, codes.shape[1]), np.float32)
@@ -72,16 +74,17 @@ def states(codes: np.ndarray, inputs: np.ndarray, recurrent: np.ndarray, keep: l
         state = before - new
         state *= z
         state += new
+        state *= mask[t]  # so a word's states don't depend on how far it is padded
         if keep is not None:
             keep.append((before, r.copy(), z.copy(), new, u[2 * h :].copy()))
         out[t] = before = state
     return out
 
 
-def probabilities(net: Network, codes: np.ndarray) -> np.ndarray:
-    """(steps, labels, windows) of codes (steps, windows), padding included."""
-    f = states(codes, net.inputs[0], net.recurrent[0])
-    b = states(codes[::-1], net.inputs[1], net.recurrent[1])[::-1]
+def probabilities(net: Network, codes: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """(steps, labels, words) of codes (steps, words); mask (same shape) is 0 in the padding."""
+    f = states(codes, net.inputs[0], net.recurrent[0], mask)
+    b = states(codes[::-1], net.inputs[1], net.recurrent[1], mask[::-1])[::-1]
     h = f.shape[1]
     z = np.matmul(net.out[:, :h], f)
     z += np.matmul(net.out[:, h : 2 * h], b)
@@ -92,8 +95,8 @@ def probabilities(net: Network, codes: np.ndarray) -> np.ndarray:
     return z
 
 
-def learn(codes: np.ndarray, mask: np.ndarray, y: np.ndarray, labels: list[str], rounds: int = ROUNDS, batch: int = 256) -> Network:
-    """Train on windows (steps, n), their mask and their labels' indices; cross-entropy at every position, by Adam."""
+def learn(codes: np.ndarray, mask: np.ndarray, y: np.ndarray, labels: list[str], rounds: int = ROUNDS, batch: int = 512) -> Network:
+    """Train on words (steps, n), their mask and their labels' indices; cross-entropy at every position, by Adam."""
     rng = np.random.default_rng(SEED)
     h, n_labels = HIDDEN, len(labels)
     p = [*(rng.normal(0, 0.3, (3 * h, 256)).astype(np.float32) for _ in range(2)), *(rng.normal(0, 0.3, (3 * h, h)).astype(np.float32) for _ in range(2)), np.zeros((n_labels, 2 * h + 1), np.float32)]
@@ -102,8 +105,8 @@ def learn(codes: np.ndarray, mask: np.ndarray, y: np.ndarray, labels: list[str],
         own = rng.integers(0, codes.shape[1], batch)
         c, k, target = codes[:, own], mask[:, own].astype(np.float32), y[own]
         kept: list[list] = [[], []]
-        f = states(c, p[0], p[2], kept[0])
-        b = states(c[::-1], p[1], p[3], kept[1])[::-1]
+        f = states(c, p[0], p[2], k, kept[0])
+        b = states(c[::-1], p[1], p[3], k[::-1], kept[1])[::-1]
         net = p[4]
         z = np.matmul(net[:, :h], f) + np.matmul(net[:, h : 2 * h], b) + net[:, 2 * h :]
         z = np.exp(z - z.max(axis=1, keepdims=True))
@@ -114,12 +117,12 @@ def learn(codes: np.ndarray, mask: np.ndarray, y: np.ndarray, labels: list[str],
         g[4][:, :h] = np.einsum("tlb,thb->lh", z, f, optimize=True)
         g[4][:, h : 2 * h] = np.einsum("tlb,thb->lh", z, b, optimize=True)
         g[4][:, 2 * h] = z.sum(axis=(0, 2))
-        for d, at in ((0, c), (1, c[::-1])):
+        for d, at, held in ((0, c, k), (1, c[::-1], k[::-1])):
             out = np.matmul(net[:, d * h : (d + 1) * h].T, z if d == 0 else z[::-1])
             carried = np.zeros((h, len(own)), np.float32)
             for t in range(len(at) - 1, -1, -1):
                 before, r, zt, new, u = kept[d][t]
-                dh = out[t] + carried
+                dh = (out[t] + carried) * held[t]
                 dz = dh * (before - new) * zt * (1 - zt)
                 dn = dh * (1 - zt) * (1 - new**2)
                 dr = dn * u * r * (1 - r)
@@ -138,33 +141,54 @@ def learn(codes: np.ndarray, mask: np.ndarray, y: np.ndarray, labels: list[str],
     return Network(labels, p[:2], p[2:4], p[4])
 
 
-def windowed(data: bytes, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (windows, steps) of all bytes, and how many of each window are text."""
-    n = -(-len(data) // steps)
-    padded = np.frombuffer(data.ljust(n * steps, b" "), np.uint8).reshape(n, steps)
-    held = np.full(n, steps)
-    if n:
-        held[-1] = len(data) - (n - 1) * steps
-    return padded, held
+def pieces(text: bytes) -> list[bytes]:
+    """All words of a text, in order; those over STEPS bytes in pieces."""
+    ws = text.split()
+    if max(map(len, ws), default=0) <= STEPS:
+        return ws
+    return [w[i : i + STEPS] for w in ws for i in range(0, len(w), STEPS)]
+
+
+def coded(ws: list[bytes], steps: int) -> np.ndarray:
+    """Codes (steps, words)."""
+    return np.frombuffer(b"".join(w.ljust(steps) for w in ws), np.uint8).reshape(-1, steps).T
+
+
+def word_logs(net: Network, ws: list[bytes]) -> np.ndarray:
+    """Sums of log probabilities over all positions (words, labels)."""
+    found = np.zeros((len(ws), len(net.labels)), np.float32)
+    lengths = np.array([len(w) for w in ws], np.int64)
+    order = np.argsort(lengths, kind="stable")
+    for k in range(0, len(order), BATCH):
+        own = order[k : k + BATCH]
+        steps = int(lengths[own[-1]])
+        mask = (np.arange(steps)[:, None] < lengths[own][None, :]).astype(np.float32)
+        logs = np.log(probabilities(net, np.ascontiguousarray(coded([ws[i] for i in own], steps)), mask) + 1e-9)
+        logs *= mask[:, None, :]
+        found[own] = logs.sum(axis=0).T
+    return found
 
 
 def document_probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
-    """Mean probabilities (documents, labels) over all positions; rows of empty texts are 0."""
+    """Probabilities (documents, labels) pooled over all positions; even for texts without words."""
+    index: dict[bytes, int] = {}
+    place = index.setdefault
+    at, counts, size = [], [], []
+    for t in texts:
+        own = [place(w, len(index)) for w in pieces(t)]
+        size.append(sum(map(len, t.split())))
+        words, n = np.unique(np.array(own, np.int64), return_counts=True)
+        at.append(words)
+        counts.append(n)
     total = np.zeros((len(texts), len(net.labels)))
-    parts = [windowed(t) for t in texts]
-    owner = np.repeat(np.arange(len(texts)), [len(c) for c, _ in parts])
-    if not len(owner):
-        return total
-    codes, held = np.concatenate([c for c, _ in parts]), np.concatenate([k for _, k in parts])
-    for k in range(0, len(codes), BATCH):
-        own, n = np.ascontiguousarray(codes[k : k + BATCH].T), held[k : k + BATCH]
-        prob = probabilities(net, own)
-        if n.min() < STEPS:
-            prob *= (np.arange(STEPS)[:, None] < n[None, :])[:, None, :]
-        summed = prob.sum(axis=0)
+    if index:
+        logs = word_logs(net, list(index))
+        owner = np.repeat(np.arange(len(texts)), [len(a) for a in at])
+        flat, n = np.concatenate(at), np.concatenate(counts)
         for j in range(len(net.labels)):
-            total[:, j] += np.bincount(owner[k : k + BATCH], summed[j], len(texts))
-    return total / np.maximum(1, np.bincount(owner, held, len(texts)))[:, None]
+            total[:, j] = np.bincount(owner, logs[flat, j] * n, len(texts))
+    total = np.exp(total / np.maximum(1, np.array(size))[:, None])
+    return total / total.sum(axis=1, keepdims=True)
 
 
 def in_training(doc_id: Column) -> Column:
@@ -172,7 +196,7 @@ def in_training(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 != 2, F.lit(False))
 
 
-def train(docs: DataFrame, *, max_rows: int = MAX_ROWS, windows: int = 4) -> Network:
+def train(docs: DataFrame, *, max_rows: int = MAX_ROWS, words: int = 24) -> Network:
     """Learn from texts and languages; of each language a hashed sample of about the same share of ``max_rows``."""
     own = docs.filter(in_training(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
     counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(1000).collect()}
@@ -183,26 +207,27 @@ def train(docs: DataFrame, *, max_rows: int = MAX_ROWS, windows: int = 4) -> Net
     picked = own.filter(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < F.element_at(share, F.col("lang")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A few windows, evenly spread, of each picked document."""
+        """A few distinct words, evenly spread, of each picked document."""
         for b in batches:
-            langs, codes, held = [], [], []
+            langs, codes = [], []
             for text, lang in zip(b.column(0), b.column(1)):
-                c, n = windowed(text.as_py().encode("utf-8", "surrogatepass"))
-                for i in sorted({int(x) for x in np.linspace(0, len(c) - 1, windows)}):
+                ws = sorted(set(pieces(text.as_py().encode("utf-8", "surrogatepass"))))
+                for i in sorted({int(x) for x in np.linspace(0, len(ws) - 1, words)} if ws else ()):
                     langs.append(lang.as_py())
-                    codes.append(c[i].tobytes())
-                    held.append(int(n[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(codes, pa.binary()), pa.array(held, pa.int64())], ["lang", "codes", "held"])
+                    codes.append(ws[i])
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(codes, pa.binary())], ["lang", "word"])
 
-    # about windows x max_rows rows of STEPS bytes
-    rows = picked.select("text", "lang").mapInArrow(run, "lang string, codes binary, held long").toPandas().sort_values(["lang", "codes"])
-    codes = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(-1, STEPS).T
-    mask = np.arange(STEPS)[:, None] < rows["held"].to_numpy()[None, :]
-    return learn(codes, mask, np.searchsorted(np.array(labels), rows["lang"].to_numpy().astype(str)), labels)
+    # about words x max_rows rows of STEPS bytes
+    rows = picked.select("text", "lang").mapInArrow(run, "lang string, word binary").toPandas().sort_values(["lang", "word"])
+    if not len(rows):
+        return Network([], [], [], np.zeros((0, 2 * HIDDEN + 1), np.float32))
+    ws = [bytes(w) for w in rows["word"]]
+    mask = np.arange(STEPS)[:, None] < np.array([len(w) for w in ws])[None, :]
+    return learn(coded(ws, STEPS), mask, np.searchsorted(np.array(labels), rows["lang"].to_numpy().astype(str)), labels)
 
 
 def identify(docs: DataFrame, net: Network) -> DataFrame:
-    """doc_id, lang_pred and score (mean probability of that label) of every row."""
+    """doc_id, lang_pred and score (pooled probability of that label) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

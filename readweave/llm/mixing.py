@@ -156,7 +156,8 @@ def mixed_documents(docs: DataFrame, **options: int) -> DataFrame:
     joined = joined.withColumn("_part", F.explode(F.filter("_parts", lambda p: p["copy"] == F.col("_copy"))))
     ws = F.regexp_extract_all(F.col("text"), F.lit(f"({SPACED})"), F.lit(1))
     joined = joined.withColumn("_words", ws)
-    text = F.array_join(F.flatten(F.transform("_part.spans", lambda s: F.slice("_words", (s["start"] + 1).cast("int"), s["n_words"].cast("int")))), " ")
+    # the words are asked for twice, so they stay a column of their own and are not split anew for every span
+    text = F.when(F.size("_words") > 0, F.array_join(F.flatten(F.transform("_part.spans", lambda s: F.slice("_words", (s["start"] + 1).cast("int"), s["n_words"].cast("int")))), " "))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))

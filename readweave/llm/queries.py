@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, mixing, sharding, simhash, toxicity
+from . import decontamination, language, licenses, mixing, personal_data, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,3 +112,37 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_language"] = op7_language
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and statements of every document."""
+    own = F.col("license")
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id",
+        own["n_words"].alias("n_words"),
+        F.size(own["places"]).cast("long").alias("n_base"),
+        F.array_min(own["places"]).cast("long").alias("first_word"),
+        F.array_max(own["places"]).cast("long").alias("last_word"),
+        F.array_join(own["base_labels"], ",").alias("base_labels"),
+        F.array_join(own["labels"], ",").alias("labels"),
+        own["score"].alias("score"),
+    )
+
+
+QUERIES["op5_licenses"] = op5_licenses
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data of every document."""
+    found = personal_data.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in personal_data.BASE]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+QUERIES["op9_personal_data"] = op9_personal_data

@@ -25,13 +25,13 @@ Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 def dealt(keyed: DataFrame, cell: int = CELL) -> DataFrame:
     """Rows of blocks with two members at least, dealt to cells (block, a, b) with the chunk each row is of."""
-    sizes = keyed.groupBy("block").agg(F.count("*").alias("n")).filter("n > 1")
+    sizes = keyed.groupBy("block").agg(F.count("*").alias("members")).filter("members > 1")
     sized = keyed.join(sizes, "block")
-    chunks = F.ceil(F.col("n") / cell).cast("int")
+    chunks = F.ceil(F.col("members") / cell).cast("int")
     sized = sized.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     others = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
     spread = sized.withColumn("other", F.explode(others))
-    return spread.withColumn("a", F.least("chunk", "other")).withColumn("b", F.greatest("chunk", "other")).drop("n", "chunks", "other")
+    return spread.withColumn("a", F.least("chunk", "other")).withColumn("b", F.greatest("chunk", "other")).drop("members", "chunks", "other")
 
 
 def runs(keys: list[np.ndarray]) -> np.ndarray:

@@ -98,7 +98,8 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, kept:
     toxic = labels.filter(in_training(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = toxic.count()
     toxic = toxic.filter(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < int(1e6 * min(1.0, max_rows / max(n, 1))))
-    own = docs.select("doc_id", "text").join(toxic, "doc_id").select("text", F.col("toxic").cast("double").alias("y"))
+    # about max_rows ids: a bounded table, so texts needn't be shuffled to meet it
+    own = docs.select("doc_id", "text").join(F.broadcast(toxic), "doc_id").select("text", F.col("toxic").cast("double").alias("y"))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows with a bucket and documents of either class, summed over each batch."""

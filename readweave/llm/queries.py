@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, language, licenses, mixing, personal_data, sharding, simhash, toxicity
+from . import decontamination, embeddings, language, language_model, licenses, mixing, personal_data, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -154,3 +154,13 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_embeddings"] = op8_embeddings
+
+
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document's text."""
+    scored, n = language_model.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+QUERIES["op2_language_model"] = op2_language_model

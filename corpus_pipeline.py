@@ -1,23 +1,50 @@
-"""From raw documents to mixed training shards, as five stages of the corpus operators."""
+"""From raw documents to mixed training shards, as five stages of the corpus operators.
+
+Each stage takes the documents that its predecessor kept; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readweave.llm import decontamination
+from readweave.llm import decontamination, mixing, sharding, simhash, toxicity
 from readweave.llm.store import cut
 
 #: SQL can't express the trained stage; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the trained machine scores as toxic go."""
+    return toxicity.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest doc_id stays."""
+    return simhash.deduplicate(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     return decontamination.remove_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are brought to their targets: a document has a row for each pass of the mix over it, with the words that it takes."""
+    return mixing.mixed_documents(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the shard and slot they go to; equal texts stay together."""
+    return sharding.shard(docs).select("row.*", "size", "shard", "slot")
+
+
 STAGES = [
-    ("decontamination", decontaminate),
+    ("toxicity", drop_toxic),
+    ("simhash", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("mixing", mix_sources),
+    ("sharding", shard),
 ]
 
 

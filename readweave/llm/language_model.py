@@ -103,7 +103,7 @@ def batches(docs: DataFrame, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
             counts = np.bincount(flat[learnt], minlength=len(order)).astype(np.uint32)
             own = np.array([0 if i is None else i for i in ids], np.int64)
             flags = np.array([t + 2 * (i is None) for i, t in zip(ids, train)], np.uint8)
-            out = _records([("state", name, 0, _pack(flat), _pack(lengths), _pack(own), _pack(flags)), ("words", name, 0, _pack(hashes[order]), _pack(counts))])
+            out = _records([("state", name, len(flat), _pack(flat), _pack(lengths), _pack(own), _pack(flags)), ("words", name, 0, _pack(hashes[order]), _pack(counts))])
             index.clear()
             tokens.clear()
             ids.clear()
@@ -377,8 +377,7 @@ def evaluate(joined: DataFrame, words: Words, pair_discounts: np.ndarray) -> Dat
 def score(docs: DataFrame, batch_tokens: int = BATCH_TOKENS, partition_tokens: int = PARTITION_TOKENS) -> tuple[DataFrame, int]:
     """doc_id, n_tokens, n_known, base_score and score of every row, and the number of training tokens."""
     state = cut(batches(docs, batch_tokens))
-    # sizes of the packed token arrays are in their last bytes, so only those are read for the number of partitions
-    n = state.filter("kind = 'state'").agg(F.sum(F.conv(F.hex(F.reverse(F.substring("a", -8, 8))), 16, 10).cast("long"))).first()[0] or 0
+    n = state.filter("kind = 'state'").agg(F.sum("part")).first()[0] or 0  # a state's part is its number of tokens
     parts = max(4, n // partition_tokens)
     counted = cut(_each(word_requests(state, parts), "part", _count_words))
     words = Words(_statistics(counted))

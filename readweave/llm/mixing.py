@@ -123,14 +123,18 @@ def slots(known: DataFrame, held: DataFrame, cap: float, shard_slots: int, seed:
     quotas = known.join(held.groupBy("source_index").agg(F.sum("n_blocks").alias("n_blocks")), "source_index").filter("n_blocks > 0")
     quota = F.least(F.round(F.col("target") * F.col("n_blocks") / F.col("source_size")), F.floor(cap * F.col("n_blocks"))).cast("long")
     quotas = cut(quotas.select("source_index", "n_blocks", quota.alias("quota")).filter("quota > 0"))
-    shards = max(1, -(-(quotas.agg(F.sum("quota")).first()[0] or 0) // shard_slots))
+    total = quotas.agg(F.sum("quota")).first()[0] or 0
+    shards = max(1, -(-total // shard_slots))
     # a large quota is unrolled in ranges first, so no task unrolls a whole source
     step = 1 << 16
-    ranges = quotas.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1, F.lit(step).cast("long")))).repartition("source_index", "lo")
+    tasks = min(10_000, 1 + total // step)
+    ranges = quotas.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1, F.lit(step).cast("long")))).repartition(tasks, "source_index", "lo")
     each = ranges.withColumn("k", F.explode(F.sequence(F.col("lo"), F.least(F.col("lo") + step, F.col("quota")) - 1)))
     each = each.withColumn("pass", F.floor(F.col("k") / F.col("n_blocks")))
     block = permuted(F.col("k") % F.col("n_blocks"), F.col("n_blocks"), F.col("source_index"), F.col("pass"), seed)
-    return each.select(_uniform(F.lit(shards), F.col("source_index"), F.col("k"), seed, 3).alias("shard"), "source_index", block.alias("block"), "pass")
+    drawn = each.select(_uniform(F.lit(shards), F.col("source_index"), F.col("k"), seed, 3).alias("shard"), "source_index", block.alias("block"), "pass")
+    # a written table has its real size: what it was unrolled from is so small that a join would broadcast it
+    return cut(drawn)
 
 
 def taken(rows: DataFrame, spans: DataFrame, drawn: DataFrame) -> DataFrame:

@@ -77,11 +77,13 @@ QUERIES["op1_mixing"] = op1_mixing
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document, by the law of near equal bytes."""
-    placed = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents")
+    crc = F.crc32(F.coalesce(docs["text"], F.lit("")))
+    placed = sharding.shard(docs, carry=[docs["doc_id"], crc.alias("text_crc32")])
     return placed.select(
         F.col("row.doc_id").alias("doc_id"),
         "size",
-        F.crc32(F.coalesce(F.col("row.text"), F.lit(""))).alias("text_crc32"),
+        F.col("row.text_crc32").alias("text_crc32"),
         F.lit("bytes").alias("law"),
         "shard",
         "slot",

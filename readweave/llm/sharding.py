@@ -65,11 +65,14 @@ def bundle_of(group: Column, grain: int) -> Column:
     return F.pmod(F.xxhash64(group), F.lit(grain)).cast("int")
 
 
-def shard(docs: DataFrame, *, shards: int = SHARDS, grain: int = GRAIN) -> DataFrame:
-    """All rows and columns of ``docs`` in a struct `row`, with size, shard and slot."""
+def shard(docs: DataFrame, *, shards: int = SHARDS, grain: int = GRAIN, carry: list[Column] | None = None) -> DataFrame:
+    """All rows of ``docs``, their columns in a struct `row`, with size, shard and slot.
+
+    carry: what `row` holds instead, if not all columns; texts that aren't carried aren't shuffled.
+    """
     text = docs["text"]
     rows = docs.select(
-        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"),
+        F.struct(*(carry or [docs[f"`{c}`"] for c in docs.columns])).alias("row"),
         size_of(text).alias("size"),
         F.unhex(F.sha2(F.coalesce(F.concat(F.lit("t"), text), F.lit("")), 256)).alias("group"),
         F.xxhash64(docs["doc_id"], text).alias("row_key"),
@@ -78,10 +81,10 @@ def shard(docs: DataFrame, *, shards: int = SHARDS, grain: int = GRAIN) -> DataF
     # both tables have at most `grain` rows
     rows = rows.withColumn("bundle", bundle_of(F.col("group"), grain)).join(F.broadcast(bundles), "bundle", "left").join(F.broadcast(heavies), "group", "left")
     rows = rows.withColumn("shard", F.coalesce("own_shard", "bundle_shard"))
-    return with_slots(rows, docs.columns).select("row", "size", "shard", "slot")
+    return with_slots(rows).select("row", "size", "shard", "slot")
 
 
-def with_slots(rows: DataFrame, columns: list[str]) -> DataFrame:
+def with_slots(rows: DataFrame) -> DataFrame:
     """Column slot: 0, 1, ... inside each shard, from columns row, shard and row_key."""
     n = rows.select(F.count("*")).first()[0]
     buckets = max(1, n // BUCKET_ROWS)

@@ -62,7 +62,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, max_bro
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
-    """Every row of ``docs`` with a struct column ``leak``: n_words, n_hit, items and spans of words (pos, width)."""
+    """Every row of ``docs``: its columns in a struct ``row``, and a struct ``leak`` of n_words, n_hit, items and spans of words (pos, width)."""
     kept = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), count_words(F.col("text")).alias("_n"))
     found = hits(docs, benchmark, **options)
     joined = kept.join(found, kept["_id"].eqNullSafe(found["doc_id"]) & (kept["_key"] == found["text_key"]), "left")
@@ -72,18 +72,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options: int) -> Data
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         F.coalesce("spans", F.array().cast("array<struct<pos:int,width:int>>")).alias("spans"),
     )
-    return joined.select("row.*", leak.alias("leak"))
+    return joined.select("row", leak.alias("leak"))
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
     """The rows without any hit, columns as they came."""
-    return decontaminate(docs, benchmark, **options).filter("leak.n_hit = 0").drop("leak")
+    return decontaminate(docs, benchmark, **options).filter("leak.n_hit = 0").select("row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
     """All rows; the words of hit spans are cut out of their texts, with what divides them."""
     marked = decontaminate(docs, benchmark, **options)
-    lowered = F.coalesce(ascii_lower(F.col("text")), F.lit(""))
+    lowered = F.coalesce(ascii_lower(F.col("row.text")), F.lit(""))
     gaps, own = F.split(lowered, WORD, -1), F.regexp_extract_all(lowered, F.lit(f"({WORD})"), F.lit(1))
     lengths = F.zip_with(gaps, own, lambda g, w: F.struct(F.length(g).alias("gap"), F.coalesce(F.length(w), F.lit(0)).alias("word")))
     at = F.aggregate(
@@ -93,10 +93,10 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataF
             (acc["char"] + x["gap"] + x["word"]).alias("char"),
             (acc["i"] + 1).alias("i"),
             F.when(F.exists("leak.spans", lambda s: (s["pos"] <= acc["i"]) & (acc["i"] < s["pos"] + s["width"])), acc["out"])
-            .otherwise(F.concat(acc["out"], F.expr("text").substr(acc["char"], x["gap"] + x["word"])))
+            .otherwise(F.concat(acc["out"], F.col("row.text").substr(acc["char"], x["gap"] + x["word"])))
             .alias("out"),
         ),
         lambda acc: acc["out"],
     )
-    cleaned = F.when(F.col("leak.n_hit") > 0, at).otherwise(F.col("text"))
-    return marked.withColumn("text", cleaned).drop("leak")
+    cleaned = F.when(F.col("leak.n_hit") > 0, at).otherwise(F.col("row.text"))
+    return marked.select(*[cleaned.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -85,7 +85,7 @@ def _with_phrase(text: Column, phrases: dict[str, str]) -> Column:
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: tuple[tuple[str, str], ...] = TEMPLATES, **options: float) -> DataFrame:
-    """Every row of ``docs`` with a struct column ``license``: n_words, places by phrase, spans, labels and score."""
+    """Every row of ``docs``: its columns in a struct ``row``, and a struct ``license`` of n_words, places, spans, labels and score."""
     kept = docs.select(
         F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"),
         docs["doc_id"].alias("_id"),
@@ -108,4 +108,4 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: tuple[tu
         F.array_sort(F.array_distinct(F.concat(base_labels, F.transform(own, lambda s: s["label"])))).alias("labels"),
         F.greatest(F.when(F.size(base_labels) > 0, 1.0).otherwise(0.0), F.coalesce(F.array_max(F.transform(own, lambda s: s["share"])), F.lit(0.0))).alias("score"),
     )
-    return joined.select("row.*", license_.alias("license"))
+    return joined.select("row", license_.alias("license"))

@@ -190,7 +190,7 @@ PATTERN = ("kind", "form", "known", "announced", "size", "digits")
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs`` (all columns but text, which a caller can keep under another name) with ``spans``:
+    """Every row of ``docs``: its columns but text in a struct ``row`` (a caller can keep the text under another name), and ``spans``:
     an array of (rank, start, end, kind, base, probability), by kind as listed and start."""
     own = [c for c in docs.columns if c != "text"]
     held = cut(docs.select(F.struct(*[docs[f"`{c}`"] for c in own]).alias("row"), candidates(docs["text"]).alias("found")))
@@ -208,4 +208,4 @@ def find(docs: DataFrame) -> DataFrame:
         met = F.exists(F.filter("scored", lambda b: b["base"]), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
         return c["base"] | ((c["probability"] >= THRESHOLD) & ~met)
 
-    return cut(spans.select("row.*", F.array_sort(F.filter("scored", stays)).alias("spans")))
+    return cut(spans.select("row", F.array_sort(F.filter("scored", stays)).alias("spans")))

@@ -22,7 +22,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     leak = F.col("leak")
     return found.select(
-        "doc_id",
+        "row.doc_id",
         leak["n_words"].alias("n_words"),
         leak["n_hit"].alias("n_hit"),
         F.size(leak["items"]).cast("long").alias("n_items"),
@@ -120,7 +120,7 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and statements of every document."""
     own = F.col("license")
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
-        "doc_id",
+        "row.doc_id",
         own["n_words"].alias("n_words"),
         F.size(own["places"]).cast("long").alias("n_base"),
         F.array_min(own["places"]).cast("long").alias("first_word"),
@@ -144,7 +144,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(k) for k in personal_data.BASE]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("row.doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
 QUERIES["op9_personal_data"] = op9_personal_data

@@ -6,6 +6,7 @@ Each stage takes the documents that its predecessor kept; all but the last retur
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from readweave.llm import decontamination, mixing, sharding, simhash, toxicity
 from readweave.llm.store import cut
@@ -35,8 +36,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the shard and slot they go to; equal texts stay together."""
-    return sharding.shard(docs).select("row.*", "size", "shard", "slot")
+    """Documents with the shard and slot they go to; equal texts stay together.
+
+    Columns of the documents that are called as ours get the prefix ``document_``.
+    """
+    made = ["size", "shard", "slot"]
+    own = [F.col("row")[c].alias(f"document_{c}" if c in made else c) for c in docs.columns]
+    return sharding.shard(docs).select(*own, *made)
 
 
 STAGES = [

@@ -53,6 +53,11 @@ def write(path, rows: list[tuple]) -> str:
     return str(path)
 
 
+@pytest.fixture(scope="session")
+def benchmark_items():
+    return BENCHMARK
+
+
 @pytest.fixture(scope="session")
 def rows():
     return documents()

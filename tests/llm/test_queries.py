@@ -100,11 +100,9 @@ def test_sharding(spark, small, rows):
     assert max(loads.values()) - min(loads.values()) <= largest
 
 
-def test_decontamination(spark, small, rows):
-    from conftest import BENCHMARK
-
+def test_decontamination(spark, small, rows, benchmark_items):
     items = {}
-    for i, t in BENCHMARK:
+    for i, t in benchmark_items:
         ws = WORD.findall(lowered(t))
         w = min(10, len(ws))
         if ws:

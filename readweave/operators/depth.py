@@ -92,7 +92,6 @@ def bh_adjust(tests: DataFrame, p: str, key: str) -> DataFrame:
     return tests.join(padj, F.col(p) == F.col("_p"), "left").select(key, p, "padj")
 
 
-@F.pandas_udf("double")
 def _chi_square_p(x: pd.Series) -> pd.Series:
     """Upper tail of a chi-square variable with one degree of freedom."""
     return x.map(lambda v: None if v is None or v != v else math.erfc(math.sqrt(max(v, 0) / 2)))
@@ -106,7 +105,7 @@ def error_rate_test(depth: DataFrame, a: str, b: str, least: int) -> DataFrame:
     det = F.greatest(F.abs(F.col("d0") * F.col("e1") - F.col("d1") * F.col("e0")) - F.least(n / 2, F.abs(F.col("d0") * F.col("e1") - F.col("d1") * F.col("e0"))), F.lit(0.0))
     sides = (F.col("d0") + F.col("e0")) * (F.col("d1") + F.col("e1")) * (F.col("d0") + F.col("d1")) * (F.col("e0") + F.col("e1"))
     stat = F.when(sides > 0, n * det * det / sides)
-    return both.select("pos", stat.alias("statistic"), _chi_square_p(stat).alias("p_value"))
+    return both.select("pos", stat.alias("statistic"), F.pandas_udf(_chi_square_p, "double")(stat).alias("p_value"))
 
 
 def sample_correlation(depth: DataFrame, lo: int, hi: int) -> DataFrame:

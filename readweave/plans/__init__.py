@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("structure", "clusters")
+MODULES: tuple[str, ...] = ("structure", "clusters", "quality", "counts")
 
 
 def load() -> None:

@@ -110,7 +110,7 @@ def find_orfs(rows: DataFrame, key: str) -> DataFrame:
     # codons up to a stop in frame; the rest is cut before translation
     reading = F.regexp_extract(F.substring(F.col("seq"), F.col("pos"), F.length("seq")), "^(?:(?!TAA|TAG|TGA)[ACGTN]{3})*+(TAA|TAG|TGA)?", 0)
     protein = at.select(key, "pos", translate_codons(reading).alias("p"))
-    return protein.select(key, "pos", F.rtrim(F.lit("*"), F.col("p")).alias("protein"), F.length(F.rtrim(F.lit("*"), F.col("p"))).alias("length"), F.col("p").endswith("*").alias("stopped"))
+    return protein.select(key, "pos", F.rtrim(F.col("p"), F.lit("*")).alias("protein"), F.length(F.rtrim(F.col("p"), F.lit("*"))).alias("length"), F.col("p").endswith("*").alias("stopped"))
 
 
 def identity(a: Column, b: Column) -> Column:
@@ -166,7 +166,7 @@ def nw_cost(pairs: DataFrame, a: str, b: str, out: str = "cost") -> DataFrame:
 
 def parse_attributes(text: Column) -> Column:
     """Map of the attributes ``k=v;`` or ``k "v";``."""
-    parts = F.filter(F.transform(F.split(text, ";"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, ";"), lambda x: F.trim(x)), lambda x: x != "")
     pairs = F.transform(parts, lambda x: F.struct(F.regexp_extract(x, "^([^= ]+)[= ]", 1).alias("k"), F.regexp_replace(F.regexp_extract(x, "^[^= ]+[= ](.*)$", 1), '"', "").alias("v")))
     return F.map_from_entries(F.filter(pairs, lambda p: p["k"] != ""))
 

@@ -61,9 +61,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, max_bro
     return per_doc.withColumn("items", F.array_sort(F.array_distinct(F.flatten("items"))))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
-    """Every row of ``docs``: its columns in a struct ``row``, and a struct ``leak`` of n_words, n_hit, items and spans of words (pos, width)."""
-    kept = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), count_words(F.col("text")).alias("_n"))
+def decontaminate(docs: DataFrame, benchmark: DataFrame, carry: list[Column] | None = None, **options: int) -> DataFrame:
+    """Every row of ``docs``: its columns (or those of ``carry``) in a struct ``row``, and a struct ``leak`` of n_words, n_hit, items and spans of words (pos, width)."""
+    kept = docs.select(F.struct(*(carry or [docs[f"`{c}`"] for c in docs.columns])).alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), count_words(F.col("text")).alias("_n"))
     found = hits(docs, benchmark, **options)
     joined = kept.join(found, kept["_id"].eqNullSafe(found["doc_id"]) & (kept["_key"] == found["text_key"]), "left")
     leak = F.struct(

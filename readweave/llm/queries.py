@@ -19,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that stand in an occurrence of a benchmark window."""
-    found = decontamination.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    docs = table(spark, sf_dir, "documents")
+    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=[docs["doc_id"]])
     leak = F.col("leak")
     return found.select(
         "row.doc_id",

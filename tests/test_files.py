@@ -127,3 +127,20 @@ def test_names(spark):
     assert [r[0] for r in df.select(sq.normalise_chrom(F.col("name"))).collect()] == ["chr1", "chr2", "NC_1"]
     assert [r[0] for r in df.select(sq.phred(F.lit("!I")).alias("q")).limit(1).collect()] == [[0, 40]]
     assert sq.kmer_offset_sets(2) == [[0], [0, 1], [-1, 0]]
+
+
+def test_more_readers_and_writers(spark, tmp_path):
+    (tmp_path / "cellA").mkdir()
+    f = put(tmp_path / "cellA/f.tsv", "# made by x\nGeneid\tChr\tStart\tEnd\tStrand\tLength\ta.bam\ng\tc\t1\t9\t+\t9\t4\n")
+    assert rows(src.scan_feature_counts(spark, f)) == [("g", "cellA", "a.bam", 4)]
+    tagged = [put(tmp_path / f"{n}.csv", f"x\n{n}1\n") for n in ("p", "q")]
+    assert rows(src.scan_tagged_csvs(spark, tagged)) == [("p1", "p"), ("q1", "q")]
+    cells = spark.createDataFrame([(1, 5, 2), (1, 6, 3)], "left int, right int, n long")
+    out.sink_breakpoints(cells, str(tmp_path / "bp"))
+    assert rows(spark.read.parquet(str(tmp_path / "bp")).filter("level = 1").select("left", "n")) == [(1, 5)]
+    members = spark.createDataFrame([("k", "r2", "C"), ("k", "r1", "A"), ("l", "r3", "G")], "cluster string, read_id string, seq string")
+    out.sink_cluster_sequences(members, str(tmp_path / "cs"), 1)
+    assert rows(src.scan_fasta(spark, str(tmp_path / "cs"))) == [("r1", "", "A"), ("r3", "", "G")]
+    iso = spark.createDataFrame([("k", "k.t0", 9), ("k", "k.t1", 1), ("l", "l.t0", 2)], "key string, id string, n long")
+    out.sink_isoform_store(iso, str(tmp_path / "iso"), "a", ["key"], 5)
+    assert rows(spark.read.parquet(str(tmp_path / "iso")).select("id")) == [("k.t0",), ("k.t1",)]

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readweave.llm import decontamination, mixing, sharding, simhash, toxicity
+from readweave.llm import decontamination, mixing, resemblance, sharding, toxicity
 from readweave.llm.store import cut
 
 #: SQL can't express the trained stage; tests hold run() against a brute-force version.
@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    return simhash.deduplicate(docs)
+    """Of each group of near-duplicates (five-word shingles, a similarity of 0.8 or more) the document with the smallest doc_id stays."""
+    return resemblance.deduplicate(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

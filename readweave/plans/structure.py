@@ -42,11 +42,36 @@ def cigar_ops(spark, sf_dir):
 
 @query("running_offsets", _OPS + "SELECT read_id, max(ref_at + CASE WHEN op IN ('M','=','X','D','N') THEN length ELSE 0 END) - 1 AS last_ref, max(read_at + CASE WHEN op IN ('M','=','X','I','S') THEN length ELSE 0 END) - 1 AS read_length FROM o GROUP BY read_id")
 def running_offsets(spark, sf_dir):
-    ops = st.cigar_ops(_cigars(spark, sf_dir))
+    return _offsets(st.cigar_ops(_cigars(spark, sf_dir)))
+
+
+def _offsets(ops: DataFrame) -> DataFrame:
     used = lambda kinds: F.when(F.col("op").isin(*kinds), F.col("length")).otherwise(0)
     return ops.groupBy("read_id").agg((F.max(F.col("ref_at") + used(st.ON_REFERENCE)) - 1).alias("last_ref"), (F.max(F.col("read_at") + used(st.ON_READ)) - 1).alias("read_length"))
 
 
+#: All rows; a read's id is its own keys and a number among the rows that share them.
+_WHOLE_ID = "concat(l_orderkey, '.', l_linenumber, '.', row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity))"
+_WHOLE_OPS = _OPS.replace(_OPS[_OPS.index("row_number()") : _OPS.index(" AS read_id")], _WHOLE_ID).replace(" WHERE l_orderkey % 10 = 0", "")
+
+
+def _whole_cigars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.table(spark, sf_dir, "lineitem").select(F.expr(_WHOLE_ID).alias("read_id"), F.col("l_linenumber").alias("pos"), F.expr(_CIGAR).alias("cigar"))
+
+
+@query("cigar_ops_whole", _WHOLE_OPS + "SELECT * FROM o")
+def cigar_ops_whole(spark, sf_dir):
+    return st.cigar_ops(_whole_cigars(spark, sf_dir))
+
+
+_USED = "SELECT read_id, max(ref_at + CASE WHEN op IN ('M','=','X','D','N') THEN length ELSE 0 END) - 1 AS last_ref, max(read_at + CASE WHEN op IN ('M','=','X','I','S') THEN length ELSE 0 END) - 1 AS read_length FROM o GROUP BY read_id"
+
+
+@query("running_offsets_whole", _WHOLE_OPS + _USED)
+def running_offsets_whole(spark, sf_dir):
+    return _offsets(st.cigar_ops(_whole_cigars(spark, sf_dir)))
+
+
 @query("gap_islands", sql("b e0 e1", "SELECT read_id, blk, pk, st, en, exon FROM e1"))
 def gap_islands(spark, sf_dir):
     return st.gap_islands(blocks(spark, sf_dir), GAP).select("read_id", "blk", "pk", "st", "en", "exon")

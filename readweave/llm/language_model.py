@@ -1,28 +1,34 @@
 """Katz backoff language model over words: Good-Turing discounted counts with exactly normalised backoff weights.
 
-Tokens are the words of a text (A-Z lower-cased, divided by ASCII white space) and one end. The model is of order two:
-P(w | h) = d(c) c(h, w) / c(h) for a pair that was seen, alpha(h) P(w) for others, and P(w) = d(c) c(w) / N with what the
-discounts leave for words never seen, which are one type. alpha(h) makes the probabilities after h, over all types and
-the unseen one, sum to 1: (1 - sum of seen pairs' probabilities) / (1 - sum of P(w) over the same words).
-
-How it runs. Documents are read once, in batches of about ``BATCH_TOKENS`` tokens; a batch keeps its tokens as numbers of
-its own word list. Counts live in tables that are partitioned by ranges of a hash: words by themselves, pairs by their
-history. A batch sends the distinct words, later the distinct pairs, that it holds to the partitions that count them,
-with its training counts, and gets the total counts back; each token is then evaluated where its batch is, recursively:
-pair, else history's weight and word, else unseen type. So a word or pair costs one entry a batch, however often it
-stands there. Histories that make up over 1/``HOT`` of all tokens are spread by their next word over ``SPREAD``
-partitions, so no partition holds a frequent word's pairs alone.
-
-Words are told apart by XXH64; two of n words collide with a probability of about n^2 / 2^65 (under 1 in 3,000 for 100
-million words).
+Tokens are the words of a text (A-Z lower-cased, divided by ASCII white space) and one end. For n = 2 .. ``order``
+
+    P(w | h) = d(c) c(h, w) / c(h) for an n-gram that was seen, alpha(h) P(w | shorter h) for others,
+
+and P(w) = d(c) c(w) / N with what the discounts leave for words never seen, which are one type. alpha(h) makes the
+probabilities after h, over all types and the unseen one, sum to 1: (1 - the seen n-grams' probabilities) / (1 - the same
+words' probabilities after the shorter h). A text begins after order - 1 starts.
+
+How it runs. Documents are read once, in batches of about ``batch_tokens`` tokens, cut in segments, so neither a long text
+nor many short ones are held whole. Words get numbers by falling count (a grouping and a ranged sort), so a word's count
+follows from its number and a table of at most sqrt(2 N) steps. For each level a batch asks once for every history it
+holds: a row of the history's distinct next words with their training counts here. Rows are partitioned by history, where
+counts of all batches are summed; a row of totals goes back for each row that asked. A history of more than ``split``
+tokens is divided by its next words over as many groups as that needs, and the groups' sums are added by a grouping of
+their own, so no task holds a frequent history. Rows are as many as the distinct pairs of batch and history: they grow
+with the tokens, not faster. Each token is then evaluated in its batch by recursion over the levels.
+
+Words are told apart by XXH64, histories of two words and more by a 64-bit mix of their numbers; two of n collide with a
+probability of about n^2 / 2^65 (under 1 in 3,000 for 100 million).
 
 Defined results: a null text is empty and has one token, the end; identical rows score the same; a null doc_id is not in
-training; with nothing to learn from, every token is unseen; an empty table gives an empty table.
+training; doc_id may be of any type; with nothing to learn from, every token is unseen; a text of any length is read
+whole, segment after segment; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,46 +36,30 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut
+from .blocks import runs, sorted_cells
+from .mixing import numbered
+from .store import cut, drop
 
-BATCH_TOKENS = 2_000_000
-#: Tokens for each partition of the count tables.
-PARTITION_TOKENS = 1_000_000
+ORDER = 2
+BATCH_TOKENS = 400_000
+#: Tokens of a segment: what a row holds at most.
+SEGMENT = 2048
+#: Tokens of a history that one group of rows takes.
+SPLIT = 1 << 22
 #: Good-Turing discounts apply to counts up to this one.
 DISCOUNTED = 5
-HOT = 64
-SPREAD = 16
-
-RECORD = "kind string, batch string, part int, a binary, b binary, c binary, d binary"
-NAMES = ["kind", "batch", "part", "a", "b", "c", "d"]
-
-
-def _pack(x: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True) + len(x).to_bytes(8, "little")
-
-
-def _unpack(b: bytes, kind: type) -> np.ndarray:
-    n = int.from_bytes(b[-8:], "little")
-    return np.frombuffer(pa.decompress(b[:-8], n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
-
-
-def _records(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*[r + (None,) * (7 - len(r)) for r in rows])) if rows else [()] * 7
-    types = [pa.string(), pa.string(), pa.int32()] + [pa.binary()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], NAMES)
+#: Number of the start, and of all words that aren't in training.
+START, UNSEEN = -1, 0
+#: A text is lower-cased and divided in pieces of so many bytes.
+PIECE = 1 << 22
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit numbers."""
-    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x = x.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(32)
-    return x * np.uint64(0xD6E8FEB86659FD93)
-
-
-def _slices(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """Bounds of the parts' slices of sorted hashes: the parts are equal ranges of all hashes."""
-    edges = (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(np.uint64)
-    return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
+    x = x * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
 
 
 def in_training(doc_id: Column) -> Column:
@@ -77,312 +67,396 @@ def in_training(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 7 != 2, F.lit(False))
 
 
-def batches(docs: DataFrame, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
-    """Records `state` (tokens, lengths, ids, training flags) and `words` (sorted hashes, training counts) of all batches."""
+def _words(text: str | None) -> Iterator[list[bytes]]:
+    """Lower-cased words of a text and its end (no word is empty), some at a time."""
+    whole = (text or "").encode("utf-8", "surrogatepass")
+    at = 0
+    while at + PIECE < len(whole):
+        # a piece ends where white space begins
+        stop = re.compile(rb"[\x20\x09-\x0D]").search(whole, at + PIECE)
+        if stop is None:
+            break
+        yield whole[at : stop.start()].lower().split()
+        at = stop.start()
+    yield [*whole[at:].lower().split(), b""]
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
 
-        n_batch = 0
-        index: dict[bytes, int] = {}
-        tokens: list[np.ndarray] = []
-        ids: list[int | None] = []
-        train: list[bool] = []
-
-        def flush() -> pa.RecordBatch:
-            nonlocal n_batch
-            name = f"{TaskContext.get().partitionId()}-{n_batch}"
-            n_batch += 1
-            hashes = np.array([xxhash.xxh64_intdigest(w) for w in index], np.uint64)
-            order = np.argsort(hashes)
-            number = np.empty(len(order), np.uint32)
-            number[order] = np.arange(len(order), dtype=np.uint32)
-            lengths = np.array([len(t) for t in tokens], np.uint32)
-            flat = number[np.concatenate(tokens)]
-            learnt = np.repeat(np.array(train, bool), lengths)
-            counts = np.bincount(flat[learnt], minlength=len(order)).astype(np.uint32)
-            own = np.array([0 if i is None else i for i in ids], np.int64)
-            flags = np.array([t + 2 * (i is None) for i, t in zip(ids, train)], np.uint8)
-            out = _records([("state", name, len(flat), _pack(flat), _pack(lengths), _pack(own), _pack(flags)), ("words", name, 0, _pack(hashes[order]), _pack(counts))])
-            index.clear()
-            tokens.clear()
-            ids.clear()
-            train.clear()
-            return out
-
-        held = 0
-        for b in it:
-            for doc_id, learn, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                ws = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-                ws.append(b"")  # the end; no word is empty
-                place = index.setdefault
-                tokens.append(np.array([place(w, len(index)) for w in ws], np.int64))
-                ids.append(doc_id)
-                train.append(learn)
-                held += len(ws)
-                if held >= batch_tokens:
-                    yield flush()
-                    held = 0
-        if tokens:
-            yield flush()
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), in_training(F.col("doc_id")).alias("learn"), "text").mapInArrow(run, RECORD)
-
-
-def _each(records: DataFrame, key: str, f: Callable[[str | int, list[dict]], list[tuple]]) -> DataFrame:
-    """f for all records of each key, which meet in one task; f gives records."""
+def segments(docs: DataFrame, order: int, batch_tokens: int) -> DataFrame:
+    """Two kinds of rows. Segments: batch, seg, doc_batch and doc_i (the document), doc_id, learn, lead, tokens (numbers in
+    the batch's word list; the first ``lead`` are what stands before the segment). Words: batch, word, hash, n (in training)."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"batch long, seg int, doc_batch long, doc_i int, doc_id {id_type}, learn boolean, lead int, tokens array<int>, word int, hash long, n long"
+    names = ["batch", "seg", "doc_batch", "doc_i", "doc_id", "learn", "lead", "tokens", "word", "hash", "n"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        for b in it:
-            for r in b.to_pylist():
-                if held and held[0][key] != r[key]:
-                    yield _records(f(held[0][key], held))
-                    held = []
-                held.append(r)
-        if held:
-            yield _records(f(held[0][key], held))
-
-    return records.repartition(key).sortWithinPartitions(key, "kind", "batch", "part").mapInArrow(run, RECORD)
-
+        import xxhash
 
-def word_requests(state: DataFrame, parts: int) -> DataFrame:
-    """Slices of the batches' word lists, for the partitions that count them."""
+        batch = TaskContext.get().partitionId() << 32
+        index: dict[bytes, int] = {}
+        rows: list[tuple] = []  # doc_batch, doc_i, learn, lead, tokens
+        ids: list[pa.Array] = []
+        held = n_docs = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            n, lists = len(rows), [r[4] for r in rows]
+            ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+            flat = np.concatenate(lists)
+            learnt = np.concatenate([np.repeat([False, r[2]], [r[3], len(r[4]) - r[3]]) for r in rows])
+            counts = np.bincount(flat[learnt], minlength=len(index))
+            tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))
+            own = [np.full(n, batch), np.arange(n, dtype=np.int32), np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int32)]
+            none = [pa.nulls(n, t) for t in (pa.int32(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, own), pa.concat_arrays(ids), pa.array([r[2] for r in rows]), pa.array([r[3] for r in rows], pa.int32()), tokens, *none], names)
+            v = len(index)
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in index), np.uint64, v).view(np.int64)
+            none = [pa.nulls(v, t) for t in (pa.int32(), pa.int64(), pa.int32(), ids[0].type, pa.bool_(), pa.int32(), tokens.type)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(v, batch)), *none, pa.array(np.arange(v, dtype=np.int32)), pa.array(hashes), pa.array(counts)], names)
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for r in b.to_pylist():
-                hashes, counts = _unpack(r["a"], np.uint64), _unpack(r["b"], np.uint32)
-                at = _slices(hashes, parts)
-                yield _records([("ask", r["batch"], p, _pack(hashes[lo:hi]), _pack(counts[lo:hi])) for p, (lo, hi) in enumerate(zip(at, at[1:])) if hi > lo])
-
-    return state.filter("kind = 'words'").mapInArrow(run, RECORD)
-
-
-def _count_words(part: int, asks: list[dict]) -> list[tuple]:
-    """The partition's table and statistics, and the total counts for each batch that asked."""
-    hashes = [_unpack(r["a"], np.uint64) for r in asks]
-    words, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-    totals = np.bincount(inverse, np.concatenate([_unpack(r["b"], np.uint32) for r in asks]), len(words)).astype(np.uint64)
-    out = [("table", None, part, _pack(words), _pack(totals)), ("stat", None, part, _pack(_count_counts(totals)))]
-    ends = np.cumsum([len(h) for h in hashes])
-    return out + [("word_count", r["batch"], part, _pack(totals[inverse[e - len(h) : e]])) for r, h, e in zip(asks, hashes, ends)]
-
-
-def _count_counts(counts: np.ndarray) -> np.ndarray:
-    """Numbers of types with counts 1 .. DISCOUNTED + 1, of all seen types, and the sum of counts."""
-    n = np.bincount(np.minimum(counts, DISCOUNTED + 2).astype(np.int64), minlength=DISCOUNTED + 3)
-    return np.array([*n[1 : DISCOUNTED + 2], (counts > 0).sum(), counts.sum()], np.float64)
-
-
-def _statistics(records: DataFrame) -> np.ndarray:
-    """Sum of the partitions' statistics; each is a few numbers."""
-    total = np.zeros(DISCOUNTED + 3)
-    for r in records.filter("kind = 'stat'").select("a").toLocalIterator():
-        total += _unpack(bytes(r["a"]), np.float64)
-    return total
-
-
-def discounts(stat: np.ndarray) -> np.ndarray:
-    """d(c) for c = 0 .. DISCOUNTED + 1 (the last for all larger counts), Katz's form of Good-Turing.
-
-    Where the numbers of types don't allow it (none of some count, or a discount outside 0 to 1), half a count is taken
-    off instead.
-    """
-    d = np.ones(DISCOUNTED + 2)
-    r, n, k = np.arange(1, DISCOUNTED + 1), stat[: DISCOUNTED + 1], DISCOUNTED
-    if n.min() > 0:
-        left = (k + 1) * n[k] / n[0]
-        d[1 : k + 1] = ((r + 1) * n[1:] / n[:-1] / r - left) / (1 - left) if left < 1 else 0
-    if not ((d[1 : k + 1] > 0) & (d[1 : k + 1] < 1)).all():
-        d[1 : k + 1] = 1 - 0.5 / r
-    return d
+            for i in range(b.num_rows):
+                doc_id, learn = b.column(0).slice(i, 1), b.column(1)[i].as_py()
+                doc, before, lead = (batch, n_docs), [], 0
+                n_docs += 1
+                for ws in _words(b.column(2)[i].as_py()):
+                    for k in range(0, len(ws), SEGMENT):
+                        part = ws[k : k + SEGMENT]
+                        place = index.setdefault
+                        rows.append((*doc, learn, lead, np.array([place(w, len(index)) for w in (*before, *part)], np.int64)))
+                        ids.append(doc_id)
+                        before = [*before, *part][-(order - 1) :] if order > 1 else []
+                        lead = len(before)
+                        held += len(part)
+                        if held >= batch_tokens:
+                            yield from flush()
+                            index.clear(), rows.clear(), ids.clear()
+                            batch, held, n_docs = batch + 1, 0, 0
+        if rows:
+            yield from flush()
+
+    return docs.select("doc_id", in_training(F.col("doc_id")).alias("learn"), "text").mapInArrow(run, schema)
 
 
 class Words:
-    """P(w) by training count, and the base's terms."""
-
-    def __init__(self, stat: np.ndarray) -> None:
-        self.d, self.total, self.types = discounts(stat), stat[-1], stat[-2]
-        small = stat[: DISCOUNTED] * np.arange(1, DISCOUNTED + 1)
+    """Counts by number, P(w), and the base's terms. ``counts``: distinct counts, falling; ``ends``: the last number of each."""
+
+    def __init__(self, counts: np.ndarray, types: np.ndarray, texts: int) -> None:
+        self.counts, self.ends, self.texts = counts, np.cumsum(types), texts
+        self.total, self.types = int((counts * types).sum()), int(types.sum())
+        stat = np.array([types[counts == r].sum() for r in range(1, DISCOUNTED + 2)], float)
+        self.d = discounts(stat)
+        small = stat[:DISCOUNTED] * np.arange(1, DISCOUNTED + 1)
         # what the discounts take is the unseen type's; with nothing to learn it has everything
         self.unseen = float((small * (1 - self.d[1:-1])).sum() / self.total) if self.total else 1.0
         if self.total and not self.unseen:  # no count is small enough for a discount: half a count is the unseen type's
             self.unseen = 0.5 / (self.total + 0.5)
             self.d = self.d * self.total / (self.total + 0.5)
 
-    def p(self, c: np.ndarray) -> np.ndarray:
-        seen = self.d[np.minimum(c, DISCOUNTED + 1).astype(np.int64)] * c / max(self.total, 1)
-        return np.where(c > 0, seen, self.unseen)
-
-
-def _counts_of(records: list[dict], kind: str) -> np.ndarray:
-    return np.concatenate([_unpack(r["a"], np.uint64) for r in sorted((r for r in records if r["kind"] == kind), key=lambda r: r["part"])])
-
-
-class Pairs:
-    """The distinct pairs of a batch, ordered by the hash of their (spread) history: history and word numbers, training
-    counts, and the pair of each token. The history of a first token is a start, numbered after the words."""
-
-    def __init__(self, state: dict, hashes: np.ndarray, hot: np.ndarray, inverse: bool) -> None:
-        flat, lengths, flags = _unpack(state["a"], np.uint32).astype(np.int64), _unpack(state["b"], np.uint32), _unpack(state["d"], np.uint8)
-        self.n = len(hashes)
-        first = np.cumsum(lengths, dtype=np.int64) - lengths
-        before = np.empty_like(flat)
-        before[1:] = flat[:-1]
-        before[first] = self.n
-        self.owner = np.repeat(np.arange(len(lengths)), lengths)
-        codes, at = np.unique(before * (self.n + 1) + flat, return_inverse=True)
-        h, w = codes // (self.n + 1), codes % (self.n + 1)
-        learnt = np.repeat((flags & 1).astype(bool), lengths)
-        counts = np.bincount(at[learnt], minlength=len(codes))
-        own = np.append(hashes, np.uint64(1))  # the start
-        salt = np.where(hot[h], hashes[w] >> np.uint64(60), np.uint64(0)) % np.uint64(SPREAD)
-        spread = _mixed(own[h] + _mixed(salt))
-        order = np.argsort(spread, kind="stable")
-        self.history, self.word, self.counts, self.spread = h[order], w[order], counts[order], spread[order]
-        # runs of one spread history: its hash, its history and how many pairs it has here
-        runs = np.append(np.flatnonzero(np.append(True, self.spread[1:] != self.spread[:-1])), len(order))
-        heads, heirs, sizes = self.spread[runs[:-1]], self.history[runs[:-1]], np.diff(runs)
-        # a hot history's sums are asked of all its parts, also those in which this batch has no pair
-        all_hot = np.unique(heirs[hot[heirs]])
-        more = _mixed((own[all_hot][:, None] + _mixed(np.arange(SPREAD, dtype=np.uint64))[None, :]).ravel())
-        new = ~np.isin(more, heads)
-        heads, heirs, sizes = np.append(heads, more[new]), np.append(heirs, np.repeat(all_hot, SPREAD)[new]), np.append(sizes, np.zeros(new.sum(), np.int64))
-        by = np.argsort(heads, kind="stable")
-        self.heads, self.heirs, self.sizes = heads[by], heirs[by], sizes[by]
-        self.flat = flat
-        if inverse:
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            self.of_token = place[at]
-
-
-def _hot(c: np.ndarray, total: float) -> np.ndarray:
-    """Histories to spread; the start, which is last, counts as one."""
-    return np.append(c > total / HOT, True)
-
-
-def pair_requests(joined: DataFrame, words: Words, parts: int) -> DataFrame:
-    """For each batch and partition the batch's pairs: histories and how many pairs each, words, counts."""
-
-    def ask(batch: str, rows: list[dict]) -> list[tuple]:
-        c = _counts_of(rows, "word_count")
-        state, own = (next(r for r in rows if r["kind"] == k) for k in ("state", "words"))
-        hashes = _unpack(own["a"], np.uint64)
-        pairs = Pairs(state, hashes, _hot(c, words.total), inverse=False)
-        heads, ends = pairs.heads, np.append(0, np.cumsum(pairs.sizes))
-        at = _slices(heads, parts)
-        out = []
-        for p, (lo, hi) in enumerate(zip(at, at[1:])):
-            if hi > lo:
-                a, b = ends[lo], ends[hi]
-                # the slice's words with their counts once, then the pairs' places among them
-                ws, place = np.unique(pairs.word[a:b], return_inverse=True)
-                one = _pack(np.concatenate([heads[lo:hi], hashes[ws], c[ws]]))
-                sizes = np.array([hi - lo, len(ws)], np.uint32)
-                out.append(("ask", batch, p, one, _pack(np.concatenate([sizes, pairs.sizes[lo:hi].astype(np.uint32)])), _pack(place.astype(np.uint32)), _pack(pairs.counts[a:b].astype(np.uint32))))
+    def count(self, ids: np.ndarray) -> np.ndarray:
+        """Training counts; of the start, the number of texts."""
+        out = np.where(ids == START, self.texts, 0)
+        seen = ids > 0
+        out[seen] = self.counts[np.searchsorted(self.ends, ids[seen])]
         return out
 
-    return _each(joined, "batch", ask)
-
-
-def _count_pairs(words: Words) -> Callable[[int, list[dict]], list[tuple]]:
-    def count(part: int, asks: list[dict]) -> list[tuple]:
-        """The partition's statistics; for each batch its pairs' totals and its histories' sums."""
-        heads, sizes, ws, cs, ns = [], [], [], [], []
-        for r in asks:
-            one, two = _unpack(r["a"], np.uint64), _unpack(r["b"], np.uint32)
-            n_heads, n_words = int(two[0]), int(two[1])
-            place = _unpack(r["c"], np.uint32)
-            heads.append(one[:n_heads])
-            sizes.append(two[2:])
-            ws.append(one[n_heads : n_heads + n_words][place])
-            cs.append(one[n_heads + n_words :][place])
-            ns.append(_unpack(r["d"], np.uint32))
-        known, of_head = np.unique(np.concatenate(heads), return_inverse=True)
-        of_pair = np.repeat(of_head, np.concatenate(sizes))
-        w, c, n = np.concatenate(ws), np.concatenate(cs), np.concatenate(ns)
-        order = np.lexsort((w, of_pair))
-        new = np.append(True, (of_pair[order][1:] != of_pair[order][:-1]) | (w[order][1:] != w[order][:-1]))
-        group = np.empty(len(order), np.int64)
-        group[order] = np.cumsum(new) - 1
-        first = order[new]
-        totals = np.bincount(group, n, len(first))
-        # sums over each history's seen pairs: how many of each small count, the larger counts' sum, P(w)
-        seen = totals > 0
-        head, total = of_pair[first][seen], totals[seen]
-        sums = np.zeros((len(known), DISCOUNTED + 2))
-        for r in range(1, DISCOUNTED + 1):
-            sums[:, r - 1] = np.bincount(head[total == r], minlength=len(known))
-        sums[:, DISCOUNTED] = np.bincount(head, total * (total > DISCOUNTED), len(known))
-        sums[:, DISCOUNTED + 1] = np.bincount(head, words.p(c[first][seen].astype(np.float64)), len(known))
-        out = [("stat", None, part, _pack(_count_counts(totals)))]
-        pair_end, head_end = np.cumsum([len(x) for x in ns]), np.cumsum([len(x) for x in heads])
-        for r, x, y, e, f in zip(asks, ns, heads, pair_end, head_end):
-            out.append(("pair_count", r["batch"], part, _pack(totals[group[e - len(x) : e]].astype(np.uint64)), _pack(sums[of_head[f - len(y) : f]].ravel())))
-        return out
+    def p(self, ids: np.ndarray) -> np.ndarray:
+        c = self.count(ids)
+        return np.where(ids > 0, self.d[np.minimum(c, DISCOUNTED + 1)] * c / max(self.total, 1), self.unseen)
 
-    return count
 
+def discounts(stat: np.ndarray) -> np.ndarray:
+    """d(c) for c = 0 .. DISCOUNTED + 1 (the last for all larger counts), Katz's form of Good-Turing, from the numbers of
+    types with counts 1 .. DISCOUNTED + 1.
 
-def evaluate(joined: DataFrame, words: Words, pair_discounts: np.ndarray) -> DataFrame:
-    """Scores of every document from its batch's state and counts."""
-    base_total = np.log10(words.total + words.types + 1)
+    A discount outside 0 to 1 is taken from numbers smoothed along a line in log-log scale; where that gives none either,
+    half a count is taken off.
+    """
+    k, r = DISCOUNTED, np.arange(1, DISCOUNTED + 1)
+
+    def katz(n: np.ndarray) -> np.ndarray:
+        with np.errstate(all="ignore"):
+            left = (k + 1) * n[k] / n[0]
+            d = ((r + 1) * n[1:] / n[:-1] / r - left) / (1 - left)
+        return np.where((d > 0) & (d < 1), d, np.nan)
+
+    d = katz(stat)
+    known = stat > 0
+    if np.isnan(d).any() and known.sum() > 1:
+        line = np.polyfit(np.log(np.arange(1, k + 2)[known]), np.log(stat[known]), 1)
+        d = np.where(np.isnan(d), katz(np.exp(np.polyval(line, np.log(np.arange(1, k + 2))))), d)
+    d = np.where(np.isnan(d), 1 - 0.5 / r, d)
+    return np.array([1.0, *d, 1.0])
+
+
+def numbered_words(rows: DataFrame) -> tuple[DataFrame, Words]:
+    """(hash, id) of all words of training, numbered from 1 by falling count, and their counts."""
+    counted = rows.filter("hash IS NOT NULL").groupBy("hash").agg(F.sum("n").alias("c")).filter("c > 0")
+    vocab = cut(numbered(counted, F.struct(-F.col("c"), F.col("hash")), "rank").select("hash", "c", (F.col("rank") + 1).alias("id")))
+    steps = sorted(((r["c"], r["n"]) for r in vocab.groupBy("c").agg(F.count("*").alias("n")).collect()), reverse=True)  # at most sqrt(2 N) rows
+    texts = rows.filter("learn AND lead = 0").select("doc_batch", "doc_i").distinct().count()
+    return vocab, Words(np.array([c for c, _ in steps], np.int64), np.array([n for _, n in steps], np.int64), texts)
+
+
+def with_ids(rows: DataFrame, vocab: DataFrame, whole: str) -> DataFrame:
+    """Segments with the words' numbers for tokens."""
+    found = rows.filter("hash IS NOT NULL").select("batch", "word", "hash").join(vocab.select("hash", "id"), "hash", "left")
+    found = found.select("batch", "word", F.coalesce("id", F.lit(UNSEEN)).cast(whole).alias("id"))
+    parts = rows.filter("hash IS NULL").drop("hash", "n", "word")
+    both = parts.unionByName(found, allowMissingColumns=True)
+    names = parts.columns
+    schema = ", ".join(f"{c} {f'array<{whole}>' if c == 'tokens' else parts.schema[c].dataType.simpleString()}" for c in names)
 
-    def run(batch: str, rows: list[dict]) -> list[tuple]:
-        c = _counts_of(rows, "word_count").astype(np.float64)
-        state, own = (next(r for r in rows if r["kind"] == k) for k in ("state", "words"))
-        pairs = Pairs(state, _unpack(own["a"], np.uint64), _hot(c, words.total), inverse=True)
-        replies = sorted((r for r in rows if r["kind"] == "pair_count"), key=lambda r: r["part"])
-        c_pair = np.concatenate([_unpack(r["a"], np.uint64) for r in replies]).astype(np.float64)
-        sums = np.concatenate([_unpack(r["b"], np.float64) for r in replies]).reshape(-1, DISCOUNTED + 2)
-        # a hot history's sums are those of all its parts
-        total = np.stack([np.bincount(pairs.heirs, sums[:, k], pairs.n + 1) for k in range(DISCOUNTED + 2)], axis=1)
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in sorted_cells(it, ("batch",), 1):
+            bounds = runs([t["batch"].to_numpy()])
+            for lo, hi in zip(bounds, bounds[1:]):
+                own = t.slice(lo, hi - lo)
+                # words come first: seg is null
+                n = own["seg"].null_count
+                ids = np.zeros(n, np.int64)
+                ids[own["word"].slice(0, n).to_numpy()] = own["id"].slice(0, n).to_numpy()
+                segs = own.slice(n).combine_chunks()
+                tokens = segs["tokens"].combine_chunks()
+                flat, sizes = tokens.flatten().to_numpy(), tokens.value_lengths().to_numpy()
+                kind = pa.int32() if whole == "int" else pa.int64()
+                listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(ids[flat]).cast(kind))
+                cols = [listed if c == "tokens" else segs[c].combine_chunks() for c in names]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    return both.repartition("batch").sortWithinPartitions("batch", F.col("seg").asc_nulls_first(), "word").mapInArrow(run, schema)
+
+
+class Batch:
+    """The tokens of a batch's segments, and for each level their distinct n-grams in the order of the rows that ask."""
+
+    def __init__(self, t: pa.Table, words: Words, order: int, split: int) -> None:
+        tokens = t["tokens"].combine_chunks()
+        flat, sizes = tokens.flatten().to_numpy().astype(np.int64), tokens.value_lengths().to_numpy()
+        lead = t["lead"].to_numpy()
+        # every segment gets order - 1 tokens before it: its lead, and starts for what that lacks
+        room = order - 1
+        width = sizes - lead + room
+        ends = np.cumsum(width)
+        full = np.full(int(ends[-1]), START, np.int64)
+        first = np.cumsum(sizes) - sizes
+        inside = np.arange(len(flat)) - np.repeat(first, sizes)
+        full[np.repeat(ends - width + room - lead, sizes) + inside] = flat
+        own = np.arange(len(full)) - np.repeat(ends - width, width) >= room
+        self.full, self.at = full, np.flatnonzero(own)
+        self.owner = np.repeat(np.arange(len(sizes)), sizes - lead)
+        self.learnt = np.repeat(t["learn"].to_numpy(zero_copy_only=False).astype(bool), sizes - lead)
+        self.tokens, self.words, self.split = full[self.at], words, split
+
+    def level(self, n: int) -> None:
+        """The n-grams: ``code`` of each token's, and of the distinct ones head, word, count here and salt."""
+        before = [self.full[self.at - k] for k in range(1, n)]
+        key, least = before[0], self.words.count(before[0])
+        for ids in before[1:]:
+            key = _mixed(key) + ids
+            least = np.minimum(least, self.words.count(ids))
+        known = np.logical_and.reduce([ids != UNSEEN for ids in before])
+        self.known = known  # tokens whose history has no unseen word
+        heads, h = np.unique(key[known], return_inverse=True)
+        ws, w = np.unique(self.tokens[known], return_inverse=True)
+        codes, first, at = np.unique(h * len(ws) + w, return_index=True, return_inverse=True)
+        head, word = codes // max(1, len(ws)), ws[codes % max(1, len(ws))] if len(ws) else codes
+        counts = np.bincount(at[self.learnt[known]], minlength=len(codes)) if len(codes) else codes
+        salts = np.ones(len(heads), np.int64)
+        salts[h] = np.maximum(1, -(-least[known] // self.split))
+        salt = np.where(salts[head] > 1, (_mixed(word) & 0x7FFFFFFFFFFFFFFF) % salts[head], 0)
+        # unseen words stand last, as their totals are known to be 0 and aren't asked for
+        order = np.lexsort((word, salt, head))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.heads, self.salts = heads, salts
+        self.head, self.word, self.count, self.salt = head[order], word[order], counts[order], salt[order]
+        self.gram, self.first = place[at], np.flatnonzero(known)[first[order]]
+
+    def asked(self) -> np.ndarray:
+        return self.word != UNSEEN
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values).cast(kind))
+
+
+def _batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    for t in sorted_cells(it, ("batch",), 1):
+        bounds = runs([t["batch"].to_numpy()])
+        for lo, hi in zip(bounds.tolist(), bounds[1:].tolist()):
+            yield t.slice(lo, hi - lo).combine_chunks()
+
+
+def _by_batch(known: DataFrame, replies: list[DataFrame]) -> DataFrame:
+    """Segments and replies of each batch together; segments have a level of 0."""
+    both = known.withColumn("level", F.lit(0))
+    for r in replies:
+        both = both.unionByName(r, allowMissingColumns=True)
+    if not replies:
+        both = both.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("hkey", "long"), ("salt", "int"), ("totals", "array<int>"), ("sums", "array<double>"))])
+    return both.repartition("batch").sortWithinPartitions("batch", "level", "seg", "hkey", "salt")
+
+
+def _evaluated(t: pa.Table, words: Words, order: int, upto: int, split: int, d: list[np.ndarray]) -> tuple[Batch, np.ndarray]:
+    """A batch and the probability of each of its tokens by the levels up to ``upto``, from the replies it has got."""
+    level = t["level"].to_numpy()
+    b = Batch(t.slice(0, int((level == 0).sum())).combine_chunks(), words, order, split)
+    p = words.p(b.tokens)
+    for n in range(2, upto + 1):
+        b.level(n)
+        lo, hi = np.searchsorted(level, [n, n + 1])
+        own = t.slice(lo, hi - lo)
+        hkey = own["hkey"].to_numpy()
+        # sums of a history: with its row, or, of a divided one, in a row without totals
+        sums = np.zeros((len(b.heads), DISCOUNTED + 2))
+        have = own["sums"].is_valid().to_numpy(zero_copy_only=False)
+        if have.any():
+            listed = own.filter(own["sums"].is_valid())["sums"].combine_chunks()
+            sums[np.searchsorted(b.heads, hkey[have])] = listed.flatten().to_numpy().reshape(-1, DISCOUNTED + 2)
+        rows = own.filter(own["totals"].is_valid())
+        order_of = np.lexsort((rows["salt"].to_numpy(), rows["hkey"].to_numpy()))
+        flat = rows["totals"].combine_chunks().take(pa.array(order_of)).flatten().to_numpy() if len(order_of) else np.zeros(0)
+        total = np.zeros(len(b.word))
+        total[b.asked()] = flat
         r = np.arange(1, DISCOUNTED + 1)
-        c_history = np.append(c, 0.0)
-        # c(start) is the sum of its pairs
-        c_history[-1] = (total[-1, :DISCOUNTED] * r).sum() + total[-1, DISCOUNTED]
-        safe = np.maximum(c_history, 1)
-        left = 1 - ((total[:, :DISCOUNTED] * r * pair_discounts[1:-1]).sum(axis=1) + total[:, DISCOUNTED]) / safe
+        c = (sums[:, :DISCOUNTED] * r).sum(axis=1) + sums[:, DISCOUNTED]
+        safe = np.maximum(c, 1)
+        left = 1 - ((sums[:, :DISCOUNTED] * r * d[n][1:-1]).sum(axis=1) + sums[:, DISCOUNTED]) / safe
         # a history without any small count leaves half a count
-        full = (left < 1e-9) & (c_history > 0)
+        full = (left < 1e-9) & (c > 0)
         scale = np.where(full, safe / (safe + 0.5), 1.0)
         left = np.where(full, 0.5 / (safe + 0.5), left)
-        alpha = np.where(c_history > 0, left / np.maximum(1 - total[:, DISCOUNTED + 1], 1e-12), 1.0)
-        h, w = pairs.history, pairs.word
-        d = pair_discounts[np.minimum(c_pair, DISCOUNTED + 1).astype(np.int64)]
-        p_word = words.p(c)
-        p = np.where(c_pair > 0, scale[h] * d * c_pair / safe[h], alpha[h] * p_word[w])
-        lengths = _unpack(state["b"], np.uint32)
-        n_docs = len(lengths)
-        score = np.bincount(pairs.owner, np.log10(p)[pairs.of_token], n_docs)
-        base = np.bincount(pairs.owner, (np.log10(c + 1) - base_total)[pairs.flat], n_docs)
-        known = np.bincount(pairs.owner, (c > 0)[pairs.flat], n_docs)
-        return [("score", batch, 0, state["c"], state["d"], _pack(np.stack([lengths, known]).astype(np.int64).ravel()), _pack(np.stack([base, score]).ravel()))]
-
-    found = _each(joined, "batch", run)
-
-    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for r in b.to_pylist():
-                flags = _unpack(r["b"], np.uint8)
-                ids = pa.array(_unpack(r["a"], np.int64), mask=(flags & 2) > 0)
-                n, s = _unpack(r["c"], np.int64).reshape(2, -1), _unpack(r["d"], np.float64).reshape(2, -1)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n[0]), pa.array(n[1]), pa.array(s[0]), pa.array(s[1])], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        alpha = np.where(c > 0, left / np.maximum(1 - sums[:, DISCOUNTED + 1], 1e-12), 1.0)
+        h, of = b.head[b.gram], total[b.gram]
+        seen = scale[h] * d[n][np.minimum(of, DISCOUNTED + 1).astype(np.int64)] * of / safe[h]
+        p[b.known] = np.where(of > 0, seen, alpha[h] * p[b.known])
+    return b, p
+
+
+def asks(known: DataFrame, replies: list[DataFrame], n: int, words: Words, order: int, split: int, d: list[np.ndarray], whole: str) -> DataFrame:
+    """For each batch and history (and group, of a divided one) a row of next words with counts here and, above level 2, lower probabilities."""
+    kind = pa.int32() if whole == "int" else pa.int64()
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _batches(it):
+            b, p = _evaluated(t, words, order, n - 1, split, d)
+            b.level(n)
+            if not len(b.heads):
+                continue
+            bounds = runs([b.head, b.salt])
+            start = bounds[:-1]
+            ok = b.asked()
+            sizes = np.add.reduceat(ok.astype(np.int64), start)
+            cols = [
+                pa.array(np.full(len(start), t["batch"][0].as_py())),
+                pa.array(b.heads[b.head[start]]),
+                pa.array(b.salt[start].astype(np.int32)),
+                pa.array(b.salts[b.head[start]].astype(np.int32)),
+                _lists(b.word[ok], sizes, kind),
+                _lists(b.count[ok], sizes, pa.int32()),
+                pa.nulls(len(start), pa.list_(pa.float64())) if n == 2 else _lists(p[b.first][ok], sizes, pa.float64()),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, ["batch", "hkey", "salt", "salts", "words", "counts", "lower"])
+
+    schema = f"batch long, hkey long, salt int, salts int, words array<{whole}>, counts array<int>, lower array<double>"
+    return _by_batch(known, replies).mapInArrow(run, schema)
+
+
+def totals(asked: DataFrame, n: int, words: Words, whole: str) -> DataFrame:
+    """For each row that asked a row of totals, with the history's sums if it isn't divided; for each group of a divided
+    history a row of sums alone (batch null); and statistics of what each task saw (hkey null)."""
+    kind = pa.int32() if whole == "int" else pa.int64()
+    names = ["level", "batch", "hkey", "salt", "salts", "totals", "sums"]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stat = np.zeros(DISCOUNTED + 1)
+        for t in sorted_cells(it, ("hkey", "salt"), 1 << 15):
+            hkey, salt, salts = (t[c].to_numpy() for c in ("hkey", "salt", "salts"))
+            bounds = runs([hkey, salt])
+            group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            listed = t["words"].combine_chunks()
+            sizes = listed.value_lengths().to_numpy()
+            w, c = listed.flatten().to_numpy().astype(np.int64), t["counts"].combine_chunks().flatten().to_numpy()
+            of = np.repeat(group, sizes)
+            by = np.lexsort((w, of))
+            new = np.ones(len(by), bool)
+            new[1:] = (of[by][1:] != of[by][:-1]) | (w[by][1:] != w[by][:-1])
+            pair = np.empty(len(by), np.int64)
+            pair[by] = np.cumsum(new) - 1
+            first = by[new]
+            total = np.bincount(pair, c, len(first))
+            # sums over each group's seen n-grams: how many of each small count, the larger counts' sum, lower probabilities
+            seen = total > 0
+            head, own, k = of[first][seen], total[seen], len(bounds) - 1
+            lower = words.p(w[first][seen]) if n == 2 else t["lower"].combine_chunks().flatten().to_numpy()[first][seen]
+            sums = np.zeros((k, DISCOUNTED + 2))
+            for r in range(1, DISCOUNTED + 1):
+                sums[:, r - 1] = np.bincount(head[own == r], minlength=k)
+            sums[:, DISCOUNTED] = np.bincount(head, own * (own > DISCOUNTED), k)
+            sums[:, DISCOUNTED + 1] = np.bincount(head, lower, k)
+            stat += np.bincount(np.minimum(own, DISCOUNTED + 2).astype(np.int64), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
+            whole_rows = salts == 1
+            rows = len(hkey)
+            listed_sums = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(whole_rows * sums.shape[1])]).astype(np.int32)), pa.array(sums[group[whole_rows]].ravel()), mask=pa.array(~whole_rows))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, n, np.int32)), t["batch"].combine_chunks(), pa.array(hkey), pa.array(salt), pa.array(salts), _lists(total[pair], sizes, kind), listed_sums], names)
+            start = bounds[:-1][salts[bounds[:-1]] > 1]
+            if len(start):
+                m = len(start)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, n, np.int32)), pa.nulls(m, pa.int64()), pa.array(hkey[start]), pa.array(salt[start]), pa.array(salts[start]), pa.nulls(m, pa.list_(kind)), _lists(sums[group[start]].ravel(), np.full(m, sums.shape[1]), pa.float64())], names)
+        none = [pa.nulls(1, x) for x in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(kind))]
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *none, _lists(stat, np.array([len(stat)]), pa.float64())], names)
+
+    ordered = asked.repartition("hkey", "salt").sortWithinPartitions("hkey", "salt")
+    return ordered.mapInArrow(run, f"level int, batch long, hkey long, salt int, salts int, totals array<{whole}>, sums array<double>")
+
+
+def _summed(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """``sums`` added element by element."""
+    return rows.groupBy(*keys).agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(n)]).alias("sums"))
+
+
+def answered(found: DataFrame) -> DataFrame:
+    """The replies for the batches: rows of totals, and for each divided history that a batch asked about its sums."""
+    own = found.filter("batch IS NOT NULL").select("level", "batch", "hkey", "salt", "totals", "sums")
+    divided = _summed(found.filter("batch IS NULL AND hkey IS NOT NULL"), ["level", "hkey"], DISCOUNTED + 2)
+    wanted = found.filter("batch IS NOT NULL AND salts > 1").select("level", "batch", "hkey").distinct()
+    return own.unionByName(wanted.join(divided, ["level", "hkey"]), allowMissingColumns=True)
+
+
+def evaluate(known: DataFrame, replies: list[DataFrame], words: Words, order: int, split: int, d: list[np.ndarray]) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score and score of every document."""
+    id_type = known.schema["doc_id"].dataType.simpleString()
+    base_total = np.log10(words.total + words.types + 1)
+    names = ["doc_batch", "doc_i", "doc_id", "n_tokens", "n_known", "base_score", "score"]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _batches(it):
+            b, p = _evaluated(t, words, order, order, split, d)
+            own = t.slice(0, int((t["level"].to_numpy() == 0).sum()))
+            n, c = own.num_rows, words.count(b.tokens)
+            found = [np.bincount(b.owner, x, n) for x in (np.ones(len(c)), c > 0, np.log10(c + 1) - base_total, np.log10(p))]
+            cols = [own[k].combine_chunks() for k in names[:3]] + [pa.array(x.astype(np.int64)) for x in found[:2]] + [pa.array(x) for x in found[2:]]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
-    return found.mapInArrow(rows, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    parts = _by_batch(known, replies).mapInArrow(run, f"doc_batch long, doc_i int, doc_id {id_type}, n_tokens long, n_known long, base_score double, score double")
+    # a long document's segments may be in several batches
+    return parts.groupBy("doc_batch", "doc_i").agg(F.first("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in names[3:]]).select(*names[2:])
 
 
-def score(docs: DataFrame, batch_tokens: int = BATCH_TOKENS, partition_tokens: int = PARTITION_TOKENS) -> tuple[DataFrame, int]:
+def score(docs: DataFrame, *, order: int = ORDER, batch_tokens: int = BATCH_TOKENS, split: int = SPLIT) -> tuple[DataFrame, int]:
     """doc_id, n_tokens, n_known, base_score and score of every row, and the number of training tokens."""
-    state = cut(batches(docs, batch_tokens))
-    n = state.filter("kind = 'state'").agg(F.sum("part")).first()[0] or 0  # a state's part is its number of tokens
-    parts = max(4, n // partition_tokens)
-    counted = cut(_each(word_requests(state, parts), "part", _count_words))
-    words = Words(_statistics(counted))
-    with_words = state.unionByName(counted.filter("kind = 'word_count'"))
-    paired = cut(_each(pair_requests(with_words, words, parts), "part", _count_pairs(words)))
-    pair_stat = _statistics(paired)
-    joined = with_words.unionByName(paired.filter("kind = 'pair_count'"))
-    return evaluate(joined, words, discounts(pair_stat)), int(words.total)
+    read = cut(segments(docs, order, batch_tokens))
+    vocab, words = numbered_words(read)
+    # numbers and counts need more than 32 bits only where there are so many tokens
+    whole = "int" if words.total < 1 << 31 else "long"
+    known = cut(with_ids(read, vocab, whole))
+    drop(read, vocab)
+    d: list[np.ndarray] = [np.ones(0)] * 2
+    replies: list[DataFrame] = []
+    for n in range(2, order + 1):
+        found = cut(totals(asks(known, replies, n, words, order, split, d, whole), n, words, whole))
+        stat = _summed(found.filter("hkey IS NULL"), ["level"], DISCOUNTED + 1).first()
+        d.append(discounts(np.array(stat["sums"]) if stat else np.zeros(DISCOUNTED + 1)))
+        replies.append(answered(found))
+    scored = cut(evaluate(known, replies, words, order, split, d))
+    drop(known)
+    return scored, words.total

@@ -45,7 +45,7 @@ def numbered(df: DataFrame, order: Column, name: str) -> DataFrame:
 
     Rows are dealt by ranges of the order, counted for each range, and numbered inside their range.
     """
-    ranged = cut(df.repartitionByRange(max(1, min(200, df.sparkSession.sparkContext.defaultParallelism)), order).withColumn("_part", F.spark_partition_id()))
+    ranged = cut(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
     before = counts.withColumn("_first", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     inside = F.row_number().over(W.partitionBy("_part").orderBy(order)) - 1

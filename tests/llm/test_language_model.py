@@ -74,7 +74,7 @@ class Katz:
 def test_against_brute_force(spark, order):
     rows = texts()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    scored, n = lm.score(docs, order=order, batch_tokens=700, split=400)
+    scored, n = lm.score(docs, order=order, batch_tokens=700, split=400, part_tokens=1500)
     model = Katz(rows, order)
     assert n == model.total
     got = sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 7)) for r in scored.collect())

@@ -1,16 +1,22 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms (words of letters, digits and non-ASCII, A-Z lower-cased) are hashed to ``BUCKETS`` buckets. From at most
-``max_rows`` labelled training rows, chosen by a hash of their ids, the buckets that tell the classes apart best are
-kept; a document is the set of kept buckets it holds anywhere in its text. The machine adds a weight for each bucket
-and, through ``RANK`` factors, a weight for each pair of them, so a pair such as an insult and the mention of a group
-can count for more than both alone.
-
-The model has a fixed size (one array of BUCKETS, KEPT x (RANK + 1) weights), whatever the corpus.
-
-Defined results: null and empty texts score like a document without terms; identical rows score the same; labels that
-are null are not learnt from; with no labels, or one class only, every score is the class's smoothed rate; extra
-columns are kept by `reject`.
+Terms are the distinct words of a text (letters, digits and non-ASCII, A-Z lower-cased) and the beginnings of its longer
+words, hashed to ``BUCKETS`` buckets. A document is the set of its buckets. The machine adds a weight for each bucket and,
+through ``RANK`` factors, a weight for each pair of them, so a pair such as an insult and the mention of a group can count
+for more, or for less, than both alone. Every bucket that the sample holds in two documents at least has a weight and
+factors: none is chosen beforehand, so a pair is learnt whose members tell nothing by themselves.
+
+Regularisation instead of a choice: a bucket's value in the additive part is z^2 / (z^2 + EVIDENCE^2), where z compares
+its shares of either class, so weak evidence learns slowly and counts little; its value in pairs is n / (n + SEEN) of its
+n documents, as rare buckets can't show an interaction; weights and factors decay. Rarer labels weigh more.
+
+Learning is by AdaGrad on at most about ``max_rows`` labelled rows, chosen by a hash of their ids (a documented bound), in
+small batches of sparse rows. The model has a fixed size, BUCKETS x (RANK + 1) numbers, whatever the corpus.
+
+Defined results: null and empty texts score like a document without terms; a text of any length is read whole; identical
+rows score the same; doc_id may be of any type; labels that are null are not learnt from, of several labels of one id the
+largest holds, and each row of an id that repeats is learnt; with no labels, or one class only, every score is the
+class's smoothed rate; extra columns are kept by `reject`.
 """
 
 from __future__ import annotations
@@ -25,40 +31,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 18
-KEPT = 512
 RANK = 8
 MAX_ROWS = 20_000
 THRESHOLD = 0.7
 SEED = 7
+#: Words of more bytes than this also count by their first ones.
+BEGINNING = 6
+EVIDENCE, SEEN = 4.0, 200.0
+#: Rows read in training, over all epochs; at most EPOCHS epochs.
+VISITS, EPOCHS, BATCH = 60_000, 15, 64
 
 #: ASCII bytes that are no letter or digit become blanks.
 _BLANKED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
-def terms(text: str | None) -> set[int]:
-    """Buckets of the distinct words of a whole text."""
+def terms(text: str | None) -> np.ndarray:
+    """Sorted buckets of the distinct terms of a whole text."""
     ws = set((text or "").encode("utf-8", "surrogatepass").lower().translate(_BLANKED).split())
-    return {zlib.crc32(w) % BUCKETS for w in ws}
+    begun = {w[:BEGINNING] for w in ws if len(w) > BEGINNING}
+    found = {zlib.crc32(w) % BUCKETS for w in ws}
+    found.update(zlib.crc32(w, 1) % BUCKETS for w in begun)
+    return np.array(sorted(found), np.int32)
 
 
 @dataclass
 class Machine:
-    """place: index of a kept bucket, or -1. Score of a set: sigmoid of bias, weights and pairs of factors."""
+    """Score of a set of buckets: sigmoid of bias, weights and pairs of factors."""
 
-    place: np.ndarray
     bias: float
     weights: np.ndarray
     factors: np.ndarray
 
-    def active(self, text: str | None) -> np.ndarray:
-        at = self.place[np.fromiter(terms(text), np.int64)] if text else np.zeros(0, np.int64)
-        return np.sort(at[at >= 0])
-
     def score(self, text: str | None) -> float:
-        at = self.active(text)
+        at = terms(text)
         v = self.factors[at]
         pairs = 0.5 * float((v.sum(axis=0) ** 2 - (v**2).sum(axis=0)).sum())
-        return float(1 / (1 + np.exp(-(self.bias + float(self.weights[at].sum()) + pairs))))
+        z = self.bias + float(self.weights[at].sum()) + pairs
+        return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
 def in_training(doc_id: Column) -> Column:
@@ -66,34 +75,52 @@ def in_training(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 != 1, F.lit(False))
 
 
-def _learn(rows: list[np.ndarray], labels: np.ndarray, kept: int, epochs: int = 40, batch: int = 256) -> tuple[float, np.ndarray, np.ndarray]:
-    """Bias, weights and factors by Adam on the logistic loss, with weight decay; each class counts for its rows."""
+def learn(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
+    """A machine from rows of buckets and labels of 0 and 1, both of which occur."""
     rng = np.random.default_rng(SEED)
-    p = {"b": np.zeros(1), "w": np.zeros(kept), "v": rng.normal(0, 0.05, (kept, RANK))}
-    rate = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
-    p["b"][0] = np.log(rate / (1 - rate))
-    m, s = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
-    t = 0
-    for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for k in range(0, len(order), batch):
-            own = order[k : k + batch]
-            x = np.zeros((len(own), kept))
-            for i, r in enumerate(own):
-                x[i, rows[r]] = 1
-            xv = x @ p["v"]
-            z = p["b"][0] + x @ p["w"] + 0.5 * ((xv**2).sum(axis=1) - (x @ (p["v"] ** 2)).sum(axis=1))
-            d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[own]) / len(own)
-            g = {"b": np.array([d.sum()]), "w": x.T @ d + 1e-4 * p["w"], "v": x.T @ (d[:, None] * xv) - (x.T @ d)[:, None] * p["v"] + 1e-4 * p["v"]}
-            t += 1
-            for key, grad in g.items():
-                m[key] = 0.9 * m[key] + 0.1 * grad
-                s[key] = 0.999 * s[key] + 0.001 * grad**2
-                p[key] -= 0.02 * (m[key] / (1 - 0.9**t)) / (np.sqrt(s[key] / (1 - 0.999**t)) + 1e-8)
-    return float(p["b"][0]), p["w"], p["v"]
-
-
-def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, kept: int = KEPT) -> Machine:
+    n, n1 = len(labels), float(labels.sum())
+    n0 = n - n1
+    size = np.array([len(r) for r in rows])
+    first = np.cumsum(size) - size
+    flat = np.concatenate(rows).astype(np.int64)
+    seen = np.bincount(flat, minlength=BUCKETS).astype(float)
+    toxic = np.bincount(flat, np.repeat(labels, size), BUCKETS)
+    share = seen / n
+    z2 = (toxic / n1 - (seen - toxic) / n0) ** 2 / (share * (1 - share) * (1 / n0 + 1 / n1) + 1e-12)
+    alone = np.where(seen > 1, z2 / (z2 + EVIDENCE**2), 0.0)
+    paired = np.where(seen > 1, seen / (seen + SEEN), 0.0)
+    heavier = min(10.0, max(0.1, n0 / n1))
+    w, gw = np.zeros(BUCKETS), np.full(BUCKETS, 1e-2)
+    v, gv = rng.normal(0, 0.01, (BUCKETS, RANK)), np.ones(BUCKETS)
+    bias, gb = float(np.log(n1 / n0)), 1.0
+    for _ in range(int(np.clip(VISITS / n, 3, EPOCHS))):
+        order = rng.permutation(n)
+        for k in range(0, n, BATCH):
+            own = order[k : k + BATCH]
+            count = size[own]
+            at = np.repeat(first[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            ids, place = np.unique(flat[at], return_inverse=True)
+            x = np.zeros((len(own), len(ids)), np.float32)
+            x[np.repeat(np.arange(len(own)), count), place] = 1
+            a, p = alone[ids], paired[ids][:, None]
+            factors = v[ids] * p
+            xv = x @ factors
+            z = bias + x @ (w[ids] * a) + 0.5 * ((xv**2).sum(axis=1) - (x @ factors**2).sum(axis=1))
+            d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[own]) * np.where(labels[own] > 0, heavier, 1.0)
+            each = x.T @ d
+            grad = each * a / len(own) + 1e-5 * w[ids]
+            pairs = (x.T @ (d[:, None] * xv) - each[:, None] * factors) * p
+            gb += d.sum() ** 2
+            bias -= 0.3 * d.sum() / np.sqrt(gb)
+            gw[ids] += grad**2
+            w[ids] -= 0.3 * grad / np.sqrt(gw[ids])
+            gv[ids] += (pairs**2).mean(axis=1)
+            rate = 0.1 / np.sqrt(gv[ids])[:, None]
+            v[ids] = (v[ids] - rate * pairs) / (1 + rate)
+    return Machine(float(bias), (w * alone).astype(np.float32), (v * paired[:, None]).astype(np.float32))
+
+
+def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS) -> Machine:
     """Learn from labelled rows for which `in_training` holds; of more than ``max_rows`` a hashed sample of about so many."""
     toxic = labels.filter(in_training(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = toxic.count()
@@ -102,52 +129,31 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, kept:
     own = docs.select("doc_id", "text").join(F.broadcast(toxic), "doc_id").select("text", F.col("toxic").cast("double").alias("y"))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows with a bucket and documents of either class, summed over each batch."""
         for b in batches:
-            n_docs = np.zeros((2, BUCKETS + 1), np.int64)
-            for text, y in zip(b.column(0), b.column(1)):
-                at = np.fromiter(terms(text.as_py()), np.int64)
-                n_docs[int(y.as_py() > 0), at] += 1
-                n_docs[int(y.as_py() > 0), BUCKETS] += 1
-            at = np.flatnonzero(n_docs.sum(axis=0))
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n_docs[0, at]), pa.array(n_docs[1, at])], ["bucket", "clean", "toxic"])
-
-    counts = own.mapInArrow(found, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    seen = counts.toPandas()  # at most BUCKETS + 1 rows
-    whole = seen[seen.bucket == BUCKETS]
-    n0, n1 = (int(whole.clean.iloc[0]), int(whole.toxic.iloc[0])) if len(whole) else (0, 0)
-    place = np.full(BUCKETS, -1, np.int32)
+            rows = [terms(t.as_py()) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), b.column(1)], ["at", "y"])
+
+    # about max_rows rows of bucket numbers
+    seen = own.mapInArrow(found, "at array<int>, y double").toArrow()
+    rows = [np.asarray(a.values) for a in seen["at"]]
+    y = (seen["y"].to_numpy() > 0).astype(float)
+    n1, n0 = int(y.sum()), int(len(y) - y.sum())
     if not n0 or not n1:
         rate = (n1 + 1) / (n0 + n1 + 2)
-        return Machine(place, float(np.log(rate / (1 - rate))), np.zeros(0), np.zeros((0, RANK)))
-    seen = seen[(seen.bucket < BUCKETS) & (seen.clean + seen.toxic >= 3)]
-    # two-proportion z for each bucket
-    p0, p1, p = seen.clean / n0, seen.toxic / n1, (seen.clean + seen.toxic) / (n0 + n1)
-    z = (p1 - p0).abs() / np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1) + 1e-12)
-    best = seen.assign(z=z).sort_values(["z", "bucket"], ascending=[False, True]).head(kept)
-    best = best[best.z > 4]
-    place[best.bucket.to_numpy()] = np.arange(len(best), dtype=np.int32)
-    chosen = Machine(place, 0.0, np.zeros(len(best)), np.zeros((len(best), RANK)))
-
-    def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([chosen.active(t.as_py()).tolist() for t in b.column(0)], pa.list_(pa.int32())), b.column(1)], ["at", "y"])
-
-    # about max_rows rows of kept buckets
-    rows = own.mapInArrow(active, "at array<int>, y double").toPandas()
-    rows = rows.assign(key=[tuple(a) for a in rows["at"]]).sort_values(["key", "y"])  # an order of its own, so reruns agree
-    bias, w, v = _learn([np.array(a, np.int64) for a in rows["key"]], (rows["y"].to_numpy() > 0).astype(float), len(best))
-    return Machine(place, bias, w, v)
+        return Machine(float(np.log(rate / (1 - rate))), np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, RANK), np.float32))
+    order = sorted(range(len(rows)), key=lambda i: (rows[i].tobytes(), y[i]))  # an order of its own, so reruns agree
+    return learn([rows[i] for i in order], y[order])
 
 
 def score(docs: DataFrame, model: Machine) -> DataFrame:
     """doc_id and score of every row."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.score(t.as_py()) for t in b.column(1)], pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,14 +1,15 @@
 """Language identification: a bidirectional gated recurrent network over the bytes of the text.
 
-A text is read word by word (bytes between ASCII white space; a longer run in pieces of ``STEPS`` bytes), each word from
-both ends; every position gets a probability for each label from the two states there. A document's probabilities are
-the geometric mean over all its positions. As a word's states depend on nothing outside it, a word that stands more
-than once in a batch of documents is read once and counted as often as it stands. The network is trained in numpy by
-backpropagation through time, on words of at most about ``max_rows`` training documents chosen by a hash of their ids.
-Its size is fixed.
-
-Defined results: null texts and texts without a letter are `und` with score 0; identical rows get the same label;
-null languages are not learnt; without any language to learn every text is `und`; short words are
+The network reads the whole byte stream of a text, white space and all, from both ends, in windows of ``CORE`` bytes that
+overlap their neighbours by ``MARGIN`` bytes on either side: states cross word borders, and the margins warm them up, so
+every byte is labelled once, from what stands before and after it. Every position gets a probability for each label from
+the two states there; a document's probabilities are the geometric mean over all its positions. The network is trained in
+numpy by backpropagation through time, on at most ``WINDOWS`` windows of ``STEPS`` bytes, evenly spread, of each of at
+most about ``max_rows`` training documents, chosen by a hash of their ids (documented bounds). Its size is fixed.
+
+Defined results: null texts and texts without a letter are `und` with score 0; a text of any length is read whole;
+identical rows get the same label, of labels that tie the first by name; null languages are not learnt; rows of an id that
+repeats are all learnt; doc_id may be of any type; without any language to learn every text is `und`; short windows are
 padded, and padding is never labelled.
 """
 
@@ -22,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STEPS = 32
+STEPS, WINDOWS = 64, 4
+CORE, MARGIN = 224, 16
 HIDDEN = 8
 MAX_ROWS = 2_000
-ROUNDS = 400
-#: Words that are read together.
-BATCH = 8192
+ROUNDS = 300
+#: Windows that are read together, and that are gathered to be sorted by length.
+BATCH, GATHERED = 2048, 16_384
 SEED = 11
 UNKNOWN = "und"
 
@@ -58,7 +60,7 @@ def _tanh(x: np.ndarray) -> np.ndarray:
 
 
 def states(codes: np.ndarray, inputs: np.ndarray, recurrent: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """States (steps, H, words) of one direction over codes (steps, words), zero where mask is; keep gets what the way back needs."""
+    """States (steps, H, windows) of one direction over codes (steps, windows), zero where mask is; keep gets what the way back needs."""
     h = recurrent.shape[1]
     out = np.empty((len(codes), h, codes.shape[1]), np.float32)
     before = np.zeros((h, codes.shape[1]), np.float32)
@@ -74,7 +76,7 @@ def states(codes: np.ndarray, inputs: np.ndarray, recurrent: np.ndarray, mask: n
         state = before - new
         state *= z
         state += new
-        state *= mask[t]  # so a word's states don't depend on how far it is padded
+        state *= mask[t]  # so a window's states don't depend on how far it is padded
         if keep is not None:
             keep.append((before, r.copy(), z.copy(), new, u[2 * h :].copy()))
         out[t] = before = state
@@ -82,7 +84,7 @@ def states(codes: np.ndarray, inputs: np.ndarray, recurrent: np.ndarray, mask: n
 
 
 def probabilities(net: Network, codes: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """(steps, labels, words) of codes (steps, words); mask (same shape) is 0 in the padding."""
+    """(steps, labels, windows) of codes (steps, windows); mask (same shape) is 0 in the padding."""
     f = states(codes, net.inputs[0], net.recurrent[0], mask)
     b = states(codes[::-1], net.inputs[1], net.recurrent[1], mask[::-1])[::-1]
     h = f.shape[1]
@@ -95,8 +97,8 @@ def probabilities(net: Network, codes: np.ndarray, mask: np.ndarray) -> np.ndarr
     return z
 
 
-def learn(codes: np.ndarray, mask: np.ndarray, y: np.ndarray, labels: list[str], rounds: int = ROUNDS, batch: int = 512) -> Network:
-    """Train on words (steps, n), their mask and their labels' indices; cross-entropy at every position, by Adam."""
+def learn(codes: np.ndarray, mask: np.ndarray, y: np.ndarray, labels: list[str], rounds: int = ROUNDS, batch: int = 256) -> Network:
+    """Train on windows (steps, n), their mask and their labels' indices; cross-entropy at every position, by Adam."""
     rng = np.random.default_rng(SEED)
     h, n_labels = HIDDEN, len(labels)
     p = [*(rng.normal(0, 0.3, (3 * h, 256)).astype(np.float32) for _ in range(2)), *(rng.normal(0, 0.3, (3 * h, h)).astype(np.float32) for _ in range(2)), np.zeros((n_labels, 2 * h + 1), np.float32)]
@@ -141,53 +143,59 @@ def learn(codes: np.ndarray, mask: np.ndarray, y: np.ndarray, labels: list[str],
     return Network(labels, p[:2], p[2:4], p[4])
 
 
-def pieces(text: bytes) -> list[bytes]:
-    """All words of a text, in order; those over STEPS bytes in pieces."""
-    ws = text.split()
-    if max(map(len, ws), default=0) <= STEPS:
-        return ws
-    return [w[i : i + STEPS] for w in ws for i in range(0, len(w), STEPS)]
+def windows(text: bytes) -> Iterator[tuple[bytes, int, int]]:
+    """Windows of a text, with the first and the end of the positions that each labels."""
+    for at in range(0, len(text), CORE):
+        lo = max(0, at - MARGIN)
+        yield text[lo : at + CORE + MARGIN], at - lo, min(len(text), at + CORE) - lo
 
 
 def coded(ws: list[bytes], steps: int) -> np.ndarray:
-    """Codes (steps, words)."""
-    return np.frombuffer(b"".join(w.ljust(steps) for w in ws), np.uint8).reshape(-1, steps).T
+    """Codes (steps, windows)."""
+    return np.ascontiguousarray(np.frombuffer(b"".join(w.ljust(steps) for w in ws), np.uint8).reshape(-1, steps).T)
 
 
-def word_logs(net: Network, ws: list[bytes]) -> np.ndarray:
-    """Sums of log probabilities over all positions (words, labels)."""
+def window_logs(net: Network, ws: list[tuple[bytes, int, int]]) -> np.ndarray:
+    """Sums of log probabilities over the labelled positions (windows, labels)."""
     found = np.zeros((len(ws), len(net.labels)), np.float32)
-    lengths = np.array([len(w) for w in ws], np.int64)
+    lengths = np.array([len(w) for w, _, _ in ws], np.int64)
+    lo, hi = (np.array([w[k] for w in ws], np.int64) for k in (1, 2))
     order = np.argsort(lengths, kind="stable")
     for k in range(0, len(order), BATCH):
         own = order[k : k + BATCH]
         steps = int(lengths[own[-1]])
-        mask = (np.arange(steps)[:, None] < lengths[own][None, :]).astype(np.float32)
-        logs = np.log(probabilities(net, np.ascontiguousarray(coded([ws[i] for i in own], steps)), mask) + 1e-9)
-        logs *= mask[:, None, :]
+        at = np.arange(steps)[:, None]
+        logs = probabilities(net, coded([ws[i][0] for i in own], steps), (at < lengths[own]).astype(np.float32))
+        logs += 1e-9
+        np.log(logs, out=logs)
+        logs *= ((at >= lo[own]) & (at < hi[own]))[:, None, :]
         found[own] = logs.sum(axis=0).T
     return found
 
 
-def document_probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
-    """Probabilities (documents, labels) pooled over all positions; even for texts without words."""
-    index: dict[bytes, int] = {}
-    place = index.setdefault
-    at, counts, size = [], [], []
-    for t in texts:
-        own = [place(w, len(index)) for w in pieces(t)]
-        size.append(sum(map(len, t.split())))
-        words, n = np.unique(np.array(own, np.int64), return_counts=True)
-        at.append(words)
-        counts.append(n)
-    total = np.zeros((len(texts), len(net.labels)))
-    if index:
-        logs = word_logs(net, list(index))
-        owner = np.repeat(np.arange(len(texts)), [len(a) for a in at])
-        flat, n = np.concatenate(at), np.concatenate(counts)
+def document_probabilities(net: Network, texts: Iterator[bytes], n: int) -> np.ndarray:
+    """Probabilities (documents, labels) pooled over all positions; even for empty texts."""
+    total, size = np.zeros((n, len(net.labels))), np.zeros(n)
+    held: list[tuple[bytes, int, int]] = []
+    owner: list[int] = []
+
+    def add() -> None:
+        logs = window_logs(net, held)
         for j in range(len(net.labels)):
-            total[:, j] = np.bincount(owner, logs[flat, j] * n, len(texts))
-    total = np.exp(total / np.maximum(1, np.array(size))[:, None])
+            total[:, j] += np.bincount(owner, logs[:, j], n)
+        held.clear()
+        owner.clear()
+
+    for i, t in enumerate(texts):
+        size[i] = len(t)
+        for w in windows(t):
+            held.append(w)
+            owner.append(i)
+            if len(held) == GATHERED:
+                add()
+    if held:
+        add()
+    total = np.exp(total / np.maximum(1, size)[:, None])
     return total / total.sum(axis=1, keepdims=True)
 
 
@@ -196,32 +204,33 @@ def in_training(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 != 2, F.lit(False))
 
 
-def train(docs: DataFrame, *, max_rows: int = MAX_ROWS, words: int = 24) -> Network:
+def train(docs: DataFrame, *, max_rows: int = MAX_ROWS) -> Network:
     """Learn from texts and languages; of each language a hashed sample of about the same share of ``max_rows``."""
     own = docs.filter(in_training(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(1000).collect()}
+    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    nothing = Network([], [], [], np.zeros((0, 2 * HIDDEN + 1), np.float32))
     if not counts:
-        return Network([], [], [], np.zeros((0, 2 * HIDDEN + 1), np.float32))
+        return nothing
     labels = sorted(counts)
-    share = F.create_map(*[F.lit(x) for k in labels for x in (k, int(1e6 * min(1.0, max_rows / len(labels) / counts[k])))])
-    picked = own.filter(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < F.element_at(share, F.col("lang")))
+    share = docs.sparkSession.createDataFrame([(k, int(1e6 * min(1.0, max_rows / len(labels) / counts[k]))) for k in labels], "lang string, share long")
+    picked = own.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < F.col("share"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A few distinct words, evenly spread, of each picked document."""
+        """A few windows, evenly spread, of each picked document."""
         for b in batches:
             langs, codes = [], []
             for text, lang in zip(b.column(0), b.column(1)):
-                ws = sorted(set(pieces(text.as_py().encode("utf-8", "surrogatepass"))))
-                for i in sorted({int(x) for x in np.linspace(0, len(ws) - 1, words)} if ws else ()):
+                t = text.as_py().encode("utf-8", "surrogatepass")
+                for at in sorted({int(x) for x in np.linspace(0, max(0, len(t) - STEPS), WINDOWS)}):
                     langs.append(lang.as_py())
-                    codes.append(ws[i])
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(codes, pa.binary())], ["lang", "word"])
+                    codes.append(t[at : at + STEPS])
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(codes, pa.binary())], ["lang", "window"])
 
-    # about words x max_rows rows of STEPS bytes
-    rows = picked.select("text", "lang").mapInArrow(run, "lang string, word binary").toPandas().sort_values(["lang", "word"])
+    # about WINDOWS x max_rows rows of STEPS bytes
+    rows = picked.select("text", "lang").mapInArrow(run, "lang string, window binary").toPandas().sort_values(["lang", "window"])
     if not len(rows):
-        return Network([], [], [], np.zeros((0, 2 * HIDDEN + 1), np.float32))
-    ws = [bytes(w) for w in rows["word"]]
+        return nothing
+    ws = [bytes(w) for w in rows["window"]]
     mask = np.arange(STEPS)[:, None] < np.array([len(w) for w in ws])[None, :]
     return learn(coded(ws, STEPS), mask, np.searchsorted(np.array(labels), rows["lang"].to_numpy().astype(str)), labels)
 
@@ -231,15 +240,16 @@ def identify(docs: DataFrame, net: Network) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t.as_py() or "" for t in b.column(1)]
             lettered = b.column(2).to_pylist()
-            names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+            names, scores = [UNKNOWN] * b.num_rows, [0.0] * b.num_rows
             if net.labels:
-                found = document_probabilities(net, [t.encode("utf-8", "surrogatepass") if ok else b"" for t, ok in zip(texts, lettered)])
+                texts = (t.as_py().encode("utf-8", "surrogatepass") if ok else b"" for t, ok in zip(b.column(1), lettered))
+                found = document_probabilities(net, texts, b.num_rows)
                 best = found.argmax(axis=1)
                 names = [net.labels[i] if ok else UNKNOWN for i, ok in zip(best, lettered)]
                 scores = [float(min(1.0, found[k, i])) if ok else 0.0 for k, (i, ok) in enumerate(zip(best, lettered))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
+    kind = docs.schema["doc_id"].dataType.simpleString()
     lettered = F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lettered.alias("lettered")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text", lettered.alias("lettered")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")

@@ -37,3 +37,28 @@ def connected(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame
     # a root is no one's upper node
     tops = roots.select(F.col("root").alias("id"), "root").distinct()
     return roots.select(F.col("u").alias("id"), "root").unionByName(tops)
+
+
+def named(rows: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """``rows`` (doc_id, text_key, key) with ``least``, the first of the component's rows as (none, id, text_key): by
+    doc_id, null last, then by the text's hash. ``roots``: key and root for every key.
+
+    Rows are summed by key before they meet their root, and roots by key after, so neither many copies of a text nor a
+    component of very many texts is one task's.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("text_key"))).alias("least")
+    by_key = cut(rows.groupBy(key).agg(first).join(roots, key))
+    by_root = by_key.groupBy("root").agg(F.min("least").alias("least"))
+    # only roots of two keys and more change anything: a small table, that a key without one needn't meet
+    several = by_key.filter(F.col("root") != F.col(key)).select("root").distinct()
+    tops = by_root.join(several, "root", "left_semi").select("root", F.col("least").alias("_least"))
+    of_key = by_key.join(tops, "root", "left").select(key, F.coalesce("_least", "least").alias("least"))
+    return rows.join(of_key, key)
+
+
+def kept(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are the first of their component, once each; columns as they came."""
+    first = found.select(F.col("least.id").alias("id"), F.col("least.text_key").alias("text_key")).distinct()
+    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("text_key"))
+    stays = own.alias("o").join(first.alias("f"), F.col("o.id").eqNullSafe(F.col("f.id")) & (F.col("o.text_key") == F.col("f.text_key")), "left_semi")
+    return stays.dropDuplicates(["id", "text_key"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])

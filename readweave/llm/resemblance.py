@@ -9,7 +9,9 @@ Equal sets are one class and are compared once. A cell with very many candidates
 what this leaves unlinked is compared in full in a second round, so a large group costs rows in proportion to its size.
 
 Defined results: null and empty texts and texts of white space are one class; a text of fewer words than a shingle is one
-shingle; rows with a null doc_id stay.
+shingle; `deduplicate` keeps one row of each component, that of the smallest doc_id (null last) and, where several texts
+have that id, of the smallest hash of the text, with all its columns; doc_id may be of any type; a text of any length is
+read whole.
 """
 
 from __future__ import annotations
@@ -69,7 +71,7 @@ def fingerprint(found: np.ndarray) -> np.ndarray:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """For every row doc_id, key (a hash of its whole set), its blocks and the bits to check by."""
+    """For every row doc_id, text_key (a hash of the text), key (a hash of its whole set), its blocks and the bits to check by."""
     import xxhash
 
     base = np.arange(BLOCKS, dtype=np.int32) << 16
@@ -77,14 +79,15 @@ def prints(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, words = np.zeros(b.num_rows, np.uint64), np.zeros((b.num_rows, WORDS), np.uint64)
-            for i, t in enumerate(b.column(1)):
+            for i, t in enumerate(b.column(2)):
                 found = shingles(t.as_py())
                 keys[i], words[i] = xxhash.xxh64_intdigest(found.tobytes(), 7), fingerprint(found)
             own = base + np.ascontiguousarray(words[:, : BLOCKS // 4]).view(np.uint16)
             at = pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, BLOCKS, dtype=np.int32)), pa.array(own.ravel().astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys.view(np.int64)), at, *[pa.array(words[:, k].view(np.int64)) for k in (-2, -1)]], ["doc_id", "key", "blocks", "c1", "c2"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys.view(np.int64)), at, *[pa.array(words[:, k].view(np.int64)) for k in (-2, -1)]], ["doc_id", "text_key", "key", "blocks", "c1", "c2"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key long, blocks array<int>, c1 long, c2 long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, key long, blocks array<int>, c1 long, c2 long")
 
 
 def _cells(keyed: DataFrame) -> DataFrame:
@@ -155,8 +158,9 @@ def candidates(keyed: DataFrame, whole: bool) -> DataFrame:
 def verified(pairs: DataFrame, named: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the distinct pairs of keys whose sets are similar enough."""
     ends = pairs.select("src", "dst", F.explode(F.array("src", "dst")).alias("id"))
-    ids = ends.select("id").distinct().join(named.select(F.col("key").alias("id"), "first_id"), "id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.select(F.col("first_id").alias("doc_id")), "doc_id", "left_semi").select("text")
+    ids = ends.select("id").distinct().join(named.select(F.col("key").alias("id"), "text_key"), "id").select("text_key")
+    # of many copies of a text one is read
+    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(ids, "text_key", "left_semi").dropDuplicates(["text_key"]).select("text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -183,10 +187,9 @@ def verified(pairs: DataFrame, named: DataFrame, docs: DataFrame) -> DataFrame:
     return met.select("src", "dst", "id", "found").mapInArrow(compare, "src long, dst long")
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """doc_id and component_id (smallest doc_id that links reach) for every row."""
-    rows = cut(prints(docs))
-    named = cut(rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first(F.struct("blocks", "c1", "c2")).alias("x")).select("key", "first_id", "x.*"))
+def roots_of_keys(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """key and root (a key of the component) for every distinct set of shingles."""
+    named = cut(rows.groupBy("key").agg(F.min("text_key").alias("text_key"), F.first(F.struct("blocks", "c1", "c2")).alias("x")).select("key", "text_key", "x.*"))
     keyed = named.select(F.explode(F.col("blocks").cast("array<long>")).alias("block"), F.col("key").alias("id"), "c1", "c2")
     first = cut(candidates(keyed.withColumn("label", F.col("id")), False))
     pairs = cut(first.filter("block IS NULL").select("src", "dst").distinct())
@@ -199,15 +202,10 @@ def groups(docs: DataFrame) -> DataFrame:
         more = cut(candidates(again, True).select("src", "dst").filter("src IS NOT NULL").distinct().join(pairs, ["src", "dst"], "left_anti"))
         links = links.unionByName(cut(verified(more, named, docs)))
         roots = components.connected(links)
-    labelled = named.join(roots, named["key"] == roots["id"], "left").select("key", "first_id", F.coalesce("root", "key").alias("root"))
-    smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_key = labelled.join(smallest, "root").select("key", "component_id")
-    return rows.select("doc_id", "key").join(of_key, "key").select("doc_id", "component_id")
+    return named.join(roots, named["key"] == roots["id"], "left").select("key", F.coalesce("root", "key").alias("root"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The row with the smallest doc_id of each component stays, once; rows with a null doc_id can't be named and stay."""
-    found = groups(docs.filter("doc_id IS NOT NULL"))
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.join(kept, docs["doc_id"].cast("long") == kept["_id"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    """One row of each component stays."""
+    rows = cut(prints(docs))
+    return components.kept(docs, components.named(rows.select("doc_id", "text_key", "key"), roots_of_keys(rows, docs), "key"))

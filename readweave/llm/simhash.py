@@ -5,8 +5,10 @@ of them, so it agrees in two pieces at least. Every pair of pieces is a block ke
 and their Hamming distance is verified. Equal fingerprints are one class and are compared once.
 
 Defined results: null and empty texts and texts of white space have fingerprint zero and link like any other;
-identical rows share a class; a null doc_id takes part, but names a component only if the component has no other;
-extra columns are kept by `deduplicate`; an empty table gives an empty table.
+identical rows share a class; a null doc_id takes part, but names a component only if the component has no other; doc_id
+may be of any type; a text of any length is read whole; `deduplicate` keeps one row of each component, that of the smallest
+doc_id (null last) and, where several texts have that id, of the smallest hash of the text, with all its columns; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -52,14 +54,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (long, the 64 bits of the fingerprint) for every row."""
+    """doc_id, text_key (a hash of the text) and fp (long, the 64 bits of the fingerprint) for every row."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found)], ["doc_id", "fp"])
+            found = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found)], ["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, fp long")
 
 
 def _pieces(max_bits: int) -> list[tuple[int, int]]:
@@ -81,21 +84,20 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return blocks.spanning_links(keyed, near)
 
 
+def roots_of_prints(prints: DataFrame, max_bits: int) -> DataFrame:
+    """fp and root (a fingerprint of the component) for every distinct fingerprint."""
+    values = cut(prints.select("fp").distinct())
+    roots = components.connected(links(values, max_bits))
+    return values.join(roots, values["fp"] == roots["id"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id that links reach) for every row."""
     prints = cut(fingerprints(docs, shingle))
-    named = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components.connected(links(named.select("fp"), max_bits))
-    # the smallest doc_id of each component of fingerprints
-    labelled = named.join(roots, named["fp"] == roots["id"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_print = labelled.join(smallest, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    return components.named(prints, roots_of_prints(prints, max_bits), "fp").select("doc_id", "fp", F.col("least.id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The row with the smallest doc_id of each component stays, once; rows with a null doc_id can't be named and stay."""
-    found = groups(docs.filter("doc_id IS NOT NULL"), shingle, max_bits)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.join(kept, docs["doc_id"].cast("long") == kept["_id"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    """One row of each component stays."""
+    prints = cut(fingerprints(docs, shingle))
+    return components.kept(docs, components.named(prints, roots_of_prints(prints, max_bits), "fp"))

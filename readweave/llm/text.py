@@ -15,6 +15,8 @@ CASED = r"[^\x00-\x7F&&[\p{Lu}\p{Lt}\p{javaUpperCase}Σİ]]"
 
 #: Words divided by ASCII white space.
 SPACED = r"[^\x20\x09-\x0D]+"
+#: A character of white space.
+SPACES = r"[\x20\x09-\x0D]"
 
 #: Words of letters, digits and all that isn't ASCII, in lower-cased text.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -6,7 +6,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from readweave.llm import resemblance
+from readweave.llm import resemblance, simhash
 
 WORDS = [f"w{i}" for i in range(3000)]
 
@@ -67,3 +67,13 @@ def test_fingerprints_of_near_copies_share_blocks(texts, near):
         differ = words[a] ^ words[b]
         found += bool((differ[:-2].view(np.uint16) == 0).any()) and np.bitwise_count(differ[-2:]).sum() <= resemblance.CHECKED
     assert len(near) > 1000 and found >= 0.99 * len(near)
+
+
+def test_rows_not_ids_are_kept(spark):
+    """One id with two texts; a component that a null id is in; ids that aren't numbers."""
+    a, b, c = (" ".join(WORDS[i : i + 40]) for i in (0, 100, 200))
+    rows = [("5", a, 1), ("5", b, 2), ("7", c, 3), (None, c, 4), (None, "only here", 5), (None, "only here", 5), ("9", a, 6)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, root int")
+    got = sorted(r["root"] for r in resemblance.deduplicate(docs).collect())
+    assert got == [1, 2, 3, 5]
+    assert sorted(r["root"] for r in simhash.deduplicate(docs).collect()) == [1, 2, 3, 5]

@@ -1,12 +1,13 @@
 """Benchmark decontamination: token windows of documents against the windows of benchmark items.
 
 The windows of all items form a hash table that is broadcast while it is below ``max_broadcast_windows`` rows
-(checked by counting); a larger one is joined by shuffle. Every window of every document is looked up by its hash
-and each hit is verified by comparing the words themselves.
+(checked by counting); a larger one is joined by shuffle. Words are hashed once; every window of every document is looked
+up by a hash of its words' hashes, and each hit is verified by comparing the words themselves.
 
 Defined results: a null text has no words and no hits; an item without words has no window; an item with fewer words
 than a window is one window; identical rows get identical results; items with a null id still mark words, but are in
-no list of ids; extra columns are kept, whatever their names.
+no list of ids; doc_id may be of any type; windows that overlap or repeat count each word once; a text of any length is read
+whole; extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import WORD, ascii_lower, count_words, windows, words
+from .text import NOT_WORD_ANY_CASE, WORD_ANY_CASE, ascii_lower, count_words, windows, words
 
 WINDOW = 10
 MAX_BROADCAST_WINDOWS = 500_000
@@ -45,18 +46,19 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, max_bro
     """One row for each distinct (doc_id, text) with hits: doc_id, text_key, sorted word spans and sorted item ids."""
     table = benchmark_windows(benchmark, window)
     sizes = {r["width"]: r["n"] for r in table.groupBy("width").agg(F.count("*").alias("n")).collect()}  # at most `window` rows
-    table = table.select(F.xxhash64("gram").alias("gram_hash"), F.col("gram").alias("item_gram"), "width", "items")
+    hashed = lambda ws: F.transform(ws, lambda w: F.xxhash64(w))
+    table = table.select(F.xxhash64(hashed(F.split("gram", " "))).alias("gram_hash"), F.col("gram").alias("item_gram"), F.col("width").alias("item_width"), "items")
     small = sum(sizes.values()) <= max_broadcast_windows
-    ws = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(ascii_lower(F.col("text"))).alias("ws"))
-    found = None
-    for width in sorted(sizes) or [window]:
-        seen = ws.select("doc_id", "text_key", F.explode(windows(F.col("ws"), width)).alias("w"))
-        seen = seen.select("doc_id", "text_key", "w.pos", "w.gram", F.xxhash64("w.gram").alias("gram_hash"))
-        own = table.filter(F.col("width") == width)
-        # the hash finds, the words themselves decide
-        at = seen.join(F.broadcast(own) if small else own, "gram_hash").filter(F.col("gram") == F.col("item_gram"))
-        at = at.select("doc_id", "text_key", F.struct("pos", "width").alias("span"), "items")
-        found = at if found is None else found.unionByName(at)
+    ws = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(ascii_lower(F.col("text"))).alias("ws")).withColumn("hashes", hashed(F.col("ws")))
+
+    def of_width(width: int) -> Column:
+        starts = F.when(F.size("hashes") >= width, F.sequence(F.lit(0), F.size("hashes") - width)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(width).alias("width"), F.xxhash64(F.slice("hashes", i + 1, width)).alias("gram_hash")))
+
+    seen = ws.select("doc_id", "text_key", "ws", F.explode(F.concat(*[of_width(w) for w in sorted(sizes) or [window]])).alias("w")).select("doc_id", "text_key", "ws", "w.*")
+    # the hash finds, the words themselves decide
+    same = (F.col("width") == F.col("item_width")) & (F.array_join(F.slice("ws", F.col("pos") + 1, F.col("width")), " ") == F.col("item_gram"))
+    found = seen.join(F.broadcast(table) if small else table, "gram_hash").filter(same).select("doc_id", "text_key", F.struct("pos", "width").alias("span"), "items")
     per_doc = found.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.collect_set("items").alias("items"))
     return per_doc.withColumn("items", F.array_sort(F.array_distinct(F.flatten("items"))))
 
@@ -81,22 +83,11 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, **options: int) -> D
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
-    """All rows; the words of hit spans are cut out of their texts, with what divides them."""
+    """All rows; the words of hit spans are cut out of their texts, each with what divides it from the next."""
     marked = decontaminate(docs, benchmark, **options)
-    lowered = F.coalesce(ascii_lower(F.col("row.text")), F.lit(""))
-    gaps, own = F.split(lowered, WORD, -1), F.regexp_extract_all(lowered, F.lit(f"({WORD})"), F.lit(1))
-    lengths = F.zip_with(gaps, own, lambda g, w: F.struct(F.length(g).alias("gap"), F.coalesce(F.length(w), F.lit(0)).alias("word")))
-    at = F.aggregate(
-        lengths,
-        F.struct(F.lit(1).alias("char"), F.lit(0).alias("i"), F.lit("").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["char"] + x["gap"] + x["word"]).alias("char"),
-            (acc["i"] + 1).alias("i"),
-            F.when(F.exists("leak.spans", lambda s: (s["pos"] <= acc["i"]) & (acc["i"] < s["pos"] + s["width"])), acc["out"])
-            .otherwise(F.concat(acc["out"], F.col("row.text").substr(acc["char"], x["gap"] + x["word"])))
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    cleaned = F.when(F.col("leak.n_hit") > 0, at).otherwise(F.col("row.text"))
+    text = F.col("row.text")
+    before = F.regexp_extract(text, f"^{NOT_WORD_ANY_CASE}+", 0)
+    pieces = F.regexp_extract_all(text, F.lit(f"({WORD_ANY_CASE}{NOT_WORD_ANY_CASE}*)"), F.lit(1))
+    kept = F.filter(pieces, lambda _, i: ~F.exists("leak.spans", lambda s: (s["pos"] <= i) & (i < s["pos"] + s["width"])))
+    cleaned = F.when(F.col("leak.n_hit") > 0, F.concat(before, F.array_join(kept, ""))).otherwise(text)
     return marked.select(*[cleaned.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -3,12 +3,15 @@
 Every run of ``k`` words of every document is looked up, by its hash and then by the words themselves, among the runs of
 the license templates. A hit at word p of the document and word t of the template votes for the diagonal p - t; votes of
 a template are counted by diagonal, neighbouring diagonals (a word more or less in between) are merged, and a merged
-band that covers ``coverage`` of the template's runs is a span. Fixed phrases are counted beside them, at every place.
+band is verified word by word: at least ``coverage`` of the template's words must stand in it, and at least as large a
+share of the words between its ends must be the template's. Of spans that overlap, the one with the larger share stays
+(the longer, then the first by name, where shares tie). Fixed phrases are counted beside them, at every place.
 
 The templates are a parameter; their table is broadcast while it is below ``max_broadcast_grams`` rows (checked).
 
 Defined results: null and empty texts have no words, phrases or spans; identical rows get identical results; templates
-of fewer than k words have no runs and never vote; extra columns are kept, whatever their names.
+of fewer than k words have no runs and never vote; doc_id may be of any type; a text of any length is read whole; extra
+columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,16 +27,26 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 
 #: The statements by which licenses are usually named, and their labels.
 TEMPLATES = (
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
     ("apache", "Licensed under the Apache License, Version 2.0"),
     ("apache", "You may not use this file except in compliance with the License"),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
     ("mit", "This work is released under the MIT License"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
 )
 
 K = 3
@@ -43,15 +56,15 @@ MAX_BROADCAST_GRAMS = 500_000
 
 
 def template_grams(spark: SparkSession, templates: tuple[tuple[str, str], ...], k: int) -> DataFrame:
-    """template (number), label, n_grams, t (index) and gram of every run of k words."""
+    """template (number), label, n_words, t (index) and gram of every run of k words."""
     df = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)], "template int, label string, text string")
     ws = df.select("template", "label", words(ascii_lower(F.col("text"))).alias("ws"))
-    each = ws.select("template", "label", (F.size("ws") - k + 1).alias("n_grams"), F.explode(windows(F.col("ws"), k)).alias("w"))
-    return each.select("template", "label", "n_grams", F.col("w.pos").alias("t"), F.col("w.gram").alias("own_gram"), F.xxhash64("w.gram").alias("gram_hash"))
+    each = ws.select("template", "label", F.size("ws").alias("n_words"), F.explode(windows(F.col("ws"), k)).alias("w"))
+    return each.select("template", "label", "n_words", F.col("w.pos").alias("t"), F.col("w.gram").alias("own_gram"), F.xxhash64("w.gram").alias("gram_hash"))
 
 
 def spans(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, *, k: int = K, slack: int = SLACK, coverage: float = COVERAGE, max_broadcast_grams: int = MAX_BROADCAST_GRAMS) -> DataFrame:
-    """doc_id, text_key, label, start, end (words, end exclusive) and share of the template, for each distinct (doc_id, text)."""
+    """doc_id, text_key, label, start, end (words, end exclusive) and share of the template's words, for each distinct (doc_id, text)."""
     grams = template_grams(docs.sparkSession, templates, k)
     if grams.count() <= max_broadcast_grams:
         grams = F.broadcast(grams)
@@ -59,14 +72,25 @@ def spans(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, *
     seen = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(ascii_lower(F.col("text"))).alias("ws"))
     seen = seen.select("doc_id", "text_key", F.explode(windows(F.col("ws"), k)).alias("w")).select("doc_id", "text_key", F.col("w.pos").alias("p"), F.col("w.gram").alias("gram"), F.xxhash64("w.gram").alias("gram_hash"))
     votes = seen.join(grams, "gram_hash").filter(F.col("gram") == F.col("own_gram"))
-    place = ["doc_id", "text_key", "template", "label", "n_grams"]
-    diagonals = votes.groupBy(*place, (F.col("p") - F.col("t")).alias("diagonal")).agg(F.collect_set("t").alias("ts"), F.min("p").alias("lo"), F.max("p").alias("hi"))
+    place = ["doc_id", "text_key", "template", "label", "n_words"]
+    diagonals = votes.groupBy(*place, (F.col("p") - F.col("t")).alias("diagonal")).agg(F.collect_set("t").alias("ts"), F.collect_set("p").alias("ps"))
     along = W.partitionBy("doc_id", "text_key", "template").orderBy("diagonal")
     gap = F.col("diagonal") - F.lag("diagonal").over(along)
     banded = diagonals.withColumn("band", F.sum(F.when(gap <= slack, 0).otherwise(1)).over(along))
-    merged = banded.groupBy(*place, "band").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ts")))).alias("seen"), F.min("lo").alias("start"), (F.max("hi") + k).alias("end"))
-    share = F.col("seen") / F.col("n_grams")
-    return merged.filter(share >= coverage).select("doc_id", "text_key", "label", "start", "end", share.alias("share"))
+    merged = banded.groupBy(*place, "band").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("ts", "ps")])
+    # the words of a run are equal, so the runs' words are what document and template share
+    own = {c: F.array_distinct(F.flatten(F.transform(c, lambda x: F.sequence(x, x + k - 1)))) for c in ("ts", "ps")}
+    start, end = F.array_min("ps"), F.array_max("ps") + k
+    measured = merged.select("doc_id", "text_key", "template", "label", "n_words", start.alias("start"), end.alias("end"), F.size(own["ts"]).alias("held"), F.size(own["ps"]).alias("dense"))
+    share = F.col("held") / F.col("n_words")
+    good = measured.withColumn("share", share).filter((F.col("share") >= coverage) & (F.col("dense") >= coverage * (F.col("end") - F.col("start"))))
+    # spans that overlap are neighbours by their start; so many templates share a statement at most
+    near = W.partitionBy("doc_id", "text_key").orderBy("start", "end", "template").rowsBetween(-8, 8)
+    other = F.collect_list(F.struct("start", "end", "share", "n_words", "template")).over(near)
+    rank = lambda s: F.struct(s["share"], s["n_words"], -s["template"])
+    mine = F.struct("share", "n_words", -F.col("template"))
+    better = F.exists("_near", lambda o: (o["start"] < F.col("end")) & (F.col("start") < o["end"]) & (rank(o) > mine))
+    return good.withColumn("_near", other).filter(~better).select("doc_id", "text_key", "label", "start", "end", "share")
 
 
 def phrase_places(ws: Column, phrase: str) -> Column:
@@ -84,10 +108,11 @@ def _with_phrase(text: Column, phrases: dict[str, str]) -> Column:
     return F.when(held, words(lowered)).otherwise(F.array().cast("array<string>"))
 
 
-def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: tuple[tuple[str, str], ...] = TEMPLATES, **options: float) -> DataFrame:
-    """Every row of ``docs``: its columns in a struct ``row``, and a struct ``license`` of n_words, places, spans, labels and score."""
+def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: tuple[tuple[str, str], ...] = TEMPLATES, carry: list[Column] | None = None, **options: float) -> DataFrame:
+    """Every row of ``docs``: its columns (or those of ``carry``; texts that aren't carried aren't shuffled) in a struct
+    ``row``, and a struct ``license`` of n_words, places, spans, labels and score."""
     kept = docs.select(
-        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"),
+        F.struct(*(carry or [docs[f"`{c}`"] for c in docs.columns])).alias("row"),
         docs["doc_id"].alias("_id"),
         F.xxhash64(docs["text"]).alias("_key"),
         count_words(docs["text"]).alias("_n"),

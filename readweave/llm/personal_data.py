@@ -1,17 +1,20 @@
 """Personal data by weak supervision, in SQL functions only.
 
 Candidates are found by patterns over the whole text. Labelers vote on each: whether its form is valid (a checksum, a
-range, a number of digits), whether it holds an entry of a gazetteer, and whether words before it announce such data.
-Expectation-maximisation over the votes of all candidates estimates how often each labeler is right, by kind, and the
-probability of each vote pattern; a logistic model over votes and shape, trained on these probabilities, is the final
-classifier. Votes and shape are few small integers, so all candidates together are a table of counts by pattern: the
-training sees every candidate, while the driver gets a bounded number of rows (`MAX_PATTERNS`).
+range, a number of digits), whether it holds an entry of a gazetteer (given names, mail hosts, prefixes of cards, of phones
+and of keys), and whether words before it announce such data. Expectation-maximisation over the votes of all candidates
+estimates how often each labeler is right, by kind, and the probability of each vote pattern; a logistic model, trained on
+these probabilities, is the final classifier. Beside the votes it sees the text itself: length, share of digits, case, and
+the characters on either side. All are few small integers, so all candidates together are a table of counts by pattern:
+the training sees every candidate, while the driver gets a bounded number of rows (`MAX_PATTERNS`); the weights are applied
+as an expression.
 
 Base spans (an e-mail address, an IP address, a card number with a valid checksum, an international phone number) always
 stay; other candidates stay if they meet no base span and the classifier gives them at least ``THRESHOLD``.
 
 Defined results: a null text counts as empty; identical rows get identical spans; without candidates there is nothing to
-train and nothing is added; extra columns are kept by `find`, whatever their names.
+train and nothing is added; added spans of different kinds may overlap, base spans are never given up for them; a text of any
+length is read whole; extra columns are kept by `find`, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,21 +35,32 @@ BASE = {
 }
 #: Patterns of further kinds.
 MORE = {
-    "email_masked": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,64}(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]{1,64}){1,4}",
+    "email_masked": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]++)++",
     "phone_local": r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
-    "secret": r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_-]{0,40}[0-9])(?=[0-9_-]{0,40}[A-Za-z])[A-Za-z0-9_-]{24,256}(?![A-Za-z0-9_/+=-])",
+    "account": r"(?<![0-9A-Za-z_-])[0-9]{12,19}(?![0-9A-Za-z_-])",
+    "secret": r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{24,}+(?![/+=])",
+    "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame)\.?\x20[A-Z][a-z]++(?:\x20[A-Z][a-z]++)?",
 }
 #: Characters that a text must hold for a kind to be searched at all.
-HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]", "email_masked": r"[\[(]at[\])]", "phone_local": r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}", "secret": r"[A-Za-z0-9_-]{24}"}
+HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]", "email_masked": r"[\[(]at[\])]", "phone_local": r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}", "account": r"[0-9]{12}", "secret": r"[A-Za-z0-9_-]{24}", "name": r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame)\.?\x20[A-Z]"}
+#: Given names.
+NAMES = (
+    "ahmed alice andrew anna anthony barbara brian carlos carol charles christopher claire daniel david deborah donald dorothy edward elizabeth emily emma "
+    "fatima francis george hannah helen henry james jennifer jessica john jose joseph karen kevin laura linda lisa louis lucas margaret maria marie mark "
+    "martin mary matthew michael michelle mohammed nancy nicole olivia patricia paul peter pierre rachel richard robert ruth sandra sarah sharon sofia "
+    "stephen steven susan thomas timothy victoria william wolfgang"
+).split()
 #: Entries that a candidate of a kind often holds.
 GAZETTEER = {
-    "email": r"(?i)@(?:[a-z0-9-]+\.)*(?:gmail|hotmail|yahoo|outlook|example|mail[0-9]*)\.|\.(?:com|org|net|edu|gov|de|fr|es|io)$",
+    "email": r"(?i)@(?:[a-z0-9-]+\.)*(?:gmail|hotmail|yahoo|outlook|example|mail[0-9]*)\.|\.(?:com|org|net|edu|gov|de|fr|es|io)$|^(?:" + "|".join(NAMES) + r")(?![a-z])",
     "ip": r"^(?:10|127|172|192|[1-9][0-9]?|1[0-9][0-9]|2[01][0-9]|22[0-3])\.",
     "card": r"^[3-6]",
     "phone": r"^\+(?:1|3[0-9]|4[0-9])[^0-9]",
-    "email_masked": r"(?i)(?:gmail|hotmail|yahoo|outlook|example|com|org|net)$",
+    "email_masked": r"(?i)(?:gmail|hotmail|yahoo|outlook|example|com|org|net)$|^(?:" + "|".join(NAMES) + r")(?![a-z])",
     "phone_local": r"^\(?[2-9]",
-    "secret": r"^(?:sk|pk|gh[pousr]|AKIA|xox[abp]|[0-9a-f]{32,64}$)",
+    "account": r"^[0-9]{16}$|^[3-6]",
+    "secret": r"^(?:sk|pk|gh[pousr]|AKIA|xox[abp]|[0-9a-f]{32,128}$|[0-9A-F]{32,128}$)",
+    "name": r"(?i)\x20(?:" + "|".join(NAMES) + r")(?![a-z])",
 }
 #: Words that announce such data shortly before it.
 CONTEXT = {
@@ -56,12 +70,16 @@ CONTEXT = {
     "phone": r"(?i)(?:tel|phone|call|mobile|fax|cell)[^A-Za-z0-9]{0,6}$",
     "email_masked": r"(?i)(?:mail|contact|reach|write)[^A-Za-z0-9]{0,6}$",
     "phone_local": r"(?i)(?:tel|phone|call|mobile|fax|cell)[^A-Za-z0-9]{0,6}$",
+    "account": r"(?i)(?:card|account|konto|compte|cuenta|number|no)[^A-Za-z0-9]{0,6}$",
     "secret": r"(?i)(?:token|key|secret|password|passwd|pwd|bearer|auth)[^A-Za-z0-9]{0,6}$",
+    "name": r"(?i)(?:dear|by|from|contact|name|with|to)[^A-Za-z0-9]{0,6}$",
 }
 KINDS = (*BASE, *MORE)
 THRESHOLD = 0.5
-#: Kinds x votes x shapes; more rows than this never reach the driver.
-MAX_PATTERNS = len(KINDS) * 2**3 * 4 * 3
+#: What the classifier sees beside the kind, with the number of values of each.
+FEATURES = {"form": 2, "known": 2, "announced": 2, "size": 4, "digits": 3, "cased": 4, "left": 4, "right": 4}
+#: Kinds x features; more rows than this never reach the driver.
+MAX_PATTERNS = len(KINDS) * int(np.prod(list(FEATURES.values())))
 #: Characters before a candidate that the context labeler reads.
 BEFORE = 24
 
@@ -109,13 +127,20 @@ def valid(kind: str, found: Column) -> Column:
         return n.between(9, 15)
     if kind == "phone_local":
         return n == 10
+    if kind == "account":
+        return n.isin(13, 14, 15, 16, 19)
     if kind == "secret":
         return n >= 4
     return F.lit(True)
 
 
+def beside(c: Column) -> Column:
+    """Class of the character next to a candidate: none or white space, quote or bracket, = or :, other."""
+    return F.when((c == "") | F.regexp_like(c, F.lit(r"\s")), 0).when(F.regexp_like(c, F.lit(r"[\"'`()\[\]{}<>]")), 1).when(c.isin("=", ":"), 2).otherwise(3)
+
+
 def candidates(text: Column) -> Column:
-    """Array of (kind, start, end, base, form, known, announced, size, digits): candidates and the votes on them."""
+    """Array of (kind, start, end, base and FEATURES): candidates, the votes on them and what the text shows."""
     text = F.coalesce(text, F.lit(""))
     return F.concat(*[_of_kind(kind, text) for kind in KINDS])
 
@@ -137,13 +162,16 @@ def _of_kind(kind: str, text: Column) -> Column:
             F.regexp_like(before, F.lit(CONTEXT[kind])).cast("int").alias("announced"),
             F.least(F.lit(3), F.floor((m["end"] - m["start"]) / 12)).cast("int").alias("size"),
             F.least(F.lit(2), share).cast("int").alias("digits"),
+            (F.regexp_like(m["found"], F.lit("[A-Z]")).cast("int") + 2 * F.regexp_like(m["found"], F.lit("[a-z]")).cast("int")).alias("cased"),
+            beside(F.when(m["start"] > 0, F.substring(text, m["start"], F.lit(1))).otherwise("")).alias("left"),
+            beside(F.substring(text, m["end"] + 1, F.lit(1))).alias("right"),
         )
 
     own = located(text, BASE.get(kind) or MORE[kind])
     # a base match must have a valid form; the rest of the candidates are only voted on
     own = F.transform(F.filter(own, ok) if kind in BASE else own, voted)
     hinted = F.contains(text, F.lit(HINTS[kind])) if kind == "email" else F.regexp_like(text, F.lit(HINTS[kind]))
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,base:boolean,form:int,known:int,announced:int,size:int,digits:int>>")
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,base:boolean," + ",".join(f"{k}:int" for k in FEATURES) + ">>")
     return F.when(hinted, own).otherwise(none)
 
 
@@ -162,31 +190,39 @@ def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> np
     return p
 
 
-def classifier(patterns: list[tuple], rounds: int = 500) -> dict[tuple, float]:
-    """Probability by (kind, form, known, announced, size, digits), from such tuples with their counts at the end."""
-    if not patterns:
-        return {}
-    soft, x = np.zeros(len(patterns)), np.zeros((len(patterns), len(KINDS) + 3 + 4 + 3))
-    counts = np.array([r[-1] for r in patterns], float)
-    kinds = np.array([r[0] for r in patterns])
-    for kind in sorted(set(kinds)):
-        own = kinds == kind
-        soft[own] = reliabilities(np.array([r[1:4] for r in patterns], float)[own], counts[own])
-    for i, (kind, form, known, announced, size, digits, _) in enumerate(patterns):
-        x[i, KINDS.index(kind)] = 1
-        x[i, len(KINDS) : len(KINDS) + 3] = form, known, announced
-        x[i, len(KINDS) + 3 + size] = 1
-        x[i, len(KINDS) + 7 + digits] = 1
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):  # weighted logistic regression on soft labels
-        p = 1 / (1 + np.exp(-x @ w))
-        grad = x.T @ (counts * (p - soft)) / counts.sum() + 1e-4 * w
-        w -= 2.0 * grad
-    p = 1 / (1 + np.exp(-x @ w))
-    return {tuple(r[:-1]): float(v) for r, v in zip(patterns, p)}
-
-
-PATTERN = ("kind", "form", "known", "announced", "size", "digits")
+def classifier(patterns: list[tuple], rounds: int = 500) -> dict[str, list[float]]:
+    """Weights by value of the kind (as KINDS lists them) and of each feature, from (kind, features, count) tuples."""
+    sizes = {"kind": len(KINDS)} | FEATURES
+    ends = np.cumsum(list(sizes.values()))
+    w = np.zeros(ends[-1])
+    if patterns:
+        counts = np.array([r[-1] for r in patterns], float)
+        kinds = np.array([KINDS.index(r[0]) for r in patterns])
+        values = np.column_stack([kinds, np.array([r[1:-1] for r in patterns], int)])
+        soft = np.zeros(len(patterns))
+        for kind in np.unique(kinds):
+            own = kinds == kind
+            soft[own] = reliabilities(values[own, 1:4].astype(float), counts[own])
+        x = np.zeros((len(patterns), len(w)))
+        for j, first in enumerate(ends - list(sizes.values())):
+            x[np.arange(len(x)), first + values[:, j]] = 1
+        for _ in range(rounds):  # weighted logistic regression on soft labels
+            p = 1 / (1 + np.exp(-x @ w))
+            w -= 2.0 * (x.T @ (counts * (p - soft)) / counts.sum() + 1e-4 * w)
+    return {k: w[e - n : e].tolist() for (k, n), e in zip(sizes.items(), ends)}
+
+
+def probability(c: Column, weights: dict[str, list[float]]) -> Column:
+    """The classifier's probability of a candidate."""
+    listed = lambda k: F.array(*[F.lit(x) for x in weights[k]])
+    kind = F.array_position(F.array(*[F.lit(k) for k in KINDS]), c["kind"]).cast("int")
+    z = F.element_at(listed("kind"), kind)
+    for k in FEATURES:
+        z = z + F.element_at(listed(k), c[k] + 1)
+    return 1 / (1 + F.exp(-z))
+
+
+PATTERN = ("kind", *FEATURES)
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -196,11 +232,9 @@ def find(docs: DataFrame) -> DataFrame:
     held = cut(docs.select(F.struct(*[docs[f"`{c}`"] for c in own]).alias("row"), candidates(docs["text"]).alias("found")))
     counted = held.select(F.explode("found").alias("c")).groupBy(*[F.col(f"c.{k}").alias(k) for k in PATTERN]).agg(F.count("*").alias("n"))
     patterns = sorted(tuple(r) for r in counted.limit(MAX_PATTERNS).collect())  # the limit is above the number of patterns
-    model = classifier(patterns)
-    key = lambda c: F.concat_ws(":", *[c[k].cast("string") for k in PATTERN])
-    table = F.create_map(*[F.lit(v) for k, p in model.items() for v in (":".join(map(str, k)), p)]) if model else F.create_map().cast("map<string,double>")
+    weights = classifier(patterns)
     rank = F.create_map(*[F.lit(v) for i, k in enumerate(KINDS) for v in (k, i)])
-    scored = F.transform("found", lambda c: F.struct(F.element_at(rank, c["kind"]).alias("rank"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), c["base"].alias("base"), F.element_at(table, key(c)).alias("probability")))
+    scored = F.transform("found", lambda c: F.struct(F.element_at(rank, c["kind"]).alias("rank"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), c["base"].alias("base"), probability(c, weights).alias("probability")))
     # the table is small: ids and spans
     spans = cut(held.select("row", scored.alias("scored")))
 

@@ -119,8 +119,8 @@ QUERIES["op7_language"] = op7_language
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and statements of every document."""
-    own = F.col("license")
-    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    own, docs = F.col("license"), table(spark, sf_dir, "documents")
+    return licenses.scan(docs, carry=[docs["doc_id"]]).select(
         "row.doc_id",
         own["n_words"].alias("n_words"),
         F.size(own["places"]).cast("long").alias("n_base"),
@@ -145,7 +145,8 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(k) for k in personal_data.BASE]
-    return found.select("row.doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    added = (F.size("spans") - F.size(base)).cast("long").alias("n_added")
+    return found.select("row.doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), added)
 
 
 QUERIES["op9_personal_data"] = op9_personal_data

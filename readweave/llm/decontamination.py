@@ -51,13 +51,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, max_bro
     small = sum(sizes.values()) <= max_broadcast_windows
     ws = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(ascii_lower(F.col("text"))).alias("ws")).withColumn("hashes", hashed(F.col("ws")))
 
-    def of_width(width: int) -> Column:
-        starts = F.when(F.size("hashes") >= width, F.sequence(F.lit(0), F.size("hashes") - width)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(width).alias("width"), F.xxhash64(F.slice("hashes", i + 1, width)).alias("gram_hash")))
-
-    seen = ws.select("doc_id", "text_key", "ws", F.explode(F.concat(*[of_width(w) for w in sorted(sizes) or [window]])).alias("w")).select("doc_id", "text_key", "ws", "w.*")
-    # the hash finds, the words themselves decide
-    same = (F.col("width") == F.col("item_width")) & (F.array_join(F.slice("ws", F.col("pos") + 1, F.col("width")), " ") == F.col("item_gram"))
+    # places are rows before they are hashed, so hashes are compiled code over one array and make no arrays of their own
+    places = F.when(F.size("ws") > 0, F.sequence(F.lit(0), F.size("ws") - 1)).otherwise(F.array().cast("array<int>"))
+    at = ws.select("doc_id", "text_key", "ws", "hashes", F.explode(places).alias("pos"))
+    each = [F.struct(F.lit(w).alias("width"), F.xxhash64(*[F.get("hashes", F.col("pos") + k) for k in range(w)]).alias("gram_hash")) for w in sorted(sizes) or [window]]
+    seen = at.select("doc_id", "text_key", "ws", "pos", F.explode(F.array(*each)).alias("w")) if len(each) > 1 else at.withColumn("w", each[0])
+    seen = seen.select("doc_id", "text_key", "ws", "pos", "w.*").filter(F.col("pos") + F.col("width") <= F.size("ws"))
+    # the hash finds, the words themselves decide; as an equality they would be a join key, made for every window
+    gram = F.array_join(F.slice("ws", F.col("pos") + 1, F.col("width")), " ")
+    same = (F.col("width") == F.col("item_width")) & (gram <= F.col("item_gram")) & (gram >= F.col("item_gram"))
     found = seen.join(F.broadcast(table) if small else table, "gram_hash").filter(same).select("doc_id", "text_key", F.struct("pos", "width").alias("span"), "items")
     per_doc = found.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.collect_set("items").alias("items"))
     return per_doc.withColumn("items", F.array_sort(F.array_distinct(F.flatten("items"))))

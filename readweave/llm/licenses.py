@@ -60,7 +60,7 @@ def template_grams(spark: SparkSession, templates: tuple[tuple[str, str], ...],
     df = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)], "template int, label string, text string")
     ws = df.select("template", "label", words(ascii_lower(F.col("text"))).alias("ws"))
     each = ws.select("template", "label", F.size("ws").alias("n_words"), F.explode(windows(F.col("ws"), k)).alias("w"))
-    return each.select("template", "label", "n_words", F.col("w.pos").alias("t"), F.col("w.gram").alias("own_gram"), F.xxhash64("w.gram").alias("gram_hash"))
+    return each.select("template", "label", "n_words", F.col("w.pos").alias("t"), F.col("w.gram").alias("own_gram"), F.xxhash64(F.transform(F.split("w.gram", " "), lambda w: F.xxhash64(w))).alias("gram_hash"))
 
 
 def spans(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, *, k: int = K, slack: int = SLACK, coverage: float = COVERAGE, max_broadcast_grams: int = MAX_BROADCAST_GRAMS) -> DataFrame:
@@ -68,10 +68,15 @@ def spans(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, *
     grams = template_grams(docs.sparkSession, templates, k)
     if grams.count() <= max_broadcast_grams:
         grams = F.broadcast(grams)
-    # words are a column of their own: windows() refers to it for every window
-    seen = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(ascii_lower(F.col("text"))).alias("ws"))
-    seen = seen.select("doc_id", "text_key", F.explode(windows(F.col("ws"), k)).alias("w")).select("doc_id", "text_key", F.col("w.pos").alias("p"), F.col("w.gram").alias("gram"), F.xxhash64("w.gram").alias("gram_hash"))
-    votes = seen.join(grams, "gram_hash").filter(F.col("gram") == F.col("own_gram"))
+    # places are rows before they are hashed, so hashes are compiled code over one array
+    ws = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(ascii_lower(F.col("text"))).alias("ws"))
+    ws = ws.withColumn("hashes", F.transform("ws", lambda w: F.xxhash64(w)))
+    places = F.when(F.size("ws") >= k, F.sequence(F.lit(0), F.size("ws") - k)).otherwise(F.array().cast("array<int>"))
+    seen = ws.select("doc_id", "text_key", "ws", "hashes", F.explode(places).alias("p"))
+    seen = seen.select("doc_id", "text_key", "ws", "p", F.xxhash64(*[F.get("hashes", F.col("p") + i) for i in range(k)]).alias("gram_hash"))
+    # as an equality the words would be a join key, made for every place
+    gram = F.array_join(F.slice("ws", F.col("p") + 1, k), " ")
+    votes = seen.join(grams, "gram_hash").filter((gram <= F.col("own_gram")) & (gram >= F.col("own_gram")))
     place = ["doc_id", "text_key", "template", "label", "n_words"]
     diagonals = votes.groupBy(*place, (F.col("p") - F.col("t")).alias("diagonal")).agg(F.collect_set("t").alias("ts"), F.collect_set("p").alias("ps"))
     along = W.partitionBy("doc_id", "text_key", "template").orderBy("diagonal")

@@ -56,13 +56,13 @@ def base_counts(seq: Column, base: str, first: int) -> tuple[Column, Column]:
     return n(F.left(seq, F.lit(first))), n(F.right(seq, F.lit(first)))
 
 
-def find_motif(rows: DataFrame, key: str, motif: str) -> DataFrame:
-    """All places (1-based, overlapping too) where a motif stands."""
+def find_motif(rows: DataFrame, key: str, motif: str, carried: tuple[str, ...] = ()) -> DataFrame:
+    """All places (1-based, overlapping too) where a motif stands, with carried columns."""
     k = len(motif)
     starts = F.sequence(F.lit(1), F.length("seq") - k + 1)
     # texts without the motif make no rows
     held = rows.filter(F.col("seq").contains(motif))
-    return held.select(key, F.explode(F.filter(starts, lambda i: F.substring(F.col("seq"), i, F.lit(k)) == motif)).alias("pos"))
+    return held.select(key, *carried, F.explode(F.filter(starts, lambda i: F.substring(F.col("seq"), i, F.lit(k)) == motif)).alias("pos"))
 
 
 def kmer_at(seq: Column, pos: Column, offsets: list[int]) -> Column:
@@ -106,7 +106,7 @@ def translate_codons(seq: Column) -> Column:
 
 def find_orfs(rows: DataFrame, key: str) -> DataFrame:
     """Every ATG: its place, the protein to the first stop or the end, its length, and whether it was stopped."""
-    at = find_motif(rows, key, "ATG").join(rows.select(key, "seq"), key)
+    at = find_motif(rows, key, "ATG", ("seq",))
     # codons up to a stop in frame; the rest is cut before translation
     reading = F.regexp_extract(F.substring(F.col("seq"), F.col("pos"), F.length("seq")), "^(?:(?!TAA|TAG|TGA)[ACGTN]{3})*+(TAA|TAG|TGA)?", 0)
     protein = at.select(key, "pos", translate_codons(reading).alias("p"))

@@ -75,3 +75,10 @@ def quantiles(rows: DataFrame, keys: list[str], x: Column, shares: tuple[float,
 def split_transcripts(rows: DataFrame, kind: Column) -> DataFrame:
     """Number of rows by class; classes without rows don't occur."""
     return rows.groupBy(kind.alias("class")).agg(F.count("*").alias("n"))
+
+
+def filter_second_quality(reads: DataFrame, span: DataFrame, least: int) -> DataFrame:
+    """Reads that touch no gene (see gene_span) need a quality of ``least``."""
+    touched = span.select("read_id").distinct().withColumn("_touched", F.lit(True))
+    found = reads.join(touched, "read_id", "left")
+    return found.filter(F.col("_touched").isNotNull() | (F.col("mapq") >= least)).drop("_touched")

@@ -82,12 +82,12 @@ def select_and_not(spark, sf_dir):
     return ct.select_and_not(named(spark, sf_dir), "^u3", ["_u1"])
 
 
-@query("select_terms", sql("k rd r", "SELECT read_id, cluster_key FROM k WHERE len(cluster_key) - len(replace(cluster_key, ',', '')) > 1 OR regexp_matches(cluster_key, 'CHINA')"))
+@query("select_terms", sql("k rd r", "SELECT read_id, cluster_key FROM k WHERE len(cluster_key) - len(replace(cluster_key, ',', '')) > 1 OR regexp_matches(cluster_key, 'NATION_7')"))
 def select_terms(spark, sf_dir):
     from .clusters import keyed
 
     k = F.col("cluster_key")
-    chosen = ct.term(k, F.lit("5_3"), "juncts>1") | ct.term(k, F.lit("5_3"), "CHINA")
+    chosen = ct.term(k, F.lit("5_3"), "juncts>1") | ct.term(k, F.lit("5_3"), "NATION_7")
     return keyed(spark, sf_dir).filter(chosen).select("read_id", "cluster_key")
 
 

@@ -42,6 +42,7 @@ def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").cast("int").alias("ord"),
         F.col("n_name").alias("gene"),
+        F.concat(F.lit("c"), F.col("n_nationkey") % 2).alias("g_chrom"),
         (first + 1).cast("int").alias("g_st"),
         (first + 100).cast("int").alias("g_en"),
         (F.col("n_regionkey") % 2 == 0).alias("g_fwd"),
@@ -66,6 +67,12 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", seq.alias("seq"))
 
 
+def halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id with the first half (a) and the second half (b) of every sequence; a base in the middle is left over."""
+    n = F.floor(F.length("seq") / 2).cast("int")
+    return sequences(spark, sf_dir).filter(F.length("seq") >= 2).select("id", F.substring(F.col("seq"), F.lit(1), n).alias("a"), F.substring(F.col("seq"), n + 1, n).alias("b"))
+
+
 def qualities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(F.abs(x) * 100).cast("int")).alias("q"))
 
@@ -79,13 +86,31 @@ def depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("source"), hour.alias("pos")).agg(F.count("*").alias("depth"), F.count_if(F.col("value") > 50).alias("errors"))
 
 
+#: Bases of a chromosome of `genome` before its tail of A.
+GENOME = 3900
+
+
+def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name and seq of two chromosomes: at every place the base that most sequences have there (by id), N where none reaches,
+    and a poly-A tail."""
+    s = sequences(spark, sf_dir)
+    bases = s.select(F.concat(F.lit("c"), F.col("id") % 2).alias("name"), F.posexplode(F.split(F.substring("seq", 1, GENOME), "")).alias("i", "base")).filter("base <> ''")
+    counted = bases.groupBy("name", "i", "base").agg(F.count("*").alias("n"))
+    best = counted.groupBy("name", "i").agg(F.max_by("base", F.col("n") * 4 + F.instr(F.lit("ACGT"), F.col("base"))).alias("base"))
+    grid = spark.range(GENOME).select(F.col("id").cast("int").alias("i"), F.explode(F.array(F.lit("c0"), F.lit("c1"))).alias("name"))
+    each = grid.join(best, ["name", "i"], "left").select("name", F.struct("i", F.coalesce("base", F.lit("N")).alias("base")).alias("x"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["base"]), "")
+    return each.groupBy("name").agg(F.concat(joined, F.lit("A" * 12)).alias("seq"))
+
+
 _DAY = "CAST(datediff('day', DATE '1992-01-01', CAST({} AS DATE)) AS INTEGER)"
 _SHIP, _ORDER = _DAY.format("l_shipdate"), _DAY.format("o_orderdate")
 SQL = {
     "b": f"SELECT l_orderkey AS read_id, l_linenumber AS blk, l_partkey AS pk, concat('s', l_orderkey % 3) AS source, concat('c', l_orderkey % 2) AS chrom, l_orderkey % 5 < 3 AS fwd, {_SHIP} + 1 AS st, {_SHIP} + CAST(l_quantity AS INTEGER) AS en, CAST(round(l_discount * 100) AS INTEGER) AS mapq, l_linenumber * 60 AS q1, l_linenumber * 60 + CAST(l_quantity AS INTEGER) - 1 AS q2 FROM lineitem",
-    "a": "SELECT CAST(n_nationkey AS INTEGER) AS ord, n_name AS gene, CAST(1001 + n_nationkey * 105 AS INTEGER) AS g_st, CAST(1100 + n_nationkey * 105 AS INTEGER) AS g_en, n_regionkey % 2 = 0 AS g_fwd, CAST(n_regionkey AS INTEGER) AS transcript FROM nation",
+    "a": "SELECT CAST(n_nationkey AS INTEGER) AS ord, n_name AS gene, concat('c', n_nationkey % 2) AS g_chrom, CAST(1001 + n_nationkey * 105 AS INTEGER) AS g_st, CAST(1100 + n_nationkey * 105 AS INTEGER) AS g_en, n_regionkey % 2 = 0 AS g_fwd, CAST(n_regionkey AS INTEGER) AS transcript FROM nation",
     "r": f"SELECT o_orderkey AS read_id, o_custkey % 50 AS cluster, o_orderstatus AS source, o_orderpriority AS type, {_ORDER} AS st, {_ORDER} + CAST(floor(o_totalprice / 1000) AS INTEGER) AS en FROM orders",
     "s": "SELECT doc_id AS id, source, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents",
+    "gn": f"WITH z AS (SELECT concat('c', id % 2) AS name, substr(seq, 1, {GENOME}) AS seq FROM s), x AS (SELECT name, unnest(range(0, len(seq))) AS i, unnest(string_split(seq, '')) AS base FROM z WHERE seq <> ''), y AS (SELECT name, i, arg_max(base, n * 4 + strpos('ACGT', base)) AS base FROM (SELECT name, i, base, count(*) AS n FROM x GROUP BY ALL) GROUP BY ALL), g AS (SELECT name, i FROM (VALUES ('c0'), ('c1')) t(name), range({GENOME}) r(i)) SELECT name, string_agg(coalesce(base, 'N'), '' ORDER BY i) || '{'A' * 12}' AS seq FROM g LEFT JOIN y USING (name, i) GROUP BY name",
     "q": "SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(abs(x) * 100) AS INTEGER)) AS q FROM embeddings",
     "c": "SELECT user_id AS id, event_type AS sample, count(*) AS n FROM events GROUP BY 1, 2",
     "d": "SELECT event_type AS source, CAST(floor((epoch_us(ts) - 1704067200000000) / 3600000000) AS INTEGER) AS pos, count(*) AS depth, count(*) FILTER (WHERE value > 50) AS errors FROM events GROUP BY 1, 2",
@@ -96,12 +121,12 @@ SQL = {
     "rd": "SELECT read_id, any_value(source) AS source, any_value(chrom) AS chrom, any_value(fwd) AS fwd, min(st) AS st, max(en) AS en, count(*) AS n_exons, list(st ORDER BY exon) AS sts, list(en ORDER BY exon) AS ens FROM e GROUP BY read_id",
     # key parts: start, left and right sides of gaps, end
     "e2": "SELECT *, lead(st) OVER (PARTITION BY read_id ORDER BY exon) AS next_st FROM e",
-    "pts": "SELECT read_id, exon AS i, en AS l, next_st AS r FROM e2 UNION ALL SELECT read_id, 0, st, NULL FROM rd",
-    "lab": "SELECT read_id, i, coalesce((SELECT max_by(gene, g_st) FROM a WHERE g_st <= l + 5), 'st') AS up, CASE WHEN r IS NULL THEN NULL ELSE coalesce((SELECT min_by(gene, g_st) FROM a WHERE g_st >= r - 5), 'end') END AS down FROM pts",
+    "pts": "SELECT read_id, chrom, exon AS i, en AS l, next_st AS r FROM e2 UNION ALL SELECT read_id, chrom, 0, st, NULL FROM rd",
+    "lab": "SELECT read_id, i, coalesce((SELECT max_by(gene, g_st) FROM a WHERE g_chrom = chrom AND g_st <= l + 5), 'st.' || chrom) AS up, CASE WHEN r IS NULL THEN NULL ELSE coalesce((SELECT min_by(gene, g_st) FROM a WHERE g_chrom = chrom AND g_st >= r - 5), 'end.' || chrom) END AS down FROM pts",
     "k": "SELECT read_id, string_agg(up || coalesce(',' || down, ''), '_' ORDER BY i) AS cluster_key FROM lab GROUP BY read_id",
     "kr": "SELECT rd.*, cluster_key FROM rd JOIN k USING (read_id)",
 }
-NEEDS = {"e": "b e0 e1 e", "rd": "b e0 e1 e rd", "pts": "b e0 e1 e rd e2 pts", "lab": "a b e0 e1 e rd e2 pts lab", "k": "a b e0 e1 e rd e2 pts lab k", "kr": "a b e0 e1 e rd e2 pts lab k kr"}
+NEEDS = {"gn": "s gn", "e": "b e0 e1 e", "rd": "b e0 e1 e rd", "pts": "b e0 e1 e rd e2 pts", "lab": "a b e0 e1 e rd e2 pts lab", "k": "a b e0 e1 e rd e2 pts lab k", "kr": "a b e0 e1 e rd e2 pts lab k kr"}
 
 
 def sql(names: str, body: str) -> str:

@@ -8,14 +8,14 @@ from pyspark.sql.window import Window as W
 from ..operators import counts as ct
 from ..operators import leftovers as lo
 from ..registry import query
-from .inputs import counts, depth, sequences, sql
+from .inputs import counts, depth, halves, sequences, sql
 
-_PAIR = "p AS (SELECT id, substr(seq, 1, 40) AS a, substr(seq, 41, 40) AS b FROM s WHERE len(seq) >= 80), m AS (SELECT id, CAST(101 + i AS INTEGER) AS pos, substr(a, i + 1, 1) AS base, substr(b, i + 1, 1) AS ref FROM (SELECT *, unnest(range(0, 40)) AS i FROM p))"
+_PAIR = "p AS (SELECT id, substr(seq, 1, len(seq) // 2) AS a, substr(seq, len(seq) // 2 + 1, len(seq) // 2) AS b FROM s WHERE len(seq) >= 2), m AS (SELECT id, CAST(101 + i AS INTEGER) AS pos, substr(a, i + 1, 1) AS base, substr(b, i + 1, 1) AS ref FROM (SELECT *, unnest(range(0, len(a))) AS i FROM p))"
 
 
 def matches(spark, sf_dir):
-    s = sequences(spark, sf_dir).filter(F.length("seq") >= 80)
-    return lo.base_matches(s.select("id", F.substring("seq", 1, 40).alias("a"), F.substring("seq", 41, 40).alias("b")), "id", F.lit(101))
+    """First halves of all sequences as reads, second halves as their reference."""
+    return lo.base_matches(halves(spark, sf_dir), "id", F.lit(101))
 
 
 @query("base_matches", sql("s", f"WITH {_PAIR} SELECT *, CAST(base <> ref AS INTEGER) AS error FROM m"))

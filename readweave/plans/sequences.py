@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import sequences as sq
 from ..registry import query
-from .inputs import blocks, reads, sequences, sql
+from .inputs import blocks, halves, reads, sequences, sql
 
 
 @query("reverse_complement", sql("s", "SELECT id, reverse(translate(seq, 'ACGTUacgtu', 'TGCAAtgcaa')) AS rc FROM s"))
@@ -50,9 +50,9 @@ def extract_region(spark, sf_dir):
     return sequences(spark, sf_dir).select("id", F.substring("seq", 11, 30).alias("region"))
 
 
-@query("kmer_at", sql("s", "SELECT id, CASE WHEN len(seq) >= 1 THEN '-' || substr(seq, 1, 1) ELSE '--' END || CASE WHEN len(seq) >= 2 THEN substr(seq, 2, 1) ELSE '-' END AS kmer FROM s"))
+@query("kmer_at", sql("s", "SELECT id, CASE WHEN m >= 2 THEN substr(seq, m - 1, 1) ELSE '-' END || CASE WHEN m >= 1 THEN substr(seq, m, 1) ELSE '-' END || CASE WHEN m + 1 <= len(seq) THEN substr(seq, m + 1, 1) ELSE '-' END AS kmer FROM (SELECT *, len(seq) // 2 AS m FROM s)"))
 def kmer_at(spark, sf_dir):
-    return sequences(spark, sf_dir).select("id", sq.kmer_at(F.col("seq"), F.lit(1), [-1, 0, 1]).alias("kmer"))
+    return sequences(spark, sf_dir).select("id", sq.kmer_at(F.col("seq"), F.floor(F.length("seq") / 2).cast("int"), [-1, 0, 1]).alias("kmer"))
 
 
 _KM = "km AS (SELECT source, substr(seq, i, 3) AS kmer FROM (SELECT source, seq, unnest(range(1, len(seq) - 1)) AS i FROM s)), n AS (SELECT kmer, count(*) AS all_n, count(*) FILTER (WHERE source = 'web') AS own_n FROM km GROUP BY 1)"
@@ -82,32 +82,28 @@ def find_orfs(spark, sf_dir):
     return sq.find_orfs(sequences(spark, sf_dir), "id")
 
 
-_PAIR = "p AS (SELECT id, substr(seq, 1, 40) AS a, substr(seq, 41, 40) AS b FROM s WHERE len(seq) >= 80)"
+_PAIR = "p AS (SELECT id, substr(seq, 1, len(seq) // 2) AS a, substr(seq, len(seq) // 2 + 1, len(seq) // 2) AS b FROM s WHERE len(seq) >= 2)"
 
 
-def _pairs(spark, sf_dir):
-    return sequences(spark, sf_dir).filter(F.length("seq") >= 80).select("id", F.substring("seq", 1, 40).alias("a"), F.substring("seq", 41, 40).alias("b"))
-
-
-@query("identity", sql("s", f"WITH {_PAIR} SELECT id, round(len(list_filter(range(1, 41), lambda i: substr(a, i, 1) = substr(b, i, 1))) / 40, 9) AS share FROM p"))
+@query("identity", sql("s", f"WITH {_PAIR} SELECT id, round(len(list_filter(range(1, len(a) + 1), lambda i: substr(a, i, 1) = substr(b, i, 1))) / len(a), 9) AS share FROM p"))
 def identity(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("id", F.round(sq.identity(F.col("a"), F.col("b")), 9).alias("share"))
+    return halves(spark, sf_dir).select("id", F.round(sq.identity(F.col("a"), F.col("b")), 9).alias("share"))
 
 
-@query("project_to_reference", sql("s", f"WITH {_PAIR} SELECT id, array_to_string(list_transform(list_filter(range(1, 41), lambda i: substr(a, i, 1) <> 'T'), lambda i: CASE WHEN substr(a, i, 1) = substr(b, i, 1) THEN substr(b, i, 1) ELSE lower(substr(b, i, 1)) END), '') AS projected FROM p"))
+@query("project_to_reference", sql("s", f"WITH {_PAIR} SELECT id, array_to_string(list_transform(list_filter(range(1, len(a) + 1), lambda i: substr(a, i, 1) <> 'T'), lambda i: CASE WHEN substr(a, i, 1) = substr(b, i, 1) THEN substr(b, i, 1) ELSE lower(substr(b, i, 1)) END), '') AS projected FROM p"))
 def project_to_reference(spark, sf_dir):
     gapped = F.translate("a", "T", "-")
-    return _pairs(spark, sf_dir).select("id", sq.project_to_reference(gapped, F.col("b")).alias("projected"))
+    return halves(spark, sf_dir).select("id", sq.project_to_reference(gapped, F.col("b")).alias("projected"))
 
 
-@query("indels_from_pairs", sql("s", f"WITH {_PAIR}, c AS (SELECT id, a, b, unnest(range(1, 41)) AS i FROM p), g AS (SELECT *, i - row_number() OVER (PARTITION BY id ORDER BY i) AS run FROM c WHERE substr(a, i, 1) = 'T') SELECT id, CAST(len(replace(substr(any_value(a), 1, min(i) - 1), 'T', '')) AS INTEGER) AS pos, string_agg(substr(b, i, 1), '' ORDER BY i) AS bases FROM g GROUP BY id, run"))
-def indels_from_pairs(spark, sf_dir):
-    return sq.indels_from_pairs(_pairs(spark, sf_dir).withColumn("a", F.translate("a", "T", "-")), "id", "a", "b")
+@query("indels_from_pairs", sql("s", f"WITH {_PAIR}, c AS (SELECT id, a, b, unnest(range(1, len(a) + 1)) AS i FROM p), g AS (SELECT *, i - row_number() OVER (PARTITION BY id ORDER BY i) AS run FROM c WHERE substr(a, i, 1) = 'T') SELECT id, CAST(len(replace(substr(any_value(a), 1, min(i) - 1), 'T', '')) AS INTEGER) AS pos, string_agg(substr(b, i, 1), '' ORDER BY i) AS bases FROM g GROUP BY id, run"))
+def indels_fromhalves(spark, sf_dir):
+    return sq.indels_from_pairs(halves(spark, sf_dir).withColumn("a", F.translate("a", "T", "-")), "id", "a", "b")
 
 
 @query("nw_cost")
 def nw_cost(spark, sf_dir):
-    return sq.nw_cost(_pairs(spark, sf_dir), "a", "b").select("id", "cost")
+    return sq.nw_cost(halves(spark, sf_dir), "a", "b").select("id", "cost")
 
 
 @query("break_flanks", sql("s", "SELECT id, CAST(pos AS INTEGER) AS pos, CAST(k AS INTEGER) AS k, substr(seq, greatest(1, pos - k + 1), least(k, pos)) AS left, substr(seq, pos + 1, k) AS right FROM (SELECT id, seq, unnest([10, 40]) AS pos FROM s) CROSS JOIN (SELECT unnest([5, 10, 15, 20, 30]) AS k)").replace(" AS left,", ' AS "left",').replace(" AS right ", ' AS "right" '))

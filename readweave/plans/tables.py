@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..operators import structure as st
+from ..operators import intervals as iv
 from ..operators import tables as tb
 from ..registry import query
-from .inputs import blocks, depth, reads, sql
+from .inputs import blocks, depth, genes, reads, sql
+from .structure import exons
 
 _FLAG = "fl AS (SELECT *, CASE blk % 4 WHEN 0 THEN 4 WHEN 1 THEN 0 WHEN 2 THEN 256 ELSE 2048 END AS flag FROM b)"
 
@@ -80,9 +81,9 @@ def table_replace(spark, sf_dir):
     return tb.table_replace(rows, "source", names)
 
 
-@query("table_sort", sql("r", "SELECT read_id, en FROM r ORDER BY en DESC, read_id LIMIT 200"))
+@query("table_sort", sql("r", "SELECT read_id, en FROM r ORDER BY en DESC, read_id"))
 def table_sort(spark, sf_dir):
-    return reads(spark, sf_dir).orderBy(F.desc("en"), "read_id").limit(200).select("read_id", "en")
+    return reads(spark, sf_dir).orderBy(F.desc("en"), "read_id").select("read_id", "en")
 
 
 @query("read_list_semi", sql("r b", "SELECT read_id, st FROM r WHERE read_id IN (SELECT read_id FROM b WHERE mapq >= 9)"))
@@ -138,10 +139,10 @@ def error_distribution(spark, sf_dir):
     return found.select("source", *[F.round(c, 9).alias(c) for c in ("q25", "q50", "q75")])
 
 
-@query("filter_second_quality", sql("b", "SELECT read_id, pk, mapq FROM b WHERE NOT (st > 2000 AND mapq < 6)"))
+@query("filter_second_quality", sql("a e rd b", "WITH q AS (SELECT read_id, min(mapq) AS mapq FROM b GROUP BY 1), h AS (SELECT DISTINCT read_id FROM e JOIN a ON g_chrom = chrom AND (st BETWEEN g_st - 5 AND g_en + 5 OR en BETWEEN g_st - 5 AND g_en + 5)) SELECT read_id, mapq FROM q WHERE mapq >= 3 OR read_id IN (SELECT read_id FROM h)"))
 def filter_second_quality(spark, sf_dir):
-    missed = F.col("st") > 2000  # blocks past the last gene
-    return blocks(spark, sf_dir).filter(~(missed & (F.col("mapq") < 6))).select("read_id", "pk", "mapq")
+    q = blocks(spark, sf_dir).groupBy("read_id").agg(F.min("mapq").alias("mapq"))
+    return tb.filter_second_quality(q, iv.gene_span(exons(spark, sf_dir), genes(spark, sf_dir)), 3)
 
 
 @query("filter_transcripts", sql("kr", "SELECT read_id, st, en, cluster_key FROM kr WHERE st < 1500 AND en >= 2000 AND starts_with(cluster_key, 'st')"))

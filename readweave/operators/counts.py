@@ -146,10 +146,23 @@ def group_zero_counts(counts: DataFrame, a: list[str], b: list[str]) -> DataFram
     return out.agg(*aggs).withColumn("difference", F.col("mean_b") - F.col("mean_a"))
 
 
-def classify(difference: Column, zeros_a: Column, zeros_b: Column, least: float) -> Column:
-    """up, down or none by a difference; rows that a group lacks altogether are spurious."""
-    spurious = (zeros_a > 0) & (zeros_b > 0)
-    return F.when(spurious, "spurious").when(difference >= least, "up").when(difference <= -least, "down").otherwise("none")
+def compared(groups: DataFrame, pseudo: float = 0.5) -> DataFrame:
+    """Rows of `group_zero_counts` with log2 of the fold change, a p value and its adjusted form.
+
+    The p value is Cantelli's bound 1 / (1 + z^2) for the difference of two counts whose variance is their sum.
+    """
+    from .depth import bh_adjust
+
+    z2 = F.try_divide(F.pow(F.col("difference"), F.lit(2.0)), F.col("mean_a") + F.col("mean_b"))
+    tested = groups.withColumn("log2fc", F.log2((F.col("mean_b") + pseudo) / (F.col("mean_a") + pseudo))).withColumn("p", 1 / (1 + F.coalesce(z2, F.lit(0.0))))
+    return tested.join(bh_adjust(tested.select("id", "p"), "p", "id").select("id", "padj"), "id")
+
+
+def classify(padj: Column, log2fc: Column, zeros_a: Column, zeros_b: Column, most: float, least: float, spurious: bool = True) -> Column:
+    """up, down or none by adjusted p and log2 of the fold change; rows with zeros in both groups are spurious on request."""
+    out = F.when((zeros_a > 0) & (zeros_b > 0), "spurious") if spurious else F.when(F.lit(False), "")
+    sure = padj <= most
+    return out.when(sure & (log2fc >= least), "up").when(sure & (log2fc <= -least), "down").otherwise("none")
 
 
 def binomial_ci(hits: Column, of: Column, z: float = Z) -> tuple[Column, Column, Column]:

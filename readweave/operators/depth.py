@@ -82,13 +82,22 @@ def depth_valley(depth: DataFrame, keys: list[str], share: float = 0.1) -> DataF
 def bh_adjust(tests: DataFrame, p: str, key: str) -> DataFrame:
     """Benjamini-Hochberg: p times m over rank, made monotone from the largest p down.
 
-    Equal p values share the rank of the last of them, so ranks and minima need distinct p values only.
+    Equal p values share the rank of the last of them, so ranks and minima need distinct p values only. They are dealt to
+    buckets by their logarithm (at most about 1.1 million: what numbers in double precision allow), summed by bucket, and
+    ranked inside, so no task sees them all.
     """
-    m = F.broadcast(tests.filter(F.col(p).isNotNull()).agg(F.count("*").alias("m")))
-    distinct = tests.filter(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("_n"))
-    ranked = distinct.withColumn("_rank", F.sum("_n").over(W.orderBy(p).rowsBetween(W.unboundedPreceding, W.currentRow))).crossJoin(m)
+    m = F.broadcast(tests.filter(F.col(p).isNotNull()).agg(F.count("*").alias("m")))  # one row
+    bucket = F.when(F.col(p) > 0, F.floor(F.log2(p) * 1024)).otherwise(-2_000_000)
+    distinct = tests.filter(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("_n")).withColumn("_bucket", bucket)
+    upto = lambda w: w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = distinct.groupBy("_bucket").agg(F.sum("_n").alias("_s"))
+    sums = sums.select("_bucket", (F.sum("_s").over(upto(W.orderBy("_bucket"))) - F.col("_s")).alias("_before"))
+    ranked = distinct.join(sums, "_bucket").withColumn("_rank", F.col("_before") + F.sum("_n").over(upto(W.partitionBy("_bucket").orderBy(p)))).crossJoin(m)
     raw = ranked.withColumn("_raw", F.col(p) * F.col("m") / F.col("_rank"))
-    padj = raw.withColumn("padj", F.least(F.lit(1.0), F.min("_raw").over(W.orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, W.currentRow)))).select(F.col(p).alias("_p"), "padj")
+    least = raw.groupBy("_bucket").agg(F.min("_raw").alias("_l"))
+    least = least.select("_bucket", F.min("_l").over(W.orderBy(F.desc("_bucket")).rowsBetween(W.unboundedPreceding, -1)).alias("_above"))
+    inside = F.min("_raw").over(upto(W.partitionBy("_bucket").orderBy(F.desc(p))))
+    padj = raw.join(least, "_bucket").withColumn("padj", F.least(F.lit(1.0), inside, "_above")).select(F.col(p).alias("_p"), "padj")
     return tests.join(padj, F.col(p) == F.col("_p"), "left").select(key, p, "padj")
 
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("structure", "clusters", "quality", "counts", "sequences", "tables", "leftovers")
+MODULES: tuple[str, ...] = ("structure", "clusters", "quality", "counts", "sequences", "tables", "leftovers", "segments")
 
 
 def load() -> None:

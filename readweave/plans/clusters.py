@@ -142,9 +142,9 @@ def fusion_breakpoints(spark, sf_dir):
     return b.join(other, "read_id").filter("chrom <> other").groupBy("chrom", "other", "source").agg(F.count("*").alias("n"))
 
 
-@query("breakpoint_cross", _cells('SELECT l.level, l."left", r."right" FROM (SELECT DISTINCT level, "left" FROM cells WHERE n > 1) l JOIN (SELECT DISTINCT level, "right" FROM cells WHERE n > 1) r USING (level)'))
+@query("breakpoint_cross", _cells('SELECT DISTINCT level, "left", "right" FROM cells'))
 def breakpoint_cross(spark, sf_dir):
-    return bp.breakpoint_cross(cells(spark, sf_dir).filter("n > 1"), observed=False)
+    return bp.breakpoint_cross(cells(spark, sf_dir))
 
 
 @query("depth_at_pairs", _cells('WITH t AS (SELECT source, "left", "right", CAST(sum(n) AS BIGINT) AS n FROM cells GROUP BY ALL) SELECT p."left", p."right", s.source, coalesce(t.n, 0) AS n FROM (SELECT DISTINCT "left", "right" FROM t) p CROSS JOIN (SELECT DISTINCT source FROM t) s LEFT JOIN t ON t."left" = p."left" AND t."right" = p."right" AND t.source = s.source'))

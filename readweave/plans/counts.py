@@ -131,10 +131,16 @@ def group_zero_counts(spark, sf_dir):
     return ct.group_zero_counts(counts(spark, sf_dir), ["click", "view"], ["error", "signup"])
 
 
-@query("classify_de", sql("c", f"WITH {_Z} SELECT id, CASE WHEN zeros_a > 0 AND zeros_b > 0 THEN 'spurious' WHEN mean_b - mean_a >= 1 THEN 'up' WHEN mean_b - mean_a <= -1 THEN 'down' ELSE 'none' END AS class FROM z"))
+_PADJ = f"{_Z}, pv AS (SELECT *, log2((mean_b + 0.5::DOUBLE) / (mean_a + 0.5::DOUBLE)) AS log2fc, 1 / (1 + coalesce((mean_b - mean_a) ** 2 / nullif(mean_a + mean_b, 0), 0)) AS p FROM z), rk AS (SELECT *, p * count(*) OVER () / (rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1) AS raw FROM pv), ad AS (SELECT *, least(1.0, min(raw) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS padj FROM rk)"
+
+
+def compared(spark, sf_dir):
+    return ct.compared(ct.group_zero_counts(counts(spark, sf_dir), ["click", "view"], ["error", "signup"]))
+
+
+@query("classify_de", sql("c", f"WITH {_PADJ} SELECT id, CASE WHEN zeros_a > 0 AND zeros_b > 0 THEN 'spurious' WHEN padj <= 0.9 AND log2fc >= 0.5 THEN 'up' WHEN padj <= 0.9 AND log2fc <= -0.5 THEN 'down' ELSE 'none' END AS class FROM ad"))
 def classify_de(spark, sf_dir):
-    found = ct.group_zero_counts(counts(spark, sf_dir), ["click", "view"], ["error", "signup"])
-    return found.select("id", ct.classify(F.col("difference"), F.col("zeros_a"), F.col("zeros_b"), 1.0).alias("class"))
+    return compared(spark, sf_dir).select("id", ct.classify(F.col("padj"), F.col("log2fc"), F.col("zeros_a"), F.col("zeros_b"), 0.9, 0.5).alias("class"))
 
 
 _CI = f"p AS (SELECT id, sample, n, total, n / total AS share FROM c JOIN t USING (sample)), ci AS (SELECT *, ({ct.Z} * {ct.Z}) AS z2 FROM p)"
@@ -234,10 +240,6 @@ def sum_by_level(spark, sf_dir):
     return found.filter("_n > 3").drop("_n")
 
 
-@query("order_by_padj", sql("c", f"WITH {_Z} SELECT id, mean_b - mean_a AS difference, CAST(row_number() OVER (ORDER BY mean_b - mean_a, id) AS INTEGER) AS rank FROM z ORDER BY difference, id LIMIT 50"))
+@query("order_by_padj", sql("c", f"WITH {_PADJ} SELECT id, round(log2fc, 9) AS log2fc, round(padj, 9) AS padj FROM ad ORDER BY padj NULLS LAST, id"))
 def order_by_padj(spark, sf_dir):
-    from pyspark.sql.window import Window as W
-
-    found = ct.group_zero_counts(counts(spark, sf_dir), ["click", "view"], ["error", "signup"]).select("id", "difference")
-    top = found.orderBy(F.asc_nulls_last("difference"), "id").limit(50)
-    return top.withColumn("rank", F.row_number().over(W.orderBy(F.asc_nulls_last("difference"), "id")))
+    return compared(spark, sf_dir).orderBy(F.asc_nulls_last("padj"), "id").select("id", F.round("log2fc", 9).alias("log2fc"), F.round("padj", 9).alias("padj"))

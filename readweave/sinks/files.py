@@ -33,6 +33,12 @@ def sink_annot_counts(rows: DataFrame, path: str, sources: list[str]) -> None:
     sink_table(rows.groupBy("gene").agg(*cells), path)
 
 
+def sink_annotation_summary(genes: DataFrame, path: str) -> None:
+    """Gene id, name, description and type, one line for each gene."""
+    columns = ["id", "name", "description", "type"]
+    sink_table(genes.select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns]).dropDuplicates(["id"]), path)
+
+
 def feature_counts(rows: DataFrame) -> DataFrame:
     """Geneid, Chr, Start, End, Strand, Length, with ``;``-joined exons, from id, chrom, fwd, sts, ens and counts."""
     strand = F.when(F.col("fwd"), "+").otherwise("-")

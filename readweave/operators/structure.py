@@ -86,12 +86,22 @@ def strand_suffix(key: Column, fwd: Column) -> Column:
 
 
 def merge_supplementary(primary: DataFrame, extra: DataFrame) -> DataFrame:
-    """Breaks of a read's primary blocks and of those extra blocks that overlap no primary block, on the reference or the read."""
-    p, x = primary.alias("p"), extra.alias("x")
-    meets = (F.col("p.read_id") == F.col("x.read_id")) & (((F.col("p.st") <= F.col("x.en")) & (F.col("x.st") <= F.col("p.en"))) | ((F.col("p.q1") <= F.col("x.q2")) & (F.col("x.q1") <= F.col("p.q2"))))
-    free = x.join(p, meets, "left_anti").join(primary.select("read_id").distinct(), "read_id", "left_semi")
-    both = primary.select("read_id", "st", "en").unionByName(free.select("read_id", "st", "en"))
-    return both.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("st", "en"))).alias("x")).select("read_id", F.flatten(F.transform("x", lambda s: F.array(s["st"], s["en"]))).alias("breaks"))
+    """Breaks of a read's primary blocks and of those extra blocks on its strand that are free, on the reference and on the
+    read, of the primary blocks and of all extra ones accepted before them (by st, en, q1).
+
+    A read's blocks are few, so each read is decided by one aggregate over its own array.
+    """
+    block = F.struct("st", "en", "q1", "q2")
+    own = primary.groupBy("read_id").agg(F.first("fwd").alias("fwd"), F.collect_list(block).alias("held"))
+    more = extra.groupBy("read_id", "fwd").agg(F.array_sort(F.collect_list(block)).alias("more"))
+    both = own.join(more, ["read_id", "fwd"], "left").withColumn("more", F.coalesce("more", F.array().cast("array<struct<st:int,en:int,q1:int,q2:int>>")))
+
+    def take(held: Column, x: Column) -> Column:
+        meets = F.exists(held, lambda h: ((h["st"] <= x["en"]) & (x["st"] <= h["en"])) | ((h["q1"] <= x["q2"]) & (x["q1"] <= h["q2"])))
+        return F.when(meets, held).otherwise(F.concat(held, F.array(x)))
+
+    kept = F.array_sort(F.aggregate("more", F.col("held"), take))
+    return both.select("read_id", F.flatten(F.transform(kept, lambda s: F.array(s["st"], s["en"]))).alias("breaks"))
 
 
 def joined(a: Column, sep: str = ",") -> Column:

@@ -106,8 +106,13 @@ def key_host(spark, sf_dir):
     return iv.cluster_key_host(exons(spark, sf_dir), genes(spark, sf_dir), 40, 100)
 
 
-@query("merge_supplementary", sql("b", "WITH p AS (SELECT * FROM b WHERE blk <= 2), x AS (SELECT * FROM b WHERE blk > 2 AND read_id IN (SELECT read_id FROM p)), f AS (SELECT read_id, st, en FROM x WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.read_id = x.read_id AND ((p.st <= x.en AND x.st <= p.en) OR (p.q1 <= x.q2 AND x.q1 <= p.q2)))), u AS (SELECT read_id, st, en FROM p UNION ALL SELECT * FROM f) SELECT read_id, string_agg(st || ',' || en, ',' ORDER BY st, en) AS breaks FROM u GROUP BY read_id"))
+_SUPP = "x AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY st, en, q1, q2) AS k FROM b WHERE blk > 2), p AS (SELECT read_id, list({'st': st, 'en': en, 'q1': q1, 'q2': q2}) AS held, 0::BIGINT AS k FROM b WHERE blk <= 2 GROUP BY 1)"
+_FREE = "len(list_filter(held, lambda h: (h.st <= x.en AND x.st <= h.en) OR (h.q1 <= x.q2 AND x.q1 <= h.q2))) = 0"
+
+
+@query("merge_supplementary", sql("b", f"WITH RECURSIVE {_SUPP}, m AS (SELECT read_id, held, k FROM p UNION ALL SELECT m.read_id, CASE WHEN {_FREE} THEN list_append(held, {{'st': x.st, 'en': x.en, 'q1': x.q1, 'q2': x.q2}}) ELSE held END, x.k FROM m JOIN x ON x.read_id = m.read_id AND x.k = m.k + 1), f AS (SELECT read_id, unnest(arg_max(held, k)) AS s FROM m GROUP BY 1) SELECT read_id, string_agg(s.st || ',' || s.en, ',' ORDER BY s.st, s.en) AS breaks FROM f GROUP BY 1"))
 def merge_supplementary(spark, sf_dir):
+    """A read's blocks are on one strand here; the test of literal rows has both."""
     b = blocks(spark, sf_dir)
     return st.merge_supplementary(b.filter("blk <= 2"), b.filter("blk > 2")).select("read_id", st.joined(F.col("breaks")).alias("breaks"))
 

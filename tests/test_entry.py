@@ -17,6 +17,11 @@ def test_entry_has_rows(spark):
     assert contract.entry(spark).count() > 0
 
 
+def test_entry_in_a_process_of_its_own():
+    code = "import __spark_entry__ as c; from pyspark.sql import SparkSession as S; assert c.entry(S.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()).limit(1).count() == 1"
+    subprocess.run([sys.executable, "-c", code], cwd=TOP, check=True)
+
+
 def test_works_without_the_corpus_operators():
     code = "import sys; sys.modules['readweave.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as c; assert len(c.queries()) > 50 and 'pipeline' not in c.queries(); c.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=TOP, check=True)

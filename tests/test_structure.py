@@ -27,3 +27,12 @@ def breaks(spark):
 @pytest.mark.parametrize("i", range(len(CASES)))
 def test_breaks(breaks, i):
     assert breaks[i] == CASES[i][2]
+
+
+def test_supplementary_blocks_join_one_by_one(spark):
+    """Of extra blocks only those on the read's strand, and only those free of all that was accepted before them."""
+    names = "read_id long, fwd boolean, st int, en int, q1 int, q2 int"
+    primary = spark.createDataFrame([(1, True, 100, 200, 1, 100)], names)
+    extra = spark.createDataFrame([(1, True, 300, 400, 101, 200), (1, True, 390, 500, 201, 300), (1, False, 600, 700, 301, 400), (1, True, 800, 900, 90, 120), (2, True, 1, 5, 1, 5)], names)
+    got = st.merge_supplementary(primary, extra).collect()
+    assert [(r["read_id"], r["breaks"]) for r in got] == [(1, [100, 200, 300, 400])]

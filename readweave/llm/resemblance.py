@@ -5,8 +5,9 @@ is ``LEAST`` or more. Candidates share one of 64 blocks of 16 bits of a SimHash
 ``CHECKED`` of 128 further bits; each is then verified on the sets themselves, so no link is wrong. Of pairs at exactly
 0.8 the blocks are expected to find 99 in 100 (0.8485 ** 16 for a block), of pairs at 0.85 more than 999 in 1000.
 
-Equal sets are one class and are compared once. A cell with very many candidates first gives those of its least member;
-what this leaves unlinked is compared in full in a second round, so a large group costs rows in proportion to its size.
+Equal sets are one class and are compared once. A cell with more candidates than members first gives those of its least
+member only; what this leaves unlinked is compared in later rounds, over all blocks and in full, so a large group costs rows
+in proportion to its size, and no link between components is lost.
 
 Defined results: null and empty texts and texts of white space are one class; a text of fewer words than a shingle is one
 shingle; `deduplicate` keeps one row of each component, that of the smallest doc_id (null last) and, where several texts
@@ -33,8 +34,10 @@ SHARED, ALL = 5, 4
 BLOCKS, CHECKED = 64, 34
 #: Words of 64 bits: 16 for the blocks and two to check candidates by.
 WORDS = BLOCKS // 4 + 2
-#: A larger cell with more candidates than so many for each member is left to the second round.
-DENSE = 8
+#: A cell with more candidates than so many for each member is left to the second round.
+DENSE = 1
+#: Blocks of the first round.
+FIRST = 3
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -128,6 +131,11 @@ def candidates(keyed: DataFrame, whole: bool) -> DataFrame:
                 for k in range(0, len(at), step):
                     i, j = (at[k : k + step, None] + x).ravel(), (at[k : k + step, None] + y).ravel()
                     ok = near(i, j) & ((keys[1][i] == keys[2][i]) | (chunk[i] != chunk[j]))
+                    dense = ok.reshape(-1, len(x)).sum(axis=1) > DENSE * size
+                    if not whole and dense.any():
+                        # rows are sorted by id: pairs of the first member are those of the least
+                        ok &= ~np.repeat(dense, len(x)) | np.tile(x == 0, len(dense))
+                        left_out += keys[0][at[k : k + step][dense]].tolist()
                     yield pairs(i[ok], j[ok])
             for k in np.flatnonzero(sizes > STACKED).tolist():
                 own = np.arange(bounds[k], bounds[k + 1])
@@ -188,18 +196,29 @@ def verified(pairs: DataFrame, named: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def roots_of_keys(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """key and root (a key of the component) for every distinct set of shingles."""
+    """key and root (a key of the component) for every distinct set of shingles.
+
+    The first round looks at FIRST blocks only, so a large group's pairs are made a few times, not once for each block; the
+    second looks at all blocks, the third at those cells that the second left out, both for pairs not linked yet.
+    """
     named = cut(rows.groupBy("key").agg(F.min("text_key").alias("text_key"), F.first(F.struct("blocks", "c1", "c2")).alias("x")).select("key", "text_key", "x.*"))
-    keyed = named.select(F.explode(F.col("blocks").cast("array<long>")).alias("block"), F.col("key").alias("id"), "c1", "c2")
-    first = cut(candidates(keyed.withColumn("label", F.col("id")), False))
-    pairs = cut(first.filter("block IS NULL").select("src", "dst").distinct())
+
+    def labelled(roots: DataFrame | None) -> DataFrame:
+        found = named.withColumn("label", F.col("key")) if roots is None else named.join(roots, named["key"] == roots["id"], "left").withColumn("label", F.coalesce("root", "key")).drop("id", "root")
+        return found.select(F.explode(F.col("blocks").cast("array<long>")).alias("block"), F.col("key").alias("id"), "c1", "c2", "label")
+
+    few = labelled(None).filter(F.shiftright("block", 16) < FIRST)
+    pairs = cut(candidates(few, False).filter("block IS NULL").select("src", "dst").distinct())
     links = cut(verified(pairs, named, docs))
     roots = components.connected(links)
-    left_out = first.filter("block IS NOT NULL").select("block").distinct()
+    again = cut(candidates(labelled(roots), False))
+    more = cut(again.filter("block IS NULL").select("src", "dst").distinct().join(pairs, ["src", "dst"], "left_anti"))
+    links, pairs = links.unionByName(cut(verified(more, named, docs))), pairs.unionByName(more)
+    roots = components.connected(links)
+    left_out = again.filter("block IS NOT NULL").select("block").distinct()
     if not left_out.isEmpty():
-        labels = named.join(roots, named["key"] == roots["id"], "left").select("key", F.coalesce("root", "key").alias("label"))
-        again = keyed.join(left_out, "block", "left_semi").join(labels, F.col("id") == F.col("key")).drop("key")
-        more = cut(candidates(again, True).select("src", "dst").filter("src IS NOT NULL").distinct().join(pairs, ["src", "dst"], "left_anti"))
+        whole = candidates(labelled(roots).join(left_out, "block", "left_semi"), True)
+        more = cut(whole.select("src", "dst").filter("src IS NOT NULL").distinct().join(pairs, ["src", "dst"], "left_anti"))
         links = links.unionByName(cut(verified(more, named, docs)))
         roots = components.connected(links)
     return named.join(roots, named["key"] == roots["id"], "left").select("key", F.coalesce("root", "key").alias("root"))

@@ -6,8 +6,9 @@ is ``LEAST`` or more. Candidates share one of 64 blocks of 16 bits of a SimHash
 0.8 the blocks are expected to find 99 in 100 (0.8485 ** 16 for a block), of pairs at 0.85 more than 999 in 1000.
 
 Equal sets are one class and are compared once. A cell with more candidates than members first gives those of its least
-member only; what this leaves unlinked is compared in later rounds, over all blocks and in full, so a large group costs rows
-in proportion to its size, and no link between components is lost.
+member only; what this leaves unlinked is compared in later rounds, over all blocks and in full. There the sets of the
+members come to the cell, pairs not linked yet are verified in it, and links that connect the members leave it, never the
+pairs: a large group costs rows in proportion to its size, and no link between components is lost.
 
 Defined results: null and empty texts and texts of white space are one class; a text of fewer words than a shingle is one
 shingle; `deduplicate` keeps one row of each component, that of the smallest doc_id (null last) and, where several texts
@@ -32,10 +33,14 @@ SHINGLE = 5
 #: Near copies have five times the shared shingles at least four times all shingles: a similarity of 0.8.
 SHARED, ALL = 5, 4
 BLOCKS, CHECKED = 64, 34
+#: Before sets are compared in a dense cell, all 1024 bits are: 3.6 deviations above 155, the mean at 0.8, as CHECKED is of 128.
+CHECKED_ALL = 196
 #: Words of 64 bits: 16 for the blocks and two to check candidates by.
 WORDS = BLOCKS // 4 + 2
-#: A cell with more candidates than so many for each member is left to the second round.
+#: A cell with more candidates than so many for each member is dense, and left to the last round.
 DENSE = 1
+#: The last round takes the blocks in so many parts, one after the other, as sets travel once for each dense block.
+PARTS = 4
 #: Blocks of the first round.
 FIRST = 3
 
@@ -94,19 +99,22 @@ def prints(docs: DataFrame) -> DataFrame:
 
 
 def _cells(keyed: DataFrame) -> DataFrame:
-    """Rows of blocks dealt to cells (block, a, b), sorted. Blocks are found large by the sixteenth of ids that a hash picks; only the cut into cells depends on it."""
+    """Rows of blocks dealt to cells (block, a, b). Blocks are found large by the sixteenth of ids that a hash picks; only the cut into cells depends on it."""
     large = keyed.filter("pmod(xxhash64(id, 16), 16) = 0").groupBy("block").agg((F.count("*") * 16).alias("n")).filter(F.col("n") > CELL // 2)
     sized = keyed.join(F.broadcast(large), "block", "left").withColumn("chunks", F.coalesce(F.ceil(F.col("n") / CELL), F.lit(1)).cast("int")).drop("n")
     sized = sized.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     spread = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-    spread = spread.withColumn("a", F.least("chunk", "other")).withColumn("b", F.greatest("chunk", "other")).drop("other")
-    return spread.repartition("block", "a", "b").sortWithinPartitions("block", "a", "b", "id")
+    return spread.withColumn("a", F.least("chunk", "other")).withColumn("b", F.greatest("chunk", "other")).drop("other")
 
 
-def candidates(keyed: DataFrame, whole: bool) -> DataFrame:
+def _sorted(cells: DataFrame) -> DataFrame:
+    return cells.repartition("block", "a", "b").sortWithinPartitions("block", "a", "b", "id")
+
+
+def candidates(keyed: DataFrame) -> DataFrame:
     """Pairs (src > dst) of a block whose checked bits and labels allow a link, block null.
 
-    If not ``whole``, a cell with very many gives those of its least member only and a row with src null and its block.
+    A dense cell gives those of its least member only and a row with src null and its block.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +140,7 @@ def candidates(keyed: DataFrame, whole: bool) -> DataFrame:
                     i, j = (at[k : k + step, None] + x).ravel(), (at[k : k + step, None] + y).ravel()
                     ok = near(i, j) & ((keys[1][i] == keys[2][i]) | (chunk[i] != chunk[j]))
                     dense = ok.reshape(-1, len(x)).sum(axis=1) > DENSE * size
-                    if not whole and dense.any():
+                    if dense.any():
                         # rows are sorted by id: pairs of the first member are those of the least
                         ok &= ~np.repeat(dense, len(x)) | np.tile(x == 0, len(dense))
                         left_out += keys[0][at[k : k + step][dense]].tolist()
@@ -150,7 +158,7 @@ def candidates(keyed: DataFrame, whole: bool) -> DataFrame:
                     ok = (i < j) if a == b else np.ones(len(i), bool)
                     parts.append((i[ok], j[ok]))
                     seen += int(ok.sum())
-                if whole or seen <= DENSE * len(own):
+                if seen <= DENSE * len(own):
                     yield from (pairs(i, j) for i, j in parts)
                     continue
                 # rows are sorted by id: the least member is the first
@@ -160,15 +168,62 @@ def candidates(keyed: DataFrame, whole: bool) -> DataFrame:
                 left_out.append(int(keys[0][own[0]]))
             yield pa.RecordBatch.from_arrays([pa.nulls(len(left_out), pa.int64()), pa.nulls(len(left_out), pa.int64()), pa.array(left_out, pa.int64())], ["src", "dst", "block"])
 
-    return _cells(keyed).mapInArrow(run, "src long, dst long, block long")
+    return _sorted(_cells(keyed)).mapInArrow(run, "src long, dst long, block long")
 
 
-def verified(pairs: DataFrame, named: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the distinct pairs of keys whose sets are similar enough."""
-    ends = pairs.select("src", "dst", F.explode(F.array("src", "dst")).alias("id"))
-    ids = ends.select("id").distinct().join(named.select(F.col("key").alias("id"), "text_key"), "id").select("text_key")
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return SHARED * both >= ALL * (len(a) + len(b) - both)
+
+
+def linked_within(keyed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (src, dst) that connect what is similar enough in each cell of ``keyed`` (with ``blocks``) and not linked by its label yet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in sorted_cells(batches, ("block", "a", "b"), 1 << 11):
+            keys = [t[k].to_numpy() for k in ("block", "a", "b")]
+            ids, chunk, label = (t[k].to_numpy() for k in ("id", "chunk", "label"))
+            c1, c2 = (t[c].to_numpy().view(np.uint64) for c in ("c1", "c2"))
+            # the low half of a block's key
+            words = t["blocks"].combine_chunks().flatten().to_numpy().astype(np.uint16).reshape(t.num_rows, BLOCKS).view(np.uint64)
+            lists = t["found"].combine_chunks()
+            offsets, hashes = lists.offsets.to_numpy(), lists.values.to_numpy()
+            src, dst, bounds = [], [], runs(keys)
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                own, parent = np.arange(lo, hi), {}
+
+                def find(x: int, parent: dict[int, int] = parent) -> int:
+                    while (up := parent.get(x, x)) != x:
+                        parent[x] = parent.get(up, up)
+                        x = up
+                    return x
+
+                same = keys[1][lo] == keys[2][lo]
+                left, right = (own, own) if same else (own[chunk[own] == keys[1][lo]], own[chunk[own] == keys[2][lo]])
+                step = max(1, (PAIRS >> 4) // max(1, len(right)))
+                for r in range(0, len(left), step):
+                    x, y = left[r : r + step, None], right[None, :]
+                    bits = np.bitwise_count(c1[x] ^ c1[y]).astype(np.int16) + np.bitwise_count(c2[x] ^ c2[y])
+                    i, j = np.nonzero((bits <= CHECKED) & (label[x] != label[y]) & ((x < y) | (not same)))
+                    i, j = left[r : r + step][i], right[j]
+                    ok = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int32) <= CHECKED_ALL
+                    for u, v in zip(i[ok].tolist(), j[ok].tolist()):
+                        p, q = find(int(label[u])), find(int(label[v]))
+                        if p != q and _similar(hashes[offsets[u] : offsets[u + 1]], hashes[offsets[v] : offsets[v + 1]]):
+                            parent[max(p, q)] = min(p, q)
+                            src.append(int(ids[u]))
+                            dst.append(int(ids[v]))
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    met = _cells(keyed).join(sets, "id").select("block", "a", "b", "chunk", "id", "label", "c1", "c2", "blocks", "found")
+    return _sorted(met).mapInArrow(run, "src long, dst long")
+
+
+def sets_of(ids: DataFrame, named: DataFrame, docs: DataFrame) -> DataFrame:
+    """id and found, the set of shingles, for the keys in ``ids``; more than once where a hash stands for several texts."""
+    keys = ids.join(named.select(F.col("key").alias("id"), "text_key"), "id").select("text_key")
     # of many copies of a text one is read
-    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(ids, "text_key", "left_semi").dropDuplicates(["text_key"]).select("text")
+    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(keys, "text_key", "left_semi").dropDuplicates(["text_key"]).select("text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -177,6 +232,13 @@ def verified(pairs: DataFrame, named: DataFrame, docs: DataFrame) -> DataFrame:
             found = [shingles(t.as_py()) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(x.tobytes(), 7) for x in found], pa.uint64()).view(pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["id", "found"])
 
+    return texts.mapInArrow(read, "id long, found array<long>")
+
+
+def verified(pairs: DataFrame, named: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the distinct pairs of keys whose sets are similar enough."""
+    ends = pairs.select("src", "dst", F.explode(F.array("src", "dst")).alias("id"))
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in sorted_cells(batches, ("src", "dst"), 1 << 12):
             src, dst, own = (t[k].to_numpy() for k in ("src", "dst", "id"))
@@ -186,12 +248,11 @@ def verified(pairs: DataFrame, named: DataFrame, docs: DataFrame) -> DataFrame:
                 # an id that stands in two rows of docs may be there twice
                 x, y = (at + int(np.argmax(own[at:end] == side[at])) for side in (src, dst))
                 a, b = lists[x].values.to_numpy(), lists[y].values.to_numpy()
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if SHARED * both >= ALL * (len(a) + len(b) - both):
+                if _similar(a, b):
                     kept.append(at)
             yield pa.RecordBatch.from_arrays([pa.array(src[kept]), pa.array(dst[kept])], ["src", "dst"])
 
-    met = ends.join(texts.mapInArrow(read, "id long, found array<long>"), "id").repartition("src", "dst").sortWithinPartitions("src", "dst")
+    met = ends.join(sets_of(ends.select("id").distinct(), named, docs), "id").repartition("src", "dst").sortWithinPartitions("src", "dst")
     return met.select("src", "dst", "id", "found").mapInArrow(compare, "src long, dst long")
 
 
@@ -199,27 +260,28 @@ def roots_of_keys(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """key and root (a key of the component) for every distinct set of shingles.
 
     The first round looks at FIRST blocks only, so a large group's pairs are made a few times, not once for each block; the
-    second looks at all blocks, the third at those cells that the second left out, both for pairs not linked yet.
+    second looks at all blocks, the last inside the blocks that the second left out, both for pairs not linked yet.
     """
     named = cut(rows.groupBy("key").agg(F.min("text_key").alias("text_key"), F.first(F.struct("blocks", "c1", "c2")).alias("x")).select("key", "text_key", "x.*"))
 
     def labelled(roots: DataFrame | None) -> DataFrame:
         found = named.withColumn("label", F.col("key")) if roots is None else named.join(roots, named["key"] == roots["id"], "left").withColumn("label", F.coalesce("root", "key")).drop("id", "root")
-        return found.select(F.explode(F.col("blocks").cast("array<long>")).alias("block"), F.col("key").alias("id"), "c1", "c2", "label")
+        return found.select(F.explode(F.col("blocks").cast("array<long>")).alias("block"), F.col("key").alias("id"), "c1", "c2", "label", "blocks")
 
-    few = labelled(None).filter(F.shiftright("block", 16) < FIRST)
-    pairs = cut(candidates(few, False).filter("block IS NULL").select("src", "dst").distinct())
+    few = labelled(None).drop("blocks").filter(F.shiftright("block", 16) < FIRST)
+    pairs = cut(candidates(few).filter("block IS NULL").select("src", "dst").distinct())
     links = cut(verified(pairs, named, docs))
     roots = components.connected(links)
-    again = cut(candidates(labelled(roots), False))
+    again = cut(candidates(labelled(roots).drop("blocks")))
     more = cut(again.filter("block IS NULL").select("src", "dst").distinct().join(pairs, ["src", "dst"], "left_anti"))
-    links, pairs = links.unionByName(cut(verified(more, named, docs))), pairs.unionByName(more)
+    links = links.unionByName(cut(verified(more, named, docs)))
     roots = components.connected(links)
     left_out = again.filter("block IS NOT NULL").select("block").distinct()
     if not left_out.isEmpty():
-        whole = candidates(labelled(roots).join(left_out, "block", "left_semi"), True)
-        more = cut(whole.select("src", "dst").filter("src IS NOT NULL").distinct().join(pairs, ["src", "dst"], "left_anti"))
-        links = links.unionByName(cut(verified(more, named, docs)))
+        dense = cut(labelled(roots).join(left_out, "block", "left_semi"))
+        sets = cut(sets_of(dense.select("id").distinct(), named, docs).dropDuplicates(["id"]))
+        for k in range(PARTS):
+            links = links.unionByName(cut(linked_within(dense.filter(F.shiftright("block", 16) % PARTS == k), sets)))
         roots = components.connected(links)
     return named.join(roots, named["key"] == roots["id"], "left").select("key", F.coalesce("root", "key").alias("root"))
 

@@ -77,3 +77,37 @@ def test_rows_not_ids_are_kept(spark):
     got = sorted(r["root"] for r in resemblance.deduplicate(docs).collect())
     assert got == [1, 2, 3, 5]
     assert sorted(r["root"] for r in simhash.deduplicate(docs).collect()) == [1, 2, 3, 5]
+
+
+@pytest.mark.parametrize("cell", [16, 2048])
+def test_dense_blocks_are_linked_within_cells(spark, texts, near, monkeypatch, cell):
+    """One block of all texts, cut in several cells or not: links are near, fewer than members of each cell, and connect what pairs connect."""
+    monkeypatch.setattr(resemblance, "CELL", cell)
+    of = {}
+    for i, t in enumerate(texts):
+        of.setdefault(frozenset(sets(t)), i)
+    ids = sorted(of.values())
+    found = {i: resemblance.shingles(texts[i]) for i in ids}
+    words = {i: resemblance.fingerprint(found[i]) for i in ids}
+    blocks = {i: [k << 16 | int(b) for k, b in enumerate(words[i][:-2].view(np.uint16))] for i in ids}
+    c = {i: words[i][-2:].view(np.int64).tolist() for i in ids}
+    keyed = spark.createDataFrame([(7, i, *c[i], i, blocks[i]) for i in ids], "block long, id long, c1 long, c2 long, label long, blocks array<int>")
+    own = spark.createDataFrame([(i, found[i].view(np.int64).tolist()) for i in ids], "id long, found array<long>")
+    links = [(r["src"], r["dst"]) for r in resemblance.linked_within(keyed, own).collect()]
+    pairs = {(a, b) for a, b in near if a in found and b in found}
+    assert all((a, b) in pairs or (b, a) in pairs for a, b in links)
+    assert len(links) < len(ids) if cell > len(ids) else len(links) < len(pairs)
+
+    def roots(edges):
+        top = {i: i for i in ids}
+
+        def find(x):
+            while top[x] != x:
+                x = top[x]
+            return x
+
+        for a, b in edges:
+            top[max(find(a), find(b))] = min(find(a), find(b))
+        return [find(i) for i in ids]
+
+    assert roots(links) == roots(pairs)

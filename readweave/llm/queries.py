@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, language, language_model, licenses, mixing, personal_data, sharding, simhash, toxicity
+from . import collocations, decontamination, embeddings, language, language_model, licenses, mixing, personal_data, secrets, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -168,3 +168,55 @@ def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_language_model"] = op2_language_model
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collocations of every language."""
+    return collocations.mine(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+QUERIES["op12_collocations"] = op12_collocations
+ORACLES["op12_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+ws AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, len AS k, array_to_string(w[i:i + len - 1], ' ') AS phrase
+  FROM (SELECT lang, w, len, unnest(range(1, len(w) - len + 2)) AS i FROM ws CROSS JOIN (VALUES (1), (2), (3)) AS l(len) WHERE len(w) >= len)),
+f AS (SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS f FROM grams GROUP BY ALL HAVING count(*) >= 10),
+totals AS (SELECT lang, count(*) AS n FROM grams WHERE k = 1 GROUP BY lang),
+cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.f AS a, cut, x.f AS l, y.f AS r, (1000000 * c.f * c.f) // (x.f * y.f) AS score
+  FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM f WHERE k > 1) AS c
+  JOIN f AS x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:cut], ' ')
+  JOIN f AS y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (
+  SELECT lang, part, max(f) AS f
+  FROM (SELECT lang, f, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part FROM (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k = 3))
+  GROUP BY ALL),
+stays AS (SELECT b.* FROM best AS b LEFT JOIN longer AS g ON g.lang = b.lang AND g.part = b.phrase WHERE b.k = 3 OR g.f IS NULL OR 100 * g.f < 50 * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM stays)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets of every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.find(docs, carry=[docs["doc_id"]])
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in secrets.BASE]
+    added = (F.size("spans") - F.size(base)).cast("long").alias("n_added")
+    return found.select("row.doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), added)
+
+
+QUERIES["op13_secrets"] = op13_secrets

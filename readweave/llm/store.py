@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,8 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: its lineage ends here.
+def cut(df: DataFrame, *by: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder, in parts by the columns ``by``, and read it back: its lineage ends here.
 
     The files are in a store that outlives executors, so a lost executor costs only its running tasks. What the write
     shuffled is removed when it ends.
@@ -33,7 +34,7 @@ def cut(df: DataFrame) -> DataFrame:
     before = spark.conf.get(FREED, None)
     spark.conf.set(FREED, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
     finally:
         if before is None:
             spark.conf.unset(FREED)
@@ -46,7 +47,7 @@ def drop(*tables: DataFrame) -> None:
     """Remove tables made by `cut` that nothing reads any more."""
     for df in tables:
         spark = df.sparkSession
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        for path in {re.sub(r"(/table-[^/]*)/.*", r"\1", f) for f in df.inputFiles()}:
             if "/table-" in path:
                 folder = spark._jvm.org.apache.hadoop.fs.Path(path)
                 folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -6,10 +6,11 @@ first word) reached the threshold, and is counted for one full cycle from there,
 active phrase sees each shard once. The scans end when every active phrase has completed its cycle: three cycles for
 phrases of three words at most.
 
-Which phrases have reached the threshold, and after which scan, is kept in a table of 2^24 bytes by hash: its size is fixed,
-so it can travel to all workers. Counts are summed by the phrase's 64-bit hash for this. Phrases that share a slot or a hash
-are activated early at most, together, and for one full cycle all the same: they cost counting, never a count. The counts
-that are returned are summed by language and words.
+The counters of this are slots of a table of fixed size, by the phrase's hash, that stop at the threshold; so are the scans
+after which slots reached it. The table of scans is at most 64 MB (2^26 slots of a byte) and travels to all workers. Phrases
+that share a slot are activated early at most, and for a full cycle all the same. One scan more counts the phrases whose slots
+reached the threshold by their words: these counts are returned, so slots that are shared cost time, never a count. On a
+corpus so large that most slots are reached the scans prune less, and the last one counts more phrases.
 
 Defined results: a null text counts as empty, a null language as `und`; a phrase never crosses a document, a piece or a
 language; equal documents count as often as they are there; an empty table gives an empty table; extra columns are ignored,
@@ -33,93 +34,145 @@ from .store import cut, drop
 BREAKS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 #: Languages are called so where none is given.
 UNKNOWN = "und"
-#: Slots of the table of activated phrases, in bits, and the value of a slot that is not reached.
-SLOTS, NEVER = 24, 255
+#: Slots in bits, at least and at most; between them there is a slot for eight bytes of text. The value of a slot not reached.
+SLOTS, NEVER = (16, 26), 255
+#: Slots that are summed together.
+PART = 1 << 15
 #: Bytes of text that are counted together before counts are handed on.
 CHUNK = 12 << 20
 
 #: No byte of UTF-8: it stands for a break.
 MARK = b"\xff"
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + BREAKS + BLANKS, b"abcdefghijklmnopqrstuvwxyz" + MARK * len(BREAKS) + b" " * len(BLANKS))
-COUNTS = "lang string, words int, phrase string, code long, since int, n long"
-
-
-def counted(lang: str, text: bytes, reached: np.ndarray, step: int, cycle: int, longest: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the active phrases of a text whose breaks are marked."""
-    listed = pa.array(text.split(), pa.binary()).dictionary_encode()
-    codes, known = listed.indices.to_numpy().astype(np.int64), listed.dictionary
-    seed = xxhash.xxh64_intdigest(lang.encode())
-    hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in known.to_pylist()], np.uint64)
-    mark = known.index(pa.scalar(MARK, pa.binary())).as_py()
-    is_word = codes != mark
-    mask = np.uint64(len(reached) - 1)
-
-    def made(words: int, at: np.ndarray, since: np.ndarray, n: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
-        phrase = known.take(pa.array(codes[at]))
-        if words > 1:
-            phrase = pc.binary_join_element_wise(*[known.take(pa.array(codes[at + i])) for i in range(words)], b" ")
-        size = len(at)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([lang]).take(pa.array(np.zeros(size, np.int32))), pa.array(np.full(size, words, np.int32)), phrase.cast(pa.string()), pa.array(code.view(np.int64)), pa.array(since.astype(np.int32)), pa.array(n.astype(np.int64))],
-            ["lang", "words", "phrase", "code", "since", "n"],
-        )
-
-    if step < cycle:
-        kinds, first, n = np.unique(codes[is_word], return_index=True, return_counts=True)
-        yield made(1, np.flatnonzero(is_word)[first], np.zeros(len(kinds)), n, hashes[kinds])
-    # of the phrase that starts at each place: its hash, its number, and the scan after which it was reached
-    code, number, got = hashes[codes], codes, np.where(is_word, reached[hashes[codes] & mask], NEVER)
-    for words in range(2, longest + 1):
-        both = (got[:-1] < NEVER) & (got[1:] < NEVER)
+
+
+class Places:
+    """The words of a text whose breaks are marked, and of the phrase that starts at each place: its hash and when its slot was reached."""
+
+    def __init__(self, lang: str, text: bytes, reached: np.ndarray):
+        listed = pa.array(text.split(), pa.binary()).dictionary_encode()
+        self.codes, self.known, self.reached = listed.indices.to_numpy().astype(np.int64), listed.dictionary, reached
+        seed = xxhash.xxh64_intdigest(lang.encode())
+        self.hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in self.known.to_pylist()], np.uint64)
+        self.mask = np.uint64(len(reached) - 1)
+        self.is_word = self.codes != self.known.index(pa.scalar(MARK, pa.binary())).as_py()
+        self.code = self.hashes[self.codes]
+        self.got = np.where(self.is_word, reached[self.code & self.mask], NEVER)
+
+    def longer(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Go on to phrases of so many words: their places and the first scan that counts each. Both subphrases are reached."""
+        both = (self.got[:-1] < NEVER) & (self.got[1:] < NEVER)
         at = np.flatnonzero(both)
-        since = np.maximum(got[:-1], got[1:])[at].astype(np.int64) + 1
-        last = codes[at + words - 1]
-        own = (code[at] ^ (code[at] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + hashes[last]
-        _, first, same, n = np.unique(number[at] * len(known) + last, return_index=True, return_inverse=True, return_counts=True)
-        on = (since[first] <= step) & (step < since[first] + cycle)
-        first, n = first[on], n[on]
-        yield made(words, at[first], since[first], n, own[first])
-        size = len(both)
-        code, number, got = np.zeros(size, np.uint64), np.zeros(size, np.int64), np.full(size, NEVER, np.uint8)
-        code[at], number[at], got[at] = own, same, reached[own & mask]
-
-
-def scan(shard: DataFrame, reached: np.ndarray, step: int, cycle: int, longest: int) -> DataFrame:
-    """Counts of the phrases that are active in this scan (lang, words, phrase, code, since, n), in parts to be summed."""
+        since = np.maximum(self.got[:-1], self.got[1:])[at].astype(np.int64) + 1
+        old = self.code[at]
+        own = (old ^ (old >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + self.hashes[self.codes[at + words - 1]]
+        self.code, self.got = np.zeros(len(both), np.uint64), np.full(len(both), NEVER, np.uint8)
+        seen = self.reached[own & self.mask]
+        # a slot can be reached before by others: this phrase is reached after its own first scan at the earliest
+        self.code[at], self.got[at] = own, np.where(seen < NEVER, np.maximum(seen, since), NEVER)
+        return at, since
+
+    def phrases(self, at: np.ndarray, words: int) -> pa.Array:
+        parts = [self.known.take(pa.array(self.codes[at + i])) for i in range(words)]
+        return (pc.binary_join_element_wise(*parts, b" ") if words > 1 else parts[0]).cast(pa.string())
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    """Texts of one language together, lower-cased and with breaks marked, from batches of (lang, text)."""
+    held: dict[str, list[bytes]] = {}
+    size = 0
+
+    def flush() -> Iterator[tuple[str, bytes]]:
+        for lang, texts in held.items():
+            yield lang, MARK.join([MARK, *texts]).translate(FOLD).replace(MARK, b" \xff ")
+        held.clear()
+
+    for b in batches:
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+            held.setdefault(lang, []).append(text)
+            size += len(text)
+            if size >= CHUNK:
+                yield from flush()
+                size = 0
+    yield from flush()
+
+
+def scan(shard: DataFrame, reached: np.ndarray, step: int, cycle: int, longest: int, least: int) -> DataFrame:
+    """Counts by slot of the phrases that are active in this scan, in parts of the table: part, slots (two bytes each; null: all
+    of the part) and counts, that stop at ``least``."""
     known = shard.sparkSession.sparkContext.broadcast(reached)
+    kind = np.min_scalar_type(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[bytes]] = {}
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for lang, texts in held.items():
-                whole = MARK.join([MARK, *texts])
-                yield from counted(lang, whole.translate(FOLD).replace(MARK, b" \xff "), known.value, step, cycle, longest)
-            held.clear()
+        counts = np.zeros(len(known.value), kind)
+
+        def count(codes: np.ndarray, n: np.ndarray | None = None) -> None:
+            slots, at, times = np.unique(codes & np.uint64(len(counts) - 1), return_inverse=True, return_counts=True)
+            if n is not None:
+                times = np.bincount(at, n, len(slots)).astype(np.int64)
+            counts[slots] = np.minimum(least, counts[slots] + times)
+
+        for lang, text in chunks(batches):
+            p = Places(lang, text, known.value)
+            if step < cycle:
+                n = np.bincount(p.codes[p.is_word], minlength=len(p.known))
+                count(p.hashes[n > 0], n[n > 0])
+            for words in range(2, longest + 1):
+                at, since = p.longer(words)
+                count(p.code[at[(since <= step) & (step < since + cycle)]])
+        used = np.flatnonzero(counts)
+        for part, own in zip(np.unique(used // PART).tolist(), np.split(used, np.flatnonzero(np.diff(used // PART)) + 1)):
+            whole = 3 * len(own) > PART
+            slots = None if whole else (own % PART).astype(np.uint16).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([slots], pa.binary()), pa.array([(counts[part * PART : (part + 1) * PART] if whole else counts[own]).tobytes()], pa.binary())], ["part", "slots", "counts"])
+
+    return shard.select("lang", "text").mapInArrow(run, "part int, slots binary, counts binary")
+
+
+def summed(parts: DataFrame, least: int) -> DataFrame:
+    """Counts of each part of the table (part, slots null, counts) and the slots that have reached ``least``, as bits."""
+    kind = np.min_scalar_type(least)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}  # the table's parts are dealt out: no task has more than its share of them
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
-                held.setdefault(lang, []).append(text)
-                size += len(text)
-                if size >= CHUNK:
-                    yield from flush()
-                    size = 0
-        yield from flush()
+            for part, slots, counts in zip(*[b.column(i).to_pylist() for i in range(3)]):
+                total = held.setdefault(part, np.zeros(PART, kind))
+                at = slice(None) if slots is None else np.frombuffer(slots, np.uint16)
+                total[at] = np.minimum(least, total[at].astype(np.int64) + np.frombuffer(counts, kind))
+        for part, total in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([None], pa.binary()), pa.array([total.tobytes()]), pa.array([np.packbits(total >= least).tobytes()])], ["part", "slots", "counts", "bits"])
 
-    return shard.select("lang", "text").mapInArrow(run, COUNTS)
+    return parts.repartition("part").mapInArrow(run, "part int, slots binary, counts binary, bits binary")
 
 
-def newly_reached(parts: DataFrame, step: int, cycle: int, least: int) -> np.ndarray:
-    """Slots of the phrases that are still counted and have reached the threshold; one bitmap of fixed size reaches the driver."""
-    still = parts.filter((F.col("since") + cycle) > step).groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    slot = F.col("code").bitwiseAND((1 << SLOTS) - 1) + 1
-    maps = still.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    out = np.zeros(1 << SLOTS, bool)
-    for part, bits in maps.collect():  # at most 2^24 / 2^15 rows of 4 KB
-        on = np.unpackbits(np.frombuffer(bytes(bits), np.uint8), bitorder="little")
-        out[(part - 1) * len(on) : part * len(on)] = on
-    return out
+def exact(docs: DataFrame, reached: np.ndarray, longest: int) -> DataFrame:
+    """Counts, in parts to be summed, of the phrases whose slots and whose subphrases' slots are reached (lang, words, phrase, n);
+    words 0: all word occurrences of a language."""
+    known = docs.sparkSession.sparkContext.broadcast(reached)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, text in chunks(batches):
+            p = Places(lang, text, known.value)
+            number = p.codes
+            at = np.flatnonzero(p.is_word)
+            out = [(0, pa.array([""]), np.array([len(at)]))]
+            for words in range(1, longest + 1):
+                if words > 1:
+                    at, _ = p.longer(words)
+                    key = number[at] * len(p.known) + p.codes[at + words - 1]
+                else:
+                    key = number[at]
+                on = p.got[at] < NEVER
+                at = at[on]
+                _, first, same, n = np.unique(key[on], return_index=True, return_inverse=True, return_counts=True)
+                number = np.full(len(p.got), -1)  # longer phrases start only where this one is reached
+                number[at] = same
+                out.append((words, p.phrases(at[first], words), n))
+            for words, phrases, n in out:
+                yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(n), np.int32))), pa.array(np.full(len(n), words, np.int32)), phrases, pa.array(n.astype(np.int64))], ["lang", "words", "phrase", "n"])
+
+    return docs.select("lang", "text").mapInArrow(run, "lang string, words int, phrase string, n long")
 
 
 def frequent(docs: DataFrame, longest: int = 3, least: int = 10, shards: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -130,36 +183,27 @@ def frequent(docs: DataFrame, longest: int = 3, least: int = 10, shards: int = 3
     # rows are dealt in turn, so copies of one text don't crowd a shard; what is in which shard changes no count
     own = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit(UNKNOWN)).alias("lang"), docs["text"].alias("text"), (F.monotonically_increasing_id() % shards).cast("int").alias("shard"))
     dealt = cut(own.filter(F.length("text") > 0), "shard")
-    reached = np.full(1 << SLOTS, NEVER, np.uint8)
-    steps: list[DataFrame] = []
-    step, last = 0, -shards
-    while step <= max(shards - 1, last + shards):
-        steps.append(cut(scan(dealt.filter(F.col("shard") == step % shards), reached, step, shards, longest)))
-        if longest > 1:
-            parts = steps[0]
-            for more in steps[1:]:
-                parts = parts.unionByName(more)
-            new = newly_reached(parts.filter(F.col("words") < longest), step, shards, least) & (reached == NEVER)
-            if new.any():
-                last = step
-                reached = np.where(new, np.uint8(step), reached)
+    size = dealt.agg(F.sum(F.octet_length("text"))).first()[0] or 1
+    reached = np.full(1 << min(SLOTS[1], max(SLOTS[0], (size // 8).bit_length())), NEVER, np.uint8)
+    table, step, last = None, 0, -shards
+    # a slot reached by others can hold a phrase up by a scan for each further word
+    while step < longest * shards and step <= max(shards - 1, last + shards + longest - 2):
+        parts = scan(dealt.filter(F.col("shard") == step % shards), reached, step, shards, longest, least)
+        before = table
+        table = cut(summed(parts if before is None else before.drop("bits").unionByName(parts), least))
+        if before is not None:
+            drop(before)
+        new = np.zeros(len(reached), bool)
+        for part, bits in table.select("part", "bits").collect():  # at most 2^11 rows of 4 KB
+            new[part * PART : (part + 1) * PART] = np.unpackbits(np.frombuffer(bits, np.uint8))
+        new &= reached == NEVER
+        if new.any():
+            last = step
+            reached = np.where(new, np.uint8(step), reached)
         step += 1
-    parts = steps[0]
-    for more in steps[1:]:
-        parts = parts.unionByName(more)
-    known = docs.sparkSession.sparkContext.broadcast(reached)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a phrase that extends to longer ones and occurs often enough has reached its slot
-        for b in batches:
-            slots = b.column(3).to_numpy() & ((1 << SLOTS) - 1)
-            yield b.filter(pa.array((known.value[slots] < NEVER) | (b.column(1).to_numpy() == longest))).select([0, 1, 2, 5])
-
-    able = parts.mapInArrow(run, "lang string, words int, phrase string, n long") if longest > 1 else parts
-    often = cut(able.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least))
-    totals = cut(parts.filter("words = 1").groupBy("lang").agg(F.sum("n").alias("n")))
-    drop(dealt, *steps)
-    return often, totals
+    counts = cut(exact(dealt, reached, longest).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("words") == 0)))
+    drop(dealt, table)
+    return counts.filter("words > 0").withColumnRenamed("n", "f"), counts.filter("words = 0").select("lang", "n")
 
 
 def mine(docs: DataFrame, longest: int = 3, least: int = 10, top: int = 2000, covered: int = 50, shards: int = 3) -> DataFrame:

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,10 +98,9 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
     yield from flush()
 
 
-def scan(shard: DataFrame, reached: np.ndarray, step: int, cycle: int, longest: int, least: int) -> DataFrame:
+def scan(shard: DataFrame, known: Broadcast, step: int, cycle: int, longest: int, least: int) -> DataFrame:
     """Counts by slot of the phrases that are active in this scan, in parts of the table: part, slots (two bytes each; null: all
     of the part) and counts, that stop at ``least``."""
-    known = shard.sparkSession.sparkContext.broadcast(reached)
     kind = np.min_scalar_type(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,10 +146,9 @@ def summed(parts: DataFrame, least: int) -> DataFrame:
     return parts.repartition("part").mapInArrow(run, "part int, slots binary, counts binary, bits binary")
 
 
-def exact(docs: DataFrame, reached: np.ndarray, longest: int) -> DataFrame:
+def exact(docs: DataFrame, known: Broadcast, longest: int) -> DataFrame:
     """Counts, in parts to be summed, of the phrases whose slots and whose subphrases' slots are reached (lang, words, phrase, n);
     words 0: all word occurrences of a language."""
-    known = docs.sparkSession.sparkContext.broadcast(reached)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in chunks(batches):
@@ -185,12 +184,14 @@ def frequent(docs: DataFrame, longest: int = 3, least: int = 10, shards: int = 3
     dealt = cut(own.filter(F.length("text") > 0), "shard")
     size = dealt.agg(F.sum(F.octet_length("text"))).first()[0] or 1
     reached = np.full(1 << min(SLOTS[1], max(SLOTS[0], (size // 8).bit_length())), NEVER, np.uint8)
-    table, step, last = None, 0, -shards
+    context, table, step, last = docs.sparkSession.sparkContext, None, 0, -shards
     # a slot reached by others can hold a phrase up by a scan for each further word
     while step < longest * shards and step <= max(shards - 1, last + shards + longest - 2):
-        parts = scan(dealt.filter(F.col("shard") == step % shards), reached, step, shards, longest, least)
+        known = context.broadcast(reached)
+        parts = scan(dealt.filter(F.col("shard") == step % shards), known, step, shards, longest, least)
         before = table
         table = cut(summed(parts if before is None else before.drop("bits").unionByName(parts), least))
+        known.destroy()  # its copies lie on the disks of all machines
         if before is not None:
             drop(before)
         new = np.zeros(len(reached), bool)
@@ -201,7 +202,9 @@ def frequent(docs: DataFrame, longest: int = 3, least: int = 10, shards: int = 3
             last = step
             reached = np.where(new, np.uint8(step), reached)
         step += 1
-    counts = cut(exact(dealt, reached, longest).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("words") == 0)))
+    known = context.broadcast(reached)
+    counts = cut(exact(dealt, known, longest).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("words") == 0)))
+    known.destroy()
     drop(dealt, table)
     return counts.filter("words > 0").withColumnRenamed("n", "f"), counts.filter("words = 0").select("lang", "n")
 

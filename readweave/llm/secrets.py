@@ -57,6 +57,8 @@ ALLOWED = re.compile(
     r"|.*(?:example|placeholder|changeme|change_me|dummy|sample|xxxx|your[_-]|0123456789|123456789|abcdefgh)",
     re.I | re.S,
 )
+#: Names of code: words that begin in capitals, at most one character of twelve a digit.
+NAME = re.compile("(?:[A-Z]{0,3}[a-z]++[0-9]{0,2}[_-]?)++")
 ALLOWED_BEFORE = re.compile(
     r"(?:\b(?:sha-?(?:1|224|256|384|512)|md5|crc32|digest|checksum|etag|commit|revision|blob|tree|integrity)[\"']?[\x20:=-]{0,3}[\"']?"  # digests
     r"|;base64,"  # embedded media
@@ -118,7 +120,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def allowed(text: str, start: int, end: int, allow: re.Pattern[str] | None) -> bool:
     """Whether a span is on the allow list."""
     word = text[start:end]
-    return bool(ALLOWED.match(word) or ALLOWED_BEFORE.search(text, max(0, start - BEFORE), start) or (allow and allow.fullmatch(word)))
+    name = NAME.fullmatch(word) and 12 * len(DIGIT.findall(word)) <= len(word)
+    return bool(ALLOWED.match(word) or name or ALLOWED_BEFORE.search(text, max(0, start - BEFORE), start) or (allow and allow.fullmatch(word)))
 
 
 def added_spans(text: str, taken: list[tuple[int, int, str]], allow: re.Pattern[str] | None = None) -> list[tuple[int, int, str, float]]:

@@ -210,10 +210,9 @@ def region_from_genes(genes: DataFrame, left: str, right: str) -> DataFrame:
     return each.filter(F.col("gene").isin(left, right)).groupBy(F.col("g_chrom").alias("chrom")).agg(*sides)
 
 
-def adjust_last_gene(genes: DataFrame, genome: DataFrame, least: int = 10) -> DataFrame:
-    """The last gene of every chromosome ends where the poly-A tail of its sequence (name, seq) begins, if it has one of ``least``."""
-    tail = F.length(F.regexp_extract("seq", "A+$", 0))
-    ends = genome.select(F.col("name").alias("g_chrom"), (F.length("seq") - F.when(tail >= least, tail).otherwise(0)).alias("_body"))
-    last = genes.groupBy("g_chrom").agg(F.max(F.struct("g_st", "ord"))["ord"].alias("_last"))
-    both = genes.join(side(last), "g_chrom").join(side(ends), "g_chrom", "left")
-    return both.withColumn("g_en", F.when(F.col("ord") == F.col("_last"), F.least("g_en", F.coalesce("_body", "g_en"))).otherwise(F.col("g_en"))).drop("_last", "_body")
+def adjust_last_gene(genes: DataFrame, ends: DataFrame) -> DataFrame:
+    """The end of each chromosome's last gene is cut where the chromosome's tail of A begins; ends: chrom, body (see rescue.py)."""
+    body = ends.select(F.col("chrom").alias("g_chrom"), F.col("body").alias("_body"))
+    last = genes.groupBy("g_chrom").agg(F.max_by("ord", F.struct("g_st", "ord")).alias("_last"))
+    known = genes.join(last.join(body, "g_chrom", "left"), "g_chrom")
+    return known.withColumn("g_en", F.when(F.col("ord") == F.col("_last"), F.least("g_en", F.coalesce("_body", "g_en"))).otherwise(F.col("g_en")).cast("int")).drop("_last", "_body")

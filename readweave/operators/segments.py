@@ -1,6 +1,6 @@
 """Break points and read parts against the bases of a genome: k-mers, proteins over a break, similarity, records of clipped reads.
 
-A genome is a table (name, seq) of a row for each chromosome; it meets rows by chromosome.
+A genome is a table of tiles (see genome.py), which rows meet by chromosome and tile.
 """
 
 from __future__ import annotations
@@ -9,13 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .intervals import side
-from .sequences import kmer_at, nw_cost, translate_codons
-
-
-def with_genome(rows: DataFrame, genome: DataFrame) -> DataFrame:
-    """Rows with the sequence of their chromosome as ``_genome``."""
-    return rows.join(side(genome.select(F.col("name").alias("chrom"), F.col("seq").alias("_genome"))), "chrom")
+from .genome import padded, with_bases
+from .intervals import WIDE, buckets, containing, placed
+from .sequences import nw_cost, translate_codons
 
 
 def region_segments(bases: DataFrame, key: str, first: int, last: int) -> DataFrame:
@@ -24,12 +20,11 @@ def region_segments(bases: DataFrame, key: str, first: int, last: int) -> DataFr
     return own.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "base"))), lambda x: x["base"]), "").alias("segment"))
 
 
-def break_kmers(pairs: DataFrame, genome: DataFrame, k: int) -> DataFrame:
-    """k bases up to and behind both ends of each break pair (chrom, left, right, n)."""
-    before, behind = list(range(1 - k, 1)), list(range(1, k + 1))
-    found = with_genome(pairs, genome)
-    at = [kmer_at(F.col("_genome"), F.col(c), o).alias(f"{c}_{name}") for c in ("left", "right") for name, o in (("before", before), ("behind", behind))]
-    return found.select("chrom", "left", "right", *at, "n")
+def break_kmers(pairs: DataFrame, tiled: DataFrame, k: int) -> DataFrame:
+    """k bases up to and behind both ends of each break pair (chrom, left, right, n), - outside the chromosome."""
+    at = {f"{c}_{name}": F.col(c) + first for c in ("left", "right") for name, first in (("before", 1 - k), ("behind", 1))}
+    found = with_bases(pairs, tiled, ["left", "right"], {name: (first, first + k - 1) for name, first in at.items()})
+    return found.select("chrom", "left", "right", *[padded(F.col(name), first, k).alias(name) for name, first in at.items()], "n")
 
 
 def kmer_mean_fraction(table: DataFrame, kmers: list[str], fractions: list[str]) -> DataFrame:
@@ -45,29 +40,92 @@ def waterfall(found: DataFrame, most: int) -> DataFrame:
     return ranked.withColumn("running", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
 
 
-def joined_protein(pairs: DataFrame, genome: DataFrame, genes: DataFrame, room: int) -> DataFrame:
-    """Proteins over a break (chrom, left, right): ``room`` bases up to ``left`` and from ``right`` on, read in three frames,
-    with the phase of the left part in the gene that holds it, and both genes (null where none does)."""
-    found = with_genome(pairs, genome)
-    for c in ("left", "right"):
-        own = side(genes.select(F.col("g_chrom").alias("chrom"), F.col("gene").alias(f"{c}_gene"), F.col("ord").alias("_ord"), F.col("g_st").alias("_st"), F.col("g_en").alias("_en")))
-        met = found.join(own, "chrom").filter(F.col(c).between(F.col("_st"), F.col("_en"))).groupBy("chrom", "left", "right").agg(F.min(F.struct("_ord", f"{c}_gene", "_st")).alias("_x"))
-        keep = [F.col(f"_x.{c}_gene").alias(f"{c}_gene")] + ([((F.col("left") - F.col("_x._st") + 1) % 3).alias("phase")] if c == "left" else [])
-        found = found.join(met.select("chrom", "left", "right", *keep), ["chrom", "left", "right"], "left")
-    start = F.greatest(F.lit(1), F.col("left") - room + 1)
-    bases = F.concat(F.substring(F.col("_genome"), start, F.col("left") - start + 1), F.substring(F.col("_genome"), F.col("right"), F.lit(room)))
-    each = found.withColumn("_bases", bases).withColumn("frame", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    framed = F.substring(F.col("_bases"), F.col("frame") + 1, F.length("_bases"))
-    return each.select("chrom", "left", "right", "left_gene", "right_gene", "phase", "frame", translate_codons(framed).alias("protein"))
-
-
-def break_similarity(pairs: DataFrame, genome: DataFrame, width: int) -> DataFrame:
-    """100 / exp(cost) of the alignment of the bases around both ends, in windows before, behind and around them."""
-    found = with_genome(pairs, genome)
-    windows = {"before": (1 - width, 0), "behind": (1, width), "around": (1 - width // 2, width // 2)}
-    at = lambda c, o: kmer_at(F.col("_genome"), F.col(c), list(range(o[0], o[1] + 1)))
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("window"), at("left", o).alias("a"), at("right", o).alias("b")) for k, o in windows.items()]))
-    flanks = found.select("chrom", "left", "right", each.alias("x")).select("chrom", "left", "right", "x.*")
+#: Codons that begin and that end a reading frame.
+START, STOPS = "ATG", ("TAA", "TAG", "TGA")
+
+
+def codon_places(tiled: DataFrame, codons: tuple[str, ...]) -> DataFrame:
+    """chrom and pos of every place of one of the codons, over the borders of tiles too: a tile is read with two bases of the next."""
+    following = tiled.select("chrom", (F.col("tile") - 1).alias("tile"), F.substring("bases", 1, 2).alias("_next"))
+    whole = F.concat("bases", F.coalesce("_next", F.lit("")))
+    starts = F.filter(F.sequence(F.lit(1), F.length("_seq") - 2), lambda i: F.substring(F.col("_seq"), i, F.lit(3)).isin(*codons))
+    seq = tiled.join(following, ["chrom", "tile"], "left").select("chrom", "st", whole.alias("_seq")).filter(F.length("_seq") > 2)
+    return seq.select("chrom", "st", F.explode(starts).alias("_i")).select("chrom", (F.col("st") + F.col("_i") - 1).alias("pos"))
+
+
+def next_place(points: DataFrame, pos: Column, places: DataFrame, out: str, frame: bool) -> DataFrame:
+    """Column out: the first place at or behind ``pos`` on the chromosome, of the same frame if it counts; null if there is none.
+
+    Each place ends the stretch behind the one before it, so a point meets one stretch, by an equi-join on buckets.
+    """
+    residue = (lambda c: c % 3) if frame else (lambda c: F.lit(0))
+    line = W.partitionBy("chrom", "_frame").orderBy("pos")
+    stretch = places.withColumn("_frame", residue(F.col("pos"))).withColumn("_lo", F.coalesce(F.lag("pos").over(line) + 1, F.lit(1)))
+    spread = stretch.select("chrom", "_frame", F.col("pos").alias(out), "_lo", buckets(F.col("_lo"), F.col("pos"), WIDE).alias("_bucket"))
+    asked = points.withColumn("_pos", pos).withColumn("_frame", residue(F.col("_pos"))).withColumn("_bucket", F.floor(F.col("_pos") / WIDE))
+    met = asked.alias("a").join(spread.alias("s"), (F.col("a.chrom") == F.col("s.chrom")) & (F.col("a._frame") == F.col("s._frame")) & (F.col("a._bucket") == F.col("s._bucket")) & F.col("_pos").between(F.col("_lo"), F.col(out)), "left")
+    return met.select(*[F.col(f"a.{c}") for c in points.columns], out)
+
+
+def left_orfs(genes: DataFrame, tiled: DataFrame) -> DataFrame:
+    """Genes (chrom, gene, ord, g_st, g_en) with ``atg``, the first ATG of each within it, and ``stop``, the first stop in its frame."""
+    own = genes.select(F.col("g_chrom").alias("chrom"), "gene", "ord", "g_st", "g_en")
+    first = next_place(own, F.col("g_st"), codon_places(tiled, (START,)), "atg", False)
+    first = first.withColumn("atg", F.when(F.col("atg") + 2 <= F.col("g_en"), F.col("atg")))
+    return next_place(first, F.col("atg"), codon_places(tiled, STOPS), "stop", True)
+
+
+def joined_protein(pairs: DataFrame, tiled: DataFrame, genes: DataFrame, tol: int = 5) -> DataFrame:
+    """Proteins over a break (chrom, left, right): chrom, left, right, frame, left_gene, right_gene, phase, left_bases, protein.
+
+    The left part begins at the ATG of the gene that holds ``left`` (the first of several) and ends there; the right part
+    begins at ``right`` and is read in three frames (0 to 2 unknown bases between them); the protein ends with its first stop
+    or with the chromosome. ``phase`` is the bases of the last codon that the left part has. Where the left part has no ATG
+    the right one begins at the next gene (that starts at right - tol or behind) and is read in frame 0 only, or in all three
+    at ``right`` if there is none. right_gene holds the first base of the right part.
+    """
+    orfs = left_orfs(genes, tiled)
+    held = placed(orfs.withColumnRenamed("chrom", "g_chrom"), False, F.col("gene").alias("_gene"), F.col("ord").alias("_ord"), "g_st", "g_en", "atg", "stop")
+    own = pairs.select("chrom", "left", "right")
+    met = containing(own, "left", held, "g_st", "g_en").groupBy("chrom", "left", "right").agg(F.min(F.struct("_ord", "_gene", "atg", "stop")).alias("_l"))
+    reads = F.col("_l.atg").isNotNull() & (F.col("_l.atg") + 2 <= F.col("left"))
+    own = own.join(met, ["chrom", "left", "right"], "left").select("chrom", "left", "right", F.col("_l._gene").alias("left_gene"), F.when(reads, F.col("_l.atg")).alias("atg"), F.when(reads, F.col("_l.stop")).alias("stop"))
+    # without a left part: the next gene
+    starts = genes.select(F.col("g_chrom").alias("chrom"), F.col("g_st").alias("pos")).distinct()
+    own = next_place(own, F.greatest(F.lit(1), F.col("right") - tol), starts, "_gene_st", False)
+    alone = F.col("atg").isNull()
+    own = own.withColumn("_from", F.when(alone, F.coalesce("_gene_st", "right")).otherwise(F.col("right")))
+    whole = placed(genes, False, F.col("gene").alias("_gene"), F.col("ord").alias("_ord"), "g_st", "g_en")
+    right = containing(own.select("chrom", "left", "right", "_from"), "_from", whole, "g_st", "g_en").groupBy("chrom", "left", "right").agg(F.min(F.struct("_ord", "_gene"))["_gene"].alias("right_gene"))
+    own = own.join(right, ["chrom", "left", "right"], "left")
+    n = F.when(alone, 0).otherwise(F.col("left") - F.col("atg") + 1)
+    all_frames = F.array(F.lit(0), F.lit(1), F.lit(2))
+    each = own.withColumn("left_bases", n).withColumn("frame", F.explode(F.when(alone & F.col("_gene_st").isNotNull(), F.array(F.lit(0))).otherwise(all_frames)))
+    # the first whole codon of the right part, and the stop in its frame
+    taken = (3 - (F.col("left_bases") + F.col("frame")) % 3) % 3
+    each = next_place(each, F.col("_from") + taken, codon_places(tiled, STOPS), "_stop", True)
+    ends = tiled.groupBy("chrom").agg(F.max(F.col("st") + F.length("bases") - 1).alias("_size"))
+    each = each.join(ends, "chrom", "left").withColumn("_to", F.coalesce(F.col("_stop") + 2, "_size"))
+    stopped = F.coalesce(F.col("stop") + 2 <= F.col("left"), F.lit(False))
+    ranges = {"_left": (F.coalesce("atg", F.lit(1)), F.when(alone, 0).otherwise(F.when(stopped, F.col("stop") + 2).otherwise(F.col("left")))), "_right": (F.col("_from"), F.when(stopped, 0).otherwise(F.col("_to")))}
+    found = with_bases(each, tiled, ["left", "right", "frame"], ranges)
+    protein = translate_codons(F.concat("_left", F.repeat(F.lit("N"), F.col("frame")), "_right"))
+    return found.select("chrom", "left", "right", "frame", "left_gene", "right_gene", F.when(~alone, F.col("left_bases") % 3).alias("phase"), "left_bases", F.regexp_extract(protein, r"^[^*]*\*?", 0).alias("protein"))
+
+
+#: Windows of the bases at the left and at the right end of a break: up to it (5), from it on (3), or around it.
+WINDOWS = {"55": ("up", "up"), "33": ("on", "on"), "53": ("up", "on"), "35": ("on", "up"), "mid": ("mid", "mid")}
+
+
+def break_similarity(pairs: DataFrame, tiled: DataFrame, width: int = 10) -> DataFrame:
+    """100 / exp(cost) of the alignment of the bases at both ends of each break (chrom, left, right) in five windows of ``width``
+    bases; - outside the chromosome."""
+    first = {"up": 1 - width, "on": 1, "mid": 1 - width // 2}
+    at = {f"{c}_{k}": F.col(c) + v for c in ("left", "right") for k, v in first.items()}
+    found = with_bases(pairs.select("chrom", "left", "right"), tiled, ["left", "right"], {k: (v, v + width - 1) for k, v in at.items()})
+    bases = found.select("chrom", "left", "right", *[padded(F.col(k), v, width).alias(k) for k, v in at.items()])
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("window"), F.col(f"left_{a}").alias("a"), F.col(f"right_{b}").alias("b")) for name, (a, b) in WINDOWS.items()]))
+    flanks = bases.select("chrom", "left", "right", each.alias("x")).select("chrom", "left", "right", "x.*")
     return nw_cost(flanks, "a", "b").select("chrom", "left", "right", "window", "cost", (100 * F.exp(-F.col("cost"))).alias("similarity"))
 
 

@@ -199,11 +199,6 @@ def interval_gap(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.least(b - c, d - a)
 
 
-def spliced_sequence(sts: Column, ens: Column, genome: Column) -> Column:
-    """Bases of all exons in order."""
-    return F.array_join(F.zip_with(sts, ens, lambda s, e: F.substring(genome, s, e - s + 1)), "")
-
-
 def break_flanks(rows: DataFrame, key: str, breaks: str, ks: tuple[int, ...] = (5, 10, 15, 20, 30)) -> DataFrame:
     """k bases before and after each internal break, for each k."""
     inner = F.slice(breaks, 2, F.greatest(F.lit(0), F.size(breaks) - 2))

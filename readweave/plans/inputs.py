@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.genome import TILE, tiles_of_bases
+
 GAP = 200
 
 
@@ -86,21 +88,18 @@ def depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("source"), hour.alias("pos")).agg(F.count("*").alias("depth"), F.count_if(F.col("value") > 50).alias("errors"))
 
 
-#: Bases of a chromosome of `genome` before its tail of A.
-GENOME = 3900
+#: Length of the tail of A of both chromosomes.
+TAIL = 12
 
 
-def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """name and seq of two chromosomes: at every place the base that most sequences have there (by id), N where none reaches,
-    and a poly-A tail."""
+def tiled(spark: SparkSession, sf_dir: str, size: int = TILE) -> DataFrame:
+    """Two chromosomes in tiles: at every place the base that most sequences have there (by id), and a poly-A tail."""
     s = sequences(spark, sf_dir)
-    bases = s.select(F.concat(F.lit("c"), F.col("id") % 2).alias("name"), F.posexplode(F.split(F.substring("seq", 1, GENOME), "")).alias("i", "base")).filter("base <> ''")
-    counted = bases.groupBy("name", "i", "base").agg(F.count("*").alias("n"))
-    best = counted.groupBy("name", "i").agg(F.max_by("base", F.col("n") * 4 + F.instr(F.lit("ACGT"), F.col("base"))).alias("base"))
-    grid = spark.range(GENOME).select(F.col("id").cast("int").alias("i"), F.explode(F.array(F.lit("c0"), F.lit("c1"))).alias("name"))
-    each = grid.join(best, ["name", "i"], "left").select("name", F.struct("i", F.coalesce("base", F.lit("N")).alias("base")).alias("x"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["base"]), "")
-    return each.groupBy("name").agg(F.concat(joined, F.lit("A" * 12)).alias("seq"))
+    bases = s.select(F.concat(F.lit("c"), F.col("id") % 2).alias("chrom"), F.posexplode(F.split("seq", "")).alias("i", "base")).filter("base <> ''")
+    counted = bases.groupBy("chrom", "i", "base").agg(F.count("*").alias("n"))
+    best = counted.groupBy("chrom", (F.col("i") + 1).alias("pos")).agg(F.max_by("base", F.col("n") * 4 + F.instr(F.lit("ACGT"), F.col("base"))).alias("base"))
+    tail = best.groupBy("chrom").agg(F.max("pos").alias("n")).select("chrom", F.explode(F.sequence(F.col("n") + 1, F.col("n") + TAIL)).alias("pos"), F.lit("A").alias("base"))
+    return tiles_of_bases(best.unionByName(tail), size)
 
 
 _DAY = "CAST(datediff('day', DATE '1992-01-01', CAST({} AS DATE)) AS INTEGER)"
@@ -110,7 +109,7 @@ SQL = {
     "a": "SELECT CAST(n_nationkey AS INTEGER) AS ord, n_name AS gene, concat('c', n_nationkey % 2) AS g_chrom, CAST(1001 + n_nationkey * 105 AS INTEGER) AS g_st, CAST(1100 + n_nationkey * 105 AS INTEGER) AS g_en, n_regionkey % 2 = 0 AS g_fwd, CAST(n_regionkey AS INTEGER) AS transcript FROM nation",
     "r": f"SELECT o_orderkey AS read_id, o_custkey % 50 AS cluster, o_orderstatus AS source, o_orderpriority AS type, {_ORDER} AS st, {_ORDER} + CAST(floor(o_totalprice / 1000) AS INTEGER) AS en FROM orders",
     "s": "SELECT doc_id AS id, source, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents",
-    "gn": f"WITH z AS (SELECT concat('c', id % 2) AS name, substr(seq, 1, {GENOME}) AS seq FROM s), x AS (SELECT name, unnest(range(0, len(seq))) AS i, unnest(string_split(seq, '')) AS base FROM z WHERE seq <> ''), y AS (SELECT name, i, arg_max(base, n * 4 + strpos('ACGT', base)) AS base FROM (SELECT name, i, base, count(*) AS n FROM x GROUP BY ALL) GROUP BY ALL), g AS (SELECT name, i FROM (VALUES ('c0'), ('c1')) t(name), range({GENOME}) r(i)) SELECT name, string_agg(coalesce(base, 'N'), '' ORDER BY i) || '{'A' * 12}' AS seq FROM g LEFT JOIN y USING (name, i) GROUP BY name",
+    "gn": f"WITH x AS (SELECT concat('c', id % 2) AS name, unnest(range(0, len(seq))) AS i, unnest(string_split(seq, '')) AS base FROM s WHERE seq <> ''), y AS (SELECT name, i, arg_max(base, n * 4 + strpos('ACGT', base)) AS base FROM (SELECT name, i, base, count(*) AS n FROM x GROUP BY ALL) GROUP BY ALL) SELECT name, string_agg(base, '' ORDER BY i) || '{'A' * TAIL}' AS seq FROM y GROUP BY name",
     "q": "SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(abs(x) * 100) AS INTEGER)) AS q FROM embeddings",
     "c": "SELECT user_id AS id, event_type AS sample, count(*) AS n FROM events GROUP BY 1, 2",
     "d": "SELECT event_type AS source, CAST(floor((epoch_us(ts) - 1704067200000000) / 3600000000) AS INTEGER) AS pos, count(*) AS depth, count(*) FILTER (WHERE value > 50) AS errors FROM events GROUP BY 1, 2",

@@ -7,8 +7,9 @@ from pyspark.sql.window import Window as W
 
 from ..operators import counts as ct
 from ..operators import leftovers as lo
+from ..operators import rescue as rs
 from ..registry import query
-from .inputs import counts, depth, halves, sequences, sql
+from .inputs import counts, depth, halves, sequences, sql, tiled
 
 _PAIR = "p AS (SELECT id, substr(seq, 1, len(seq) // 2) AS a, substr(seq, len(seq) // 2 + 1, len(seq) // 2) AS b FROM s WHERE len(seq) >= 2), m AS (SELECT id, CAST(101 + i AS INTEGER) AS pos, substr(a, i + 1, 1) AS base, substr(b, i + 1, 1) AS ref FROM (SELECT *, unnest(range(0, len(a))) AS i FROM p))"
 
@@ -41,6 +42,34 @@ def split_internal_polya(spark, sf_dir):
     return lo.split_internal_polya(sequences(spark, sf_dir), "id", 6, 0.6)
 
 
+def clipped(spark, sf_dir, clip: int = 40):
+    """Every sequence of 2 x clip bases and more as a read that is aligned between clips of so many bases. Two of three reads have
+    the bases of either chromosome end in their clips, with every thirteenth base of their own; the third has its own there."""
+    ends = rs.chromosome_ends(tiled(spark, sf_dir))
+    own = sequences(spark, sf_dir).filter(F.length("seq") >= 2 * clip).withColumn("chrom", F.concat(F.lit("c"), F.col("id") % 2)).join(ends, "chrom")
+    at = (F.col("id") * 7 % (500 - clip)).cast("int")
+
+    def mixed(end: str, first) -> F.Column:
+        taken = F.split(F.substring(F.col(end), at + 1, F.lit(clip)), "")
+        kept = F.transform(taken, lambda b, i: F.when(i % 13 == F.col("id") % 13, F.substring(F.col("seq"), first + i, F.lit(1))).otherwise(b))
+        return F.when(F.col("id") % 3 == 0, F.substring(F.col("seq"), first, F.lit(clip))).otherwise(F.array_join(kept, ""))
+
+    n = F.length("seq")
+    seq = F.concat(mixed("five", F.lit(1)), F.substring(F.col("seq"), F.lit(clip + 1), n - 2 * clip), mixed("three", n - clip + 1))
+    st = (600 + F.col("id") % 50).cast("int")
+    en = (st + F.least(n - 2 * clip, F.lit(1500)) - 1).cast("int")
+    cigar = F.concat(F.lit(f"{clip}S"), (n - 2 * clip).cast("string"), F.lit(f"M{clip}S"))
+    return own.select(F.col("id").alias("read_id"), "chrom", cigar.alias("cigar"), seq.alias("seq"), st.alias("st"), en.alias("en"), F.array(st, en).alias("breaks")), ends
+
+
+@query("rescue_ends")
+def rescue_ends(spark, sf_dir):
+    """No SQL: local alignments; held against plain Python."""
+    reads, ends = clipped(spark, sf_dir)
+    found = rs.rescue_ends(reads, ends)
+    return found.withColumn("breaks", F.array_join(F.transform("breaks", lambda b: b.cast("string")), ","))
+
+
 _CI = "({h} / {n} + {z2} / (2 * {n}) {sign} {z} * sqrt({h} / {n} * (1 - {h} / {n}) / {n} + {z2} / (4.0::DOUBLE * {n} * {n}))) / (1 + {z2} / {n})"
 
 

@@ -8,7 +8,7 @@ from ..operators import segments as sg
 from ..operators import sequences as sq
 from ..registry import query
 from . import inputs
-from .inputs import blocks, genes, genome, sequences, sql
+from .inputs import blocks, genes, sequences, sql, tiled
 from .leftovers import _PAIR, kmer_error_table, matches
 
 _PAIRS = 'ex AS (SELECT read_id, chrom, en AS "left", lead(st) OVER (PARTITION BY read_id ORDER BY exon) AS "right" FROM e), pr AS (SELECT chrom, "left", "right", count(*) AS n FROM ex WHERE "right" IS NOT NULL GROUP BY ALL)'
@@ -37,7 +37,7 @@ def _kmer(c: str, first: int, last: int) -> str:
 
 @query("break_kmers", sql("gn e", f'WITH {_PAIRS} SELECT chrom, "left", "right", {_kmer("left", -3, 0)} AS left_before, {_kmer("left", 1, 4)} AS left_behind, {_kmer("right", -3, 0)} AS right_before, {_kmer("right", 1, 4)} AS right_behind, n FROM pr JOIN gn ON name = chrom'))
 def break_kmers(spark, sf_dir):
-    return sg.break_kmers(pairs(spark, sf_dir), genome(spark, sf_dir), 4)
+    return sg.break_kmers(pairs(spark, sf_dir), tiled(spark, sf_dir), 4)
 
 
 _K = ["ACA", "CAC", "TAT"]
@@ -58,18 +58,31 @@ def waterfall(spark, sf_dir):
 
 _CODONS = "MAP {" + ", ".join(f"'{sq.BASES[i // 16]}{sq.BASES[i // 4 % 4]}{sq.BASES[i % 4]}': '{aa}'" for i, aa in enumerate(sq.CODE)) + "}"
 _PROTEIN = f"array_to_string(list_transform(range(0, len(framed) // 3), lambda i: coalesce({_CODONS}[substr(framed, i * 3 + 1, 3)], 'X')), '')"
-_GENE = '(SELECT arg_min({v}, ord) FROM a WHERE g_chrom = chrom AND "{c}" BETWEEN g_st AND g_en)'
-
-
-@query("joined_protein", sql("a gn e", f'WITH {_PAIRS}, j AS (SELECT chrom, "left", "right", substr(seq, greatest(1, "left" - 29), "left" - greatest(1, "left" - 29) + 1) || substr(seq, "right", 30) AS bases FROM pr JOIN gn ON name = chrom), f AS (SELECT *, unnest([0, 1, 2]) AS frame FROM j), t AS (SELECT *, substr(bases, frame + 1) AS framed FROM f) SELECT chrom, "left", "right", {_GENE.format(v="gene", c="left")} AS left_gene, {_GENE.format(v="gene", c="right")} AS right_gene, ("left" - {_GENE.format(v="g_st", c="left")} + 1) % 3 AS phase, frame, {_PROTEIN} AS protein FROM t'))
+_ON = "(?:[ACGN][ACGTN]{2}|T[CTN][ACGTN]|TA[CTN]|TG[CGTN])"
+_GENE = "(SELECT arg_min(gene, ord) FROM a WHERE g_chrom = chrom AND {c} BETWEEN g_st AND g_en)"
+_ORFS = "o AS (SELECT *, CASE WHEN p > 0 AND g_st + p + 1 <= g_en THEN g_st + p - 1 END AS atg FROM (SELECT a.*, strpos(substr(seq, g_st), 'ATG') AS p FROM a JOIN gn ON name = g_chrom))"
+
+
+@query(
+    "joined_protein",
+    sql(
+        "a gn e",
+        f"""WITH {_PAIRS}, {_ORFS},
+        h AS (SELECT chrom, "left", "right", arg_min(gene, ord) AS left_gene, arg_min(coalesce(atg, -1), ord) AS first FROM pr LEFT JOIN o ON g_chrom = chrom AND "left" BETWEEN g_st AND g_en GROUP BY ALL),
+        j AS (SELECT *, CASE WHEN first > 0 AND first + 2 <= "left" THEN first END AS atg, (SELECT min(g_st) FROM a WHERE g_chrom = chrom AND g_st >= greatest(1, "right" - 5)) AS next_st FROM h),
+        f AS (SELECT *, CASE WHEN atg IS NULL THEN coalesce(next_st, "right") ELSE "right" END AS fr, CASE WHEN atg IS NULL THEN 0 ELSE "left" - atg + 1 END AS left_bases, unnest(CASE WHEN atg IS NULL AND next_st IS NOT NULL THEN [0] ELSE [0, 1, 2] END) AS frame FROM j),
+        t AS (SELECT f.*, regexp_extract((CASE WHEN atg IS NULL THEN '' ELSE substr(seq, atg, left_bases) END) || repeat('N', frame) || substr(seq, fr), '^{_ON}*(?:TAA|TAG|TGA)?') AS framed FROM f JOIN gn ON name = chrom)
+        SELECT chrom, "left", "right", CAST(frame AS INTEGER) AS frame, left_gene, {_GENE.format(c="fr")} AS right_gene, CASE WHEN atg IS NOT NULL THEN left_bases % 3 END AS phase, left_bases, {_PROTEIN} AS protein FROM t""",
+    ),
+)
 def joined_protein(spark, sf_dir):
-    return sg.joined_protein(pairs(spark, sf_dir), genome(spark, sf_dir), genes(spark, sf_dir), 30)
+    return sg.joined_protein(pairs(spark, sf_dir), tiled(spark, sf_dir), genes(spark, sf_dir))
 
 
 @query("break_similarity")
 def break_similarity(spark, sf_dir):
-    """No SQL: alignment costs."""
-    return sg.break_similarity(pairs(spark, sf_dir), genome(spark, sf_dir), 12)
+    """No SQL: alignment costs; held against brute force."""
+    return sg.break_similarity(pairs(spark, sf_dir), tiled(spark, sf_dir))
 
 
 @query("clipped_reads", sql("b", "SELECT read_id, blk, pk, st FROM (SELECT *, CASE blk % 4 WHEN 0 THEN 4 ELSE 0 END AS flag FROM b) WHERE flag & 4 <> 0 OR q2 - q1 + 1 < 10 OR mapq < 2 OR q1 - 1 > 300 OR 500 - q2 > 300"))

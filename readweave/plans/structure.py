@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..operators import intervals as iv
 from ..operators import structure as st
+from ..operators.rescue import chromosome_ends
 from ..registry import query
 from . import inputs
 from .inputs import GAP, blocks, genes, sql
@@ -255,4 +256,4 @@ def gene_break_region(spark, sf_dir):
 
 @query("adjust_last_gene", sql("a gn", "WITH t AS (SELECT name, len(seq) - CASE WHEN len(regexp_extract(seq, 'A+$')) >= 10 THEN len(regexp_extract(seq, 'A+$')) ELSE 0 END AS body FROM gn) SELECT gene, CAST(CASE WHEN ord = arg_max(ord, g_st) OVER (PARTITION BY g_chrom) THEN least(g_en, body) ELSE g_en END AS INTEGER) AS g_en FROM a JOIN t ON name = g_chrom"))
 def adjust_last_gene(spark, sf_dir):
-    return iv.adjust_last_gene(genes(spark, sf_dir), inputs.genome(spark, sf_dir)).select("gene", "g_en")
+    return iv.adjust_last_gene(genes(spark, sf_dir), chromosome_ends(inputs.tiled(spark, sf_dir))).select("gene", "g_en")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..operators.sequences import reverse_complement, spliced_sequence
+from ..operators.genome import with_bases
+from ..operators.sequences import reverse_complement
 
 
 def sink_table(rows: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
@@ -82,14 +83,16 @@ def sink_bed12(rows: DataFrame, path: str) -> None:
     bed12(rows).write.partitionBy("source").text(path)
 
 
-def fasta(rows: DataFrame, genome: DataFrame) -> DataFrame:
-    """Spliced sequence of every isoform, from id, chrom, sts, ens and the genome (name, seq)."""
-    found = rows.join(genome.select(F.col("name").alias("chrom"), "seq"), "chrom")
-    return found.select(F.concat(F.lit(">"), "id", F.lit("\n"), spliced_sequence(F.col("sts"), F.col("ens"), F.col("seq"))).alias("value"))
+def fasta(rows: DataFrame, tiled: DataFrame) -> DataFrame:
+    """Spliced sequence of every isoform, from id, chrom, sts, ens and the genome's tiles: exons meet the tiles that they touch."""
+    exons = rows.select("id", "chrom", F.posexplode(F.arrays_zip(F.col("sts").alias("st"), F.col("ens").alias("en"))).alias("exon", "x"))
+    found = with_bases(exons, tiled, ["id", "exon"], {"bases": (F.col("x.st"), F.col("x.en"))})
+    put = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("exon", "bases"))), lambda x: x["bases"]), "")
+    return found.groupBy("id").agg(put.alias("bases")).select(F.concat(F.lit(">"), "id", F.lit("\n"), "bases").alias("value"))
 
 
-def sink_transcript_fasta(rows: DataFrame, genome: DataFrame, path: str) -> None:
-    fasta(rows, genome).write.text(path)
+def sink_transcript_fasta(rows: DataFrame, tiled: DataFrame, path: str) -> None:
+    fasta(rows, tiled).write.text(path)
 
 
 def aln_class(flag: Column) -> Column:

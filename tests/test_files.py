@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from readweave.operators import sequences as sq
+from readweave.operators.genome import tiles
 from readweave.sinks import files as out
 from readweave.sources import files as src
 
@@ -73,7 +74,7 @@ def test_writers(spark, tmp_path):
     out.sink_gff3(iso, str(tmp_path / "gff"))
     back = src.scan_gff(spark, str(tmp_path / "gff"))
     assert rows(back.select("g_st", "g_en", "transcript")) == [(1, 4, "g.t0"), (2, 5, "g.t1"), (11, 12, "g.t0")]
-    genome = spark.createDataFrame([("c", "ACGTACGTACGT")], "name string, seq string")
+    genome = tiles(spark.createDataFrame([("c", "ACGTACGTACGT")], "name string, seq string"))
     out.sink_transcript_fasta(iso, genome, str(tmp_path / "fa"))
     assert rows(src.scan_fasta(spark, str(tmp_path / "fa"))) == [("g.t0", "", "ACGTGT"), ("g.t1", "", "CGTA")]
     out.sink_transcripts(iso, str(tmp_path / "tr"), ["id"], ["s0", "s1"])

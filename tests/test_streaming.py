@@ -1,5 +1,6 @@
 """Streams of reads against the same reads as one batch; read ends against plain Python."""
 
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -37,3 +38,56 @@ def test_poly_a(spark):
     # 0.9 of 15 bases is 13.5, so 14 are needed
     want = [None if s is None or len(s) <= 15 else next((i + 1 for i in range(1, len(s) - 14) if s[i : i + 15].count("A") >= 14), None) for s in seqs]
     assert [r["at"] for r in got] == want
+
+
+READS = "chrom string, cluster_key string, source string, st int, en int"
+
+
+def sorted_reads(n=600):
+    rnd = random.Random(3)
+    rows = []
+    for c in ("c2", "c1"):  # the order of the header, not of names
+        starts = sorted(rnd.randrange(0, 2_000_000) for _ in range(n // 2))
+        rows += [(c, f"k{st // 50_000}", rnd.choice(["s", "t", None]), st, st + rnd.randrange(1, 3000)) for st in starts]
+    return rows
+
+
+def by_key(rows):
+    out = {}
+    for c, k, s, st, en in rows:
+        n, a, b = out.get((c, k, s), (0, st, en))
+        out[c, k, s] = (n + 1, min(a, st), max(b, en))
+    return out
+
+
+def test_clusters_close(spark, tmp_path):
+    """Clusters leave the state as the stream passes them, with the counts of the same reads in one batch."""
+    rows = sorted_reads()
+    end = [("end", "end", None, 0, 0)]
+    parts = [rows[i : i + 50] for i in range(0, len(rows), 50)] + [end]
+    seen = set()
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, READS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for f in set((tmp_path / "in").glob("part-*")) - seen:  # file streams read by time of change
+            os.utime(f, (1_000_000 + i, 1_000_000 + i))
+            seen.add(f)
+    reads = sc.stream_reads(spark, str(tmp_path / "in"), READS, 1)
+    query = sc.start_closing(sc.in_order(reads, ["c2", "c1", "end"]), str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination(300)
+    got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert {(c, k, s): (n, st, en) for c, k, s, n, st, en in got} == by_key(rows)
+    assert len(got) == len(by_key(rows))
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    dropped = sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in query.recentProgress if p["stateOperators"])
+    assert dropped == 0
+    assert max(held) < len(by_key(rows)) and held[-1] < max(held)
+
+
+def test_merged_streams_wait_for_the_slower(spark, tmp_path):
+    rows = sorted_reads(200)
+    for i, part in enumerate((rows[::2], rows[1::2])):
+        spark.createDataFrame([*part, ("end", "end", None, 0, 0)], READS).coalesce(1).write.parquet(str(tmp_path / f"in{i}"))
+    both = sc.stream_merge_sources([sc.in_order(sc.stream_reads(spark, str(tmp_path / f"in{i}"), READS, 1), ["c2", "c1", "end"]) for i in range(2)])
+    sc.start_closing(both, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(300)
+    got = {(r["chrom"], r["cluster_key"], r["source"]): (r["n"], r["st"], r["en"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == by_key(rows)

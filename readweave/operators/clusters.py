@@ -87,29 +87,55 @@ def big_clusters(members: DataFrame, key: str, least: int, most: int) -> DataFra
 def cluster_mean_sd(keyed: DataFrame) -> DataFrame:
     """Mean and population deviation of start, end, and the first gap's sides, by cluster."""
     left, right = F.try_element_at("breaks", F.lit(2)), F.try_element_at("breaks", F.lit(3))
-    rows = keyed.select("cluster_key", "st", "en", F.when(F.size("breaks") > 2, left).alias("left"), right.alias("right"))
+    rows = keyed.select("chrom", "cluster_key", "st", "en", F.when(F.size("breaks") > 2, left).alias("left"), right.alias("right"))
     stats = [f(c).alias(f"{c}_{k}") for c in ("st", "en", "left", "right") for k, f in (("mean", F.avg), ("sd", F.stddev_pop))]
-    return rows.groupBy("cluster_key").agg(*stats)
+    return rows.groupBy("chrom", "cluster_key").agg(*stats)
 
 
-def trim_cluster(members: DataFrame, key: str, least: int, tol: int = 10, fold: float = 2.0, room: int = 20) -> DataFrame:
-    """Members of a cluster that reach its middle start and end and whose length is near the mean, cut to these targets.
+#: Values that are counted together while a rank is looked for.
+STEP = 4096
 
-    The start target is the upper median start, the end target the lower median end; clusters with fewer than ``least``
-    such members go.
+
+def at_rank(rows: DataFrame, keys: list[str], value: str, rank: Column, out: str) -> DataFrame:
+    """keys and ``out``, the value at a rank (from 0) of each group of rows; ``rank`` is a column over keys and n, its number of rows.
+
+    The rank's stretch of ``STEP`` values is found from counts by stretch, then the value from counts within that stretch: no
+    task sorts the rows of a group.
+    """
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c")).withColumn("_s", F.floor(F.col("_v") / STEP))
+    sizes = counted.groupBy(*keys, "_s").agg(F.sum("_c").alias("_c"))
+    own = W.partitionBy(*keys)
+    upto = lambda c: own.orderBy(c).rowsBetween(W.unboundedPreceding, W.currentRow)
+    stretches = sizes.withColumn("_to", F.sum("_c").over(upto("_s"))).withColumn("n", F.sum("_c").over(own)).withColumn("_rank", rank)
+    held = stretches.filter((F.col("_to") > F.col("_rank")) & (F.col("_to") - F.col("_c") <= F.col("_rank"))).select(*keys, "_s", (F.col("_rank") - F.col("_to") + F.col("_c")).alias("_rank"))
+    inside = counted.join(held, [*keys, "_s"]).withColumn("_to", F.sum("_c").over(upto("_v")))
+    return inside.filter(F.col("_to") > F.col("_rank")).groupBy(*keys).agg(F.min("_v").alias(out))
+
+
+def trim_cluster(members: DataFrame, keys: list[str], more_than: int, tol: int = 10, fold: float = 2.0, room: int = 20) -> DataFrame:
+    """Members of a cluster that reach its middle start and end and whose breaks are near the mean, cut to these targets.
+
+    members: keys, read_id, breaks (starts and ends of the exons in turn). The start target is the start at rank n // 2, the
+    end target the end at rank n - n // 2 (the last, if there are no more), both from counts by value. A member stays if it
+    starts before start target + tol, ends behind end target - tol, and the end of its first and the start of its last exon
+    (0 without a gap) are within the larger of ``fold`` deviations and ``room`` of their means; it is cut to the targets, and
+    goes if nothing is left. Clusters with ``more_than`` such members or fewer go. Columns: keys, read_id, st, en, and
+    ``skip`` and ``drop``, the bases cut at either end.
     """
-    own = W.partitionBy(key)
-    half = F.floor(F.count("*").over(own) / 2)
-    by_start = F.row_number().over(own.orderBy("st", "read_id")) - 1
-    by_end = F.row_number().over(own.orderBy("en", "read_id")) - 1
-    ranked = members.withColumn("_half", half).withColumn("_s", by_start).withColumn("_e", by_end).withColumn("_n", F.count("*").over(own))
-    ranked = ranked.withColumn("start_to", F.max(F.when(F.col("_s") == F.col("_half"), F.col("st"))).over(own)).withColumn("end_to", F.max(F.when(F.col("_e") == F.least(F.col("_n") - F.col("_half"), F.col("_n") - 1), F.col("en"))).over(own))
-    size = F.col("en") - F.col("st")
-    ranked = ranked.withColumn("_mean", F.avg(size).over(own)).withColumn("_sd", F.stddev_pop(size).over(own))
-    near = F.abs(size - F.col("_mean")) <= F.greatest(F.col("_sd") * fold, F.lit(room))
-    kept = ranked.filter((F.col("st") < F.col("start_to") + tol) & (F.col("en") > F.col("end_to") - tol) & near)
-    kept = kept.withColumn("_kept", F.count("*").over(own)).filter(F.col("_kept") >= least)
-    return kept.select(key, "read_id", F.greatest("st", "start_to").alias("st"), F.least("en", "end_to").alias("en"))
+    size = F.size("breaks")
+    own = members.select(*keys, "read_id", F.col("breaks")[0].alias("_st"), F.element_at("breaks", -1).alias("_en"), F.when(size > 2, F.col("breaks")[1]).otherwise(0).alias("_l"), F.when(size > 2, F.element_at("breaks", -2)).otherwise(0).alias("_r"))
+    half = F.floor(F.col("n") / 2)
+    targets = at_rank(own, keys, "_st", half, "st_to").join(at_rank(own, keys, "_en", F.least(F.col("n") - half, F.col("n") - 1), "en_to"), keys)
+    moments = own.groupBy(*keys).agg(*[f(c).alias(f"{c}{k}") for c in ("_l", "_r") for k, f in (("_mean", F.avg), ("_sd", F.stddev_pop))])
+    met = own.join(targets, keys).join(moments, keys)
+
+    def near(c: str) -> Column:
+        return F.abs(F.col(c) - F.col(f"{c}_mean")) <= F.greatest(F.col(f"{c}_sd") * fold, F.lit(room))
+
+    kept = met.filter((F.col("_st") < F.col("st_to") + tol) & (F.col("_en") > F.col("en_to") - tol) & near("_l") & near("_r"))
+    kept = kept.select(*keys, "read_id", F.greatest("_st", "st_to").alias("st"), F.least("_en", "en_to").alias("en"), F.greatest(F.lit(0), F.col("st_to") - F.col("_st")).alias("skip"), F.greatest(F.lit(0), F.col("_en") - F.col("en_to")).alias("drop")).filter("st <= en")
+    enough = kept.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > more_than).select(*keys)
+    return kept.join(enough, keys, "left_semi")
 
 
 def stream_clusters(keyed: DataFrame) -> DataFrame:

@@ -2,25 +2,51 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def depth_by_position(blocks: DataFrame, keys: list[str], st: str = "st", en: str = "en") -> DataFrame:
-    """Depth of every covered position: +1 where a block starts, -1 behind its end, summed along positions.
+#: Positions of a tile: sums along positions are made inside tiles, and over one row for each tile.
+TILE = 1 << 14
+
+
+def depth_by_position(blocks: DataFrame, keys: list[str], st: str = "st", en: str = "en", mismatches: DataFrame | None = None) -> DataFrame:
+    """Depth of every covered position: +1 where a block starts, -1 behind its end, summed along positions; with mismatches
+    (keys, pos; a row for each) their number at each position as ``errors``.
 
-    Changes are summed by position first, so the window sees positions, not reads; stretches of equal depth are
-    unrolled at the end.
+    Blocks are cut at the borders of tiles, so each tile is swept by itself and no window holds more than its positions.
+    Changes are summed by position first: a window sees positions, not reads. Stretches of equal depth are unrolled at the
+    end. Mismatches outside blocks don't count.
     """
-    change = F.explode(F.array(F.struct(F.col(st).alias("pos"), F.lit(1).alias("d")), F.struct((F.col(en) + 1).alias("pos"), F.lit(-1).alias("d")))).alias("x")
-    summed = blocks.select(*keys, change).groupBy(*keys, F.col("x.pos").alias("pos")).agg(F.sum("x.d").alias("d"))
-    along = W.partitionBy(*keys).orderBy("pos")
+    tile = lambda c: F.floor(c / TILE)
+    cut = blocks.filter(F.col(en) >= F.col(st)).select(*keys, st, en, F.explode(F.sequence(tile(F.col(st)), tile(F.col(en)))).alias("_tile"))
+    lo, hi = F.greatest(F.col(st), F.col("_tile") * TILE), F.least(F.col(en), F.col("_tile") * TILE + TILE - 1)
+    change = F.explode(F.array(F.struct(lo.alias("pos"), F.lit(1).alias("d")), F.struct((hi + 1).alias("pos"), F.lit(-1).alias("d")))).alias("x")
+    changes = cut.select(*keys, "_tile", change).select(*keys, "_tile", F.col("x.pos").alias("pos"), F.col("x.d").alias("d"), F.lit(0).alias("e"))
+    if mismatches is not None:
+        own = mismatches.select(*keys, tile(F.col("pos")).alias("_tile"), F.col("pos").cast("long").alias("pos"), F.lit(0).alias("d"), F.lit(1).alias("e"))
+        changes = changes.unionByName(own)
+    summed = changes.groupBy(*keys, "_tile", "pos").agg(F.sum("d").alias("d"), F.sum("e").alias("e"))
+    along = W.partitionBy(*keys, "_tile").orderBy("pos")
     swept = summed.withColumn("depth", F.sum("d").over(along.rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("next", F.lead("pos").over(along))
-    return swept.filter("depth > 0").select(*keys, F.explode(F.sequence(F.col("pos"), F.col("next") - 1)).alias("pos"), "depth")
+    each = swept.filter("depth > 0").select(*keys, "depth", "e", F.posexplode(F.sequence(F.col("pos"), F.col("next") - 1)).alias("_i", "pos"))
+    errors = [] if mismatches is None else [F.when(F.col("_i") == 0, F.col("e")).otherwise(0).cast("long").alias("errors")]
+    return each.select(*keys, F.col("pos").cast("int").alias("pos"), "depth", *errors)
+
+
+def cumulative_share(depth: DataFrame, keys: list[str]) -> DataFrame:
+    """Column running: the sum of depth up to a position, in two levels: over tiles, then inside them."""
+    tiled = depth.withColumn("_tile", F.floor(F.col("pos") / TILE))
+    sums = tiled.groupBy(*keys, "_tile").agg(F.sum("depth").alias("_s"))
+    up = W.partitionBy(*keys).orderBy("_tile").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_tile").alias("_t"), F.coalesce(F.sum("_s").over(up), F.lit(0)).alias("_before"))
+    inside = W.partitionBy(*keys, "_tile").orderBy("pos").rangeBetween(W.unboundedPreceding, W.currentRow)
+    met = tiled.withColumn("_in", F.sum("depth").over(inside))
+    on = F.col("_tile") == F.col("_t")
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return met.join(offsets, on).select(*depth.columns, (F.col("_before") + F.col("_in")).alias("running"))
 
 
 def start_end_counts(exon_rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,10 +64,18 @@ def full_add_by_position(frames: list[DataFrame], keys: list[str]) -> DataFrame:
 
 
 def zero_gaps(depth: DataFrame, keys: list[str], gap: int) -> DataFrame:
-    """Depth 0 on both sides of a gap between positions."""
-    along = W.partitionBy(*keys).orderBy("pos")
-    at_gap = (F.col("pos") - F.lag("pos").over(along) > gap) | (F.lead("pos").over(along) - F.col("pos") > gap)
-    return depth.withColumn("depth", F.when(at_gap, 0).otherwise(F.col("depth")))
+    """Depth 0 on both sides of a gap between positions. Neighbours in other tiles come from a row for each tile."""
+    tiled = depth.withColumn("_tile", F.floor(F.col("pos") / TILE))
+    ends = tiled.groupBy(*keys, "_tile").agg(F.min("pos").alias("_first"), F.max("pos").alias("_last"))
+    line = W.partitionBy(*keys).orderBy("_tile")
+    ends = ends.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_tile").alias("_t"), F.lag("_last").over(line).alias("_before"), F.lead("_first").over(line).alias("_behind"))
+    on = F.col("_tile") == F.col("_t")
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    along = W.partitionBy(*keys, "_tile").orderBy("pos")
+    met = tiled.withColumn("_l", F.lag("pos").over(along)).withColumn("_r", F.lead("pos").over(along)).join(ends, on)
+    at_gap = (F.col("pos") - F.coalesce("_l", "_before") > gap) | (F.coalesce("_r", "_behind") - F.col("pos") > gap)
+    return met.withColumn("depth", F.when(at_gap, 0).otherwise(F.col("depth"))).select(*depth.columns)
 
 
 def local_smooth(depth: DataFrame, keys: list[str], half: int) -> DataFrame:
@@ -73,10 +107,17 @@ def downsample(depth: Column, errors: Column, to: int) -> tuple[Column, Column]:
 
 
 def depth_valley(depth: DataFrame, keys: list[str], share: float = 0.1) -> DataFrame:
-    """First position with no depth, and the first behind it above a share of the maximum."""
-    own = W.partitionBy(*keys)
-    marked = depth.withColumn("_max", F.max("depth").over(own)).withColumn("_zero", F.min(F.when(F.col("depth") == 0, F.col("pos"))).over(own))
-    return marked.groupBy(*keys).agg(F.first("_zero").alias("zero_at"), F.min(F.when((F.col("pos") > F.col("_zero")) & (F.col("depth") > share * F.col("_max")), F.col("pos"))).alias("rise_at"))
+    """First position with no depth, and the first behind it above a share of the maximum; by counts and joins, no windows."""
+    first = depth.groupBy(*keys).agg(F.max("depth").alias("_max"), F.min(F.when(F.col("depth") == 0, F.col("pos"))).alias("zero_at"))
+    rise = (F.col("pos") > F.col("zero_at")) & (F.col("depth") > share * F.col("_max"))
+    return depth.join(first, keys).groupBy(*keys).agg(F.first("zero_at").alias("zero_at"), F.min(F.when(rise, F.col("pos"))).alias("rise_at"))
+
+
+def absent_before(depth: DataFrame, keys: list[str], start: int, end: int, above: int = 20_000, least: int = 10) -> DataFrame:
+    """Keys without any depth between ``above`` and ``start`` (both excluded) that go deeper than ``least`` from start to end."""
+    before = F.coalesce(F.max(F.when((F.col("pos") > above) & (F.col("pos") < start), F.col("depth"))), F.lit(0))
+    inside = F.max(F.when(F.col("pos").between(start, end), F.col("depth")))
+    return depth.groupBy(*keys).agg(before.alias("_b"), inside.alias("peak")).filter((F.col("_b") == 0) & (F.col("peak") > least)).drop("_b")
 
 
 def bh_adjust(tests: DataFrame, p: str, key: str) -> DataFrame:
@@ -101,22 +142,6 @@ def bh_adjust(tests: DataFrame, p: str, key: str) -> DataFrame:
     return tests.join(padj, F.col(p) == F.col("_p"), "left").select(key, p, "padj")
 
 
-def _chi_square_p(x: pd.Series) -> pd.Series:
-    """Upper tail of a chi-square variable with one degree of freedom."""
-    return x.map(lambda v: None if v is None or v != v else math.erfc(math.sqrt(max(v, 0) / 2)))
-
-
-def error_rate_test(depth: DataFrame, a: str, b: str, least: int) -> DataFrame:
-    """Per position a chi-square test with Yates' correction on (depth, errors) of two sources, both at least ``least`` deep."""
-    x, y = (depth.filter(F.col("source") == s).select("pos", F.col("depth").alias(f"d{i}"), F.col("errors").alias(f"e{i}")) for i, s in enumerate((a, b)))
-    both = x.join(y, "pos").filter((F.col("d0") >= least) & (F.col("d1") >= least))
-    n = F.col("d0") + F.col("e0") + F.col("d1") + F.col("e1")
-    det = F.greatest(F.abs(F.col("d0") * F.col("e1") - F.col("d1") * F.col("e0")) - F.least(n / 2, F.abs(F.col("d0") * F.col("e1") - F.col("d1") * F.col("e0"))), F.lit(0.0))
-    sides = (F.col("d0") + F.col("e0")) * (F.col("d1") + F.col("e1")) * (F.col("d0") + F.col("d1")) * (F.col("e0") + F.col("e1"))
-    stat = F.when(sides > 0, n * det * det / sides)
-    return both.select("pos", stat.alias("statistic"), F.pandas_udf(_chi_square_p, "double")(stat).alias("p_value"))
-
-
 def sample_correlation(depth: DataFrame, lo: int, hi: int) -> DataFrame:
     """Pearson correlation of depths between sources over the positions that both have."""
     own = depth.filter(F.col("pos").between(lo, hi))

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..operators import breakpoints as bp
 from ..operators import clusters as cl
 from ..operators import depth as dp
 from ..operators import intervals as iv
+from ..operators import rates as rt
 from ..operators import structure as st
 from ..registry import query
 from . import inputs
@@ -97,21 +97,31 @@ def big_clusters(spark, sf_dir):
     return cl.big_clusters(inputs.reads(spark, sf_dir), "cluster", 10, 15)
 
 
-@query("cluster_mean_sd", sql("kr", "SELECT cluster_key, avg(st) AS st_mean, stddev_pop(st) AS st_sd, avg(en) AS en_mean, stddev_pop(en) AS en_sd, avg(CASE WHEN n_exons > 1 THEN ens[1] END) AS left_mean, stddev_pop(CASE WHEN n_exons > 1 THEN ens[1] END) AS left_sd, avg(sts[2]) AS right_mean, stddev_pop(sts[2]) AS right_sd FROM kr GROUP BY 1").replace("SELECT cluster_key, avg", "SELECT cluster_key, avg"))
+@query("cluster_mean_sd", sql("kr", "SELECT chrom, cluster_key, avg(st) AS st_mean, stddev_pop(st) AS st_sd, avg(en) AS en_mean, stddev_pop(en) AS en_sd, avg(CASE WHEN n_exons > 1 THEN ens[1] END) AS left_mean, stddev_pop(CASE WHEN n_exons > 1 THEN ens[1] END) AS left_sd, avg(sts[2]) AS right_mean, stddev_pop(sts[2]) AS right_sd FROM kr GROUP BY 1, 2"))
 def cluster_mean_sd(spark, sf_dir):
     return cl.cluster_mean_sd(keyed(spark, sf_dir))
 
 
-@query("trim_cluster", sql("r", "WITH x AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY st, read_id) - 1 AS s, row_number() OVER (PARTITION BY cluster ORDER BY en, read_id) - 1 AS e, count(*) OVER (PARTITION BY cluster) AS n, avg(en - st) OVER (PARTITION BY cluster) AS m, stddev_pop(en - st) OVER (PARTITION BY cluster) AS sd FROM r), y AS (SELECT *, max(CASE WHEN s = n // 2 THEN st END) OVER (PARTITION BY cluster) AS st_to, max(CASE WHEN e = least(n - n // 2, n - 1) THEN en END) OVER (PARTITION BY cluster) AS en_to FROM x), z AS (SELECT *, count(*) OVER (PARTITION BY cluster) AS kept FROM y WHERE st < st_to + 10 AND en > en_to - 10 AND abs(en - st - m) <= greatest(sd * 2.0, 20)) SELECT cluster, read_id, greatest(st, st_to) AS st, least(en, en_to) AS en FROM z WHERE kept >= 2"))
+@query(
+    "trim_cluster",
+    sql(
+        "kr",
+        """WITH m AS (SELECT chrom, cluster_key, read_id, st, en, CASE WHEN n_exons > 1 THEN ens[1] ELSE 0 END AS l, CASE WHEN n_exons > 1 THEN sts[n_exons] ELSE 0 END AS r FROM kr),
+        x AS (SELECT *, row_number() OVER (w ORDER BY st, read_id) - 1 AS s, row_number() OVER (w ORDER BY en, read_id) - 1 AS e, count(*) OVER w AS n, avg(l) OVER w AS lm, stddev_pop(l) OVER w AS ls, avg(r) OVER w AS rm, stddev_pop(r) OVER w AS rs FROM m WINDOW w AS (PARTITION BY chrom, cluster_key)),
+        y AS (SELECT *, max(CASE WHEN s = n // 2 THEN st END) OVER w AS st_to, max(CASE WHEN e = least(n - n // 2, n - 1) THEN en END) OVER w AS en_to FROM x WINDOW w AS (PARTITION BY chrom, cluster_key)),
+        z AS (SELECT *, count(*) OVER (PARTITION BY chrom, cluster_key) AS kept FROM y WHERE st < st_to + 10 AND en > en_to - 10 AND abs(l - lm) <= greatest(ls * 2.0, 20) AND abs(r - rm) <= greatest(rs * 2.0, 20) AND greatest(st, st_to) <= least(en, en_to))
+        SELECT chrom, cluster_key, read_id, greatest(st, st_to) AS st, least(en, en_to) AS en, greatest(0, st_to - st) AS skip, greatest(0, en - en_to) AS "drop" FROM z WHERE kept > 1""".replace("(w ORDER BY", "(PARTITION BY chrom, cluster_key ORDER BY"),
+    ),
+)
 def trim_cluster(spark, sf_dir):
-    return cl.trim_cluster(inputs.reads(spark, sf_dir), "cluster", 2)
+    return cl.trim_cluster(keyed(spark, sf_dir), ["chrom", "cluster_key"], 1)
 
 
 def cells(spark, sf_dir):
     return bp.breakpoint_counts(bp.gaps(exons(spark, sf_dir)))
 
 
-_CELLS = 'g0 AS (SELECT *, lead(st) OVER (PARTITION BY read_id ORDER BY exon) AS rgt FROM e), cells AS (SELECT source, CASE WHEN exon = 1 THEN 0 ELSE 1 END AS level, en AS "left", rgt AS "right", count(*) AS n FROM g0 WHERE rgt IS NOT NULL GROUP BY ALL)'
+_CELLS = 'g0 AS (SELECT *, lead(st) OVER (PARTITION BY read_id ORDER BY exon) AS rgt FROM e), cells AS (SELECT source, chrom, CASE WHEN exon = 1 THEN 0 ELSE 1 END AS level, en AS "left", rgt AS "right", count(*) AS n FROM g0 WHERE rgt IS NOT NULL GROUP BY ALL)'
 
 
 def _cells(body: str) -> str:
@@ -123,31 +133,37 @@ def breakpoint_counts(spark, sf_dir):
     return cells(spark, sf_dir)
 
 
-@query("breakpoint_marginals", _cells('SELECT source, level, "left", "right", CAST(sum(n) AS BIGINT) AS n FROM cells GROUP BY GROUPING SETS ((source, level, "left"), (source, level, "right"))'))
+_SETS = 'SELECT source, chrom, level, "left", "right", CAST(sum(n) AS BIGINT) AS n FROM cells GROUP BY GROUPING SETS ((source, chrom, level, "left"), (source, chrom, level, "right"))'
+
+
+@query("breakpoint_marginals", _cells(_SETS))
 def breakpoint_marginals(spark, sf_dir):
     return bp.marginals(cells(spark, sf_dir))
 
 
-@query("marginal_check", _cells('SELECT source, level, "left", "right", CAST(sum(n) AS BIGINT) AS n FROM cells GROUP BY GROUPING SETS ((source, level, "left"), (source, level, "right")) HAVING sum(n) > 1'))
+@query("marginal_check", _cells(f'WITH own AS ({_SETS}), stored AS (SELECT source, chrom, level, "left", "right", n + CASE WHEN "left" % 10 = 0 THEN 1 ELSE 0 END AS n FROM own WHERE "right" IS NULL OR "right" % 7 <> 0) SELECT source, chrom, level, o."left", o."right", o.n AS summed, s.n AS stored FROM own o LEFT JOIN stored s USING (source, chrom, level) WHERE s."left" IS NOT DISTINCT FROM o."left" AND s."right" IS NOT DISTINCT FROM o."right" AND s.n <> o.n UNION ALL SELECT source, chrom, level, "left", "right", n, NULL FROM own WHERE "right" % 7 = 0'))
 def marginal_check(spark, sf_dir):
-    # against marginals of which only the ones of a single read are stored
-    found = bp.marginals(cells(spark, sf_dir))
-    return bp.marginal_check(cells(spark, sf_dir), found.filter("n = 1"))
+    """Against a store that is one off for some left sides and lacks some right ones."""
+    own = bp.marginals(cells(spark, sf_dir))
+    stored = own.filter("right IS NULL OR right % 7 <> 0").withColumn("n", F.col("n") + F.when(F.col("left") % 10 == 0, 1).otherwise(0))
+    return bp.marginal_check(cells(spark, sf_dir), stored)
+
 
+_ALN = "al AS (SELECT read_id, source, concat('c', pk % 3) AS chrom, fwd, st, en, q1, q2 FROM b)"
 
-@query("fusion_breakpoints", sql("b", "SELECT x.chrom AS chrom, y.chrom AS other, x.source, count(*) AS n FROM b x JOIN b y ON y.read_id = x.read_id + 1 AND x.blk = 1 AND y.blk = 1 AND x.chrom <> y.chrom GROUP BY ALL"))
+
+@query("fusion_breakpoints", sql("b", f"WITH {_ALN}, x AS (SELECT source, chrom, CASE WHEN fwd THEN en ELSE st END AS \"left\", lead(chrom) OVER w AS other, lead(CASE WHEN fwd THEN st ELSE en END) OVER w AS \"right\" FROM al WINDOW w AS (PARTITION BY read_id ORDER BY q1, q2, chrom, st, en)) SELECT source, chrom, other, \"left\", \"right\", count(*) AS n FROM x WHERE other <> chrom GROUP BY ALL"))
 def fusion_breakpoints(spark, sf_dir):
-    b = blocks(spark, sf_dir).filter("blk = 1")
-    other = b.select((F.col("read_id") - 1).alias("read_id"), F.col("chrom").alias("other"))
-    return b.join(other, "read_id").filter("chrom <> other").groupBy("chrom", "other", "source").agg(F.count("*").alias("n"))
+    """Blocks as alignments of their read to three chromosomes."""
+    return bp.fusion_breakpoints(blocks(spark, sf_dir).withColumn("chrom", F.concat(F.lit("c"), F.col("pk") % 3)))
 
 
-@query("breakpoint_cross", _cells('SELECT DISTINCT level, "left", "right" FROM cells'))
+@query("breakpoint_cross", _cells('SELECT DISTINCT chrom, level, "left", "right" FROM cells'))
 def breakpoint_cross(spark, sf_dir):
     return bp.breakpoint_cross(cells(spark, sf_dir))
 
 
-@query("depth_at_pairs", _cells('WITH t AS (SELECT source, "left", "right", CAST(sum(n) AS BIGINT) AS n FROM cells GROUP BY ALL) SELECT p."left", p."right", s.source, coalesce(t.n, 0) AS n FROM (SELECT DISTINCT "left", "right" FROM t) p CROSS JOIN (SELECT DISTINCT source FROM t) s LEFT JOIN t ON t."left" = p."left" AND t."right" = p."right" AND t.source = s.source'))
+@query("depth_at_pairs", _cells('WITH t AS (SELECT source, chrom, "left", "right", CAST(sum(n) AS BIGINT) AS n FROM cells GROUP BY ALL) SELECT p.chrom, p."left", p."right", s.source, coalesce(t.n, 0) AS n FROM (SELECT DISTINCT chrom, "left", "right" FROM t) p CROSS JOIN (SELECT DISTINCT source FROM t) s LEFT JOIN t ON t.chrom = p.chrom AND t."left" = p."left" AND t."right" = p."right" AND t.source = s.source'))
 def depth_at_pairs(spark, sf_dir):
     return bp.depth_at_pairs(cells(spark, sf_dir))
 
@@ -157,17 +173,26 @@ def break_subset(spark, sf_dir):
     return bp.break_subset(cells(spark, sf_dir), (1200, 2400), (1800, 3000))
 
 
-@query("break_binning", _cells('SELECT source, CAST(ceil(("left" - 1000) / 100) AS INTEGER) AS i, CAST(ceil(("right" - 1000) / 200) AS INTEGER) AS j, CAST(sum(n) AS BIGINT) AS n, sum(n) / 20000.0 AS density FROM cells GROUP BY ALL'))
+@query("break_binning", _cells('SELECT source, chrom, CAST(ceil(("left" - 1000) / 100) AS INTEGER) AS i, CAST(ceil(("right" - 1000) / 200) AS INTEGER) AS j, CAST(sum(n) AS BIGINT) AS n, sum(n) / 20000.0 AS density FROM cells GROUP BY ALL'))
 def break_binning(spark, sf_dir):
     return bp.break_binning(cells(spark, sf_dir), (1000, 1000), (100, 200))
 
 
-@query("max_cells", _cells('WITH g AS (SELECT source, CAST(ceil(("left" - 1000) / 100) AS INTEGER) AS i, CAST(ceil(("right" - 1000) / 200) AS INTEGER) AS j, CAST(sum(n) AS BIGINT) AS n FROM cells GROUP BY ALL) SELECT * FROM g QUALIFY rank() OVER (PARTITION BY source ORDER BY n DESC) = 1'))
+@query("max_cells", _cells('WITH g AS (SELECT source, chrom, CAST(ceil(("left" - 1000) / 100) AS INTEGER) AS i, CAST(ceil(("right" - 1000) / 200) AS INTEGER) AS j, CAST(sum(n) AS BIGINT) AS n FROM cells GROUP BY ALL) SELECT * FROM g QUALIFY rank() OVER (PARTITION BY source, chrom ORDER BY n DESC) = 1'))
 def max_cells(spark, sf_dir):
-    return bp.max_cells(bp.break_binning(cells(spark, sf_dir), (1000, 1000), (100, 200)).drop("density"), ["source"])
+    return bp.max_cells(bp.break_binning(cells(spark, sf_dir), (1000, 1000), (100, 200)).drop("density"), ["source", "chrom"])
+
+
+def _flank(c: str, first: int) -> str:
+    return " || ".join(f"CASE WHEN \"{c}\" + {o} BETWEEN 1 AND len(seq) THEN substr(seq, \"{c}\" + {o}, 1) ELSE '-' END" for o in range(first, first + 10))
 
 
-@query("top_cells", _cells('SELECT * FROM cells WHERE n >= 1 ORDER BY n DESC, source, level, "left", "right" LIMIT 40'))
+@query("max_cells_flanked", sql("gn e", f'WITH {_CELLS}, m AS (SELECT * FROM cells QUALIFY rank() OVER (PARTITION BY source, chrom, level ORDER BY n DESC) = 1) SELECT source, chrom, level, "left", "right", n, {_flank("left", -9)} AS left_up, {_flank("left", 1)} AS left_on, {_flank("right", -9)} AS right_up, {_flank("right", 1)} AS right_on FROM m JOIN gn ON name = chrom'))
+def max_cells_flanked(spark, sf_dir):
+    return bp.max_cells_flanked(cells(spark, sf_dir), inputs.tiled(spark, sf_dir), ["source", "chrom", "level"]).select("source", "chrom", "level", "left", "right", "n", "left_up", "left_on", "right_up", "right_on")
+
+
+@query("top_cells", _cells('SELECT * FROM cells WHERE n >= 1 ORDER BY n DESC, source, chrom, level, "left", "right" LIMIT 40'))
 def top_cells(spark, sf_dir):
     return bp.top_cells(cells(spark, sf_dir), 1, 40)
 
@@ -180,12 +205,11 @@ def weighted_moments(spark, sf_dir):
     return bp.weighted_moments(inputs.depth(spark, sf_dir), ["source"], "pos", "depth")
 
 
-@query("breakpoint_region_summary", _cells('WITH x AS (SELECT source, \'start\' AS side, "left" // 500 AS region, "left" AS p, n FROM cells UNION ALL SELECT source, \'end\', "right" // 500, "right", n FROM cells), y AS (SELECT source, side, region, p, sum(n) AS n FROM x GROUP BY ALL) SELECT source, side, region, ' + _MOM.format("p") + ", arg_min(p, -n * 1000000 + p) AS at_max, CAST(max(n) AS BIGINT) AS max FROM y GROUP BY ALL"))
+@query("breakpoint_region_summary", sql("a e", f"WITH {_CELLS}, x AS (SELECT source, chrom, 'start' AS side, \"left\" AS p, n FROM cells UNION ALL SELECT source, chrom, 'end', \"right\", n FROM cells), y AS (SELECT source, chrom, side, gene AS region, p, sum(n) AS n FROM x JOIN a ON g_chrom = chrom AND p BETWEEN g_st - 60 AND g_en GROUP BY ALL) SELECT source, chrom, side, region, " + _MOM.format("p") + ", arg_min(p, -n * 1000000 + p) AS at_max, CAST(max(n) AS BIGINT) AS max FROM y GROUP BY ALL"))
 def breakpoint_region_summary(spark, sf_dir):
-    c = cells(spark, sf_dir)
-    sides = [c.select("source", F.lit(k).alias("side"), F.floor(F.col(col) / 500).alias("region"), F.col(col).alias("p"), "n") for k, col in (("start", "left"), ("end", "right"))]
-    points = sides[0].unionByName(sides[1]).groupBy("source", "side", "region", "p").agg(F.sum("n").alias("n"))
-    return bp.weighted_moments(points, ["source", "side", "region"], "p", "n")
+    """Regions: genes with 60 bases before them; they overlap."""
+    regions = genes(spark, sf_dir).select(F.col("g_chrom").alias("chrom"), F.col("gene").alias("region"), (F.col("g_st") - 60).alias("lo"), F.col("g_en").alias("hi"))
+    return bp.region_summary(cells(spark, sf_dir), regions)
 
 
 @query("merge_duplicates_sum", sql("r", "SELECT cluster, CAST(sum(en - st) AS BIGINT) AS n, arg_min(source, read_id) AS source, arg_min(type, read_id) AS type FROM r GROUP BY 1"))
@@ -203,29 +227,37 @@ def bin_membership(spark, sf_dir):
     return inputs.depth(spark, sf_dir).select("source", "pos", F.when(F.col("pos").between(0, 699), F.floor(F.col("pos") / 50)).alias("bin"))
 
 
-@query("union_positions", _cells('SELECT DISTINCT "left" AS pos FROM cells UNION SELECT "right" FROM cells'))
+@query("union_positions", _cells('SELECT DISTINCT chrom, "left" AS pos FROM cells UNION SELECT chrom, "right" FROM cells'))
 def union_positions(spark, sf_dir):
     c = cells(spark, sf_dir)
-    return c.select(F.col("left").alias("pos")).union(c.select("right")).distinct()
+    return c.select("chrom", F.col("left").alias("pos")).union(c.select("chrom", "right")).distinct()
 
 
-_SWEEP = "p AS (SELECT source, unnest(range(st, en + 1)) AS pos FROM b), dpt AS (SELECT source, pos, count(*) AS depth FROM p GROUP BY ALL)"
+_SWEEP = "p AS (SELECT source, chrom, unnest(range(st, en + 1)) AS pos FROM b), dpt AS (SELECT source, chrom, pos, count(*) AS depth FROM p GROUP BY ALL), er AS (SELECT source, chrom, st + pk % (en - st + 3) AS pos, count(*) AS errors FROM b WHERE pk % 3 = 0 GROUP BY ALL)"
 
 
-@query("depth_by_position", sql("b", f"WITH {_SWEEP} SELECT * FROM dpt"))
+def swept(spark, sf_dir):
+    """Depth of all blocks, and errors: every third block has a mismatch, some of them behind its end."""
+    b = blocks(spark, sf_dir)
+    wrong = b.filter(F.col("pk") % 3 == 0).select("source", "chrom", (F.col("st") + F.col("pk") % (F.col("en") - F.col("st") + 3)).alias("pos"))
+    return dp.depth_by_position(b, ["source", "chrom"], mismatches=wrong)
+
+
+@query("depth_by_position", sql("b", f"WITH {_SWEEP} SELECT source, chrom, pos, depth, coalesce(errors, 0) AS errors FROM dpt LEFT JOIN er USING (source, chrom, pos)"))
 def depth_by_position(spark, sf_dir):
-    return dp.depth_by_position(blocks(spark, sf_dir), ["source"])
+    return swept(spark, sf_dir)
 
 
-@query("start_end_counts", sql("e", "SELECT source, 'start' AS kind, st AS pos, count(*) AS n FROM e GROUP BY ALL UNION ALL SELECT source, 'end', en, count(*) FROM e GROUP BY ALL"))
+@query("start_end_counts", sql("e", "SELECT source, chrom, 'start' AS kind, st AS pos, count(*) AS n FROM e GROUP BY ALL UNION ALL SELECT source, chrom, 'end', en, count(*) FROM e GROUP BY ALL"))
 def start_end_counts(spark, sf_dir):
-    return dp.start_end_counts(exons(spark, sf_dir), ["source"])
+    return dp.start_end_counts(exons(spark, sf_dir), ["source", "chrom"])
 
 
-@query("full_add_by_position", sql("d", "SELECT pos, CAST(sum(depth) AS BIGINT) AS depth, CAST(sum(errors) AS BIGINT) AS errors FROM d GROUP BY 1"))
+@query("full_add_by_position", sql("b", f"WITH {_SWEEP} SELECT chrom, pos, CAST(sum(depth) AS BIGINT) AS depth, CAST(sum(coalesce(errors, 0)) AS BIGINT) AS errors FROM dpt LEFT JOIN er USING (source, chrom, pos) GROUP BY ALL"))
 def full_add_by_position(spark, sf_dir):
-    d = inputs.depth(spark, sf_dir).drop("source")
-    return dp.full_add_by_position([d], [])
+    """The depths of three sources, each a frame with positions of its own."""
+    d = swept(spark, sf_dir)
+    return dp.full_add_by_position([d.filter(F.col("source") == s).drop("source") for s in ("s0", "s1", "s2")], ["chrom"])
 
 
 @query("scan_depth_store", sql("d", "SELECT source, pos // 24 AS grp, CAST(sum(depth) AS BIGINT) AS depth FROM d WHERE source IN ('click', 'view', 'purchase') GROUP BY ALL"))
@@ -274,22 +306,51 @@ def depth_valley(spark, sf_dir):
     return dp.depth_valley(d, ["source"])
 
 
+@query("absent_before", sql("d", "SELECT source, max(depth) FILTER (WHERE pos BETWEEN 300 AND 600) AS peak FROM (SELECT concat(source, pos % 9) AS source, pos, depth FROM d WHERE pos % 5 <> 0) GROUP BY source HAVING coalesce(max(depth) FILTER (WHERE pos > 280 AND pos < 300), 0) = 0 AND max(depth) FILTER (WHERE pos BETWEEN 300 AND 600) > 2"))
+def absent_before(spark, sf_dir):
+    d = inputs.depth(spark, sf_dir).filter("pos % 5 <> 0").withColumn("source", F.concat("source", F.col("pos") % 9))
+    return dp.absent_before(d, ["source"], 300, 600, 280, 2)
+
+
 @query("filter_position_range", sql("d", "SELECT * FROM d WHERE pos BETWEEN 100 AND 300"))
 def filter_position_range(spark, sf_dir):
     return inputs.depth(spark, sf_dir).filter(F.col("pos").between(100, 300))
 
 
-_TEST = "x AS (SELECT pos, depth AS d0, errors AS e0 FROM d WHERE source = 'click'), y AS (SELECT pos, depth AS d1, errors AS e1 FROM d WHERE source = 'view'), t AS (SELECT pos, (d0 + e0 + d1 + e1) * (greatest(abs(d0 * e1 - d1 * e0) - least((d0 + e0 + d1 + e1) / 2, abs(d0 * e1 - d1 * e0)), 0.0) ** 2) / nullif((d0 + e0) * (d1 + e1) * (d0 + d1) * (e0 + e1), 0) AS statistic FROM x JOIN y USING (pos) WHERE d0 >= 2 AND d1 >= 2)"
+_TEST = "x AS (SELECT pos, depth AS d0, errors AS e0 FROM d WHERE source = 'click'), y AS (SELECT pos, depth AS d1, errors AS e1 FROM d WHERE source = 'view'), t AS (SELECT *, d0 + d1 + e0 + e1 AS n FROM x JOIN y USING (pos) WHERE d0 > 1 AND d1 > 1)"
+_STAT = "n * (greatest(abs(d0 * e1 - d1 * e0) - least(n / 2, abs(d0 * e1 - d1 * e0)), 0.0) ** 2) / nullif((d0 + e0) * (d1 + e1) * (d0 + d1) * (e0 + e1), 0)"
+
+
+def rounded(df):
+    return df.select("pos", F.round("statistic", 9).alias("statistic"), F.round("p_value", 9).alias("p_value"))
 
 
-@query("error_rate_test", sql("d", f"WITH {_TEST} SELECT pos, round(statistic, 9) AS statistic FROM t"))
+@query("error_rate_test", sql("d", f"WITH {_TEST} SELECT pos, round({_STAT}, 9) AS statistic FROM t"))
 def error_rate_test(spark, sf_dir):
-    return dp.error_rate_test(inputs.depth(spark, sf_dir), "click", "view", 2).select("pos", F.round("statistic", 9).alias("statistic"))
+    return rounded(rt.error_rate_test(inputs.depth(spark, sf_dir), ["click", "view"], 1)).drop("p_value")
 
 
 @query("error_rate_p_values")
 def error_rate_p_values(spark, sf_dir):
-    return dp.error_rate_test(inputs.depth(spark, sf_dir), "click", "view", 2)
+    """No SQL: the error function; p is held against plain Python."""
+    return rt.error_rate_test(inputs.depth(spark, sf_dir), ["click", "view"], 1)
+
+
+_LOGS = "lgamma(d0 + d1 + 1) + lgamma(e0 + e1 + 1) + lgamma(d0 + e0 + 1) + lgamma(d1 + e1 + 1) - lgamma(n + 1)"
+
+
+@query("error_rate_fisher", sql("d", f"WITH {_TEST}, k AS (SELECT *, unnest(range(greatest(0, d0 + d1 - d1 - e1), least(d0 + d1, d0 + e0) + 1)) AS a FROM t), l AS (SELECT pos, a = d0 AS own, exp({_LOGS} - lgamma(a + 1) - lgamma(d0 + d1 - a + 1) - lgamma(d0 + e0 - a + 1) - lgamma(e0 + e1 - d0 - e0 + a + 1)) AS p FROM k), o AS (SELECT pos, max(CASE WHEN own THEN p END) AS seen FROM l GROUP BY 1) SELECT pos, NULL::DOUBLE AS statistic, round(least(1.0, sum(p)), 9) AS p_value FROM l JOIN o USING (pos) WHERE p <= seen * (1 + 1e-7) GROUP BY 1"))
+def error_rate_fisher(spark, sf_dir):
+    return rounded(rt.error_rate_test(inputs.depth(spark, sf_dir), ["click", "view"], 1, "fisher"))
+
+
+_THREE = ", ".join(f"max(CASE WHEN source = '{s}' THEN depth END) AS d{i}, max(CASE WHEN source = '{s}' THEN errors END) AS e{i}" for i, s in enumerate(("click", "purchase", "view")))
+
+
+@query("error_rate_samples", sql("d", f"WITH w AS (SELECT pos, {_THREE} FROM d GROUP BY 1), t AS (SELECT *, d0 + d1 + d2 AS sd, e0 + e1 + e2 AS se, d0 + d1 + d2 + e0 + e1 + e2 AS n FROM w WHERE d0 > 1 AND d1 > 1 AND d2 > 1), s AS (SELECT pos, (" + " + ".join(f"(d{i} - sd * (d{i} + e{i})::DOUBLE / n) ** 2 / (d{i} + e{i})" for i in range(3)) + ") * n * (1.0 / sd + 1.0 / nullif(se, 0)) AS statistic FROM t) SELECT pos, round(statistic, 9) AS statistic, round(exp(-statistic / 2), 9) AS p_value FROM s"))
+def error_rate_samples(spark, sf_dir):
+    """Three samples: two degrees of freedom."""
+    return rounded(rt.error_rate_test(inputs.depth(spark, sf_dir), ["click", "purchase", "view"], 1))
 
 
 @query("bh_adjust", sql("d", "WITH p AS (SELECT source || ':' || pos AS id, (errors + 1) / (depth + 2) AS p FROM d), k AS (SELECT *, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS r, count(*) OVER () AS m FROM p), w AS (SELECT *, p * m / r AS raw FROM k) SELECT id, round(p, 9) AS p, round(least(1.0, min(raw) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 9) AS padj FROM w"))
@@ -312,7 +373,7 @@ def sample_correlation(spark, sf_dir):
 
 @query("cumulative_share", sql("d", "SELECT source, pos, CAST(sum(depth) OVER (PARTITION BY source ORDER BY pos) AS BIGINT) AS running FROM d"))
 def cumulative_share(spark, sf_dir):
-    return inputs.depth(spark, sf_dir).select("source", "pos", F.sum("depth").over(W.partitionBy("source").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)).alias("running"))
+    return dp.cumulative_share(inputs.depth(spark, sf_dir), ["source"]).select("source", "pos", "running")
 
 
 @query("top_clusters_by_peak", sql("d", "SELECT d.* FROM d SEMI JOIN (SELECT source FROM d GROUP BY 1 ORDER BY max(depth) DESC, source LIMIT 2) t USING (source)"))

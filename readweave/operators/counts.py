@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 #: 97.5 % point of the normal distribution.
-Z = 1.959963984540054
 
 
 def sample_totals(counts: DataFrame) -> DataFrame:
@@ -96,9 +95,12 @@ def junctions(key: Column) -> Column:
 
 
 def term(key: Column, kind: Column, word: str) -> Column:
-    """Whether a row is selected by one term: all, an end type, juncts=n, juncts<n, juncts>n, or a pattern on the key."""
+    """Whether a row is selected by one term: all, an end type, non5 or non3 (no such end), juncts=n, juncts<n, juncts>n, or a
+    pattern on the key."""
     if word == "all":
         return F.lit(True)
+    if word in ("non5", "non3"):
+        return kind.startswith("no5") if word == "non5" else kind.endswith("no3")
     if word in ("5_3", "5_no3", "no5_3", "no5_no3"):
         return kind == word
     if word.startswith("juncts"):
@@ -146,32 +148,30 @@ def group_zero_counts(counts: DataFrame, a: list[str], b: list[str]) -> DataFram
     return out.agg(*aggs).withColumn("difference", F.col("mean_b") - F.col("mean_a"))
 
 
-def compared(groups: DataFrame, pseudo: float = 0.5) -> DataFrame:
-    """Rows of `group_zero_counts` with log2 of the fold change, a p value and its adjusted form.
-
-    The p value is Cantelli's bound 1 / (1 + z^2) for the difference of two counts whose variance is their sum.
-    """
+def with_padj(results: DataFrame, p: str = "p") -> DataFrame:
+    """Results of a comparison (id, p and whatever else) with their adjusted p, for inputs that bring p alone."""
     from .depth import bh_adjust
 
-    z2 = F.try_divide(F.pow(F.col("difference"), F.lit(2.0)), F.col("mean_a") + F.col("mean_b"))
-    tested = groups.withColumn("log2fc", F.log2((F.col("mean_b") + pseudo) / (F.col("mean_a") + pseudo))).withColumn("p", 1 / (1 + F.coalesce(z2, F.lit(0.0))))
-    return tested.join(bh_adjust(tested.select("id", "p"), "p", "id").select("id", "padj"), "id")
+    return results.join(bh_adjust(results.select("id", p), p, "id").select("id", "padj"), "id", "left")
+
 
+def classify(results: DataFrame, most: float = 0.05, least: float = 1.0, by: str = "padj", spurious: str | None = None, exclude: str | None = None) -> DataFrame:
+    """Results of a comparison (id, log2fc and p or padj as they came) with ``class``: up, down or none.
 
-def classify(padj: Column, log2fc: Column, zeros_a: Column, zeros_b: Column, most: float, least: float, spurious: bool = True) -> Column:
-    """up, down or none by adjusted p and log2 of the fold change; rows with zeros in both groups are spurious on request."""
-    out = F.when((zeros_a > 0) & (zeros_b > 0), "spurious") if spurious else F.when(F.lit(False), "")
-    sure = padj <= most
-    return out.when(sure & (log2fc >= least), "up").when(sure & (log2fc <= -least), "down").otherwise("none")
+    A row is up or down if ``by`` is at most ``most`` and log2fc reaches ``least`` in size; a null in either gives none. Rows
+    for which the condition ``spurious`` holds are of that class, and those for which ``exclude`` holds are left out.
+    """
+    out = results if exclude is None else results.filter(~F.coalesce(F.expr(exclude), F.lit(False)))
+    sure = F.coalesce((F.col(by) <= most) & (F.abs("log2fc") >= least), F.lit(False))
+    found = F.when(F.coalesce(F.expr(spurious), F.lit(False)), "spurious") if spurious else F.when(F.lit(False), "")
+    return out.withColumn("class", found.when(sure & (F.col("log2fc") > 0), "up").when(sure, "down").otherwise("none"))
 
 
-def binomial_ci(hits: Column, of: Column, z: float = Z) -> tuple[Column, Column, Column]:
-    """Share with the lower and upper ends of its Wilson interval; null where ``of`` is 0."""
-    p = F.try_divide(hits.cast("double"), of.cast("double"))
-    z2 = z * z
-    mid, base = p + z2 / (2 * of), 1 + z2 / of
-    half = z * F.sqrt(p * (1 - p) / of + z2 / (4 * of * of))
-    return p, F.when(of > 0, (mid - half) / base), F.when(of > 0, (mid + half) / base)
+def reversed_flags(groups: DataFrame) -> DataFrame:
+    """Rows of `group_zero_counts` with ``log2fc`` (may bring its own), ``spurious`` (a zero in each group) and ``reversed`` (the
+    difference of means goes against the fold change)."""
+    both = (F.col("zeros_a") > 0) & (F.col("zeros_b") > 0)
+    return groups.withColumn("spurious", both).withColumn("reversed", F.coalesce(F.signum("difference") * F.signum("log2fc") < 0, F.lit(False)))
 
 
 def log_ratio(share: Column) -> Column:
@@ -200,6 +200,15 @@ def expand_sample_name(sample: Column) -> dict[str, Column]:
     return one | {"molecule_cell": F.concat_ws("_", one["molecule"], one["cell"]), "cell_time": F.concat_ws("_", one["cell"], one["time"])}
 
 
+def sample_rank(name: Column, sample: Column, by: str = "time", reverse: bool = False) -> Column:
+    """Place of a sample (from 1) by the parts of its name molecule_cell_time: by time (a number), cell or molecule first, the
+    other parts and the sample behind it; over a row for each sample."""
+    part = expand_sample_name(name)
+    order = {"time": ("hours", "cell", "molecule"), "cell": ("cell", "hours", "molecule"), "molecule": ("molecule", "cell", "hours")}[by]
+    keys = [*[part[k] for k in order], sample]
+    return F.row_number().over(W.orderBy(*[k.desc_nulls_last() if reverse else k.asc_nulls_last() for k in keys]))
+
+
 def decoded(sample: Column, alias: Column) -> Column:
     """The alias of a sample; else its own name, or a standard one where it has fewer than three parts."""
     return F.coalesce(alias, F.when(F.size(F.split(sample, "_")) < 3, F.concat(F.lit("cDNA_"), sample, F.lit("_24hpi"))).otherwise(sample))

@@ -35,40 +35,64 @@ def rescue_candidates(reads: DataFrame, least: int, most: int, away: int, refere
     return reads.select("read_id", five.alias("five"), three.alias("three")).filter("five OR three")
 
 
-def internal_poly_a(seq: Column, run: int, share: float) -> Column:
-    """Place (1-based) of the first ``run`` bases of which ``share`` at least are A, not at the sequence's start; null if none.
-
-    Running sums of A make each window one subtraction, so a long read costs its length.
+#: Scores of a run's own base and of another one: the best stretch is the local alignment to an endless run of the base.
+OWN, OTHER = 10, 8
+
+
+def best_run(seq: Column, base: str) -> Column:
+    """The stretch of a sequence with the highest score as a run of ``base``: struct of first (from 0), last (excluded) and n, its
+    bases of that kind; of equal ones the one that ends first, and that begins last. Null if the base isn't there. One pass."""
+    chars = F.filter(F.split(seq, ""), lambda x: x != "")
+    start = F.struct(*[F.lit(0).alias(k) for k in ("i", "sum", "from", "best", "first", "last")])
+
+    def step(acc: Column, c: Column) -> Column:
+        i, total = acc["i"] + 1, acc["sum"] + F.when(c == base, OWN).otherwise(-OTHER)
+        fresh, better = total <= 0, total > acc["best"]
+        return F.struct(
+            i.alias("i"),
+            F.when(fresh, 0).otherwise(total).alias("sum"),
+            F.when(fresh, i).otherwise(acc["from"]).alias("from"),
+            F.when(better, total).otherwise(acc["best"]).alias("best"),
+            F.when(better, acc["from"]).otherwise(acc["first"]).alias("first"),
+            F.when(better, i).otherwise(acc["last"]).alias("last"),
+        )
+
+    found = F.aggregate(chars, start, step)
+    n = ((found["best"] + OTHER * (found["last"] - found["first"])) / (OWN + OTHER)).cast("int")
+    return F.when(found["best"] > 0, F.struct(found["first"].alias("first"), found["last"].alias("last"), n.alias("n")))
+
+
+def split_internal_polya(reads: DataFrame, key: str, left: int = 15, right: int = 10, share: float = 0.9, inside: int = 10, longer_than: int = 0, least: float | None = None, bases: tuple[str, ...] = ("A",)) -> DataFrame:
+    """Reads (key, seq, cigar; q, an array of qualities, if ``least`` is given) with a run of A in a clip become two, named .L
+    (up to the run's end) and .R (from there on), and go themselves; the others stay as they are.
+
+    A clip is searched if it has more than ``longer_than`` bases and a median quality of ``least``. The best run of the left
+    clip counts if it is longer than ``left`` with a larger share than ``share`` of its base and begins more than ``inside``
+    bases behind the read's start; else that of the right clip if longer than ``right`` and more than ``inside`` bases before
+    the read's end. ``bases``: looked for in turn; with T the tails of reads of the other strand.
     """
-    allowed = int(run * (1 - share) + 1e-9)
-    is_a = F.transform(F.filter(F.split(seq, ""), lambda x: x != ""), lambda x: F.when(x == "A", 0).otherwise(1))
-    return F.when(F.length(seq) > run, first_window(is_a, run, allowed))
-
-
-def first_window(misses: Column, run: int, allowed: int) -> Column:
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(None).cast("int").alias("at"))
-    pairs = F.zip_with(misses, F.concat(F.array_repeat(F.lit(0), run), misses), lambda new, old: F.struct(new.alias("new"), old.alias("old")))
-
-    def step(acc: Column, x: Column) -> Column:
-        i, n = acc["i"] + 1, acc["n"] + F.coalesce(x["new"], F.lit(0)) - x["old"]
-        inside = x["new"].isNotNull() & (i > run) & (n <= allowed)  # i > run: not at the very start
-        return F.struct(i.alias("i"), n.alias("n"), F.when(acc["at"].isNull() & inside, i - run + 1).otherwise(acc["at"]).alias("at"))
-
-    return F.aggregate(pairs, start, step, lambda a: a["at"])
-
-
-def split_internal_polya(reads: DataFrame, key: str, run: int = 15, share: float = 0.9) -> DataFrame:
-    """Reads with an A-rich run inside become two, named .L (to the end of the run) and .R; the others stay as they are."""
-    at = internal_poly_a(F.col("seq"), run, share)
-    found = reads.select(F.col(key).cast("string").alias("read_id"), "seq", at.alias("_at"))
-    cut = F.col("_at") + run - 1
+    l, r = clips(F.col("cigar"))
+    n = F.length("seq")
+    own = reads.select(F.col(key).cast("string").alias("read_id"), "seq", l.alias("_l"), r.alias("_r"), *([F.col("q")] if least is not None else []))
+    good = [F.col("_l") > longer_than, F.col("_r") > longer_than]
+    if least is not None:
+        parts = F.slice("q", 1, F.col("_l")), F.slice("q", F.greatest(F.lit(1), F.size("q") - F.col("_r") + 1), F.col("_r"))
+        good = [F.when(g, median_of(q) >= least) for g, q in zip(good, parts)]
+    cuts = []
+    for side, (clip, off, shortest) in enumerate(((F.substring(F.col("seq"), F.lit(1), F.col("_l")), F.lit(0), left), (F.substring(F.col("seq"), n - F.col("_r") + 1, F.col("_r")), n - F.col("_r"), right))):
+        for base in bases:
+            run = F.when(good[side], best_run(clip, base))
+            long = (run["last"] - run["first"] > shortest) & (run["n"] > share * (run["last"] - run["first"]))
+            place = run["first"] > inside if side == 0 else off + run["last"] < n - inside
+            cuts.append(F.when(long & place, off + run["last"]))
+    found = own.select("read_id", "seq", F.coalesce(*cuts).alias("_at"))
     whole = F.array(F.struct(F.col("read_id").alias("id"), F.col("seq").alias("s")))
     two = F.array(
-        F.struct(F.concat("read_id", F.lit(".L")).alias("id"), F.substring(F.col("seq"), F.lit(1), cut).alias("s")),
-        F.struct(F.concat("read_id", F.lit(".R")).alias("id"), F.substring(F.col("seq"), cut + 1, F.length("seq")).alias("s")),
+        F.struct(F.concat("read_id", F.lit(".L")).alias("id"), F.substring(F.col("seq"), F.lit(1), F.col("_at")).alias("s")),
+        F.struct(F.concat("read_id", F.lit(".R")).alias("id"), F.substring(F.col("seq"), F.col("_at") + 1, F.length("seq")).alias("s")),
     )
     part = found.select(F.explode(F.when(F.col("_at").isNull(), whole).otherwise(two)).alias("p"))
-    return part.select(F.col("p.id").alias("read_id"), F.col("p.s").alias("seq")).filter("seq <> ''")
+    return part.select(F.col("p.id").alias("read_id"), F.col("p.s").alias("seq"))
 
 
 def base_matches(pairs: DataFrame, key: str, st: Column) -> DataFrame:

@@ -45,7 +45,8 @@ def interval(hits: Column, of: Column, method: str = "wilson", level: float = 0.
             lower, upper = F.when(x == 0, 0.0).otherwise(lower), F.when(x == n, 1.0).otherwise(upper)
     else:
         raise ValueError(f"no interval is called {method}")
-    return p, F.when(n > 0, lower), F.when(n > 0, upper)
+    known = (n > 0) & x.isNotNull()
+    return p, F.when(known, lower), F.when(known, upper)
 
 
 def upper_tail(x: float, df: int) -> float:

@@ -31,9 +31,10 @@ def filter_primary(rows: DataFrame, order: list[str], least: int) -> DataFrame:
     return rows.withColumn("_keep", F.coalesce(~extra | follows, F.lit(False))).filter("_keep").drop("_keep")
 
 
-def sample_reads(rows: DataFrame, key: str, share: float) -> DataFrame:
-    """A share of the keys, the same in every run."""
-    return rows.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(share * 1_000_000))
+def sample_reads(rows: DataFrame, key: str, share: float, seed: str = "") -> DataFrame:
+    """A share of the keys, the same in every run and engine: by the first 32 bits of the MD5 of seed and key. A null key is never drawn."""
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+    return rows.filter(bits % 1_000_000 < round(share * 1_000_000))
 
 
 def table_limit(rows: DataFrame, c: str, least: int | None = None, most: int | None = None) -> DataFrame:

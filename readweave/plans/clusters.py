@@ -11,6 +11,7 @@ from ..operators import intervals as iv
 from ..operators import rates as rt
 from ..operators import structure as st
 from ..registry import query
+from ..sources import files
 from . import inputs
 from .inputs import blocks, genes, sql
 from .structure import exons, per_read
@@ -260,10 +261,10 @@ def full_add_by_position(spark, sf_dir):
     return dp.full_add_by_position([d.filter(F.col("source") == s).drop("source") for s in ("s0", "s1", "s2")], ["chrom"])
 
 
-@query("scan_depth_store", sql("d", "SELECT source, pos // 24 AS grp, CAST(sum(depth) AS BIGINT) AS depth FROM d WHERE source IN ('click', 'view', 'purchase') GROUP BY ALL"))
-def scan_depth_store(spark, sf_dir):
-    d = inputs.depth(spark, sf_dir).filter(F.col("source").isin("click", "view", "purchase"))
-    return d.groupBy("source", F.floor(F.col("pos") / 24).alias("grp")).agg(F.sum("depth").alias("depth"))
+@query("depth_groups", sql("b", f"WITH {_SWEEP}, x AS (SELECT chrom, CASE WHEN source IN ('s0', 's2') THEN 'even' ELSE source END AS grp, pos, depth, coalesce(errors, 0) AS errors FROM dpt LEFT JOIN er USING (source, chrom, pos)) SELECT chrom, coalesce(grp, 'all') AS grp, pos, CAST(sum(depth) AS BIGINT) AS depth, CAST(sum(errors) AS BIGINT) AS errors FROM x GROUP BY GROUPING SETS ((chrom, grp, pos), (chrom, pos))"))
+def depth_groups(spark, sf_dir):
+    """What scan_depth_store does with the rows of a store."""
+    return files.depth_groups(swept(spark, sf_dir), "chrom", None, {"s0": "even", "s2": "even"}, True)
 
 
 @query("zero_gaps", sql("d", "SELECT source, pos, CASE WHEN pos - lag(pos) OVER w > 1 OR lead(pos) OVER w - pos > 1 THEN 0 ELSE depth END AS depth FROM d WINDOW w AS (PARTITION BY source ORDER BY pos)"))

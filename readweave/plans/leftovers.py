@@ -7,9 +7,10 @@ from pyspark.sql.window import Window as W
 
 from ..operators import counts as ct
 from ..operators import leftovers as lo
+from ..operators import rates as rt
 from ..operators import rescue as rs
 from ..registry import query
-from .inputs import counts, depth, halves, sequences, sql, tiled
+from .inputs import counts, depth, halves, sequences, sql, table, tiled
 
 _PAIR = "p AS (SELECT id, substr(seq, 1, len(seq) // 2) AS a, substr(seq, len(seq) // 2 + 1, len(seq) // 2) AS b FROM s WHERE len(seq) >= 2), m AS (SELECT id, CAST(101 + i AS INTEGER) AS pos, substr(a, i + 1, 1) AS base, substr(b, i + 1, 1) AS ref FROM (SELECT *, unnest(range(0, len(a))) AS i FROM p))"
 
@@ -37,9 +38,18 @@ def kmer_error_table(spark, sf_dir):
     return found.select("kmer", *[F.round(c, 9).alias(c) for c in found.columns[1:]])
 
 
-@query("split_internal_polya", sql("s", "WITH f AS (SELECT id, seq, (SELECT min(i) FROM (SELECT unnest(range(2, len(seq) - 4)) AS i) WHERE len(replace(substr(seq, i, 6), 'A', '')) <= 2) AS place FROM s), o AS (SELECT CAST(id AS VARCHAR) AS read_id, seq FROM f WHERE place IS NULL UNION ALL SELECT id || '.L', substr(seq, 1, place + 5) FROM f WHERE place IS NOT NULL UNION ALL SELECT id || '.R', substr(seq, place + 6) FROM f WHERE place IS NOT NULL) SELECT * FROM o WHERE seq <> ''"))
+# vowels become A, other letters than C, G and T go: reads with runs of A in clips of a third and a quarter
+_TAILED = "f AS (SELECT doc_id AS id, regexp_replace(regexp_replace(upper(text), '[EIO]', 'A', 'g'), '[^ACGT]', '', 'g') AS seq FROM documents), c AS (SELECT id, seq, 0 AS side, 0 AS off, left(seq, len(seq) // 3) AS clip FROM f UNION ALL SELECT id, seq, 1, len(seq) - len(seq) // 4, right(seq, len(seq) // 4) FROM f)"
+_RUNS = "x AS (SELECT id, side, off, len(seq) AS n, unnest(range(1, len(clip) + 1)) AS i, unnest(string_split(clip, '')) AS ch FROM c WHERE clip <> ''), p AS (SELECT *, sum(CASE ch WHEN 'A' THEN 10 ELSE -8 END) OVER (PARTITION BY id, side ORDER BY i) AS t FROM x), m AS (SELECT *, least(0, min(t) OVER (PARTITION BY id, side ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS low FROM p), g AS (SELECT *, t - coalesce(low, 0) AS gain, coalesce(max(CASE WHEN t <= coalesce(low, 0) THEN i END) OVER (PARTITION BY id, side ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM m), b AS (SELECT id, side, off, n, first, i AS last, gain FROM g WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY id, side ORDER BY gain DESC, i) = 1), k AS (SELECT id, side, off + last AS cut FROM b WHERE last - first > CASE side WHEN 0 THEN 8 ELSE 6 END AND (gain + 8 * (last - first)) / 18 > 0.7 * (last - first) AND CASE side WHEN 0 THEN first > 10 ELSE off + last < n - 10 END), w AS (SELECT id, arg_min(cut, side) AS cut FROM k GROUP BY 1), o AS (SELECT f.id, seq, cut FROM f LEFT JOIN w ON w.id = f.id)"
+
+
+@query("split_internal_polya", f"WITH {_TAILED}, {_RUNS} SELECT CAST(id AS VARCHAR) AS read_id, seq FROM o WHERE cut IS NULL UNION ALL SELECT id || '.L', substr(seq, 1, cut) FROM o WHERE cut IS NOT NULL UNION ALL SELECT id || '.R', substr(seq, cut + 1) FROM o WHERE cut IS NOT NULL")
 def split_internal_polya(spark, sf_dir):
-    return lo.split_internal_polya(sequences(spark, sf_dir), "id", 6, 0.6)
+    seq = F.regexp_replace(F.regexp_replace(F.upper("text"), "[EIO]", "A"), "[^ACGT]", "")
+    n = F.length("seq")
+    l, r = F.floor(n / 3).cast("int"), F.floor(n / 4).cast("int")
+    reads = table(spark, sf_dir, "documents").select("doc_id", seq.alias("seq")).withColumn("cigar", F.concat(l.cast("string"), F.lit("S"), (n - l - r).cast("string"), F.lit("M"), r.cast("string"), F.lit("S")))
+    return lo.split_internal_polya(reads, "doc_id", 8, 6, 0.7)
 
 
 def clipped(spark, sf_dir, clip: int = 40):
@@ -70,15 +80,16 @@ def rescue_ends(spark, sf_dir):
     return found.withColumn("breaks", F.array_join(F.transform("breaks", lambda b: b.cast("string")), ","))
 
 
+Z = rt.normal_quantile(0.95)
 _CI = "({h} / {n} + {z2} / (2 * {n}) {sign} {z} * sqrt({h} / {n} * (1 - {h} / {n}) / {n} + {z2} / (4.0::DOUBLE * {n} * {n}))) / (1 + {z2} / {n})"
 
 
 def _ci(h: str, n: str) -> str:
-    return ", ".join([f"round({h} / {n}, 9) AS share", *(f"round({_CI.format(h=h, n=n, z=ct.Z, z2=ct.Z * ct.Z, sign=s)}, 9) AS {name}" for s, name in (("-", "lower"), ("+", "upper")))])
+    return ", ".join([f"round({h} / {n}, 9) AS share", *(f"round({_CI.format(h=h, n=n, z=Z, z2=Z * Z, sign=s)}, 9) AS {name}" for s, name in (("-", "lower"), ("+", "upper")))])
 
 
 def _rounded(df, keys, h, n):
-    return df.select(*keys, *[F.round(c, 9).alias(k) for c, k in zip(ct.binomial_ci(h, n), ("share", "lower", "upper"))])
+    return df.select(*keys, *[F.round(c, 9).alias(k) for c, k in zip(rt.interval(h, n), ("share", "lower", "upper"))])
 
 
 @query("error_rate_ci", sql("d", f"SELECT source, pos, {_ci('errors', 'depth')} FROM d"))
@@ -86,13 +97,49 @@ def error_rate_ci(spark, sf_dir):
     return _rounded(depth(spark, sf_dir), ["source", "pos"], F.col("errors"), F.col("depth"))
 
 
-@query("transcription_activity")
+def _logit(h: str, n: str, level: float = 0.95) -> str:
+    """SQL of the logit interval: share, lower, upper."""
+    z, rest = rt.normal_quantile(level), (1 - level) / 2
+    end = f"1 / (1 + exp(-(ln({h} / ({n} - {h})) {{sign}} {z} * sqrt(1 / ({n} * ({h} / {n}) * (1 - {h} / {n}))))))"
+    low = f"CASE WHEN {n} = 0 THEN NULL WHEN {h} = 0 THEN 0 WHEN {h} = {n} THEN pow({rest}::DOUBLE, 1 / {n}) ELSE {end.format(sign='-')} END"
+    high = f"CASE WHEN {n} = 0 THEN NULL WHEN {h} = 0 THEN 1 - pow({rest}::DOUBLE, 1 / {n}) WHEN {h} = {n} THEN 1 ELSE {end.format(sign='+')} END"
+    return f"round({h} / nullif({n}, 0), 9) AS share, round({low}, 9) AS lower, round({high}, 9) AS upper"
+
+
+def _corrected(h: str, n: str) -> str:
+    side, moved = f"({Z * Z} / (2 * {n}))", f"(least(0.5::DOUBLE, abs({h} - {n} / 2)) / {n})"
+    low = f"CASE WHEN {h} / {n} - {moved} <= 0 THEN 0 ELSE greatest(0, ({h} / {n} - {moved} + {side} - {Z} * sqrt(({h} / {n} - {moved}) * (1 - {h} / {n} + {moved}) / {n} + {side} / (2 * {n}))) / (1 + 2 * {side})) END"
+    high = f"CASE WHEN {h} / {n} + {moved} >= 1 THEN 1 ELSE least(1, ({h} / {n} + {moved} + {side} + {Z} * sqrt(({h} / {n} + {moved}) * (1 - {h} / {n} - {moved}) / {n} + {side} / (2 * {n}))) / (1 + 2 * {side})) END"
+    return f"round({h} / {n}, 9) AS share, round({low}, 9) AS lower, round({high}, 9) AS upper"
+
+
+def _interval(df, keys, h, n, method):
+    return df.select(*keys, *[F.round(c, 9).alias(k) for c, k in zip(rt.interval(h, n, method), ("share", "lower", "upper"))])
+
+
+@query("binomial_ci_logit", sql("d", f"SELECT source, pos, {_logit('errors', 'depth')} FROM d"))
+def binomial_ci_logit(spark, sf_dir):
+    return _interval(depth(spark, sf_dir), ["source", "pos"], F.col("errors"), F.col("depth"), "logit")
+
+
+@query("binomial_ci_corrected", sql("d", f"SELECT source, pos, {_corrected('errors', 'depth')} FROM d"))
+def binomial_ci_corrected(spark, sf_dir):
+    return _interval(depth(spark, sf_dir), ["source", "pos"], F.col("errors"), F.col("depth"), "corrected")
+
+
+def _activity_sql() -> str:
+    from .structure import _SPLICED
+
+    return sql("a e", f"WITH {_SPLICED}, x AS (SELECT gene, source, coalesce(spliced, 0) AS h, coalesce(spliced, 0) + coalesce(unspliced, 0) AS n FROM a CROSS JOIN (SELECT DISTINCT source FROM e) LEFT JOIN sc USING (gene, source)) SELECT gene, source, {_logit('h', 'n')} FROM x")
+
+
+@query("transcription_activity", _activity_sql())
 def transcription_activity(spark, sf_dir):
-    """Share of spliced reads of each gene and source with its interval."""
+    """Share of spliced reads of each gene and source with its logit interval."""
     from .structure import spliced_unspliced
 
     found = spliced_unspliced(spark, sf_dir)
-    return _rounded(found, ["gene", "source"], F.col("spliced"), F.col("spliced") + F.col("unspliced"))
+    return _interval(found, ["gene", "source"], F.col("spliced"), F.col("spliced") + F.col("unspliced"), "logit")
 
 
 @query("top_variance_pca")

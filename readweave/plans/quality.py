@@ -12,9 +12,9 @@ _MEAN = "round(-10 * log10(list_sum(list_transform(q, lambda x: pow(10.0::DOUBLE
 _X = "x AS (SELECT vec_id, unnest(q) AS x, CAST(generate_subscripts(q, 1) - 1 AS INTEGER) AS i FROM q)"
 
 
-@query("filter_mean_quality", sql("q", f"SELECT vec_id, {_MEAN} AS quality FROM q WHERE {_MEAN} >= 8"))
+@query("filter_mean_quality", sql("q", f"SELECT vec_id, {_MEAN} AS quality FROM q WHERE {_MEAN} >= 5.5"))
 def filter_mean_quality(spark, sf_dir):
-    return qualities(spark, sf_dir).select("vec_id", F.round(ql.mean_quality(F.col("q")), 6).alias("quality")).filter("quality >= 8")
+    return qualities(spark, sf_dir).select("vec_id", F.round(ql.mean_quality(F.col("q")), 6).alias("quality")).filter("quality >= 5.5")
 
 
 @query("quality_profile", sql("q", f"WITH {_X} SELECT x, count(*) AS n FROM x GROUP BY x"))

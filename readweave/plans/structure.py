@@ -37,13 +37,11 @@ def _cigars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.table(spark, sf_dir, "lineitem").select(F.expr(_ID).alias("read_id"), F.col("l_linenumber").alias("pos"), F.expr(_CIGAR).alias("cigar"))
 
 
-@query("cigar_ops_whole", _OPS + "SELECT * FROM o")
 @query("cigar_ops", _OPS + "SELECT * FROM o")
 def cigar_ops(spark, sf_dir):
     return st.cigar_ops(_cigars(spark, sf_dir))
 
 
-@query("running_offsets_whole", _OPS + _USED)
 @query("running_offsets", _OPS + _USED)
 def running_offsets(spark, sf_dir):
     ops = st.cigar_ops(_cigars(spark, sf_dir))

@@ -49,7 +49,7 @@ def limit_reads(spark, sf_dir):
     return reads(spark, sf_dir).orderBy("read_id").limit(100).select("read_id", "st")
 
 
-@query("sample_reads")
+@query("sample_reads", sql("r", "SELECT read_id, cluster, source, type, st, en FROM r WHERE (CAST(concat('0x', substr(md5(CAST(read_id AS VARCHAR)), 1, 8)) AS BIGINT)) % 1000000 < 250000"))
 def sample_reads(spark, sf_dir):
     return tb.sample_reads(reads(spark, sf_dir), "read_id", 0.25)
 
@@ -59,9 +59,9 @@ def table_filter_eq(spark, sf_dir):
     return reads(spark, sf_dir).filter("source = 'F'")
 
 
-@query("table_limit", sql("r", "SELECT read_id, st FROM r WHERE st >= 500 AND st <= 900"))
+@query("table_limit", sql("r", "SELECT read_id, st FROM r WHERE st >= 1500 AND st <= 1900"))
 def table_limit(spark, sf_dir):
-    return tb.table_limit(reads(spark, sf_dir), "st", 500, 900).select("read_id", "st")
+    return tb.table_limit(reads(spark, sf_dir), "st", 1500, 1900).select("read_id", "st")
 
 
 @query("table_project", sql("r", "SELECT type FROM r"))

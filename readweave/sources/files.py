@@ -61,11 +61,12 @@ def scan_fastq(spark: SparkSession, paths: Paths) -> DataFrame:
 
 
 def scan_coordinates(spark: SparkSession, paths: Paths, enforce_strand: bool = False) -> DataFrame:
-    """Flat annotation: gene, g_st, g_en, g_fwd, ordered by ord; ``both`` gives a row for each strand if strands count."""
+    """Flat annotation: gene, g_st, g_en, g_fwd and ord, that rises in the order of the file; ``both`` gives a row for each strand
+    if strands count."""
     rows = spark.read.csv(paths, header=True)
     way = F.lower("Direction")
     strands = F.when(way == "forward", F.array(F.lit(True))).when(way == "reverse", F.array(F.lit(False))).otherwise(F.array(F.lit(True), F.lit(False)) if enforce_strand else F.array(F.lit(True)))
-    return rows.select(F.col("gene"), F.col("Minimum").cast("int").alias("g_st"), F.col("Maximum").cast("int").alias("g_en"), F.explode(strands).alias("g_fwd"))
+    return rows.select(F.col("gene"), F.col("Minimum").cast("int").alias("g_st"), F.col("Maximum").cast("int").alias("g_en"), F.explode(strands).alias("g_fwd"), F.monotonically_increasing_id().alias("ord"))
 
 
 def scan_gff(spark: SparkSession, paths: Paths, types: tuple[str, ...] = ("exon",), parent: str = "Parent") -> DataFrame:
@@ -159,9 +160,53 @@ def scan_tagged_csvs(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.csv(paths, header=True).select("*", file_source().alias("tag"))
 
 
-def scan_counts_store(spark: SparkSession, path: str, samples: list[str]) -> DataFrame:
-    """id and a column for each sample, 0 where there is no row."""
-    return spark.read.parquet(path).groupBy("id").pivot("sample", samples).agg(F.sum("n")).fillna(0, samples)
+def scan_sample_decode(spark: SparkSession, paths: Paths) -> DataFrame:
+    """sample and alias from lines of two tab-divided fields; of a repeated sample the first alias by name. Other lines are dropped."""
+    f = F.split("value", "\t")
+    rows = spark.read.text(paths).filter(F.size(f) == 2).select(F.trim(f[0]).alias("sample"), F.trim(f[1]).alias("alias")).filter("sample <> '' AND alias <> ''")
+    return rows.groupBy("sample").agg(F.min("alias").alias("alias"))
+
+
+def scan_counts_store(spark: SparkSession, path: str, samples: list[str], ids: list[str] | None = None, runs: list[str] | None = None) -> DataFrame:
+    """id and a column for each sample, summed over runs, 0 where there is no row.
+
+    The store is partitioned by run; runs prune its folders, samples and ids go down to the reader, so columns of other runs
+    that don't know a sample cost nothing.
+    """
+    rows = spark.read.parquet(path)
+    if runs is not None:
+        rows = rows.filter(F.col("run").isin(*runs))
+    rows = rows.filter(F.col("sample").isin(*samples))
+    if ids is not None:
+        rows = rows.filter(F.col("id").isin(*ids))
+    return rows.groupBy("id").pivot("sample", samples).agg(F.sum("n")).fillna(0, samples)
+
+
+def scan_depth_store(spark: SparkSession, path: str, key: str, keys: list[str], samples: list[str] | None = None, groups: dict[str, str] | None = None, total: bool = False, runs: list[str] | None = None) -> DataFrame:
+    """Depth and errors of chosen keys by group of samples and position, over all runs or the chosen ones: key, grp, pos, depth, errors.
+
+    The store is partitioned by run; runs prune its folders, keys and samples go down to the reader. See `depth_groups`.
+    """
+    rows = spark.read.parquet(path)
+    if runs is not None:
+        rows = rows.filter(F.col("run").isin(*runs))
+    return depth_groups(rows.filter(F.col(key).isin(*keys)), key, samples, groups, total)
+
+
+def depth_groups(rows: DataFrame, key: str, samples: list[str] | None = None, groups: dict[str, str] | None = None, total: bool = False) -> DataFrame:
+    """Depth and errors (key, source, pos, depth, errors) of the chosen samples, added by group of samples (grp; a sample without
+    a group is its own) and, with ``total``, over all of them (grp ``all``), in one pass."""
+    if samples is not None:
+        rows = rows.filter(F.col("source").isin(*samples))
+    grp = F.col("source")
+    if groups:
+        grp = F.coalesce(F.create_map(*[F.lit(x) for kv in groups.items() for x in kv])[grp], grp)
+    own = rows.withColumn("grp", grp)
+    sums = [F.sum("depth").alias("depth"), F.sum("errors").alias("errors")]
+    if not total:
+        return own.groupBy(key, "grp", "pos").agg(*sums)
+    sets = own.groupingSets([[F.col(key), F.col("grp"), F.col("pos")], [F.col(key), F.col("pos")]], F.col(key), F.col("grp"), F.col("pos"))
+    return sets.agg(*sums, F.grouping("grp").alias("_all")).select(key, F.when(F.col("_all") == 1, "all").otherwise(F.col("grp")).alias("grp"), "pos", "depth", "errors")
 
 
 def scan_breakpoints(spark: SparkSession, path: str, shift: int = 0) -> DataFrame:

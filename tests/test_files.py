@@ -145,3 +145,55 @@ def test_more_readers_and_writers(spark, tmp_path):
     iso = spark.createDataFrame([("k", "k.t0", 9), ("k", "k.t1", 1), ("l", "l.t0", 2)], "key string, id string, n long")
     out.sink_isoform_store(iso, str(tmp_path / "iso"), "a", ["key"], 5)
     assert rows(spark.read.parquet(str(tmp_path / "iso")).select("id")) == [("k.t0",), ("k.t1",)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_depth_store_is_pruned_and_pushed_down(spark, tmp_path):
+    depth = "cluster string, source string, pos int, depth long, errors long"
+    path = str(tmp_path / "depth")
+    first = [("k1", "a", 1, 5, 1), ("k1", "b", 1, 7, 0), ("k1", "c", 2, 1, 1), ("k2", "a", 1, 9, 9)]
+    out.sink_depth_store(spark.createDataFrame(first, depth), path, "r1", ["cluster"], 0)
+    out.sink_depth_store(spark.createDataFrame([("k1", "a", 1, 10, 2)], depth), path, "r2", ["cluster"], 0)
+    found = src.scan_depth_store(spark, path, "cluster", ["k1"], ["a", "b"], {"a": "ab", "b": "ab"}, total=True, runs=["r1"])
+    assert rows(found.select("cluster", "grp", "pos", "depth", "errors")) == [("k1", "ab", 1, 12, 1), ("k1", "all", 1, 12, 1)]
+    plan = plan_of(found)
+    assert "PartitionFilters: [isnotnull(run" in plan and "r1" in plan.split("PartitionFilters")[1].split("]")[0]
+    pushed = plan.split("PushedFilters: [")[1].split("]")[0]
+    assert "k1" in pushed and "EqualTo(cluster" in pushed.replace("In(cluster", "EqualTo(cluster") and "source" in pushed
+    both = src.scan_depth_store(spark, path, "cluster", ["k1"])
+    assert rows(both.select("grp", "pos", "depth", "errors")) == [("a", 1, 15, 3), ("b", 1, 7, 0), ("c", 2, 1, 1)]
+
+
+def test_counts_store(spark, tmp_path):
+    path = str(tmp_path / "counts")
+    spark.createDataFrame([("i", "a", 2, "r1"), ("i", "a", 3, "r2"), ("j", "b", 1, "r1"), ("j", "z", 9, "r2")], "id string, sample string, n long, run string").write.partitionBy("run").parquet(path)
+    assert rows(src.scan_counts_store(spark, path, ["a", "b", "none"])) == [("i", 5, 0, 0), ("j", 0, 1, 0)]
+    one = src.scan_counts_store(spark, path, ["a", "b"], ["i"], ["r2"])
+    assert rows(one) == [("i", 3, 0)]
+    plan = plan_of(one)
+    assert "r2" in plan.split("PartitionFilters")[1].split("]")[0] and "id,i" in plan.split("PushedFilters: [")[1].split("]\n")[0].replace(" ", "")
+
+
+def test_sample_aliases_and_places(spark, tmp_path):
+    p = put(tmp_path / "decode.txt", "virion\tRNA_virion_0hpi\nx\ty\nx\tb\nbroken line\n\t\n")
+    assert rows(src.scan_sample_decode(spark, p)) == [("virion", "RNA_virion_0hpi"), ("x", "b")]
+    c = put(tmp_path / "c.csv", "Name,Type,Minimum,Maximum,Length,Direction,gene\nb,b,50,60,10,forward,b\na,a,1,20,20,reverse,a\n")
+    assert [r["gene"] for r in src.scan_coordinates(spark, c).orderBy("ord").collect()] == ["b", "a"]
+
+
+def test_counts_and_leftover_writers(spark, tmp_path):
+    out.sink_leftover(spark.createDataFrame([("r", "ACG", "III", "s0")], "read_id string, seq string, qual string, source string"), str(tmp_path / "left"))
+    assert rows(spark.read.text(str(tmp_path / "left"))) == [("+", "s0"), ("@r", "s0"), ("ACG", "s0"), ("III", "s0")]
+
+
+def test_significant_digits(spark):
+    from pyspark.sql import functions as F
+
+    from readweave.operators.sequences import format_sig3
+
+    values = [0.000123456, 12.3456, 1234567.0, 0.5, 0.0, 100.0]
+    got = [r["x"] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(format_sig3(F.col("v")).alias("x")).collect()]
+    assert got == ["0.000123", "12.3", "1.23e+06", "0.500", "0.00", "100"]  # trailing zeros stay

@@ -29,15 +29,41 @@ def test_read_ends(spark):
     assert [tuple(r) for r in lo.rescue_candidates(df, 2, 5, 20, 100).collect()] == [("r1", True, True)]
 
 
+def best_by_hand(seq, base):
+    """Every stretch, by its score; ends first, begins last."""
+    found = [(sum(10 if c == base else -8 for c in seq[i:j]), -j, i) for i in range(len(seq)) for j in range(i + 1, len(seq) + 1)]
+    score, j, i = max(found, default=(0, 0, 0))
+    return (i, -j, seq[i:-j].count(base)) if score > 0 else None
+
+
 def test_poly_a(spark):
     rnd = random.Random(2)
-    seqs = ["".join(rnd.choices("AAAAC", k=rnd.randrange(60))) for _ in range(80)] + [None]
-
+    seqs = ["".join(rnd.choices("AAACG", k=rnd.randrange(50))) for _ in range(80)] + [None, "", "CCC", "A"]
     df = spark.createDataFrame(list(enumerate(seqs)), "id int, seq string")
-    got = df.select("id", lo.internal_poly_a(F.col("seq"), 15, 0.9).alias("at")).orderBy("id").collect()
-    # 0.9 of 15 bases is 13.5, so 14 are needed
-    want = [None if s is None or len(s) <= 15 else next((i + 1 for i in range(1, len(s) - 14) if s[i : i + 15].count("A") >= 14), None) for s in seqs]
-    assert [r["at"] for r in got] == want
+    got = [r["x"] for r in df.select("id", lo.best_run(F.col("seq"), "A").alias("x")).orderBy("id").collect()]
+    assert [x and tuple(x) for x in got] == [best_by_hand(s, "A") if s else None for s in seqs]
+
+
+def test_split_reads(spark):
+    body = "CGTGCTGC" * 10
+    run, near = "A" * 20, "A" * 9 + "C" + "A" * 10
+    reads = [
+        ("left", "GCTGCTGCTGCTGCT" + run + "CC" + body, "37S80M"),  # behind 15 bases, inside the clip
+        ("begin", run + "CC" + body, "22S80M"),  # at the read's start
+        ("aligned", body + run + body, "180M"),  # no clip
+        ("near", "GCTGCTGCTGCTGCT" + near + body, "35S80M"),
+        ("right", body + "CG" + "A" * 12 + "GCTGCTGCTGCTG", "80M27S"),
+        ("end", body + "CG" + "A" * 12, "80M14S"),
+        ("other", "GCTGCTGCTGCTGCT" + "T" * 20 + "CC" + body, "37S80M"),
+    ]
+    df = spark.createDataFrame([(*r, [30] * len(r[1])) for r in reads], "id string, seq string, cigar string, q array<int>")
+    got = {r["read_id"]: r["seq"] for r in lo.split_internal_polya(df, "id").collect()}
+    assert set(got) == {"left.L", "left.R", "begin", "aligned", "near.L", "near.R", "right.L", "right.R", "end", "other"}
+    for name, seq, _ in reads:
+        assert got.get(name) == seq or got[f"{name}.L"] + got[f"{name}.R"] == seq
+    assert got["left.L"].endswith(run) and got["right.L"].endswith("A" * 12) and got["near.L"].endswith(near)
+    assert "other.L" in {r["read_id"] for r in lo.split_internal_polya(df, "id", bases=("A", "T")).collect()}
+    assert {r["read_id"] for r in lo.split_internal_polya(df, "id", least=31.0).collect()} == {r[0] for r in reads}
 
 
 READS = "chrom string, cluster_key string, source string, st int, en int"

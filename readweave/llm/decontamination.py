@@ -1,7 +1,7 @@
 """Benchmark decontamination: token windows of documents against the windows of benchmark items.
 
 The windows of all items form a hash table that is broadcast while it is below ``max_broadcast_windows`` rows
-(checked by counting); a larger one is joined by shuffle. Words are hashed once; every window of every document is looked
+(checked by counting); a larger one is joined by shuffle, to which places and hashes travel without their texts. Words are hashed once; every window of every document is looked
 up by a hash of its words' hashes, and each hit is verified by comparing the words themselves.
 
 Defined results: a null text has no words and no hits; an item without words has no window; an item with fewer words
@@ -42,6 +42,18 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda acc: acc["n"]).cast("long")
 
 
+def _met(seen: DataFrame, table: DataFrame, ws: DataFrame) -> DataFrame:
+    """Hits where the windows' table is shuffled: only places and hashes travel to it; what is found goes back to the texts, once
+    for each, and is verified on their words."""
+    found = seen.join(table, "gram_hash").filter(F.col("width") == F.col("item_width"))
+    listed = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set(F.struct("pos", "width", "item_gram", "items")).alias("found"))
+    texts = ws.select("doc_id", "text_key", "ws").join(listed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
+    right = F.filter("found", lambda h: F.array_join(F.slice("ws", h["pos"] + 1, h["width"]), " ") == h["item_gram"])
+    once = texts.select("doc_id", "text_key", right.alias("found")).filter(F.size("found") > 0).dropDuplicates(["doc_id", "text_key"])
+    spans = F.array_sort(F.array_distinct(F.transform("found", lambda h: F.struct(h["pos"].alias("pos"), h["width"].alias("width")))))
+    return once.select("doc_id", "text_key", spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda h: h["items"])))).alias("items"))
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, max_broadcast_windows: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
     """One row for each distinct (doc_id, text) with hits: doc_id, text_key, sorted word spans and sorted item ids."""
     table = benchmark_windows(benchmark, window)
@@ -57,10 +69,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, max_bro
     each = [F.struct(F.lit(w).alias("width"), F.xxhash64(*[F.get("hashes", F.col("pos") + k) for k in range(w)]).alias("gram_hash")) for w in sorted(sizes) or [window]]
     seen = at.select("doc_id", "text_key", "ws", "pos", F.explode(F.array(*each)).alias("w")) if len(each) > 1 else at.withColumn("w", each[0])
     seen = seen.select("doc_id", "text_key", "ws", "pos", "w.*").filter(F.col("pos") + F.col("width") <= F.size("ws"))
+    if not small:
+        return _met(seen.select("doc_id", "text_key", "pos", "width", "gram_hash"), table, ws)
     # the hash finds, the words themselves decide; as an equality they would be a join key, made for every window
     gram = F.array_join(F.slice("ws", F.col("pos") + 1, F.col("width")), " ")
     same = (F.col("width") == F.col("item_width")) & (gram <= F.col("item_gram")) & (gram >= F.col("item_gram"))
-    found = seen.join(F.broadcast(table) if small else table, "gram_hash").filter(same).select("doc_id", "text_key", F.struct("pos", "width").alias("span"), "items")
+    found = seen.join(F.broadcast(table), "gram_hash").filter(same).select("doc_id", "text_key", F.struct("pos", "width").alias("span"), "items")
     per_doc = found.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.collect_set("items").alias("items"))
     return per_doc.withColumn("items", F.array_sort(F.array_distinct(F.flatten("items"))))
 

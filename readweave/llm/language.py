@@ -5,7 +5,8 @@ overlap their neighbours by ``MARGIN`` bytes on either side: states cross word b
 every byte is labelled once, from what stands before and after it. Every position gets a probability for each label from
 the two states there; a document's probabilities are the geometric mean over all its positions. The network is trained in
 numpy by backpropagation through time, on at most ``WINDOWS`` windows of ``STEPS`` bytes, evenly spread, of each of at
-most about ``max_rows`` training documents, chosen by a hash of their ids (documented bounds). Its size is fixed.
+most ``max_rows`` training documents, chosen by a hash of their rows, of the ``MAX_LANGUAGES`` most frequent languages (documented
+bounds), so its size is bounded.
 
 Defined results: null texts and texts without a letter are `und` with score 0; a text of any length is read whole;
 identical rows get the same label, of labels that tie the first by name; null languages are not learnt; rows of an id that
@@ -27,6 +28,8 @@ STEPS, WINDOWS = 64, 4
 CORE, MARGIN = 224, 16
 HIDDEN = 8
 MAX_ROWS = 2_000
+#: Labels of the output layer at most.
+MAX_LANGUAGES = 256
 ROUNDS = 300
 #: Windows that are read together, and that are gathered to be sorted by length.
 BATCH, GATHERED = 2048, 16_384
@@ -62,8 +65,8 @@ def _tanh(x: np.ndarray) -> np.ndarray:
 def states(codes: np.ndarray, inputs: np.ndarray, recurrent: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
     """States (steps, H, windows) of one direction over codes (steps, windows), zero where mask is; keep gets what the way back needs."""
     h = recurrent.shape[1]
-    out = np.empty((len(codes), h, codes.shape[1]), np.float32)
-    before = np.zeros((h, codes.shape[1]), np.float32)
+    out = np.empty((len(codes), h, codes.shape[1]), recurrent.dtype)
+    before = np.zeros((h, codes.shape[1]), recurrent.dtype)
     for t, x in enumerate(codes):
         a = np.take(inputs, x, axis=1)
         u = recurrent @ before
@@ -97,6 +100,42 @@ def probabilities(net: Network, codes: np.ndarray, mask: np.ndarray) -> np.ndarr
     return z
 
 
+def gradients(p: list[np.ndarray], c: np.ndarray, k: np.ndarray, target: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Mean cross-entropy over the positions that the mask k leaves of windows c, and its gradient for each array of p, by
+    backpropagation through time."""
+    h, kept = p[2].shape[1], ([], [])
+    f = states(c, p[0], p[2], k, kept[0])
+    b = states(c[::-1], p[1], p[3], k[::-1], kept[1])[::-1]
+    net, each = p[4], np.arange(c.shape[1])
+    z = np.matmul(net[:, :h], f) + np.matmul(net[:, h : 2 * h], b) + net[:, 2 * h :]
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    z /= z.sum(axis=1, keepdims=True)
+    loss = float(-(np.log(z[:, target, each] + 1e-30) * k).sum() / k.sum())
+    z[:, target, each] -= 1
+    z *= k[:, None, :] / k.sum()
+    g = [np.zeros_like(x) for x in p]
+    g[4][:, :h] = np.einsum("tlb,thb->lh", z, f, optimize=True)
+    g[4][:, h : 2 * h] = np.einsum("tlb,thb->lh", z, b, optimize=True)
+    g[4][:, 2 * h] = z.sum(axis=(0, 2))
+    for d, at, held in ((0, c, k), (1, c[::-1], k[::-1])):
+        out = np.matmul(net[:, d * h : (d + 1) * h].T, z if d == 0 else z[::-1])
+        carried = np.zeros((h, c.shape[1]), p[4].dtype)
+        for t in range(len(at) - 1, -1, -1):
+            before, r, zt, new, u = kept[d][t]
+            dh = (out[t] + carried) * held[t]
+            dz = dh * (before - new) * zt * (1 - zt)
+            dn = dh * (1 - zt) * (1 - new**2)
+            dr = dn * u * r * (1 - r)
+            da = np.concatenate([dr, dz, dn])
+            du = np.concatenate([dr, dz, dn * r])
+            hot = np.zeros((256, c.shape[1]), p[4].dtype)
+            hot[at[t], each] = 1
+            g[d] += da @ hot.T
+            g[2 + d] += du @ before.T
+            carried = dh * zt + p[2 + d].T @ du
+    return loss, g
+
+
 def learn(codes: np.ndarray, mask: np.ndarray, y: np.ndarray, labels: list[str], rounds: int = ROUNDS, batch: int = 256) -> Network:
     """Train on windows (steps, n), their mask and their labels' indices; cross-entropy at every position, by Adam."""
     rng = np.random.default_rng(SEED)
@@ -105,36 +144,7 @@ def learn(codes: np.ndarray, mask: np.ndarray, y: np.ndarray, labels: list[str],
     m, s = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
     for step in range(1, rounds + 1):
         own = rng.integers(0, codes.shape[1], batch)
-        c, k, target = codes[:, own], mask[:, own].astype(np.float32), y[own]
-        kept: list[list] = [[], []]
-        f = states(c, p[0], p[2], k, kept[0])
-        b = states(c[::-1], p[1], p[3], k[::-1], kept[1])[::-1]
-        net = p[4]
-        z = np.matmul(net[:, :h], f) + np.matmul(net[:, h : 2 * h], b) + net[:, 2 * h :]
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        z /= z.sum(axis=1, keepdims=True)
-        z[:, target, np.arange(len(own))] -= 1
-        z *= k[:, None, :] / k.sum()
-        g = [np.zeros_like(x) for x in p]
-        g[4][:, :h] = np.einsum("tlb,thb->lh", z, f, optimize=True)
-        g[4][:, h : 2 * h] = np.einsum("tlb,thb->lh", z, b, optimize=True)
-        g[4][:, 2 * h] = z.sum(axis=(0, 2))
-        for d, at, held in ((0, c, k), (1, c[::-1], k[::-1])):
-            out = np.matmul(net[:, d * h : (d + 1) * h].T, z if d == 0 else z[::-1])
-            carried = np.zeros((h, len(own)), np.float32)
-            for t in range(len(at) - 1, -1, -1):
-                before, r, zt, new, u = kept[d][t]
-                dh = (out[t] + carried) * held[t]
-                dz = dh * (before - new) * zt * (1 - zt)
-                dn = dh * (1 - zt) * (1 - new**2)
-                dr = dn * u * r * (1 - r)
-                da = np.concatenate([dr, dz, dn])
-                du = np.concatenate([dr, dz, dn * r])
-                hot = np.zeros((256, len(own)), np.float32)
-                hot[at[t], np.arange(len(own))] = 1
-                g[d] += da @ hot.T
-                g[2 + d] += du @ before.T
-                carried = dh * zt + p[2 + d].T @ du
+        _, g = gradients(p, codes[:, own], mask[:, own].astype(np.float32), y[own])
         rate = 0.02 * min(1.0, step / 20) * (1 - step / (rounds + 1))
         for i, grad in enumerate(g):
             m[i] = 0.9 * m[i] + 0.1 * grad
@@ -207,13 +217,18 @@ def in_training(doc_id: Column) -> Column:
 def train(docs: DataFrame, *, max_rows: int = MAX_ROWS) -> Network:
     """Learn from texts and languages; of each language a hashed sample of about the same share of ``max_rows``."""
     own = docs.filter(in_training(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    # a row for each language, and no more than MAX_LANGUAGES of them: the most frequent
+    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     nothing = Network([], [], [], np.zeros((0, 2 * HIDDEN + 1), np.float32))
     if not counts:
         return nothing
     labels = sorted(counts)
-    share = docs.sparkSession.createDataFrame([(k, int(1e6 * min(1.0, max_rows / len(labels) / counts[k]))) for k in labels], "lang string, share long")
-    picked = own.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < F.col("share"))
+    # so low a share that the rows of a language stay below its part of max_rows (by four deviations), repeated ids or not
+    part = max_rows / len(labels)
+    shares = {k: 1.0 if counts[k] <= part else max(0.0, part - 4 * part**0.5) / counts[k] for k in labels}
+    share = docs.sparkSession.createDataFrame([(k, int(shares[k] * (1 << 40))) for k in labels], "lang string, share long")
+    numbered = own.withColumn("_no", F.monotonically_increasing_id()).join(F.broadcast(share), "lang")
+    picked = numbered.filter(F.pmod(F.xxhash64("doc_id", "text", "_no", F.lit(SEED)), F.lit(1 << 40)) < F.col("share"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A few windows, evenly spread, of each picked document."""

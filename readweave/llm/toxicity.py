@@ -10,12 +10,14 @@ Regularisation instead of a choice: a bucket's value in the additive part is z^2
 its shares of either class, so weak evidence learns slowly and counts little; its value in pairs is n / (n + SEEN) of its
 n documents, as rare buckets can't show an interaction; weights and factors decay. Rarer labels weigh more.
 
-Learning is by AdaGrad on at most about ``max_rows`` labelled rows, chosen by a hash of their ids (a documented bound), in
-small batches of sparse rows. The model has a fixed size, BUCKETS x (RANK + 1) numbers, whatever the corpus.
+Learning is by AdaGrad on at most ``max_rows`` labelled rows (a documented bound), in small batches of sparse rows: ids are
+chosen by a hash, then, where ids repeat, rows by a hash of the row. Only buckets that occur are trained; the model has a fixed
+size, BUCKETS x (RANK + 1) numbers, whatever the corpus.
 
 Defined results: null and empty texts score like a document without terms; a text of any length is read whole; identical
-rows score the same; doc_id may be of any type; labels that are null are not learnt from, of several labels of one id the
-largest holds, and each row of an id that repeats is learnt; with no labels, or one class only, every score is the
+rows score the same, and a row that scores the threshold exactly counts as toxic; doc_id may be of any type; a null doc_id is
+scored but not learnt from; labels that are null are not learnt from, of several labels of one id the largest holds, and each
+sampled row of an id that repeats is learnt; with no labels, or one class only, every score is the
 class's smoothed rate; extra columns are kept by `reject`.
 """
 
@@ -27,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,16 +85,18 @@ def learn(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
     n0 = n - n1
     size = np.array([len(r) for r in rows])
     first = np.cumsum(size) - size
-    flat = np.concatenate(rows).astype(np.int64)
-    seen = np.bincount(flat, minlength=BUCKETS).astype(float)
-    toxic = np.bincount(flat, np.repeat(labels, size), BUCKETS)
+    # buckets that occur are numbered anew
+    used, flat = np.unique(np.concatenate(rows), return_inverse=True)
+    flat = flat.astype(np.int32)
+    seen = np.bincount(flat, minlength=len(used)).astype(float)
+    toxic = np.bincount(flat[np.repeat(labels > 0, size)], minlength=len(used)).astype(float)
     share = seen / n
     z2 = (toxic / n1 - (seen - toxic) / n0) ** 2 / (share * (1 - share) * (1 / n0 + 1 / n1) + 1e-12)
     alone = np.where(seen > 1, z2 / (z2 + EVIDENCE**2), 0.0)
     paired = np.where(seen > 1, seen / (seen + SEEN), 0.0)
     heavier = min(10.0, max(0.1, n0 / n1))
-    w, gw = np.zeros(BUCKETS), np.full(BUCKETS, 1e-2)
-    v, gv = rng.normal(0, 0.01, (BUCKETS, RANK)), np.ones(BUCKETS)
+    w, gw = np.zeros(len(used)), np.full(len(used), 1e-2)
+    v, gv = rng.normal(0, 0.01, (len(used), RANK)), np.ones(len(used))
     bias, gb = float(np.log(n1 / n0)), 1.0
     for _ in range(int(np.clip(VISITS / n, 3, EPOCHS))):
         order = rng.permutation(n)
@@ -117,31 +122,45 @@ def learn(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
             gv[ids] += (pairs**2).mean(axis=1)
             rate = 0.1 / np.sqrt(gv[ids])[:, None]
             v[ids] = (v[ids] - rate * pairs) / (1 + rate)
-    return Machine(float(bias), (w * alone).astype(np.float32), (v * paired[:, None]).astype(np.float32))
+    weights, factors = np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, RANK), np.float32)
+    weights[used], factors[used] = w * alone, v * paired[:, None]
+    return Machine(float(bias), weights, factors)
+
+
+def sampled(rows: DataFrame, max_rows: int, n: int, *hashed: str) -> DataFrame:
+    """At most ``max_rows`` of the n rows: all, or a share by a hash of the named columns and of the row's number, so low that
+    their number stays below the bound (by four deviations)."""
+    if n <= max_rows:
+        return rows
+    share = max(0.0, max_rows - 4 * max_rows**0.5) / n
+    drawn = rows.withColumn("_no", F.monotonically_increasing_id())
+    return drawn.filter(F.pmod(F.xxhash64(*hashed, "_no", F.lit(SEED)), F.lit(1 << 40)) < int(share * (1 << 40))).drop("_no")
 
 
 def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS) -> Machine:
-    """Learn from labelled rows for which `in_training` holds; of more than ``max_rows`` a hashed sample of about so many."""
+    """Learn from labelled rows for which `in_training` holds; of more than ``max_rows`` a hashed sample of no more than so many."""
     toxic = labels.filter(in_training(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = toxic.count()
     toxic = toxic.filter(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < int(1e6 * min(1.0, max_rows / max(n, 1))))
     # about max_rows ids: a bounded table, so texts needn't be shuffled to meet it
-    own = docs.select("doc_id", "text").join(F.broadcast(toxic), "doc_id").select("text", F.col("toxic").cast("double").alias("y"))
+    held = docs.select("doc_id", "text").join(F.broadcast(toxic), "doc_id")
+    own = sampled(held, max_rows, held.count(), "doc_id", "text").select("text", F.col("toxic").cast("double").alias("y"))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [terms(t.as_py()) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), b.column(1)], ["at", "y"])
 
-    # about max_rows rows of bucket numbers
+    # max_rows rows of bucket numbers at most
     seen = own.mapInArrow(found, "at array<int>, y double").toArrow()
-    rows = [np.asarray(a.values) for a in seen["at"]]
     y = (seen["y"].to_numpy() > 0).astype(float)
+    rows = [np.array(a.values) for a in seen["at"]]
+    del seen
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     if not n0 or not n1:
         rate = (n1 + 1) / (n0 + n1 + 2)
         return Machine(float(np.log(rate / (1 - rate))), np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, RANK), np.float32))
-    order = sorted(range(len(rows)), key=lambda i: (rows[i].tobytes(), y[i]))  # an order of its own, so reruns agree
+    order = sorted(range(len(rows)), key=lambda i: (xxhash.xxh64_intdigest(rows[i]), y[i]))  # an order of its own, so reruns agree
     return learn([rows[i] for i in order], y[order])
 
 

@@ -45,3 +45,35 @@ def test_held_out_documents(spark):
     own = [r["lang_pred"] == r["lang"] for r in got if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
     print(f"right {sum(own)} of {len(own)}")
     assert sum(own) > 0.98 * len(own)
+
+
+def test_gradients_by_differences():
+    """Backpropagation through time against small changes of every array, over masked windows of several lengths."""
+    rng = np.random.default_rng(4)
+    h, labels, steps, n = 3, 4, 7, 5
+    p = [rng.normal(0, 0.5, (3 * h, 256)) for _ in range(2)] + [rng.normal(0, 0.5, (3 * h, h)) for _ in range(2)] + [rng.normal(0, 0.5, (labels, 2 * h + 1))]
+    c = rng.integers(97, 103, (steps, n)).astype(np.uint8)
+    mask = (np.arange(steps)[:, None] < np.array([7, 4, 1, 6, 7])).astype(float)
+    y = rng.integers(0, labels, n)
+    _, g = language.gradients(p, c, mask, y)
+    for i, x in enumerate(p):
+        tried = [(a, b) for a in range(x.shape[0]) for b in (range(97, 103) if x.shape[1] == 256 else range(x.shape[1]))]
+        for a, b in tried:
+            was, ends = x[a, b], []
+            for d in (1e-5, -1e-5):
+                x[a, b] = was + d
+                ends.append(language.gradients(p, c, mask, y)[0])
+            x[a, b] = was
+            assert abs((ends[0] - ends[1]) / 2e-5 - g[i][a, b]) < 1e-6, (i, a, b)
+
+
+def test_training_rows_are_bounded(spark, monkeypatch):
+    """One id thirty thousand times: no more than max_rows documents are learnt from."""
+    docs = spark.range(30_100).selectExpr("CASE WHEN id < 30000 THEN 5 ELSE id END AS doc_id", "concat('some text ', id % 7) AS text", "CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS lang")
+    seen = []
+    monkeypatch.setattr(language, "learn", lambda codes, mask, y, labels: seen.append((codes.shape[1], labels)))
+    language.train(docs, max_rows=100)
+    assert 0 < seen[0][0] <= 100 * language.WINDOWS and seen[0][1] == ["a", "b"]
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 1)
+    language.train(docs, max_rows=100)
+    assert len(seen[1][1]) == 1

@@ -119,3 +119,20 @@ def test_longest_processing_time(spark):
         least, s = heapq.heappop(heap)
         heapq.heappush(heap, (least + n, s))
     assert sorted(r["load"] for r in got) == sorted(n for n, _ in heap)
+
+
+def test_shuffled_windows_give_the_same(spark):
+    """The path of large benchmarks: equal results, and texts don't travel to the windows."""
+    rng = random.Random(9)
+    vocabulary = "the of house walks under green rivers".split()
+    items = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (3, 7, 10, 14, 30, 0)]
+    docs = [(i, " ".join(rng.choice([rng.choice(vocabulary)] * 6 + [rng.choice(items)]) for _ in range(rng.randrange(0, 60)))) for i in range(60)]
+    docs += [(None, items[4]), (None, items[4]), (3, docs[3][1]), (99, None), (98, items[3].upper() + "!")]
+    d = spark.createDataFrame(docs, "doc_id int, text string")
+    b = spark.createDataFrame([(i if i else None, t) for i, t in enumerate([*items, None])], "item_id int, text string")
+    got = [sorted(map(str, decontamination.decontaminate(d, b, max_broadcast_windows=n).collect())) for n in (500_000, 0)]
+    assert got[0] == got[1] and sum("n_hit=0" not in x for x in got[0]) > 10
+    plan = decontamination.hits(d, b, max_broadcast_windows=0)._jdf.queryExecution().optimizedPlan().toString()
+    # below the join on hashes each side has ids, places and hashes only
+    side = next(line for line in plan.splitlines() if "Project [doc_id" in line and "gram_hash" in line)
+    assert "ws#" not in side.split("xxhash64")[0]

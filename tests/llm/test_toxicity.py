@@ -74,3 +74,14 @@ def test_edge_cases(spark, ids):
     labels = spark.createDataFrame([("1", None)], "doc_id string, toxic int")
     got = toxicity.score(docs, toxicity.train(docs, labels.select(labels["doc_id"].cast(ids).alias("doc_id"), "toxic"))).collect()
     assert len(got) == 4 and {r["score"] for r in got} == {0.5}
+
+
+def test_training_rows_are_bounded(spark, monkeypatch):
+    """One id thirty thousand times: no more than max_rows rows reach the driver."""
+    docs = spark.range(30_100).selectExpr("CASE WHEN id < 30000 THEN 2 ELSE id END AS doc_id", "concat('some text ', id % 7) AS text")
+    labels = spark.range(30_100).selectExpr("CASE WHEN id < 30000 THEN 2 ELSE id END AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    assert toxicity.sampled(docs, 100, 30_100, "doc_id", "text").count() <= 100
+    seen = []
+    monkeypatch.setattr(toxicity, "learn", lambda rows, y: seen.append(len(rows)) or toxicity.Machine(0.0, np.zeros(toxicity.BUCKETS, np.float32), np.zeros((toxicity.BUCKETS, toxicity.RANK), np.float32)))
+    toxicity.train(docs, labels, max_rows=100)
+    assert sum(seen) <= 100

@@ -235,25 +235,35 @@ def sets_of(ids: DataFrame, named: DataFrame, docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(read, "id long, found array<long>")
 
 
+#: Pairs of one row that are compared together.
+TOGETHER = 256
+
+
 def verified(pairs: DataFrame, named: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the distinct pairs of keys whose sets are similar enough."""
-    ends = pairs.select("src", "dst", F.explode(F.array("src", "dst")).alias("id"))
+    """Those of the distinct pairs of keys whose sets are similar enough.
+
+    Pairs are gathered by ``dst``, which comes with its set once for each TOGETHER of its pairs, not once for each pair; a
+    row with very many pairs is dealt over as many groups as it needs.
+    """
+    sizes = pairs.groupBy("dst").agg(F.ceil(F.count("*") / TOGETHER).alias("groups"))
+    dealt = cut(pairs.join(sizes, "dst").select("src", "dst", F.pmod(F.xxhash64("src"), F.col("groups")).cast("int").alias("part")))
+    ends = dealt.select("dst", "part", F.col("src").alias("id")).unionByName(dealt.select("dst", "part", F.col("dst").alias("id")).distinct())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in sorted_cells(batches, ("src", "dst"), 1 << 12):
-            src, dst, own = (t[k].to_numpy() for k in ("src", "dst", "id"))
-            bounds, lists = runs([src, dst]), t["found"]
+        for t in sorted_cells(batches, ("dst", "part"), 1 << 12):
+            dst, part, own = (t[k].to_numpy() for k in ("dst", "part", "id"))
+            bounds, lists = runs([dst, part]), t["found"].combine_chunks()
+            offsets, hashes = lists.offsets.to_numpy(), lists.values.to_numpy()
             kept = []
             for at, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 # an id that stands in two rows of docs may be there twice
-                x, y = (at + int(np.argmax(own[at:end] == side[at])) for side in (src, dst))
-                a, b = lists[x].values.to_numpy(), lists[y].values.to_numpy()
-                if _similar(a, b):
-                    kept.append(at)
-            yield pa.RecordBatch.from_arrays([pa.array(src[kept]), pa.array(dst[kept])], ["src", "dst"])
+                x = at + int(np.argmax(own[at:end] == dst[at]))
+                a = hashes[offsets[x] : offsets[x + 1]]
+                kept += [y for y in range(at, end) if own[y] != dst[at] and _similar(a, hashes[offsets[y] : offsets[y + 1]])]
+            yield pa.RecordBatch.from_arrays([pa.array(own[kept]), pa.array(dst[kept])], ["src", "dst"])
 
-    met = ends.join(sets_of(ends.select("id").distinct(), named, docs), "id").repartition("src", "dst").sortWithinPartitions("src", "dst")
-    return met.select("src", "dst", "id", "found").mapInArrow(compare, "src long, dst long")
+    met = ends.join(sets_of(ends.select("id").distinct(), named, docs), "id").repartition("dst", "part").sortWithinPartitions("dst", "part")
+    return met.select("dst", "part", "id", "found").mapInArrow(compare, "src long, dst long")
 
 
 def roots_of_keys(rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -278,7 +288,10 @@ def roots_of_keys(rows: DataFrame, docs: DataFrame) -> DataFrame:
     roots = components.connected(links)
     left_out = again.filter("block IS NOT NULL").select("block").distinct()
     if not left_out.isEmpty():
-        dense = cut(labelled(roots).join(left_out, "block", "left_semi"))
+        dense = labelled(roots).join(left_out, "block", "left_semi")
+        # where all members of a block are linked by now there is nothing to compare
+        open_blocks = dense.groupBy("block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("block")
+        dense = cut(dense.join(open_blocks, "block", "left_semi"))
         sets = cut(sets_of(dense.select("id").distinct(), named, docs).dropDuplicates(["id"]))
         for k in range(PARTS):
             links = links.unionByName(cut(linked_within(dense.filter(F.shiftright("block", 16) % PARTS == k), sets)))

@@ -202,12 +202,22 @@ def gene_label_of_position(points: DataFrame, pos: str, genes: DataFrame, key: l
     return met.groupBy(*key).agg(F.coalesce(F.min_by("gene", "ord"), F.lit(default)).alias("gene"))
 
 
-def region_from_genes(genes: DataFrame, left: str, right: str) -> DataFrame:
-    """Rectangle of a break map by chromosome: from the gene before ``left`` to the end of ``left``, and likewise ``right``."""
+def region_from_genes(genes: DataFrame, left: str | None = None, right: str | None = None, left_range: tuple[int, int] | None = None, right_range: tuple[int, int] | None = None) -> DataFrame:
+    """Rectangle of a break map by chromosome: the left gene from its start to its end, and from the start of the gene before
+    the right one (1 if it is the first) to the right one's start. A given range takes the place of a gene's; a side with
+    neither is null. Chromosomes without any of the named genes are left out, all are there if only ranges are given."""
     line = W.partitionBy("g_chrom").orderBy("g_st", "ord")
-    each = genes.withColumn("lo", F.coalesce(F.lag("g_st").over(line), F.lit(1)))
-    sides = [F.max(F.when(F.col("gene") == name, F.col(c))).alias(f"{k}_{e}") for k, name in (("left", left), ("right", right)) for e, c in (("lo", "lo"), ("hi", "g_en"))]
-    return each.filter(F.col("gene").isin(left, right)).groupBy(F.col("g_chrom").alias("chrom")).agg(*sides)
+    each = genes.withColumn("_before", F.coalesce(F.lag("g_st").over(line), F.lit(1)))
+    named = [g for g, r in ((left, left_range), (right, right_range)) if g is not None and r is None]
+
+    def end(k: str, gene: str | None, given: tuple[int, int] | None, i: int, c: str) -> Column:
+        if given is not None:
+            return F.max(F.lit(given[i])).alias(k)
+        return F.max(F.when(F.col("gene") == gene, F.col(c)) if gene is not None else F.lit(None).cast("int")).alias(k)
+
+    sides = [end("left_lo", left, left_range, 0, "g_st"), end("left_hi", left, left_range, 1, "g_en"), end("right_lo", right, right_range, 0, "_before"), end("right_hi", right, right_range, 1, "g_st")]
+    kept = each.filter(F.col("gene").isin(*named)) if named else each
+    return kept.groupBy(F.col("g_chrom").alias("chrom")).agg(*sides)
 
 
 def adjust_last_gene(genes: DataFrame, ends: DataFrame) -> DataFrame:

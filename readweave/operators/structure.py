@@ -71,9 +71,10 @@ def end_type(start: Column, end: Column, near_start: int, near_end: int) -> Colu
     return F.concat(F.when(start <= near_start, "5").otherwise("no5"), F.lit("_"), F.when(end >= near_end, "3").otherwise("no3"))
 
 
-def leader_flag(breaks: Column, second_gene_start: Column | int, tol: int) -> Column:
-    """Whether the first exon ends left of the second gene's start."""
-    return F.element_at(breaks, 2) < F.lit(second_gene_start) - tol
+def leader_flag(breaks: Column, second_gene_start: Column | int, tol: int, gap: int | None = None) -> Column:
+    """Whether the first exon ends left of the second gene's start, or (with ``gap``) the first gap is longer than that."""
+    early = F.element_at(breaks, 2) < F.lit(second_gene_start) - tol
+    return early if gap is None else early | F.coalesce(F.get(breaks, F.lit(2)) - F.get(breaks, F.lit(1)) > gap, F.lit(False))
 
 
 def cluster_key_unannotated(fwd: Column, start: Column, end: Column, size: int) -> Column:

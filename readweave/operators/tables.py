@@ -73,6 +73,30 @@ def quantiles(rows: DataFrame, keys: list[str], x: Column, shares: tuple[float,
     return q.select(*keys, *[F.col("_q")[i].alias(f"q{round(s * 100)}") for i, s in enumerate(shares)])
 
 
+def filter_transcripts(rows: DataFrame, length: int, start: int | None = None, end: int | None = None, below: tuple[bool, bool] = (True, True), left: str | None = None, right: str | None = None) -> DataFrame:
+    """Transcripts (st, en, left_gene, right_gene) that start before ``start`` and end less than ``end`` before the sequence's
+    end, or (where ``below`` is false) from there on; and, on request, whose left and right genes are the named ones."""
+    out = rows
+    for bound, at, less in ((start, F.col("st"), below[0]), (end, F.lit(length) - F.col("en"), below[1])):
+        if bound is not None:
+            out = out.filter(at < bound if less else at >= bound)
+    for gene, c in ((left, "left_gene"), (right, "right_gene")):
+        if gene is not None:
+            out = out.filter(F.col(c) == gene)
+    return out
+
+
+def spliced_class(n_breaks: Column, leader: Column) -> Column:
+    """unspliced, or spliced1 (one break) or spliced2 (more), with or without a leader."""
+    side = F.when(F.coalesce(leader, F.lit(False)), "leader").otherwise("noleader")
+    return F.when(n_breaks == 0, "unspliced").otherwise(F.concat_ws("_", F.when(n_breaks == 1, "spliced1").otherwise("spliced2"), side))
+
+
+def end_class(st: Column, en: Column, length: int, margin: int = 100) -> Column:
+    """5_3, 5_no3, no5_3 or no5_no3: whether a transcript starts and ends within ``margin`` of the sequence's ends."""
+    return F.concat_ws("_", F.when(st < margin, "5").otherwise("no5"), F.when(en > length - margin, "3").otherwise("no3"))
+
+
 def split_transcripts(rows: DataFrame, kind: Column) -> DataFrame:
     """Number of rows by class; classes without rows don't occur."""
     return rows.groupBy(kind.alias("class")).agg(F.count("*").alias("n"))

@@ -79,9 +79,9 @@ def end_type(spark, sf_dir):
     return inputs.reads(spark, sf_dir).select("read_id", st.end_type(F.col("st"), F.col("en"), 500, 2300).alias("end_type"))
 
 
-@query("leader_flag", sql("rd", "SELECT read_id, ens[1] < 1106 - 10 AS leader FROM rd"))
+@query("leader_flag", sql("rd", "SELECT read_id, ens[1] < 1106 - 10 OR coalesce(sts[2] - ens[1] > 900, false) AS leader FROM rd"))
 def leader_flag(spark, sf_dir):
-    return per_read(spark, sf_dir).select("read_id", st.leader_flag(F.col("breaks"), 1106, 10).alias("leader"))
+    return per_read(spark, sf_dir).select("read_id", st.leader_flag(F.col("breaks"), 1106, 10, 900).alias("leader"))
 
 
 @query("cluster_key_unannotated", sql("rd", "SELECT read_id, CAST((CASE WHEN fwd THEN en ELSE st END) // 100 AS VARCHAR) AS cluster_key FROM rd"))
@@ -241,11 +241,16 @@ def lookup_gene_position(spark, sf_dir):
     return keyed.join(iv.side(genes(spark, sf_dir).select("gene", "g_st")), "gene", "left").select("read_id", F.coalesce("g_st", F.lit(0)).alias("position"))
 
 
-@query("region_from_genes", sql("a", "WITH x AS (SELECT *, coalesce(lag(g_st) OVER (PARTITION BY g_chrom ORDER BY g_st, ord), 1) AS lo FROM a) SELECT g_chrom AS chrom, max(CASE WHEN gene = 'NATION_4' THEN lo END) AS left_lo, max(CASE WHEN gene = 'NATION_4' THEN g_en END) AS left_hi, max(CASE WHEN gene = 'NATION_12' THEN lo END) AS right_lo, max(CASE WHEN gene = 'NATION_12' THEN g_en END) AS right_hi FROM x WHERE gene IN ('NATION_4', 'NATION_12') GROUP BY 1"))
+@query("region_from_genes", sql("a", "WITH x AS (SELECT *, coalesce(lag(g_st) OVER (PARTITION BY g_chrom ORDER BY g_st, ord), 1) AS lo FROM a) SELECT g_chrom AS chrom, max(CASE WHEN gene = 'NATION_4' THEN g_st END) AS left_lo, max(CASE WHEN gene = 'NATION_4' THEN g_en END) AS left_hi, max(CASE WHEN gene = 'NATION_12' THEN lo END) AS right_lo, max(CASE WHEN gene = 'NATION_12' THEN g_st END) AS right_hi FROM x WHERE gene IN ('NATION_4', 'NATION_12') GROUP BY 1"))
 def region_from_genes(spark, sf_dir):
     return iv.region_from_genes(genes(spark, sf_dir), "NATION_4", "NATION_12")
 
 
+@query("region_from_ranges", sql("a", "WITH x AS (SELECT *, coalesce(lag(g_st) OVER (PARTITION BY g_chrom ORDER BY g_st, ord), 1) AS lo FROM a) SELECT g_chrom AS chrom, 60 AS left_lo, 80 AS left_hi, max(lo) AS right_lo, max(g_st) AS right_hi FROM x WHERE gene = 'NATION_7' GROUP BY 1"))
+def region_from_ranges(spark, sf_dir):
+    return iv.region_from_genes(genes(spark, sf_dir), "NATION_4", "NATION_7", left_range=(60, 80))
+
+
 @query("gene_break_region", sql("a", "SELECT gene, greatest(g_st - 60, coalesce(lag(g_en) OVER w, 1)) AS lo, least(g_st + 60, coalesce(lead(g_st) OVER w, g_en)) AS hi FROM a WINDOW w AS (PARTITION BY g_chrom ORDER BY g_st, ord)"))
 def gene_break_region(spark, sf_dir):
     order = W.partitionBy("g_chrom").orderBy("g_st", "ord")

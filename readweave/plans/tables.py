@@ -145,16 +145,37 @@ def filter_second_quality(spark, sf_dir):
     return tb.filter_second_quality(q, iv.gene_span(exons(spark, sf_dir), genes(spark, sf_dir)), 3)
 
 
-@query("filter_transcripts", sql("kr", "SELECT read_id, st, en, cluster_key FROM kr WHERE st < 1500 AND en >= 2000 AND starts_with(cluster_key, 'st')"))
-def filter_transcripts(spark, sf_dir):
+_LEFT, _RIGHT = r"^(NATION_[0-9]+|st\.c[01])", r"(NATION_[0-9]+|end\.c[01]|st\.c[01])$"
+
+
+def transcripts(spark, sf_dir):
+    """Reads with the first and the last label of their key."""
     from .clusters import keyed
 
-    return keyed(spark, sf_dir).filter((F.col("st") < 1500) & (F.col("en") >= 2000) & F.col("cluster_key").startswith("st")).select("read_id", "st", "en", "cluster_key")
+    return keyed(spark, sf_dir).withColumn("left_gene", F.regexp_extract("cluster_key", _LEFT, 1)).withColumn("right_gene", F.regexp_extract("cluster_key", _RIGHT, 1))
+
 
+_TRANSCRIPTS = f"t AS (SELECT *, regexp_extract(cluster_key, '{_LEFT}', 1) AS left_gene, regexp_extract(cluster_key, '{_RIGHT}', 1) AS right_gene FROM kr)"
+
+
+@query("filter_transcripts", sql("kr", f"WITH {_TRANSCRIPTS} SELECT read_id, st, en, left_gene, right_gene FROM t WHERE st < 1500 AND 4000 - en >= 500 AND right_gene = 'NATION_22'"))
+def filter_transcripts(spark, sf_dir):
+    return tb.filter_transcripts(transcripts(spark, sf_dir), 4000, 1500, 500, (True, False), right="NATION_22").select("read_id", "st", "en", "left_gene", "right_gene")
 
-@query("split_transcripts", sql("kr", "SELECT CASE WHEN n_exons = 1 THEN 'unspliced' WHEN n_exons = 2 THEN 'spliced1' ELSE 'spliced2' END AS class, count(*) AS n FROM kr GROUP BY 1"))
+
+@query("filter_transcripts_left", sql("kr", f"WITH {_TRANSCRIPTS} SELECT read_id, st, en, left_gene, right_gene FROM t WHERE left_gene = 'NATION_1' AND st >= 1150"))
+def filter_transcripts_left(spark, sf_dir):
+    return tb.filter_transcripts(transcripts(spark, sf_dir), 4000, 1150, None, (False, True), left="NATION_1").select("read_id", "st", "en", "left_gene", "right_gene")
+
+
+@query("split_transcripts", sql("kr", "WITH l AS (SELECT n_exons - 1 AS n, ens[1] < 1096 AS leader FROM kr) SELECT CASE WHEN n = 0 THEN 'unspliced' ELSE CASE n WHEN 1 THEN 'spliced1' ELSE 'spliced2' END || CASE WHEN leader THEN '_leader' ELSE '_noleader' END END AS class, count(*) AS n FROM l GROUP BY 1"))
 def split_transcripts(spark, sf_dir):
-    from .clusters import keyed
+    from ..operators.structure import leader_flag
+
+    n = (F.size("breaks") / 2 - 1).cast("int")
+    return tb.split_transcripts(transcripts(spark, sf_dir), tb.spliced_class(n, leader_flag(F.col("breaks"), 1106, 10)))
+
 
-    n = F.size("breaks") / 2
-    return tb.split_transcripts(keyed(spark, sf_dir), F.when(n == 1, "unspliced").when(n == 2, "spliced1").otherwise("spliced2"))
+@query("split_transcripts_ends", sql("rd", "SELECT CASE WHEN st < 1500 THEN '5' ELSE 'no5' END || CASE WHEN en > 2500 THEN '_3' ELSE '_no3' END AS class, count(*) AS n FROM rd GROUP BY 1"))
+def split_transcripts_ends(spark, sf_dir):
+    return tb.split_transcripts(transcripts(spark, sf_dir), tb.end_class(F.col("st"), F.col("en"), 4000, 1500))

@@ -134,10 +134,19 @@ def read_depth_store(spark, path: str, keys: list[str]) -> DataFrame:
     return spark.read.parquet(path).groupBy(*keys, "pos").agg(F.sum("depth").alias("depth"), F.sum("errors").alias("errors"))
 
 
-def sink_isoform_store(isoforms: DataFrame, path: str, run: str, keys: list[str], threshold: int) -> None:
-    """Isoforms of clusters in which one of them reaches the threshold."""
+def sink_isoform_store(isoforms: DataFrame, path: str, run: str, keys: list[str], threshold: int, total: int | None = None, each: int | None = None) -> None:
+    """Isoforms (keys, n; source and iso_key if the others count), added to the store as a run of its own.
+
+    A cluster goes in if one of its rows has ``threshold`` reads; with ``total`` an isoform only if all its sources together
+    have so many, with ``each`` only if one of its sources has.
+    """
     deep = isoforms.groupBy(*keys).agg(F.max("n").alias("_m")).filter(F.col("_m") >= threshold)
-    isoforms.join(deep, keys, "left_semi").withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(path)
+    kept = isoforms.join(deep, keys, "left_semi")
+    if total is not None or each is not None:
+        own = [*keys, "iso_key"]
+        enough = isoforms.groupBy(*own).agg(F.sum("n").alias("_t"), F.max("n").alias("_e")).filter((F.col("_t") >= (total or 0)) & (F.col("_e") >= (each or 0)))
+        kept = kept.join(enough, own, "left_semi")
+    kept.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(path)
 
 
 def sink_breakpoints(cells: DataFrame, path: str) -> None:

@@ -145,6 +145,10 @@ def test_more_readers_and_writers(spark, tmp_path):
     iso = spark.createDataFrame([("k", "k.t0", 9), ("k", "k.t1", 1), ("l", "l.t0", 2)], "key string, id string, n long")
     out.sink_isoform_store(iso, str(tmp_path / "iso"), "a", ["key"], 5)
     assert rows(spark.read.parquet(str(tmp_path / "iso")).select("id")) == [("k.t0",), ("k.t1",)]
+    two = spark.createDataFrame([("k", "i", "a", 9), ("k", "j", "a", 3), ("k", "j", "b", 3), ("k", "m", "a", 1)], "key string, iso_key string, source string, n long")
+    for run, more, want in (("t", {"total": 6}, {"i", "j"}), ("e", {"each": 4}, {"i"}), ("n", {}, {"i", "j", "m"})):
+        out.sink_isoform_store(two, str(tmp_path / "iso2"), run, ["key"], 5, **more)
+        assert {r["iso_key"] for r in spark.read.parquet(str(tmp_path / "iso2")).filter(F.col("run") == run).collect()} == want
 
 
 def plan_of(df):

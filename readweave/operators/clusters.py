@@ -30,21 +30,28 @@ def isoform_agg(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("chrom", "cluster_key", "iso_key", "source").agg(F.count("*").alias("n"))
 
 
-def mean_breaks(keyed: DataFrame) -> DataFrame:
+def mean_breaks(keyed: DataFrame, first: str | None = None) -> DataFrame:
     """Element-wise rounded mean of the breaks of each isoform's reads.
 
-    Members of an isoform have equally many breaks, so sums by position are combined map-side.
+    Members of an isoform have equally many breaks, so sums by position are combined map-side. With ``first``, a source that
+    is a transcriptome, its reads alone count in the isoforms that it has.
     """
-    each = keyed.select("chrom", "cluster_key", "iso_key", F.posexplode("breaks").alias("i", "b"))
-    means = each.groupBy("chrom", "cluster_key", "iso_key", "i").agg(F.floor(F.avg("b") + 0.5).cast("int").alias("m"))
+    each = keyed.select("chrom", "cluster_key", "iso_key", *([] if first is None else ["source"]), F.posexplode("breaks").alias("i", "b"))
+    mean = F.avg("b") if first is None else F.coalesce(F.avg(F.when(F.col("source") == first, F.col("b"))), F.avg("b"))
+    means = each.groupBy("chrom", "cluster_key", "iso_key", "i").agg(F.floor(mean + 0.5).cast("int").alias("m"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"])
     return means.groupBy("chrom", "cluster_key", "iso_key").agg(listed.alias("breaks"))
 
 
-def isoform_ids(isoforms: DataFrame) -> DataFrame:
-    """Identifier <cluster>.t<k>: k numbers a cluster's isoforms by key."""
+def isoform_ids(isoforms: DataFrame, reads: DataFrame | None = None, first: str | None = None) -> DataFrame:
+    """Identifier <cluster>.t<k>: k numbers a cluster's isoforms by key. With ``reads`` (see with_iso_key()) and ``first``, a
+    source that is a transcriptome, an isoform that it has is called like its read there, the first by name."""
     k = F.dense_rank().over(W.partitionBy("chrom", "cluster_key").orderBy("iso_key"))
-    return isoforms.withColumn("isoform_id", F.concat_ws(".t", "cluster_key", k.cast("string")))
+    named = isoforms.withColumn("isoform_id", F.concat_ws(".t", "cluster_key", k.cast("string")))
+    if reads is None:
+        return named
+    own = reads.filter(F.col("source") == first).groupBy("chrom", "cluster_key", "iso_key").agg(F.min(F.col("read_id").cast("string")).alias("_name"))
+    return named.join(own, ["chrom", "cluster_key", "iso_key"], "left").withColumn("isoform_id", F.coalesce("_name", "isoform_id")).drop("_name")
 
 
 def exon_counts(isoforms: DataFrame) -> DataFrame:

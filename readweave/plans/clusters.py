@@ -60,6 +60,19 @@ def isoform_ids(spark, sf_dir):
     return cl.isoform_ids(isoforms(spark, sf_dir).select("chrom", "cluster_key", "iso_key").distinct()).select("chrom", st.joined(F.col("iso_key")).alias("iso_key"), "isoform_id")
 
 
+@query("mean_breaks_transcriptome", sql("kr", f"WITH {_ISO}, x AS (SELECT chrom, cluster_key, source, array_to_string(iso, ',') AS iso_key, unnest(flatten(list_transform(list_zip(sts, ens), lambda x: [x[1], x[2]]))) AS b, generate_subscripts(iso, 1) AS i FROM i0), m AS (SELECT chrom, cluster_key, iso_key, i, CAST(floor(coalesce(avg(b) FILTER (WHERE source = 's0'), avg(b)) + 0.5) AS INTEGER) AS m FROM x GROUP BY ALL) SELECT chrom, cluster_key, iso_key, string_agg(m, ',' ORDER BY i) AS breaks FROM m GROUP BY ALL"))
+def mean_breaks_transcriptome(spark, sf_dir):
+    found = cl.mean_breaks(cl.with_iso_key(keyed(spark, sf_dir), 50), "s0")
+    return found.select("chrom", "cluster_key", st.joined(F.col("iso_key")).alias("iso_key"), st.joined(F.col("breaks")).alias("breaks"))
+
+
+@query("isoform_ids_transcriptome", sql("kr", f"WITH {_ISO}, nm AS (SELECT chrom, cluster_key, iso, min(CAST(read_id AS VARCHAR)) FILTER (WHERE source = 's0') AS name FROM i0 GROUP BY ALL) SELECT chrom, array_to_string(iso, ',') AS iso_key, coalesce(name, cluster_key || '.t' || dense_rank() OVER (PARTITION BY chrom, cluster_key ORDER BY iso)) AS isoform_id FROM nm"))
+def isoform_ids_transcriptome(spark, sf_dir):
+    reads = cl.with_iso_key(keyed(spark, sf_dir), 50)
+    found = cl.isoform_ids(cl.isoform_agg(reads).select("chrom", "cluster_key", "iso_key").distinct(), reads, "s0")
+    return found.select("chrom", st.joined(F.col("iso_key")).alias("iso_key"), "isoform_id")
+
+
 @query("exon_counts", sql("kr", f"WITH {_ISO}, x AS (SELECT chrom, cluster_key, len(iso) // 2 AS n, count(DISTINCT iso) AS k FROM iso GROUP BY ALL) SELECT chrom, cluster_key, string_agg(n, ',' ORDER BY n) AS exons, CAST(sum(k) AS BIGINT) AS n_isoforms FROM x GROUP BY ALL"))
 def exon_counts(spark, sf_dir):
     return cl.exon_counts(isoforms(spark, sf_dir))

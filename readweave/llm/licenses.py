@@ -86,16 +86,19 @@ def spans(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, *
     # the words of a run are equal, so the runs' words are what document and template share
     own = {c: F.array_distinct(F.flatten(F.transform(c, lambda x: F.sequence(x, x + k - 1)))) for c in ("ts", "ps")}
     start, end = F.array_min("ps"), F.array_max("ps") + k
-    measured = merged.select("doc_id", "text_key", "template", "label", "n_words", start.alias("start"), end.alias("end"), F.size(own["ts"]).alias("held"), F.size(own["ps"]).alias("dense"))
+    measured = merged.select("doc_id", "text_key", "template", "band", "label", "n_words", start.alias("start"), end.alias("end"), F.size(own["ts"]).alias("held"), F.size(own["ps"]).alias("dense"))
     share = F.col("held") / F.col("n_words")
     good = measured.withColumn("share", share).filter((F.col("share") >= coverage) & (F.col("dense") >= coverage * (F.col("end") - F.col("start"))))
-    # spans that overlap are neighbours by their start; so many templates share a statement at most
-    near = W.partitionBy("doc_id", "text_key").orderBy("start", "end", "template").rowsBetween(-8, 8)
-    other = F.collect_list(F.struct("start", "end", "share", "n_words", "template")).over(near)
-    rank = lambda s: F.struct(s["share"], s["n_words"], -s["template"])
-    mine = F.struct("share", "n_words", -F.col("template"))
-    better = F.exists("_near", lambda o: (o["start"] < F.col("end")) & (F.col("start") < o["end"]) & (rank(o) > mine))
-    return good.withColumn("_near", other).filter(~better).select("doc_id", "text_key", "label", "start", "end", "share")
+    # a span is beaten where a word of it belongs to a better one; only spans that meet another are looked at word by word
+    along = W.partitionBy("doc_id", "text_key").orderBy("start", "end", "template", "band")
+    reached = F.max("end").over(along.rowsBetween(W.unboundedPreceding, -1))
+    meets = F.coalesce(reached > F.col("start"), F.lit(False)) | F.coalesce(F.lead("start").over(along) < F.col("end"), F.lit(False))
+    each = good.withColumn("meets", meets).withColumn("rank", F.struct("share", "n_words", (-F.col("template")).alias("nth")))
+    at_words = each.withColumn("word", F.explode(F.when(F.col("meets"), F.sequence("start", F.col("end") - 1)).otherwise(F.array("start"))))
+    best = at_words.withColumn("best", F.max("rank").over(W.partitionBy("doc_id", "text_key", "word")))
+    span = ["doc_id", "text_key", "template", "band", "label", "start", "end", "share"]
+    stays = best.groupBy(*span).agg(F.bool_and(F.col("rank") == F.col("best")).alias("stays"))
+    return stays.filter("stays").select("doc_id", "text_key", "label", "start", "end", "share")
 
 
 def phrase_places(ws: Column, phrase: str) -> Column:

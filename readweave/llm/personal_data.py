@@ -19,6 +19,10 @@ length is read whole; extra columns are kept by `find`, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,23 +88,42 @@ MAX_PATTERNS = len(KINDS) * int(np.prod(list(FEATURES.values())))
 BEFORE = 24
 
 
+#: Powers of two below the number of elements that an array can have.
+POWERS = [1 << k for k in range(31)]
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running(numbers: Column) -> Column:
+    """Sums of an array up to and with each element, by doubling the reach: n log n steps, no growing array."""
+    reaches = F.filter(F.array(*[F.lit(x) for x in POWERS]), lambda reach: reach < F.size(numbers))
+    return F.aggregate(reaches, numbers, lambda sums, reach: F.transform(sums, lambda x, i: x + F.when(i >= reach, F.get(sums, i - reach)).otherwise(0)))
+
+
 def located(text: Column, pattern: str) -> Column:
     """Array of (start, end, found) of all matches, leftmost and non-overlapping; positions in code points.
 
     The pieces between matches and the matches themselves come from the same pattern, so their lengths add up.
     """
-    gaps, own = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(own)), own, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
-    empty = F.array().cast("array<struct<start:int,end:int,found:string>>")
-    return F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), empty.alias("all")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-            F.concat(acc["all"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["m"])).alias("end"), x["m"].alias("found")))).alias("all"),
-        ),
-        lambda acc: acc["all"],
-    )
+    parts = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("own"))
+
+    def placed(p: Column) -> Column:
+        steps = F.transform(p["own"], lambda m, i: F.length(m) + F.length(F.get(p["gaps"], i)))
+        place = lambda end, m: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("found"))
+        return F.zip_with(bound(steps, running), p["own"], place)
+
+    return bound(parts, placed)
+
+
+def meets(spans: Column, c: Column) -> Column:
+    """Whether a candidate overlaps any of the spans, which are in order and don't overlap: by halving, the last one that
+    begins before its end."""
+    steps = F.filter(F.array(*[F.lit(x) for x in reversed(POWERS)]), lambda step: step <= F.size(spans))
+    before = F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(spans, n + step - 1)["start"] < c["end"], n + step).otherwise(n))
+    return F.coalesce(F.get(spans, before - 1)["end"] > c["start"], F.lit(False))
 
 
 def _digits(found: Column) -> Column:
@@ -238,8 +261,11 @@ def find(docs: DataFrame) -> DataFrame:
     # the table is small: ids and spans
     spans = cut(held.select("row", scored.alias("scored")))
 
-    def stays(c: Column) -> Column:
-        met = F.exists(F.filter("scored", lambda b: b["base"]), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        return c["base"] | ((c["probability"] >= THRESHOLD) & ~met)
+    def staying(all_: Column) -> Column:
+        """Base candidates, and those that the classifier takes and that meet none of them; base ones of a kind are in order."""
+        line = lambda kind: F.filter(all_, lambda b: b["base"] & (b["kind"] == kind))
+        of_kinds = F.struct(*[line(kind).alias(kind) for kind in BASE])
+        free = lambda c, base: ~reduce(or_, [meets(base[kind], c) for kind in BASE])
+        return bound(of_kinds, lambda base: F.filter(all_, lambda c: c["base"] | ((c["probability"] >= THRESHOLD) & free(c, base))))
 
-    return cut(spans.select("row", F.array_sort(F.filter("scored", stays)).alias("spans")))
+    return cut(spans.select("row", F.array_sort(staying(F.col("scored"))).alias("spans")))

@@ -13,10 +13,10 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 PROSE = "the green house stands near a quiet river where people walk and talk about the weather in spring".split()
 
 
-def license_spans(text):
+def license_spans(text, templates=licenses.TEMPLATES):
     """Diagonal voting over all pairs of places."""
     ws, k, found = WORD.findall((text or "").lower()), licenses.K, []
-    for number, (label, template) in enumerate(licenses.TEMPLATES):
+    for number, (label, template) in enumerate(templates):
         own = WORD.findall(template.lower())
         votes = defaultdict(set)
         for p in range(len(ws) - k + 1):
@@ -56,6 +56,36 @@ def test_licenses(spark):
         assert abs(got[i]["score"] - max([s[2] for s in want] + [1.0] * bool(got[i]["base_labels"]), default=0.0)) < 1e-12
 
 
+def test_licenses_that_overlap_in_any_number(spark):
+    """More spans on one place than any fixed number of neighbours, chains of spans, and one better than all."""
+    rng = random.Random(4)
+    ws = [f"w{i}" for i in range(60)]
+    templates = [(f"l{i:02}", " ".join(ws[:20] + [f"x{i}y{j}" for j in range(rng.randrange(1, 12))])) for i in range(30)]
+    templates += [("zz", " ".join(ws[:20]))] + [(f"c{i:02}", " ".join(ws[i : i + rng.randrange(6, 20)])) for i in range(18, 50, 3)]
+    texts = [" ".join(ws), " ".join(ws[:20]), " ".join(ws[:18] + PROSE + ws[5:40]), "", None, " ".join(ws[25:]), " ".join(ws[:19] * 3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["row"]["doc_id"]: r["license"]["spans"] for r in licenses.scan(docs, templates=tuple(templates)).collect()}
+    for i, t in enumerate(texts):
+        want = license_spans(t, templates)
+        assert sorted((s["start"], s["end"], s["label"]) for s in got[i]) == sorted((s[0], s[1], s[5]) for s in want), i
+    assert ["zz"] == [s["label"] for s in got[1]]
+
+
+def test_places_of_many_matches(spark):
+    """Places of all matches as a plain search finds them, and whether a span meets any of a line of them."""
+    rng = random.Random(12)
+    texts = ["", "a", "1", "11a", *("".join(rng.choice("ab1 é𝄞") for _ in range(n)) for n in (5, 17, 64, 65, 3000)), "1 " * 40_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").select("id", personal_data.located(F.col("text"), "1+").alias("found"))
+    for r in df.collect():
+        assert [(s["start"], s["end"], s["found"]) for s in r["found"]] == [(m.start(), m.end(), m.group()) for m in re.finditer("1+", texts[r["id"]])]
+    span = lambda s, n: F.struct(F.lit(s).alias("start"), F.lit(s + n).alias("end"))
+    for line in ([], [(3, 2)], [(0, 1), (1, 4), (9, 1), (20, 7)]):
+        spans = F.array(*[span(*x) for x in line]) if line else F.array().cast("array<struct<start:int,end:int>>")
+        asked = [(s, n) for s in range(30) for n in (1, 3)]
+        got = spark.range(1).select(F.array(*[personal_data.meets(spans, F.struct(F.lit(s).alias("start"), F.lit(s + n).alias("end"))) for s, n in asked])).first()[0]
+        assert got == [any(a < s + n and s < a + m for a, m in line) for s, n in asked]
+
+
 def hexes(rng, n):
     return "".join(rng.choice("0123456789abcdef") for _ in range(n))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import cut
+from .text import row_hash
 
 
 def connected(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -57,8 +58,12 @@ def named(rows: DataFrame, roots: DataFrame, key: str) -> DataFrame:
 
 
 def kept(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component, once each; columns as they came."""
+    """The rows of ``docs`` that are the first of their component, once each; columns as they came.
+
+    Of rows with one id and text whose other columns differ, the one with the smallest hash of those columns stays.
+    """
     first = found.select(F.col("least.id").alias("id"), F.col("least.text_key").alias("text_key")).distinct()
-    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("text_key"))
+    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("text_key"), row_hash(docs).alias("row_hash"))
     stays = own.alias("o").join(first.alias("f"), F.col("o.id").eqNullSafe(F.col("f.id")) & (F.col("o.text_key") == F.col("f.text_key")), "left_semi")
-    return stays.dropDuplicates(["id", "text_key"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    once = stays.groupBy("id", "text_key").agg(F.min_by("row", "row_hash").alias("row"))
+    return once.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .store import cut
-from .text import SPACED, SPACES, count_spaced
+from .text import SPACED, SPACES, count_spaced, row_hash
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -192,7 +192,8 @@ def mixed_documents(docs: DataFrame, **options: int) -> DataFrame:
     """The mix as documents: a row for each run of neighbouring blocks that a pass takes of a document, with that part of its
     text as it stands there, white space and all.
 
-    Columns as in ``docs``; n_chars, where it is a column, is counted anew.
+    Columns as in ``docs``; n_chars, where it is a column, is counted anew. Copies of a document (id, source and text) whose
+    other columns differ are told apart by a hash of those.
     """
     rows, spans, drawn = plan(docs.select("doc_id", "source", "text"), **options)
     met = spans.join(drawn, ["source_index", "block"]).select("row_id", "pass", "start", "n_words")
@@ -205,8 +206,8 @@ def mixed_documents(docs: DataFrame, **options: int) -> DataFrame:
     # which copy a row is matters to no one but its own runs
     key = ["id", "source", "text_key", "copy"]
     named = rows.join(per_row, "row_id").select(F.col("doc_id").alias("id"), "source", "text_key", "copy", "runs")
-    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].alias("id"), docs["source"].alias("source"), F.xxhash64(docs["text"]).alias("text_key"))
-    own = own.withColumn("copy", F.row_number().over(W.partitionBy("id", "source", "text_key").orderBy("text_key")).cast("long"))
+    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].alias("id"), docs["source"].alias("source"), F.xxhash64(docs["text"]).alias("text_key"), row_hash(docs).alias("row_hash"))
+    own = own.withColumn("copy", F.row_number().over(W.partitionBy("id", "source", "text_key").orderBy("row_hash")).cast("long"))
     joined = own.alias("o").join(named.alias("n"), [F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in key]).select("row", "runs")
     # a word with the white space behind it; what stands before the first word goes with it
     words = F.regexp_extract_all(F.col("row.text"), F.lit(f"({SPACED}{SPACES}*)"), F.lit(1))

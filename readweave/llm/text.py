@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters other than A-Z that a full lower-casing would change; such texts take the slower exact path.
@@ -55,3 +55,9 @@ def windows(ws: Column, n: int) -> Column:
     """Array of (pos, gram): every run of ``n`` words as one string, with the index of its first word."""
     starts = F.when(F.size(ws) >= n, F.sequence(F.lit(0), F.size(ws) - n)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(ws, i + 1, n), " ").alias("gram")))
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """Hash of all columns but the text, of any type."""
+    own = [docs[f"`{c}`"] for c in docs.columns if c != "text"]
+    return F.xxhash64(F.to_json(F.struct(*own))) if own else F.lit(0).cast("long")

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from readweave.llm import mixing
+from readweave.llm import components, mixing
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000, 4097])
@@ -45,6 +45,18 @@ def test_texts_keep_their_characters(spark):
     assert Counter((r["text"], r["source"], r["_copy"]) for r in got) == {(code, "a", 9): 2, ("one", "a", 8): 2, ("one", "b", 7): 4, ("x y", None, 1): 2}
 
 
+def test_copies_are_told_apart_alike_in_every_run(spark):
+    """Copies whose other columns differ: the same rows whatever order they come in, by the mix and by the keeper of one."""
+    rows = [(1, "one two three", "a", i, None if i % 2 else i) for i in range(7)] + [(2, "x " * 200, "b", 1, 1)]
+    mixed, one = set(), set()
+    for parts in (1, 3, 8):
+        docs = spark.createDataFrame(rows[::-1] if parts == 3 else rows, "doc_id long, text string, source string, tag int, row int").repartition(parts)
+        mixed.add(tuple(sorted(map(str, mixing.mixed_documents(docs, share=0.6, block_words=2).collect()))))
+        found = docs.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_key")).alias("least"))
+        one.add(tuple(sorted(map(str, components.kept(docs, found).collect()))))
+    assert len(mixed) == 1 and len(one) == 1 and len(next(iter(one))) == 2
+
+
 def test_runs_of_neighbouring_blocks(spark):
     words = [f"w{i}" for i in range(1000)]
     docs = spark.createDataFrame([(1, " ".join(words), "a"), (2, "x " * 3000, "b")], "doc_id string, text string, source string")

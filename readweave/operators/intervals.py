@@ -2,8 +2,8 @@
 
 Rows meet genes of their own chromosome only (``chrom`` of the rows, ``g_chrom`` of the genes) and, if ``strand`` is set,
 of their own strand (``fwd`` and ``g_fwd``). An annotation, cut in buckets, is broadcast while it has at most ``SMALL``
-rows (counted after the cut); beyond that the same joins run by shuffle. Interval joins are equi-joins on chromosome and
-fixed-width buckets with a check of the ends behind, so they never compare all pairs.
+rows (those after the cut, summed in one scan before it); beyond that the same joins run by shuffle. Interval joins are
+equi-joins on chromosome and buckets with a check of the ends behind, so they never compare all pairs.
 """
 
 from __future__ import annotations
@@ -14,8 +14,6 @@ from pyspark.sql.window import Window as W
 
 SMALL = 200_000
 BUCKET = 256
-#: Buckets of the stretches between genes, which cover a whole chromosome.
-WIDE = 1 << 16
 
 
 def side(df: DataFrame) -> DataFrame:
@@ -23,6 +21,13 @@ def side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
+def cut_side(df: DataFrame, lo: str, hi: str, width: int, name: str) -> DataFrame:
+    """``df`` with a row for each bucket ``name`` that its intervals are in, to be broadcast if those are few."""
+    rows = F.greatest(F.lit(0), F.floor(F.col(hi) / width) - F.floor(F.col(lo) / width)) + 1
+    spread = df.withColumn(name, buckets(F.col(lo), F.col(hi), width))
+    return F.broadcast(spread) if (df.agg(F.sum(rows)).first()[0] or 0) <= SMALL else spread
+
+
 def buckets(lo: Column, hi: Column, width: int = BUCKET) -> Column:
     return F.explode(F.sequence(F.floor(lo / width), F.greatest(F.floor(lo / width), F.floor(hi / width))))
 
@@ -39,22 +44,39 @@ def _meets(strand: bool) -> Column:
 
 def containing(points: DataFrame, pos: str, intervals: DataFrame, lo: str, hi: str, how: str = "inner", width: int = BUCKET, strand: bool = False) -> DataFrame:
     """Rows of ``points`` with every interval (see `placed`) lo <= pos <= hi of their chromosome."""
-    spread = side(intervals.withColumn("_bucket", buckets(F.col(lo), F.col(hi), width)))
+    return _containing(points, pos, cut_side(intervals, lo, hi, width, "_bucket"), lo, hi, how, width, strand)
+
+
+def _containing(points: DataFrame, pos: str, spread: DataFrame, lo: str, hi: str, how: str, width: int, strand: bool) -> DataFrame:
     keyed = points.withColumn("_bucket", F.floor(F.col(pos) / width))
     return keyed.join(spread, (keyed["_bucket"] == spread["_bucket"]) & _meets(strand) & (keyed[pos] >= spread[lo]) & (keyed[pos] <= spread[hi]), how).drop("_bucket", "_chrom", "_fwd")
 
 
 def overlapping(left: DataFrame, st: str, en: str, right: DataFrame, lo: str, hi: str, width: int = BUCKET, strand: bool = False) -> DataFrame:
     """Pairs of rows whose intervals meet on their chromosome; a pair is taken in the first bucket that both are in."""
-    spread = side(right.withColumn("_b", buckets(F.col(lo), F.col(hi), width)))
+    spread = cut_side(right, lo, hi, width, "_b")
     keyed = left.withColumn("_a", buckets(F.col(st), F.col(en), width))
     met = keyed.join(spread, (F.col("_a") == F.col("_b")) & _meets(strand) & (F.col(st) <= F.col(hi)) & (F.col(lo) <= F.col(en)))
     return met.filter(F.col("_a") == F.greatest(F.floor(F.col(st) / width), F.floor(F.col(lo) / width))).drop("_a", "_b", "_chrom", "_fwd")
 
 
-def _asof(points: DataFrame, pos: str, at: Column, genes: DataFrame, out: str, default: Column, strand: bool, upstream: bool) -> DataFrame:
+def shape(genes: DataFrame, strand: bool = False) -> tuple[bool, int]:
+    """Whether the stretches between the starts of genes are few enough to be broadcast, and how wide their buckets are.
+
+    A bucket is as wide as a stretch on average, up to twice, so a position meets few of them; buckets hold at most three
+    rows for each gene. Joins with one annotation can share its shape.
+    """
+    span = (F.max("g_st") - F.min("g_st")).cast("long").alias("span")
+    by = genes.groupBy("g_chrom", *(["g_fwd"] if strand else [])).agg(F.count("*").alias("n"), span)
+    n, length = (x or 0 for x in by.agg(F.sum("n"), F.sum("span")).first())
+    return 3 * n <= SMALL, 1 << (length // max(n, 1)).bit_length()
+
+
+def _asof(points: DataFrame, pos: str, at: Column, genes: DataFrame, out: str, default: Column, strand: bool, upstream: bool, known: tuple[bool, int] | None) -> DataFrame:
     """Starts are turned into the stretches up to the next one (or from the last one), so a position meets one row; behind
     the last start of a chromosome (before the first) a row for each chromosome decides."""
+    small, width = known or shape(genes, strand)
+    sent = F.broadcast if small else (lambda df: df)
     keys = ["g_chrom", *(["g_fwd"] if strand else [])]
     order = W.partitionBy(*keys).orderBy("g_st", "ord" if upstream else F.desc("ord"))
     if upstream:
@@ -64,8 +86,9 @@ def _asof(points: DataFrame, pos: str, at: Column, genes: DataFrame, out: str, d
         lo, hi = F.lag("g_st").over(order) + 1, F.col("g_st")
         edge = genes.groupBy(*keys).agg(F.min_by("gene", F.struct("g_st", F.col("ord"))).alias("_edge_gene"), F.min("g_st").alias("_edge"))
     stretch = placed(genes.withColumn("_lo", lo).withColumn("_hi", hi).filter("_hi >= _lo"), strand, F.col("gene").alias("_gene"), "_lo", "_hi")
-    met = containing(points.withColumn("_at", at), "_at", stretch, "_lo", "_hi", "left", WIDE, strand)
-    met = met.join(side(placed(edge, strand, "_edge_gene", "_edge")), _meets(strand), "left")
+    spread = sent(stretch.withColumn("_bucket", buckets(F.col("_lo"), F.col("_hi"), width)))
+    met = _containing(points.withColumn("_at", at), "_at", spread, "_lo", "_hi", "left", width, strand)
+    met = met.join(sent(placed(edge, strand, "_edge_gene", "_edge")), _meets(strand), "left")
     beyond = F.col("_at") >= F.col("_edge") if upstream else F.col("_at") <= F.col("_edge")
     label = F.when(beyond, F.col("_edge_gene")).otherwise(F.coalesce("_gene", default))
     return met.withColumn(out, F.when(F.col(pos).isNotNull(), label)).drop("_at", "_gene", "_lo", "_hi", "_edge", "_edge_gene", "_chrom", "_fwd")
@@ -76,14 +99,14 @@ def _named(default: str | None) -> Column:
     return F.lit(None) if default is None else F.concat_ws(".", F.lit(default), F.col("chrom"))
 
 
-def asof_upstream(points: DataFrame, pos: str, genes: DataFrame, out: str, tol: int = 5, default: str | None = "st", strand: bool = False) -> DataFrame:
+def asof_upstream(points: DataFrame, pos: str, genes: DataFrame, out: str, tol: int = 5, default: str | None = "st", strand: bool = False, known: tuple[bool, int] | None = None) -> DataFrame:
     """Column out: the last gene that starts at or before pos + tol, else ``default``.chrom; null for a null position."""
-    return _asof(points, pos, F.col(pos) + tol, genes, out, _named(default), strand, True)
+    return _asof(points, pos, F.col(pos) + tol, genes, out, _named(default), strand, True, known)
 
 
-def asof_downstream(points: DataFrame, pos: str, genes: DataFrame, out: str, tol: int = 5, default: str | None = "end", strand: bool = False) -> DataFrame:
+def asof_downstream(points: DataFrame, pos: str, genes: DataFrame, out: str, tol: int = 5, default: str | None = "end", strand: bool = False, known: tuple[bool, int] | None = None) -> DataFrame:
     """Column out: the first gene that starts at or after pos - tol, else ``default``.chrom; null for a null position."""
-    return _asof(points, pos, F.col(pos) - tol, genes, out, _named(default), strand, False)
+    return _asof(points, pos, F.col(pos) - tol, genes, out, _named(default), strand, False, known)
 
 
 def cluster_key_viral(exon_rows: DataFrame, genes: DataFrame, tol: int = 5, *, start: bool = True, end: bool = True, strand: bool = False) -> DataFrame:
@@ -96,7 +119,8 @@ def cluster_key_viral(exon_rows: DataFrame, genes: DataFrame, tol: int = 5, *, s
     points = gaps
     if start:
         points = gaps.unionByName(exon_rows.filter("exon = 1").select("read_id", "chrom", "fwd", F.lit(0).alias("i"), F.col("st").alias("l"), F.lit(None).cast("int").alias("r")))
-    labelled = asof_downstream(asof_upstream(points, "l", genes, "up", tol, strand=strand), "r", genes, "down", tol, strand=strand)
+    known = shape(genes, strand)
+    labelled = asof_downstream(asof_upstream(points, "l", genes, "up", tol, strand=strand, known=known), "r", genes, "down", tol, strand=strand, known=known)
     part = F.struct("i", F.concat_ws(",", "up", "down").alias("part"))
     keys = labelled.groupBy("read_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["part"]), "_").alias("cluster_key"))
     if start or end:

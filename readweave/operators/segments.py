@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .genome import padded, with_bases
-from .intervals import WIDE, buckets, containing, placed
+from .intervals import buckets, containing, placed
 from .sequences import nw_cost, translate_codons
 
+#: Buckets of the stretches between codons, which cover a whole chromosome.
+WIDE = 1 << 16
+
 
 def region_segments(bases: DataFrame, key: str, first: int, last: int) -> DataFrame:
     """The part of each read that lies in a window, gaps skipped, from its bases (key, pos, base)."""

@@ -82,7 +82,8 @@ def split_internal_polya(reads: DataFrame, key: str, left: int = 15, right: int
     for side, (clip, off, shortest) in enumerate(((F.substring(F.col("seq"), F.lit(1), F.col("_l")), F.lit(0), left), (F.substring(F.col("seq"), n - F.col("_r") + 1, F.col("_r")), n - F.col("_r"), right))):
         for base in bases:
             run = F.when(good[side], best_run(clip, base))
-            long = (run["last"] - run["first"] > shortest) & (run["n"] > share * (run["last"] - run["first"]))
+            # the quotient is rounded once, so a run of exactly this share has no larger one
+            long = (run["last"] - run["first"] > shortest) & (run["n"] / (run["last"] - run["first"]) > share)
             place = run["first"] > inside if side == 0 else off + run["last"] < n - inside
             cuts.append(F.when(long & place, off + run["last"]))
     found = own.select("read_id", "seq", F.coalesce(*cuts).alias("_at"))

@@ -8,6 +8,8 @@ equi-joins on chromosome and buckets with a check of the ends behind, so they ne
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -109,26 +111,41 @@ def asof_downstream(points: DataFrame, pos: str, genes: DataFrame, out: str, tol
     return _asof(points, pos, F.col(pos) - tol, genes, out, _named(default), strand, False, known)
 
 
-def cluster_key_viral(exon_rows: DataFrame, genes: DataFrame, tol: int = 5, *, start: bool = True, end: bool = True, strand: bool = False) -> DataFrame:
-    """read_id and cluster_key: labels of the start, of both sides of each gap, and of the end, joined in their order;
-    start and end can be left out."""
+def _key_parts(exon_rows: DataFrame, genes: DataFrame, tol: int, strand: bool, carried: Sequence[str] = ()) -> DataFrame:
+    """A row for each exon (i from 1, l its end, r the next start or null) and one for each read's start (i 0), with ``part``, its
+    label, and carried columns; a read's rows stay where its exons are."""
     after = F.lead("st").over(W.partitionBy("read_id").orderBy("exon"))
-    gaps = exon_rows.select("read_id", "chrom", "fwd", F.col("exon").alias("i"), F.col("en").alias("l"), after.alias("r"))
-    if not end:
-        gaps = gaps.filter("r IS NOT NULL")
-    points = gaps
-    if start:
-        points = gaps.unionByName(exon_rows.filter("exon = 1").select("read_id", "chrom", "fwd", F.lit(0).alias("i"), F.col("st").alias("l"), F.lit(None).cast("int").alias("r")))
+    gap = F.struct(F.col("exon").alias("i"), F.col("en").alias("l"), F.col("_after").alias("r"))
+    start = F.struct(F.lit(0).alias("i"), F.col("st").alias("l"), F.lit(None).cast("int").alias("r"))
+    each = F.explode(F.when(F.col("exon") == 1, F.array(start, gap)).otherwise(F.array(gap)))
+    own = list(dict.fromkeys(["read_id", "chrom", "fwd", *carried]))
+    points = exon_rows.withColumn("_after", after).select(*own, each.alias("_x")).select(*own, "_x.*")
     known = shape(genes, strand)
     labelled = asof_downstream(asof_upstream(points, "l", genes, "up", tol, strand=strand, known=known), "r", genes, "down", tol, strand=strand, known=known)
-    part = F.struct("i", F.concat_ws(",", "up", "down").alias("part"))
-    keys = labelled.groupBy("read_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["part"]), "_").alias("cluster_key"))
+    return labelled.withColumn("part", F.concat_ws(",", "up", "down"))
+
+
+def cluster_key_viral(exon_rows: DataFrame, genes: DataFrame, tol: int = 5, *, start: bool = True, end: bool = True, strand: bool = False) -> DataFrame:
+    """read_id and cluster_key: labels of the start, of both sides of each gap, and of the end, joined in their order;
+    start and end can be left out."""
+    parts = _key_parts(exon_rows, genes, tol, strand)
+    kept = parts.filter((F.col("i") > 0) & (F.lit(end) | F.col("r").isNotNull()) | F.lit(start) & (F.col("i") == 0))
+    keys = kept.groupBy("read_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "part"))), lambda x: x["part"]), "_").alias("cluster_key"))
     if start or end:
         return keys
     # reads without a gap have an empty key
     return exon_rows.select("read_id").distinct().join(keys, "read_id", "left").fillna("", ["cluster_key"])
 
 
+def keyed_reads(exon_rows: DataFrame, genes: DataFrame, tol: int = 5) -> DataFrame:
+    """Reads with their breaks (see read_breaks) and their key of all labels (see cluster_key_viral), from one pass over the exons."""
+    parts = F.array_sort(F.collect_list(F.struct("i", "part", "st", "en")))
+    found = _key_parts(exon_rows, genes, tol, False, ("source", "st", "en")).groupBy("read_id").agg(*[F.first(c).alias(c) for c in ("source", "chrom", "fwd")], F.min("st").alias("st"), F.max("en").alias("en"), parts.alias("_x"))
+    breaks = F.flatten(F.transform(F.filter("_x", lambda x: x["i"] > 0), lambda x: F.array(x["st"], x["en"])))
+    key = F.array_join(F.transform("_x", lambda x: x["part"]), "_")
+    return found.select("read_id", "source", "chrom", "fwd", "st", "en", (F.size("_x") - 1).cast("long").alias("n_exons"), breaks.alias("breaks"), key.alias("cluster_key"))
+
+
 def snap_left(points: DataFrame, pos: str, floor: str, genes: DataFrame, out: str, reach: int = 10_000) -> DataFrame:
     """Column out: the last gene start at or before pos, not before ``floor`` nor further than ``reach``; else pos."""
     found = asof_upstream(points, pos, genes.withColumn("gene", F.col("g_st")), "_start", 0, None)

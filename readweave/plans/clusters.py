@@ -19,7 +19,7 @@ from .structure import exons, per_read
 
 def keyed(spark, sf_dir):
     """One row per read with its breaks and cluster key."""
-    return per_read(spark, sf_dir).join(iv.cluster_key_viral(exons(spark, sf_dir), genes(spark, sf_dir)), "read_id")
+    return iv.keyed_reads(exons(spark, sf_dir), genes(spark, sf_dir))
 
 
 def isoforms(spark, sf_dir):

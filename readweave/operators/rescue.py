@@ -27,8 +27,8 @@ class Scores:
     further: int = 1
 
 
-#: Cells of the tables that are filled together.
-CELLS = 1 << 25
+#: Cells of the tables that are filled together; their rows stay near the processor.
+CELLS = 1 << 22
 #: Fields of an alignment: score, first base in either sequence (from 0), bases of either, columns, equal columns.
 FIELDS = ("score", "a_start", "b_start", "a_bases", "b_bases", "columns", "same")
 ALIGNMENT = "struct<" + ",".join(f"{f}:int" for f in FIELDS) + ">"
@@ -49,41 +49,44 @@ def local_alignments(a: list[str], b: list[str], scores: Scores = Scores()) -> n
     """
     x, y = _matrix(a, 0), _matrix(b, 1)
     p, n, m = len(a), x.shape[1], y.shape[1]
-    worst, at = np.iinfo(np.int32).min // 2, np.arange(m + 1, dtype=np.int32) * scores.further
-    before, down = np.zeros((p, m + 1), np.int32), np.full((p, m + 1), worst, np.int32)
-    way = np.zeros((n + 1, p, m + 1), np.uint8)  # bits 0-1: stop, both, down, right; bit 2: down goes on; bit 3: right goes on
-    best, end_a, end_b = np.zeros(p, np.int32), np.zeros(p, np.int64), np.zeros(p, np.int64)
+    # small numbers where the scores fit; the way back is read from the tables, at the few cells that it passes
+    bound = max(map(abs, (scores.match, scores.mismatch))) * (min(n, m) + 1) + scores.further * (n + m + 1) + scores.first
+    kind = np.int16 if bound < np.iinfo(np.int16).max // 2 else np.int32
+    match, mismatch, first, further = (kind(v) for v in (scores.match, scores.mismatch, scores.first, scores.further))
+    worst, at = kind(np.iinfo(kind).min // 2), np.arange(m + 1, dtype=kind) * further
+    if max(x.max(), y.max()) < 256:
+        x, y = x.astype(np.uint8), y.astype(np.uint8)
+    full, down, right = (np.zeros((n + 1, p, m + 1), kind) for _ in range(3))
+    down[0], right[:, :, 0] = worst, worst
+    best, end_a, end_b = np.zeros(p, kind), np.zeros(p, np.int64), np.zeros(p, np.int64)
+    rows = np.arange(p)
     for i in range(1, n + 1):
-        opened, went = before - scores.first, down - scores.further
-        down = np.maximum(opened, went)
-        here = np.zeros((p, m + 1), np.int32)
-        here[:, 1:] = np.maximum(0, before[:, :-1] + np.where(x[:, i - 1, None] == y, scores.match, scores.mismatch))
-        both = here.copy()
-        here = np.maximum(here, down)
+        before, here = full[i - 1], full[i]
+        np.maximum(before - first, down[i - 1] - further, out=down[i])
+        np.add(before[:, :-1], np.where(x[:, i - 1, None] == y, match, mismatch), out=here[:, 1:])
+        np.maximum(here, down[i], out=here)
+        np.maximum(here, 0, out=here)
         here[:, 0] = 0
         # gaps along the row: the best place to the left to open one
-        right = np.full((p, m + 1), worst, np.int32)
-        right[:, 1:] = np.maximum.accumulate(here + at, axis=1)[:, :-1] - at[1:] - scores.first + scores.further
-        full = np.maximum(here, right)
-        goes = np.zeros((p, m + 1), bool)
-        goes[:, 1:] = right[:, 1:] > full[:, :-1] - scores.first
-        way[i] = np.where(full <= 0, 0, np.where(both == full, 1, np.where(down == full, 2, 3))) | (went > opened) << 2 | goes << 3
-        before = full
-        j = full.argmax(axis=1)
-        top = full[np.arange(p), j]
+        np.subtract(np.maximum.accumulate(here[:, :-1] + at[:-1], axis=1), at[1:] + (first - further), out=right[i, :, 1:])
+        np.maximum(here, right[i], out=here)
+        j = here.argmax(axis=1)
+        top = here[rows, j]
         better = top > best
         best, end_a, end_b = np.where(better, top, best), np.where(better, i, end_a), np.where(better, j, end_b)
     i, j, state = end_a.copy(), end_b.copy(), np.zeros(p, np.int64)
     columns, same, who = np.zeros(p, np.int64), np.zeros(p, np.int64), np.flatnonzero(best > 0)
     while len(who):
-        w = way[i[who], who, j[who]]
-        s = np.where(state[who] == 0, w & 3, state[who])
-        on = s > 0
-        who, w, s = who[on], w[on], s[on]
-        diagonal = s == 1
-        same[who[diagonal]] += x[who[diagonal], i[who[diagonal]] - 1] == y[who[diagonal], j[who[diagonal]] - 1]
+        who = who[(state[who] > 0) | (full[i[who], who, j[who]] > 0)]
+        u, v = i[who], j[who]
+        value, equal = full[u, who, v], x[who, u - 1] == y[who, v - 1]
+        both = value == full[u - 1, who, v - 1] + np.where(equal, match, mismatch)
+        s = np.where(state[who] > 0, state[who], np.where(both, 1, np.where(down[u, who, v] == value, 2, 3)))
+        goes_down = down[u - 1, who, v] - further > full[u - 1, who, v] - first
+        goes_right = right[u, who, v] > full[u, who, v - 1] - first
+        same[who] += (s == 1) & equal
         columns[who] += 1
-        state[who] = np.where(diagonal, 0, np.where(s == 2, np.where(w & 4, 2, 0), np.where(w & 8, 3, 0)))
+        state[who] = np.where(s == 1, 0, np.where(s == 2, np.where(goes_down, 2, 0), np.where(goes_right, 3, 0)))
         i[who] -= s != 3
         j[who] -= s != 2
     return np.column_stack([best, i, j, end_a - i, end_b - j, columns, same])

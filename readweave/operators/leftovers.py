@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,27 +42,50 @@ def rescue_candidates(reads: DataFrame, least: int, most: int, away: int, refere
 OWN, OTHER = 10, 8
 
 
+#: Bytes of sequences that are looked through together.
+TEXT = 1 << 18
+
+
+def _best_runs(seqs: list[bytes], base: int) -> np.ndarray:
+    """first, last and n (see best_run) of each of some sequences, with zeros where the base isn't there."""
+    found, size = np.zeros((3, len(seqs)), np.int64), np.array([len(s) for s in seqs])
+    text = np.frombuffer(b"".join(seqs), np.uint8)
+    if len(text) and text.max() > 127:  # a letter of several bytes is one
+        begins_letter = (text & 0xC0) != 0x80
+        size = np.diff(np.concatenate([[0], np.cumsum(begins_letter)])[np.concatenate([[0], np.cumsum(size)])])
+        text = text[begins_letter]
+    full = np.flatnonzero(size)
+    if not len(full):
+        return found
+    size = size[full]
+    begin = np.cumsum(size) - size
+    score = np.where(text == base, OWN, -OTHER)
+    # each sequence begins below all sums of those before it, so the lowest sum so far is its own
+    total = np.cumsum(score) - np.repeat(np.arange(len(full)) * ((OWN + OTHER) * len(text)), size)
+    gain = total - np.minimum.accumulate(total - score)
+    best = np.maximum.reduceat(gain, begin)
+    at = np.flatnonzero(gain == np.repeat(best, size))
+    at = at[np.searchsorted(at, begin)]
+    fresh = np.concatenate([[-1], np.flatnonzero(gain <= 0)])
+    first = np.maximum(fresh[np.searchsorted(fresh, at) - 1] + 1 - begin, 0)
+    last = at + 1 - begin
+    found[:, full] = np.where(best > 0, [first, last, (best + OTHER * (last - first)) // (OWN + OTHER)], 0)
+    return found
+
+
 def best_run(seq: Column, base: str) -> Column:
     """The stretch of a sequence with the highest score as a run of ``base``: struct of first (from 0), last (excluded) and n, its
-    bases of that kind; of equal ones the one that ends first, and that begins last. Null if the base isn't there. One pass."""
-    chars = F.filter(F.split(seq, ""), lambda x: x != "")
-    start = F.struct(*[F.lit(0).alias(k) for k in ("i", "sum", "from", "best", "first", "last")])
-
-    def step(acc: Column, c: Column) -> Column:
-        i, total = acc["i"] + 1, acc["sum"] + F.when(c == base, OWN).otherwise(-OTHER)
-        fresh, better = total <= 0, total > acc["best"]
-        return F.struct(
-            i.alias("i"),
-            F.when(fresh, 0).otherwise(total).alias("sum"),
-            F.when(fresh, i).otherwise(acc["from"]).alias("from"),
-            F.when(better, total).otherwise(acc["best"]).alias("best"),
-            F.when(better, acc["from"]).otherwise(acc["first"]).alias("first"),
-            F.when(better, i).otherwise(acc["last"]).alias("last"),
-        )
-
-    found = F.aggregate(chars, start, step)
-    n = ((found["best"] + OTHER * (found["last"] - found["first"])) / (OWN + OTHER)).cast("int")
-    return F.when(found["best"] > 0, F.struct(found["first"].alias("first"), found["last"].alias("last"), n.alias("n")))
+    bases of that kind; of equal ones the one that ends first, and that begins last. Null if the base isn't there. One pass, over
+    the letters of many sequences at once."""
+
+    @F.arrow_udf("struct<first:int,last:int,n:int>")
+    def runs(seqs: pa.Array) -> pa.Array:
+        size = np.cumsum(pc.fill_null(pc.binary_length(seqs), 0).to_numpy(zero_copy_only=False)) // TEXT
+        parts = [seqs.slice(p[0], len(p)) for p in np.split(np.arange(len(size)), np.flatnonzero(np.diff(size)) + 1) if len(p)]
+        found = np.concatenate([np.zeros((3, 0), np.int64), *[_best_runs(pc.fill_null(p.cast(pa.binary()), b"").to_pylist(), ord(base)) for p in parts]], axis=1)
+        return pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in found], ["first", "last", "n"], mask=pa.array(found[1] == 0))
+
+    return runs(seq)
 
 
 def split_internal_polya(reads: DataFrame, key: str, left: int = 15, right: int = 10, share: float = 0.9, inside: int = 10, longer_than: int = 0, least: float | None = None, bases: tuple[str, ...] = ("A",)) -> DataFrame:
@@ -78,15 +104,16 @@ def split_internal_polya(reads: DataFrame, key: str, left: int = 15, right: int
     if least is not None:
         parts = F.slice("q", 1, F.col("_l")), F.slice("q", F.greatest(F.lit(1), F.size("q") - F.col("_r") + 1), F.col("_r"))
         good = [F.when(g, median_of(q) >= least) for g, q in zip(good, parts)]
-    cuts = []
+    runs, cuts = {}, []
     for side, (clip, off, shortest) in enumerate(((F.substring(F.col("seq"), F.lit(1), F.col("_l")), F.lit(0), left), (F.substring(F.col("seq"), n - F.col("_r") + 1, F.col("_r")), n - F.col("_r"), right))):
         for base in bases:
-            run = F.when(good[side], best_run(clip, base))
+            name = f"_run{side}{base}"
+            runs[name], run = best_run(F.when(good[side], clip), base), F.col(name)
             # the quotient is rounded once, so a run of exactly this share has no larger one
             long = (run["last"] - run["first"] > shortest) & (run["n"] / (run["last"] - run["first"]) > share)
             place = run["first"] > inside if side == 0 else off + run["last"] < n - inside
             cuts.append(F.when(long & place, off + run["last"]))
-    found = own.select("read_id", "seq", F.coalesce(*cuts).alias("_at"))
+    found = own.select("read_id", "seq", "_r", *[r.alias(name) for name, r in runs.items()]).select("read_id", "seq", F.coalesce(*cuts).alias("_at"))
     whole = F.array(F.struct(F.col("read_id").alias("id"), F.col("seq").alias("s")))
     two = F.array(
         F.struct(F.concat("read_id", F.lit(".L")).alias("id"), F.substring(F.col("seq"), F.lit(1), F.col("_at")).alias("s")),
